@@ -110,7 +110,7 @@ def learn(rows: DataFrame, features: tuple[str, ...] = FEATURES, bins: int = 32,
     total = rows.agg(F.count("*"), F.count_if("bad")).first()
     if not total[1] or total[0] == total[1]:
         return DecisionList(())
-    marks = [i / bins for i in range(1, bins)]
+    marks = [i / bins for i in range(bins + 1)]  # with both ends, so that a rule can take in all of a class
     spread = rows.agg(*(F.percentile_approx(F.when(F.col("bad") == b, F.col(f).cast("double")), marks, 10_000).alias(f"{f}_{b}") for f in features for b in (True, False))).first()
     cuts = {f: sorted({x for b in (True, False) for x in (spread[f"{f}_{b}"] or [])}) for f in features}
     place = lambda f: sum((F.col(f).cast("double") >= t).cast("int") for t in cuts[f]) if cuts[f] else F.lit(0)
