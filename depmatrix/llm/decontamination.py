@@ -246,13 +246,15 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits())
     """The rows of docs, columns as they are, that hold no item. No shuffle: each row is judged where it lies."""
     out = docs
     for items in item_blocks(benchmark, word_vectors(docs)):
-        shared = docs.sparkSession.sparkContext.broadcast(items)
+        out = out.filter(_clean(docs.sparkSession.sparkContext.broadcast(items), limits)(F.col("text").cast("string")))
+    return out
 
-        @arrow_udf("boolean")
-        def clean(texts: pa.Array, shared=shared) -> pa.Array:
-            mask = np.ones(len(texts), bool)
-            mask[[r[0] for r in search(texts, shared.value, limits)]] = False
-            return pa.array(mask)
 
-        out = out.filter(clean(F.col("text").cast("string")))
-    return out
+def _clean(shared, limits: Limits):
+    @arrow_udf("boolean")
+    def clean(texts: pa.Array) -> pa.Array:
+        mask = np.ones(len(texts), bool)
+        mask[[r[0] for r in search(texts, shared.value, limits)]] = False
+        return pa.array(mask)
+
+    return clean
