@@ -90,14 +90,17 @@ def labelled(labels: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_train: int = 20_000):
-    """Fits on at most max_train labelled rows, those with the least hash of their id, so that all labelled rows count as long as they are fewer."""
-    rows = docs.join(labelled(labels), "doc_id").select("doc_id", "text", "good").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
+    """Fits on at most max_train labelled documents, those with the least hash of their id, so that all count as long as they are fewer.
+
+    The choice is made among the labels, so the table that meets the texts has at most max_train rows and the texts aren't shuffled."""
+    chosen = labelled(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
+    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "good")
 
     @arrow_udf("array<double>")
     def listed(texts: pa.Array) -> pa.Array:
         return pa.array(list(features(texts)), pa.list_(pa.float64()))
 
-    got = rows.select("good", listed("text").alias("x")).toArrow()
+    got = rows.select("good", listed("text").alias("x")).toArrow()  # a repeated document counts each time
     x = np.array(got.column("x").to_pylist(), np.float64).reshape(-1, N_FEATURES)
     return fit_logistic(x, got.column("good").to_numpy().astype(np.float64))
 
