@@ -172,7 +172,8 @@ def records(archived: DataFrame, with_payload: bool = True) -> DataFrame:
     schema = RECORDS if with_payload else RECORDS.removesuffix(", payload binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to = None
+        kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+        to = pa.schema([(n, kinds[k]) for n, k in (f.split() for f in schema.split(", "))])
         for batch in batches:
             for content in batch.column(0):
                 rows, held = [], 0
@@ -185,7 +186,6 @@ def records(archived: DataFrame, with_payload: bool = True) -> DataFrame:
                         yield pa.RecordBatch.from_pylist(rows, to)
                         rows, held = [], 0
                 if rows:
-                    to = to or pa.schema([(n, {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[k]) for n, k in (f.split() for f in schema.split(", "))])
                     yield pa.RecordBatch.from_pylist(rows, to)
 
     return archived.select("content").mapInArrow(run, schema)

@@ -235,6 +235,13 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.records(warc.from_files(spark, str(tmp_path / "w"))).count() == len(rows)
 
 
+def test_warc_archive_of_many_megabytes(spark):
+    pages = spark.createDataFrame([(k, "u", f"{k} " * 1_000_000) for k in range(12)], "page_id long, url string, html string")
+    for with_payload in (False, True):
+        got = warc.records(warc.archives(pages.coalesce(1)), with_payload).collect()
+        assert sorted(r["payload_bytes"] for r in got) == sorted(len(f"{k} ") * 1_000_000 for k in range(12))
+
+
 def test_warc_reader_finds_damage():
     data = b"x" * 1000
     good = warc.record(1, "u", data, hashlib.sha256(data).hexdigest(), None, False)
