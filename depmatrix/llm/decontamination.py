@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -28,6 +28,11 @@ STEPS = {2: 1, 3: 1, 4: 1, 6: 2, 8: 2, 12: 4, 16: 4}
 _CHUNK = 1 << 18
 
 
+def _folded(column: str) -> Column:
+    """Text in lower case, letters beyond ASCII too, so that a copy in capitals is the same words."""
+    return F.lower(F.col(column).cast("string"))
+
+
 def _test_matrix() -> np.ndarray:
     return np.random.default_rng(20240501).standard_normal((DIMS, RANK)).astype(np.float32)
 
@@ -70,7 +75,7 @@ def word_vectors(docs: DataFrame, sums: int = 4) -> np.ndarray:
 
     Tasks send one matrix of fixed size each to `sums` adding tasks; the driver gets that many."""
     kinds = "n long, df binary, y binary"
-    parts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_sketch, kinds).repartition(sums).mapInArrow(_add, kinds).collect()
+    parts = docs.select(_folded("text").alias("text")).mapInArrow(_sketch, kinds).repartition(sums).mapInArrow(_add, kinds).collect()
     n = sum(r["n"] for r in parts)
     df = sum((np.frombuffer(r["df"]) for r in parts), np.zeros(DIMS))
     y = sum((np.frombuffer(r["y"]).reshape(DIMS, RANK) for r in parts), np.zeros((DIMS, RANK)))
@@ -134,7 +139,7 @@ class Items:
 
 @dataclass(frozen=True)
 class Limits:
-    cosine: float = 0.58
+    cosine: float = 0.5
     lcs: float = 0.7
     answer: float = 0.6
 
@@ -204,7 +209,8 @@ def _hashes(texts: list[str | None]) -> list[np.ndarray]:
 
 def item_blocks(benchmark: DataFrame, vectors: np.ndarray, block: int = 4096, answer_col: str | None = None, answer_words: int = 5) -> Iterator[Items]:
     """The benchmark, at most about `block` items at a time, so that what goes to the workers has a bound. Items without words can't be found."""
-    own = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"), (F.col(answer_col) if answer_col else F.lit(None)).cast("string").alias("answer")).distinct()
+    answer = _folded(answer_col) if answer_col else F.lit(None).cast("string")
+    own = benchmark.select(F.col("item_id").cast("long").alias("item_id"), _folded("text").alias("text"), answer.alias("answer")).distinct()
     many = max(1, -(-own.count() // block))
     for b in range(many):
         rows = own.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(many)) == b).orderBy("item_id", "text").collect()
@@ -222,7 +228,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits(
 
     Null or empty texts and items match nothing; repeated rows of docs are found each, repeated items once. Empty tables: no rows. Extra columns are not looked at."""
     spark = docs.sparkSession
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _folded("text").alias("text"))
     out = None
     for items in item_blocks(benchmark, word_vectors(own), answer_col=answer_col):
         shared = spark.sparkContext.broadcast(items)
@@ -246,7 +252,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits())
     """The rows of docs, columns as they are, that hold no item. No shuffle: each row is judged where it lies."""
     out = docs
     for items in item_blocks(benchmark, word_vectors(docs)):
-        out = out.filter(_clean(docs.sparkSession.sparkContext.broadcast(items), limits)(F.col("text").cast("string")))
+        out = out.filter(_clean(docs.sparkSession.sparkContext.broadcast(items), limits)(_folded("text")))
     return out
 
 

@@ -404,6 +404,14 @@ def test_decontamination_recall_and_precision(spark):
     assert decontamination.contaminated(docs(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_copies_in_capitals(spark):
+    rng = random.Random(13)
+    item = " ".join(f"é{w}ñ" for w in prose(rng, 30, 5000).split())
+    rows = [(0, f"{prose(rng, 100, 5000)} {item.upper()} {prose(rng, 50, 5000)}"), (1, prose(rng, 150, 5000))]
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert [(r["doc_id"], r["lcs_ratio"]) for r in decontamination.contaminated(docs(spark, rows), bench).collect()] == [(0, 1.0)]
+
+
 def test_lcs():
     rng = random.Random(13)
     for _ in range(50):
