@@ -1,12 +1,13 @@
-"""Language-model scores from a log-frequency Bloom filter (after Talbot and Osborne, 2007).
+"""Language-model scores from log-frequency Bloom filters (after Talbot and Osborne, 2007).
 
-Word counts are exact, over all training documents. N-grams of two words that occur at least `least` times, with least = N / max_ngrams rounded up,
-go into a Bloom filter: an n-gram whose count has the logarithmic level q is stored once for each level 1..q, and a count is read
-by probing levels until one is missing. At most max_ngrams n-grams can occur so often, so the filter that goes to the workers has a size bound
-whatever the corpus. A bigram can be that frequent only if both words are, so only those are counted.
+Word counts are exact, over all training documents. Every n-gram of two words that occurs in training goes into a Bloom filter, whatever its
+count: an n-gram whose count has the logarithmic level q is stored once for each level 1..q, and a count is read by probing levels
+until one is missing.
 
-Words with at least N / max_words occurrences (again at most max_words of them) go to the workers too, as hashes and counts; the counts of all
-other words are joined in. Words are told apart by 64-bit hashes.
+Nothing is broadcast. Documents are written as blocks of about 2 MB; a block asks for each of its words and n-grams once, with its training
+count there. The requests are dealt by hash into buckets, whose number grows with the corpus; a bucket sums the counts, builds its filters
+from the n-grams that occur in training, and answers each block's requests. A block then scores its documents. As a block asks once for each
+n-gram, frequent ones don't weigh on one bucket. Words are told apart by 64-bit hashes, n-grams by 32 bits inside their bucket (42 and more in all).
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +27,7 @@ from depmatrix.llm.shared import byte_table, mixed, one_word_hash, string_parts,
 #: The end token: a space can't be in a word.
 END = one_word_hash(b" end ")
 _TABLE = byte_table()
-_SHIFT = np.int64(1 << 22)
+_BLOCK = 1 << 21
 
 
 @dataclass
@@ -65,36 +67,28 @@ class LogBloom:
                 break
         return alive
 
-    def counts(self, codes: np.ndarray) -> np.ndarray:
-        """Quantised counts, 0 for what the filter doesn't hold. Never below the level of the true count."""
+    def levels(self, codes: np.ndarray) -> np.ndarray:
+        """Level of each code, 0 for what the filter doesn't hold. Never below the level of the true count."""
         levels, alive, q = np.zeros(len(codes), np.int64), np.arange(len(codes)), 1
         while len(alive):
             alive = alive[self._holds(codes[alive], q)]
             levels[alive] = q
             q += 1
-        return np.where(levels > 0, self.least * self.base ** (levels - 1) * (1 + self.base) / 2, 0.0)
-
-
-@dataclass
-class Model:
-    """What the workers get: frequent words, the filter, the corpus figures."""
+        return levels
 
-    words: np.ndarray  # sorted hashes
-    counts: np.ndarray
-    bloom: LogBloom
-    tokens: int
-    distinct: int
-    weight: float = 0.3
+    def counts(self, codes: np.ndarray) -> np.ndarray:
+        """Quantised counts, 0 for what the filter doesn't hold."""
+        return level_counts(self.levels(codes), self.least, self.base)
 
-    def unigram(self, counts: np.ndarray) -> np.ndarray:
-        return np.log10((counts + 0.5) / (self.tokens + 0.5 * (self.distinct + 1)))
 
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """Index of each hash among the frequent words, -1 for none."""
-        if not len(self.words):
-            return np.full(len(h), -1)
-        at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-        return np.where(self.words[at] == h, at, -1)
+def level_counts(levels: np.ndarray, least: int = 1, base: float = 1.5) -> np.ndarray:
+    """The middle of the whole numbers that have a level; 0 for level 0."""
+    q = np.arange(int(levels.max(initial=0)) + 1)
+    low, high = least * base ** (q - 1.0), least * base**q
+    first, last = np.ceil(low - 1e-6), np.ceil(high - 1e-6) - 1
+    middle = np.where(last >= first, first + last, low + high) / 2
+    middle[0] = 0
+    return middle[levels]
 
 
 def _with_ends(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,68 +102,121 @@ def _with_ends(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, many
 
 
-def _chunks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    for first, _, h, counts in word_hashes(*string_parts(column), _TABLE):
-        yield first, *_with_ends(h, counts)
+def _cut_up(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """values as binaries, one for each stretch between ends."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _joined(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all binaries, and where each one's end: the inverse of _cut_up()."""
+    column = pa.concat_arrays([x.cast(pa.large_binary()) for x in column.chunks]) if column.num_chunks else pa.array([], pa.large_binary())
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data else np.zeros(0, np.uint8)
+    return data.view(kind), (offsets - offsets[0]) // np.dtype(kind).itemsize
+
+
+def _cut_counts(counts: np.ndarray, ends: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """A byte each; those from 255 on in full, in the second column."""
+    large = counts >= 255
+    return _cut_up(np.minimum(counts, 255).astype(np.uint8), ends), _cut_up(counts[large].astype(np.int64), np.r_[0, np.cumsum(large)][ends])
+
+
+def _joined_counts(low: pa.ChunkedArray, high: pa.ChunkedArray) -> np.ndarray:
+    out = _joined(low, np.uint8)[0].astype(np.int64)
+    out[out == 255] = _joined(high, np.int64)[0]
+    return out
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of documents: ids, held out, texts end to end and where they end."""
+    block = TaskContext.get().partitionId() << 32
     for batch in batches:
-        h, c = np.unique(np.concatenate([t for _, t, _ in _chunks(batch.column(0))] or [np.zeros(0, np.uint64)]), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], ["h", "c"])
+        offsets, data = string_parts(batch.column(2))
+        at, n = 0, batch.num_rows
+        while at < n:
+            end = min(n, max(at + 1, int(np.searchsorted(offsets, offsets[at] + _BLOCK, side="right")) - 1))
+            text, ends = data[offsets[at] : offsets[end]].tobytes(), (offsets[at : end + 1] - offsets[at]).astype(np.int64)
+            one = lambda x, kind: pa.array([x], kind)
+            lists = [pa.ListArray.from_arrays(pa.array([0, end - at], pa.int32()), batch.column(k).slice(at, end - at)) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([one(block, pa.int64()), *lists, one(pa.compress(text, codec="zstd", asbytes=True), pa.binary()), one(ends.tobytes(), pa.binary()), one(int(ends[-1]) + end - at, pa.int64())], ["block", "ids", "held", "text", "ends", "size"])
+            block, at = block + 1, end
 
 
-def _pairs(index: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(code or -1, index of the word before) for each token. Before a document's first word stands an end."""
-    before = np.empty_like(index)
-    before[1:] = index[:-1]
-    starts = np.cumsum(many) - many
-    before[starts] = index[starts + many - 1]
-    return np.where((index >= 0) & (before >= 0), before * _SHIFT + index, -1), before
+def _tokens(text: bytes, ends: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of a block's documents with each one's end, and tokens of each document."""
+    offsets = np.frombuffer(ends, np.int64)
+    data = np.frombuffer(pa.decompress(text, int(offsets[-1]), codec="zstd"), np.uint8)
+    found = [(h, counts) for _, _, h, counts in word_hashes(offsets, data, _TABLE)]
+    return _with_ends(np.concatenate([h for h, _ in found]), np.concatenate([c for _, c in found]))
 
 
-def _count_pairs(words):
+def _pairs(t: np.ndarray, bits: int) -> np.ndarray:
+    """Bucket and 32 bits of each token's n-gram. Before a document's first word stands an end, as the last token before it is one."""
+    code = mixed(np.r_[END, t[:-1]] * np.uint64(0xD6E8FEB86659FD93) + t)
+    return code >> np.uint64(64 - bits) << np.uint64(32) | code & np.uint64(0xFFFFFFFF)
+
+
+def _requests(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = words.value
         for batch in batches:
-            found = []
-            for _, t, many in _chunks(batch.column(0)):
-                code, _ = _pairs(model.find(t), many)
-                found.append(code[code >= 0])
-            code, c = np.unique(np.concatenate(found or [np.zeros(0, np.int64)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(code, pa.int64()), pa.array(c.astype(np.int64))], ["code", "c"])
+            for row in range(batch.num_rows):
+                block, held, text, ends = (batch.column(k)[row].as_py() for k in range(4))
+                t, many = _tokens(text, ends)
+                train = np.repeat(~np.array(held, bool), many)
+                words, w = np.unique(t, return_inverse=True)
+                pairs, p = np.unique(_pairs(t, bits), return_inverse=True)
+                place_w, place_p = words >> np.uint64(64 - bits), pairs >> np.uint64(32)
+                parts = np.union1d(place_w, place_p)
+                ends_w, ends_p = (np.r_[0, np.searchsorted(x, parts, side="right")] for x in (place_w, place_p))
+                count = lambda at, n: np.bincount(at[train], minlength=n)
+                columns = [_cut_up(words, ends_w), *_cut_counts(count(w, len(words)), ends_w), _cut_up(pairs.astype(np.uint32), ends_p), *_cut_counts(count(p, len(pairs)), ends_p)]
+                yield pa.RecordBatch.from_arrays([pa.array(parts.astype(np.int32)), pa.array(np.full(len(parts), block, np.int64)), *columns], ["part", "block", "words", "wl", "wh", "pairs", "pl", "ph"])
 
     return run
 
 
-def _score(model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model = model.value
-        for batch in batches:
-            n = batch.num_rows
-            tokens, known, base, score = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
-            rare, rare_n = [], np.zeros(n, np.int64)
-            for first, t, many in _chunks(batch.column(2)):
-                index = m.find(t)
-                code, before = _pairs(index, many)
-                lone = m.unigram(np.where(index >= 0, m.counts[index] if len(m.counts) else 0, 0))
-                context = np.where(before >= 0, m.counts[before] if len(m.counts) else 0, 0)
-                context = np.where(context >= m.bloom.least, context, 0)  # words below it are in no n-gram
-                pair = np.zeros(len(t))
-                pair[code >= 0] = m.bloom.counts(code[code >= 0])
-                share = np.where(context > 0, m.weight, 0.0)
-                both = share * np.minimum(1.0, pair / np.maximum(context, 1)) + (1 - share) * 10.0**lone
-                # of a rare word only the weight is known here; its own probability is joined in
-                value = np.where(index >= 0, np.log10(both), np.log10(1 - share))
-                starts, docs = np.cumsum(many) - many, slice(first, first + len(many))
-                tokens[docs] = many
-                known[docs] = np.add.reduceat((index >= 0).astype(np.int64), starts)
-                base[docs] = np.add.reduceat(np.where(index >= 0, lone, 0.0), starts)
-                score[docs] = np.add.reduceat(value, starts)
-                rare_n[docs] = np.add.reduceat((index < 0).astype(np.int64), starts)
-                rare.append(t[index < 0].view(np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(rare_n)].astype(np.int32)), pa.array(np.concatenate(rare or [np.zeros(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tokens), pa.array(known), pa.array(base), pa.array(score), lists], ["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare"])
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    found, at = np.unique(keys, return_inverse=True)
+    return found, np.bincount(at, counts, len(found)).astype(np.int64), at
+
+
+def _answers(max_ngrams: int):
+    def run(asked: pa.Table) -> pa.Table:
+        words, ends_w = _joined(asked.column("words"), np.uint64)
+        found, total, at = _summed(words, _joined_counts(asked.column("wl"), asked.column("wh")))
+        pairs, ends_p = _joined(asked.column("pairs"), np.uint32)
+        codes, counts, at_p = _summed(pairs, _joined_counts(asked.column("pl"), asked.column("ph")))
+        # as many filters as the n-grams need, none with more than about max_ngrams of them
+        levels, pieces = np.zeros(len(codes), np.uint8), max(1, -(-int((counts > 0).sum()) // max_ngrams))
+        for k in range(pieces):
+            own = codes % pieces == k
+            trained = own & (counts > 0)
+            levels[own] = LogBloom.build(codes[trained].astype(np.int64), counts[trained], 1).levels(codes[own].astype(np.int64))
+        first = (np.arange(asked.num_rows) == 0).astype(np.int64)  # the bucket's figures, once
+        columns = [*_cut_counts(total[at], ends_w), _cut_up(levels[at_p], ends_p), pa.array(first * int(total.sum())), pa.array(first * int((total > 0).sum()))]
+        return pa.Table.from_arrays([asked.column("block"), asked.column("part"), *columns], ["block", "part", "wl", "wh", "levels", "tokens", "distinct"])
+
+    return run
+
+
+def _score(tokens: int, distinct: int, weight: float, bits: int):
+    def run(block: pa.Table, answers: pa.Table) -> pa.Table:
+        t, many = _tokens(block.column("text")[0].as_py(), block.column("ends")[0].as_py())
+        answers = answers.sort_by("part")  # the order of the block's words and n-grams
+        words, w = np.unique(t, return_inverse=True)
+        pairs, p = np.unique(_pairs(t, bits), return_inverse=True)
+        counts, levels = _joined_counts(answers.column("wl"), answers.column("wh")), _joined(answers.column("levels"), np.uint8)[0]
+        if len(counts) != len(words) or len(levels) != len(pairs):
+            raise RuntimeError(f"block {block.column('block')[0]}: {len(counts)} and {len(levels)} answers to {len(words)} and {len(pairs)} requests")
+        context = counts[np.r_[np.searchsorted(words, END), w[:-1]]]
+        lone = np.log10((counts + 0.5) / (tokens + 0.5 * (distinct + 1)))[w]
+        share = np.where(context > 0, weight, 0.0)
+        both = share * np.minimum(1.0, level_counts(levels)[p] / np.maximum(context, 1)) + (1 - share) * 10.0**lone
+        starts = np.cumsum(many) - many
+        by_doc = lambda x: pa.array(np.add.reduceat(x, starts))
+        ids, held = (pa.concat_arrays([x.flatten() for x in block.column(c).chunks]) for c in ("ids", "held"))
+        return pa.Table.from_arrays([ids, held, pa.array(many), by_doc((counts[w] > 0).astype(np.int64)), pa.array(np.full(len(many), tokens)), by_doc(lone), by_doc(np.log10(both))], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
 
@@ -183,28 +230,16 @@ def lm_scores(docs: DataFrame, max_words: int = 1 << 21, max_ngrams: int = 1 <<
     """One row per row of docs (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Trains on the rows that aren't held out. Null or empty text: its end is its only token. Repeated rows count and are scored as often as they occur.
-    No training rows: all counts are 0, and scores are those of unseen words. Extra columns are not looked at."""
-    spark = docs.sparkSession
+    No training rows: all counts are 0, and scores are those of unseen words. Extra columns are not looked at.
+
+    max_words: a bucket's share of the text is 8 times as many bytes at most. max_ngrams: n-grams in one filter. Both only set how many buckets
+    and filters there are; no word and no n-gram is left out."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
-    train = own.filter(~F.col("held_out")).select("text")
-    vocabulary = written(train.mapInArrow(_count_words, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")))
-    tokens, distinct = (int(x or 0) for x in vocabulary.agg(F.sum("c"), F.count("*")).first())
-    frequent = vocabulary.filter(F.col("c") >= max(2, -(-tokens // max_words))).toArrow()  # at most max_words rows
-    h, c = frequent.column("h").to_numpy().view(np.uint64), frequent.column("c").to_numpy()
-    order = np.argsort(h)
-    least = max(2, -(-tokens // max_ngrams))
-    model = Model(h[order], c[order].astype(np.float64), LogBloom.build(np.zeros(0, np.int64), np.zeros(0), least), tokens, distinct, weight)
-    strong = model.counts >= least
-    paired = Model(model.words[strong], model.counts[strong], model.bloom, tokens, distinct)
-    to_index = np.flatnonzero(strong)  # pairs are counted among the strongest words only
-    counted = train.mapInArrow(_count_pairs(spark.sparkContext.broadcast(paired)), "code long, c long").groupBy("code").agg(F.sum("c").alias("c")).filter(F.col("c") >= least).toArrow()  # at most max_ngrams rows
-    code = counted.column("code").to_numpy()
-    code = to_index[code // _SHIFT] * _SHIFT + to_index[code % _SHIFT] if len(code) else code
-    model.bloom = LogBloom.build(code, counted.column("c").to_numpy(), least)
-    kinds = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<long>"
-    scored = written(own.mapInArrow(_score(spark.sparkContext.broadcast(model)), kinds).withColumn("row", F.monotonically_increasing_id()))
-    lone = F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(tokens + 0.5 * (distinct + 1)))
-    rare = scored.select("row", F.explode("rare").alias("h")).groupBy("row", "h").agg(F.count("*").alias("n")).join(vocabulary, "h", "left")
-    added = rare.groupBy("row").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("k"), F.sum(F.col("n") * lone).alias("s"))
-    zero = lambda name: F.coalesce(F.col(name), F.lit(0))
-    return scored.join(added, "row", "left").select("doc_id", "held_out", "n_tokens", (F.col("n_known") + zero("k")).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), (F.col("base") + zero("s")).alias("base_score"), (F.col("score") + zero("s")).alias("score"))
+    blocks = written(own.mapInArrow(_blocks, "block long, ids array<long>, held array<boolean>, text binary, ends binary, size long"))
+    size = int(blocks.agg(F.sum("size")).first()[0] or 0)
+    bits = max(10, math.ceil(math.log2(max(1, size / (8 * max_words)))))
+    asked = blocks.select("block", "held", "text", "ends").mapInArrow(_requests(bits), "part int, block long, words binary, wl binary, wh binary, pairs binary, pl binary, ph binary")
+    answers = written(asked.groupBy("part").applyInArrow(_answers(max_ngrams), "block long, part int, wl binary, wh binary, levels binary, tokens long, distinct long"))
+    tokens, distinct = (int(x or 0) for x in answers.agg(F.sum("tokens"), F.sum("distinct")).first())
+    kinds = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return blocks.drop("size").groupBy("block").cogroup(answers.select("block", "part", "wl", "wh", "levels").groupBy("block")).applyInArrow(_score(tokens, distinct, weight, bits), kinds)

@@ -330,6 +330,37 @@ def test_lm_base_scores_equal_brute_force(spark):
     assert lm_score.lm_scores(docs(spark, [])).count() == 0
 
 
+def test_lm_scores_keep_every_bigram(spark):
+    """Bigrams seen once or twice, of rare words too, raise the score as brute force says, however few n-grams one filter holds."""
+    rng = random.Random(12)
+    rows = [(k, " ".join(f"w{rng.randrange(700)}" for _ in range(80))) for k in range(150)] + [(1000 + k, "once upon " + prose(rng, 30)) for k in range(40)]
+    rows += [(None, ""), (2000, rows[1][1]), (2001, rows[2][1]), (2002, rows[3][1]), (2003, rows[4][1])]
+    tokens = lambda t: [*WORD.findall(t.translate(LOWER)), None]
+    held = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 5 == 1
+    trained = [tokens(t) for d, t in rows if not held(d)]
+    one, two = Counter(x for t in trained for x in t), Counter(x for t in trained for x in zip([None, *t], t))
+    n, v = sum(one.values()), len(one)
+
+    def level(c):  # the middle of the whole numbers with the level of c
+        q = math.floor(math.log(c) / math.log(1.5) + 1e-9)
+        inside = [x for x in range(1, 2 * c + 2) if math.floor(math.log(x) / math.log(1.5) + 1e-9) == q]
+        return (inside[0] + inside[-1]) / 2
+
+    def score(t):
+        p = 0.0
+        for a, b in zip([None, *t], t):
+            share, pair = 0.3 if one[a] else 0.0, two[a, b]
+            p += math.log10(share * min(1, level(pair) / one[a] if pair else 0) + (1 - share) * (one[b] + 0.5) / (n + 0.5 * (v + 1)))
+        return p
+
+    want = {d: score(tokens(t)) for d, t in rows}
+    assert sum(c == 1 for c in two.values()) > 5000
+    for options in ({}, {"max_ngrams": 3}, {"max_words": 1}):
+        got = {r["doc_id"]: r["score"] for r in lm_score.lm_scores(docs(spark, rows), **options).collect()}
+        off = sorted(abs(got[d] - want[d]) for d in want)
+        assert len(got) == len(rows) and off[len(off) // 2] < 1e-6 and sum(off) / len(off) < 0.05  # a few false positives of the filter
+
+
 def test_log_bloom_never_underestimates():
     rng = np.random.default_rng(9)
     codes, counts = rng.integers(0, 1 << 40, 20_000), rng.integers(3, 5000, 20_000)
