@@ -1,8 +1,11 @@
 """Main text of web pages: streaming parser events, text-to-tag ratio of each line, Gaussian smoothing, threshold clustering.
 
 Parser events become lines (blocks of text) that know their tags, their container and whether they stand in a part that is never content
-(menus, footers, adverts, forms, comments). The lines' ratios of text to tags are smoothed and split in two clusters; a
+(menus, footers, adverts, forms, comments). The ratios of text to tags of all lines are smoothed and split in two clusters; a
 container with a line in the upper cluster is a content region, and all its lines are kept, short ones too.
+
+An <article>, <main> or role=main gives a bonus, no more: where one has a content region, its other containers are regions too if their mean
+smoothed ratio is half the threshold, or if they are prose by their own ratio, or if they are an <article>'s own lines (its title). One without a content region (a teaser) gets nothing.
 """
 
 from __future__ import annotations
@@ -26,22 +29,25 @@ NEVER = frozenset("script style noscript template svg math iframe object nav foo
 SIGNS = frozenset("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies disqus footer header masthead menu modal nav navbar navigation navigator newsletter notice notices pager pagination popup promo promoted related share sharing sidebar skip social sponsor sponsored subscribe toolbar widget".split())
 _MAIN = frozenset(("article", "main"))
 _HOLDERS = frozenset("article main section div td body html".split())
+#: Inside a named element with a content region: part of the threshold that a container's mean must reach, or characters a tag.
+_BONUS, _PROSE = 0.5, 40.0
 _PART = re.compile(r"[a-z]+")
 
 
 class _Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, bool]] = []  # text, tags, container, stands in article or main
-        self._stack: list[tuple[str, bool, int, bool]] = []  # tag, never, container, main
+        self.lines: list[tuple[str, int, int, int]] = []  # text, tags, container, outermost article or main (0: none)
+        self._stack: list[tuple[str, bool, int, int]] = []  # tag, never, container, main
         self._text: list[str] = []
         self._tags = self._made = 0
+        self.articles: set[int] = set()  # containers that are an outermost article
 
     def _flush(self) -> None:
         text = " ".join("".join(self._text).split())
         self._text.clear()
         if text:
-            _, _, holder, main = self._stack[-1] if self._stack else ("", False, 0, False)
+            _, _, holder, main = self._stack[-1] if self._stack else ("", False, 0, 0)
             self.lines.append((text, self._tags, holder, main))
             self._tags = 0
 
@@ -56,16 +62,19 @@ class _Lines(HTMLParser):
             if tag == "br":
                 self._text.append("\n")
             return
-        _, never, holder, main = self._stack[-1] if self._stack else ("", False, 0, False)
+        _, never, holder, main = self._stack[-1] if self._stack else ("", False, 0, 0)
         a = {k: v or "" for k, v in attrs}
         if not never:
             never = tag in NEVER or tag == "header" and not main or "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "")
             if not never and tag not in ("body", "html", "article", "main"):
                 never = any(w in SIGNS for k in ("class", "id", "role") for w in _PART.findall(a.get(k, "").lower()))
-        main = main or tag in _MAIN or a.get("role") == "main"
-        if tag in _HOLDERS:
+        if tag in _HOLDERS or a.get("role") == "main":
             self._made += 1
             holder = self._made
+        if not main and (tag in _MAIN or a.get("role") == "main"):
+            main = holder
+            if tag == "article":
+                self.articles.add(holder)
         self._stack.append((tag, never, holder, main))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -135,15 +144,19 @@ def extract(html: str | None) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    # where a page names its article, regions are looked for there
-    named = [k for k, x in enumerate(lines) if x[3]]
-    look = named or range(len(lines))
-    ratio = smoothed([len(lines[k][0]) / max(1, lines[k][1]) for k in look])
+    ratio = smoothed([len(x[0]) / max(1, x[1]) for x in lines])
     cut = threshold(ratio)
-    regions = {lines[k][2] for k, r in zip(look, ratio, strict=True) if r >= cut}
-    if named:  # parts of an article belong together
-        regions = {lines[k][2] for k in named}
-    return "\n\n".join(lines[k][0] for k in look if lines[k][2] in regions)
+    regions = {x[2] for x, r in zip(lines, ratio, strict=True) if r >= cut}
+    seeded = {x[3] for x in lines if x[3] and x[2] in regions}
+    parts: dict[int, list[tuple[int, int, float]]] = {}
+    for x, r in zip(lines, ratio, strict=True):
+        if x[3] in seeded:
+            parts.setdefault(x[2], []).append((len(x[0]), x[1], r))
+    for holder, own in parts.items():
+        size, tags, total = (sum(v) for v in zip(*own, strict=True))
+        if total >= _BONUS * cut * len(own) or size >= _PROSE * max(1, tags) or holder in parser.articles:
+            regions.add(holder)
+    return "\n\n".join(x[0] for x in lines if x[2] in regions)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

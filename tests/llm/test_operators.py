@@ -308,6 +308,22 @@ def test_html_extraction(spark):
     assert html_extract.extract_pages(pages.limit(0)).count() == 0
 
 
+def test_html_clusters_decide_where_an_article_is_named():
+    say = lambda k, n=12: " ".join(f"word{k}x{j}" for j in range(n)) + "."
+    story = "".join(f"<p>{say(k, 40)}</p>" for k in range(6))
+    cards = "".join(f"<article><h3><a href=/{k}>Card {k}</a></h3><p><a href=/{k}><b>See</b> it</a></p></article>" for k in range(4))
+    links = "<div>" + "".join(f"<p><a href=/{k}>more {k}</a></p>" for k in range(9)) + "</div>"
+    # teasers are articles, the story isn't; with and without a main around all
+    for page in (f"<body>{cards}<div>{story}</div>{cards}</body>", f"<body><main>{cards}<div>{story}</div>{cards}</main></body>", f"<body><div role=main>{cards}<div>{story}</div>{cards}</div></body>"):
+        assert html_extract.extract(page).split("\n\n") == [say(k, 40) for k in range(6)]
+    # boilerplate without a telling class inside main
+    assert html_extract.extract(f"<body><main>{links}<div>{story}</div>{links}</main></body>").split("\n\n") == [say(k, 40) for k in range(6)]
+    # parts of an article that are prose stay, however long another part is, and so does its title
+    page = f"<body><article><h1>A title</h1><div>{story}</div><section><p>{say(7)}</p></section><div><p>{say(8, 900)}</p></div><section><p>{say(9)}</p><p>{say(10)}</p></section></article></body>"
+    got = html_extract.extract(page).split("\n\n")
+    assert got == ["A title", *(say(k, 40) for k in range(6)), say(7), say(8, 900), say(9), say(10)]
+
+
 def test_smoothing_and_threshold():
     assert html_extract.smoothed([5.0, 5.0, 5.0]) == pytest.approx([5, 5, 5])
     assert 1 < html_extract.threshold([1, 1, 1, 9, 10]) < 9 and html_extract.threshold([3, 3]) == 3
