@@ -4,10 +4,13 @@ Fit, one pass over all documents: passages of 64 words as TF vectors over hashed
 the Gram matrix times a random test matrix, and the sums give the leading right singular vectors of the TF-IDF matrix (randomised SVD in its single-pass, Nystrom form).
 Search, one pass: windows of about an item's length, moved by a quarter of it, are projected (whitened) and compared by cosine with the items; candidates are
 then checked by the longest common subsequence with the item around the window, and by that with its answer (its last words, or a column of its own).
+Items shorter than the least window are looked for exactly as well: in each stretch of their length and the part of it that may differ.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -17,13 +20,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from depmatrix.llm.shared import byte_table, string_parts, word_hashes
+from depmatrix.llm.shared import byte_table, mixed, ranges, string_parts, word_hashes
 
 _TABLE = byte_table()
 DIMS, RANK, PASSAGE, BLOCK = 2048, 64, 64, 4
 #: Window lengths in blocks of BLOCK words, about 1.4 apart; longer items are searched in parts of the longest.
 WINDOWS = (2, 3, 4, 6, 8, 12, 16)
-#: Blocks from one window to the next: a window always lies within an eighth to a sixth of its length of any item.
+#: Blocks from one window to the next: a window always lies within an eighth to a quarter of its length of any item.
 STEPS = {2: 1, 3: 1, 4: 1, 6: 2, 8: 2, 12: 4, 16: 4}
 _CHUNK = 1 << 18
 
@@ -118,6 +121,8 @@ class Items:
     answers: list[np.ndarray]
     vectors: np.ndarray
     queries: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)  # window: item, first word of the part, unit vectors
+    members: np.ndarray = field(default_factory=lambda: np.zeros(1 << 22, bool))  # places of (item, word)
+    short: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.uint64), np.zeros(0, np.int64))  # words of short items, sorted, and the items
 
     @classmethod
     def build(cls, ids: list[int], words: list[np.ndarray], answers: list[np.ndarray], vectors: np.ndarray) -> Items:
@@ -133,13 +138,20 @@ class Items:
                 z = vectors[_bucket(part)].sum(axis=0)
                 if (size := np.linalg.norm(z)) > 0:
                     by.setdefault(blocks, []).append((k, first, z / size))
+            out.members[out.places(w, np.full(len(w), k))] = True
+        brief = [(w, k) for k, own in enumerate(words) if len(own) < WINDOWS[0] * BLOCK for w in sorted(set(own.tolist()))]
+        brief.sort()
+        out.short = (np.array([x[0] for x in brief], np.uint64), np.array([x[1] for x in brief], np.int64))
         out.queries = {b: (np.array([x[0] for x in v]), np.array([x[1] for x in v]), np.array([x[2] for x in v], np.float32)) for b, v in by.items()}
         return out
 
+    def places(self, h: np.ndarray, k: np.ndarray) -> np.ndarray:
+        return (h.astype(np.uint32) ^ mixed(k).astype(np.uint32)) & np.uint32(len(self.members) - 1)
+
 
 @dataclass(frozen=True)
 class Limits:
-    cosine: float = 0.5
+    cosine: float = 0.3
     lcs: float = 0.7
     answer: float = 0.6
 
@@ -167,36 +179,78 @@ def candidates(h: np.ndarray, items: Items, cosine: float) -> Iterator[tuple[np.
                 yield (begin - edge + (a + i) * step) * BLOCK, q, dot[i, q] / np.maximum(size[a + i], 1e-12), blocks
 
 
+def _enough(h: np.ndarray, low: np.ndarray, high: np.ndarray, k: np.ndarray, least: np.ndarray, items: Items) -> np.ndarray:
+    """Whether at least so many of the words low..high are the item's. Some that aren't may count, so this only sorts out."""
+    out, h = np.zeros(len(k), bool), h.astype(np.uint32)
+    low, high = low.astype(np.int32), high.astype(np.int32)
+    for a in range(0, len(k), 512):  # fits a core's cache
+        part = slice(a, a + 512)
+        at = low[part, None] + np.arange(int((high[part] - low[part]).max(initial=0)), dtype=np.int32)
+        hit = items.members[items.places(h.take(at, mode="clip"), k[part, None])] & (at < high[part, None])
+        out[part] = np.count_nonzero(hit, axis=1) >= least[part]
+    return out
+
+
+def _short(h: np.ndarray, items: Items, share: float) -> Iterator[tuple[int, int, int]]:
+    """(first word, end, item) of all stretches that hold enough words of a short item and start with one."""
+    words, owners = items.short
+    low, high = (np.searchsorted(words, h, side=x) for x in ("left", "right"))
+    many = high - low
+    at, k = np.repeat(np.arange(len(h)), many), owners[np.repeat(low, many) + ranges(many)]
+    order = np.lexsort((at, k))
+    at, k = at[order], k[order]
+    for item in np.unique(k).tolist():
+        own, n = at[k == item], len(items.words[item])
+        need, reach = max(1, math.ceil(share * n - 1e-9)), n + math.ceil((1 - share) * n - 1e-9)
+        if len(own) >= need:
+            for s in own[: len(own) - need + 1][own[need - 1 :] - own[: len(own) - need + 1] < reach].tolist():
+                yield s, s + reach, item
+
+
+def _cosine(a: np.ndarray, b: np.ndarray) -> float:
+    return float(a @ b / max(float(np.linalg.norm(a) * np.linalg.norm(b)), 1e-12))
+
+
 def search(texts: pa.Array, items: Items, limits: Limits) -> list[tuple[int, int, float, int, float]]:
     """(row, item, cosine, common words, answer's share) for each text and item that pass all checks."""
     found: dict[tuple[int, int], tuple[float, int, float]] = {}
-    if not items.queries:
+    if not items.queries and not len(items.short[0]):
         return []
-    sets = [set(w.tolist()) for w in items.words]
+    often = [Counter(w.tolist()) for w in items.words]
+    sets = [set(x) for x in often]
+    sizes = np.array([len(w) for w in items.words])
     for first, docs, h, counts in word_hashes(*string_parts(texts), _TABLE, _CHUNK):
         if not len(h):
             continue
         ends, listed = np.cumsum(counts), h.tolist()
         tried: set[tuple[int, int]] = set()
+
+        def check(k: int, d: int, low: int, high: int, cosine) -> None:
+            region, words, answer = listed[max(low, int(ends[d] - counts[d])) : min(high, int(ends[d]))], items.words[k].tolist(), items.answers[k]
+            common = lcs(words, region)
+            if common >= limits.lcs * len(words) and common > found.get((first + d, k), (0, 0, 0))[1]:
+                share = lcs(answer.tolist(), region) / len(answer) if len(answer) else 1.0
+                if share >= limits.answer:
+                    found[first + d, k] = (cosine(region), common, share)
+
         for start, query, cosine, blocks in candidates(h, items, limits.cosine):
             which, part, _ = items.queries[blocks]
-            for s, q, c in zip(start.tolist(), query.tolist(), cosine.tolist(), strict=True):
-                k = int(which[q])
-                words = items.words[k]
-                n = len(words)
-                reach = blocks * BLOCK // 2 + 2
-                low, high = max(0, s - int(part[q]) - reach), min(len(h), s - int(part[q]) + max(n, blocks * BLOCK) + reach)
+            k, reach = which[query], blocks * BLOCK // 2 + 2
+            from_, to = np.maximum(0, start - part[query] - reach), np.minimum(len(h), start - part[query] + np.maximum(sizes[k], blocks * BLOCK) + reach)
+            keep = np.flatnonzero(_enough(h, from_, to, k, limits.lcs * sizes[k], items))
+            for s, k, low, high, c in zip(start[keep].tolist(), k[keep].tolist(), from_[keep].tolist(), to[keep].tolist(), cosine[keep].tolist(), strict=True):
                 spot = (k, s // max(1, blocks * BLOCK // 4))
-                if spot in tried or sum(map(sets[k].__contains__, listed[low:high])) < limits.lcs * n:
+                # a common subsequence has each of the item's words that stand there, as often as the item has it at most
+                if spot in tried or sum(map(often[k].__getitem__, sets[k].intersection(listed[low:high]))) < limits.lcs * len(items.words[k]):
                     continue
                 tried.add(spot)
                 for d in range(int(np.searchsorted(ends, low, side="right")), int(np.searchsorted(ends, high - 1, side="right")) + 1):
-                    region = listed[max(low, int(ends[d] - counts[d])) : min(high, int(ends[d]))]
-                    common = lcs(words.tolist(), region)
-                    answer = items.answers[k]
-                    share = lcs(answer.tolist(), region) / len(answer) if len(answer) else 1.0
-                    if common >= limits.lcs * n and share >= limits.answer and common > found.get((first + d, k), (0, 0, 0))[1]:
-                        found[first + d, k] = (c, common, share)
+                    check(k, d, low, high, lambda _, c=c: c)
+        for low, high, k in _short(h, items, limits.lcs):
+            d = int(np.searchsorted(ends, low, side="right"))
+            if found.get((first + d, k), (0, 0, 0))[1] < len(items.words[k]):
+                z = lambda w: items.vectors[_bucket(np.array(w, np.uint64))].sum(axis=0)
+                check(k, d, low, high, lambda region, k=k, z=z: _cosine(z(region), z(items.words[k])))
     return [(d, k, *v) for (d, k), v in sorted(found.items())]
 
 

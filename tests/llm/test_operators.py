@@ -451,6 +451,25 @@ def test_decontamination_recall_and_precision(spark):
     assert decontamination.contaminated(docs(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_short_and_heavily_edited_items(spark):
+    rng = random.Random(21)
+    items = [(k, " ".join(f"s{k}x{j}" for j in range(1 + k % 7))) for k in range(70)] + [(k, prose(rng, 30 + k % 30, 5000)) for k in range(100, 200)]
+    rows, want = [], set()
+    for n, (k, text) in enumerate(items):
+        words, leak = prose(rng, rng.randrange(50, 300), 5000).split(), text.split()
+        if k >= 100:  # 28% of the words, and up to two of the answer's five
+            kept = rng.sample(range(len(leak) - 5, len(leak)), 3)
+            for j in rng.sample([j for j in range(len(leak)) if j not in kept], int(0.28 * len(leak))):
+                leak[j] = f"w{rng.randrange(5000)}x"
+        at = rng.randrange(len(words))
+        words[at:at] = leak
+        rows.append((n, " ".join(words)))
+        want.add((n, k))
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    short = {x for x in want if x[1] < 100}
+    assert short <= got and not got - want and len((got & want) - short) >= 0.98 * len(want - short)
+
+
 def test_decontamination_of_copies_in_capitals(spark):
     rng = random.Random(13)
     item = " ".join(f"é{w}ñ" for w in prose(rng, 30, 5000).split())
