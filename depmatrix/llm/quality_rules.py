@@ -103,10 +103,11 @@ class DecisionList:
         return "\n".join("reject if " + " and ".join(map(str, r)) for r in self.rules) or "keep all"
 
 
-def learn(rows: DataFrame, features: tuple[str, ...] = FEATURES, bins: int = 32, max_rules: int = 8, max_conditions: int = 3, precision: float = 0.95, least: int = 5) -> DecisionList:
+def learn(rows: DataFrame, features: tuple[str, ...] = FEATURES, bins: int = 32, max_rules: int | None = None, max_conditions: int = 3, precision: float = 0.95, least: int = 5) -> DecisionList:
     """A decision list from rows (id, features..., bad boolean). No rows, or none bad: an empty list.
 
-    precision: what a rule needs on the rows that it wasn't grown on. least: bad rows that it must cover."""
+    precision: what a rule needs on the rows that it wasn't grown on. least: bad rows that it must cover.
+    Covers until no rule is good enough; each takes at least `least` bad rows away, so that ends. max_rules: an error if more would be learned."""
     total = rows.agg(F.count("*"), F.count_if("bad")).first()
     if not total[1] or total[0] == total[1]:
         return DecisionList(())
@@ -147,7 +148,7 @@ def learn(rows: DataFrame, features: tuple[str, ...] = FEATURES, bins: int = 32,
         return rule
 
     left, rules = binned, []
-    while len(rules) < max_rules:
+    while True:
         rule = grow(left)
         if not rule:
             break
@@ -158,6 +159,8 @@ def learn(rows: DataFrame, features: tuple[str, ...] = FEATURES, bins: int = 32,
         enough = lambda held: got[f"{k}_True_{held}"] >= precision * (got[f"{k}_True_{held}"] + got[f"{k}_False_{held}"])
         if got[f"{k}_True_False"] < least or not enough(True) or not enough(False):
             break
+        if max_rules is not None and len(rules) >= max_rules:
+            raise ValueError(f"more than {max_rules} rules are good enough")
         rules.append(heads[k])
         left = left.filter(~met(heads[k]))
     return DecisionList(tuple(tuple(Condition(f, above, cuts[f][i - 1]) for f, above, i in r) for r in rules))

@@ -148,6 +148,18 @@ def test_decision_list_learns_and_applies(spark):
     assert quality_rules.judge(docs(spark, []), spark.createDataFrame([], "doc_id long, quality int, toxic int"))[0].count() == 0
 
 
+def test_decision_list_covers_more_than_eight_kinds(spark):
+    kinds = [f"f{k}" for k in range(10)]
+    rows = [(n, *(1.0 if n % 20 == k else 0.0 for k in range(10)), n % 20 < 10) for n in range(800)]
+    frame = spark.createDataFrame(rows, ", ".join(["id long", *(f"{k} double" for k in kinds), "bad boolean"]))
+    rules = quality_rules.learn(frame, tuple(kinds))
+    from pyspark.sql import functions as F
+
+    assert len(rules.rules) == 10 and frame.filter(rules.keeps(F.col) == F.col("bad")).count() == 0
+    with pytest.raises(ValueError):
+        quality_rules.learn(frame, tuple(kinds), max_rules=1)
+
+
 # -- 8 mixing
 
 
