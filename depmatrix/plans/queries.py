@@ -467,7 +467,7 @@ def k_sweep(spark, sf_dir):
 
 @query()
 def stability(spark, sf_dir):
-    return cluster.stability(_dsm(spark, sf_dir, 0.9), "louvain", 8)[1]
+    return cluster.stability(_dsm(spark, sf_dir, 0.9), "louvain")[1]
 
 
 @query()

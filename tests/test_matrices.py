@@ -129,3 +129,12 @@ def test_entry_works_without_the_training_operators(spark):
 
     assert __spark_entry__.entry(spark).count() == 1
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_stability_query_makes_all_runs(spark, monkeypatch):
+    from depmatrix.plans import cluster, queries
+
+    seen, whole = [], cluster.stability
+    monkeypatch.setattr(cluster, "stability", lambda *a, **k: seen.append(whole(*a, **k)) or seen[-1])
+    rows = queries.queries()["stability"](spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == 25 and seen[0][2].first()["runs"] == 20
