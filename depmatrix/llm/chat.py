@@ -17,14 +17,14 @@ def rendered(role: Column, text: Column) -> Column:
 
 
 def _numbered(turns: DataFrame, key: str) -> DataFrame:
-    order = W.partitionBy(key).orderBy("turn", "role", "text")
+    order = W.partitionBy(key).orderBy(*(F.col(c).asc_nulls_last() for c in ("turn", "role", "text")))
     return turns.select(key, (F.row_number().over(order) - 1).alias("pos"), "role", "text")
 
 
 def preference_segments(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     """chosen, rejected: (pair_id, turn, role, text). Returns (pair_id, part, pos, role, rendered, train, prompt_turns).
 
-    Turns stand in the order of turn, then role, then text, so ties and repeats have one order; null role or text equals null and renders
+    Turns stand in the order of turn, then role, then text, nulls last in each, so ties and repeats have one order; null role or text equals null and renders
     as empty. A side without turns has no rows; rows with a null pair_id are of no pair and are left out. Extra columns are not looked at."""
     keep = lambda df: df.select("pair_id", F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")).filter("pair_id is not null")
     a = _numbered(keep(chosen), "pair_id").select("pair_id", "pos", F.struct("role", "text").alias("a"))
@@ -45,9 +45,10 @@ def pairs_from_conversations(conversations: DataFrame) -> tuple[DataFrame, DataF
     """Chosen and rejected sides out of plain conversations: pair_id is conv_id; chosen is the conversation; rejected is what stands before its
     last assistant turn, then the last assistant turn of its neighbour (conv_id with the lowest bit flipped), the usual stand-in for a bad reply.
 
+    A turn without a number stands after all that have one, so it is part of the chosen side only, and is never the last assistant turn.
     A conversation whose neighbour, or which itself, has no assistant turn gets a rejected side without that turn."""
     c = conversations.select(F.col("conv_id").cast("long").alias("pair_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")).filter("pair_id is not null")
-    said = F.when(F.col("role") == "assistant", F.struct("turn", "text"))
+    said = F.when((F.col("role") == "assistant") & F.col("turn").isNotNull(), F.struct("turn", "text"))
     last = c.groupBy("pair_id").agg(F.max(said).alias("reply"), F.max("turn").alias("end"))
     cut = last.select("pair_id", F.coalesce("reply.turn", F.col("end") + 1).alias("cut"))
     neighbour = last.filter("reply is not null").select(F.col("pair_id").bitwiseXOR(F.lit(1).cast("long")).alias("pair_id"), F.col("reply.text").alias("text"))

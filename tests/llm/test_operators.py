@@ -300,6 +300,23 @@ def test_pigeonhole_finds_all_edited_notices():
         assert any(x[0] == "apache-2" for x in found), "".join(text)
 
 
+# -- 2 preference pairs with null turns
+
+
+def test_turns_without_a_number_stand_last(spark):
+    duckdb = pytest.importorskip("duckdb")
+    from depmatrix.llm.queries import OP2_SQL
+
+    rows = [(0, 1, "user", "q"), (0, 2, "assistant", "a"), (0, None, "user", "lost"), (0, 1, None, "q"), (1, 1, "user", "q"), (1, 2, "assistant", "b"), (1, None, "assistant", "late"), (2, None, "assistant", "x"), (2, None, None, None), (3, 1, "user", None), (3, 1, "user", "z")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = [tuple(r) for r in chat.preference_segments(*chat.pairs_from_conversations(frame)).select("pair_id", "part", "pos", "role", "rendered", "train", "prompt_turns").collect()]
+    assert {r[6] for r in got if r[0] == 0} == {2} and any("lost" in r[4] and r[1] == "chosen" for r in got)
+    db = duckdb.connect()
+    db.execute("CREATE TABLE conversations(conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    db.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    assert sorted(got, key=str) == sorted(db.execute(OP2_SQL).fetchall(), key=str)
+
+
 # -- 9 HTML
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><header>Site</header><nav><ul><li><a href=/>Home</a></li></ul></nav>
