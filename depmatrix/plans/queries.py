@@ -473,3 +473,62 @@ def stability(spark, sf_dir):
 @query()
 def fiedler_profile(spark, sf_dir):
     return cluster.fiedler_profile(_dsm(spark, sf_dir, 0.9))
+
+
+def _chain(spark: SparkSession, sf_dir: str, kind: str) -> Dsm:
+    """supp: the heaviest hundredth of the suppliers' chain. part: edges of the parts' chain that occur twice at least."""
+    d = derive.chain(spark, sf_dir, "l_suppkey" if kind == "supp" else "l_partkey", f"{kind}_chain")
+    edges = G.cut(d.edges)
+    d = derive.strongest(Dsm(d.elements, edges), 0.99) if kind == "supp" else Dsm(d.elements, edges.filter("w >= 2"))
+    return Dsm(d.elements, G.cut(d.edges))
+
+
+@query()
+def scc_supp_chain(spark, sf_dir):
+    d = _chain(spark, sf_dir, "supp")
+    return G.strong_components(d.elements, d.edges).drop("dsm_id")
+
+
+@query()
+def loops_supp_chain(spark, sf_dir):
+    d = _chain(spark, sf_dir, "supp")
+    return G.loops(G.strong_components(d.elements, d.edges)).drop("dsm_id")
+
+
+@query()
+def levels_supp_chain(spark, sf_dir):
+    d = _chain(spark, sf_dir, "supp")
+    return G.levels(d.edges, G.strong_components(d.elements, d.edges)).drop("dsm_id")
+
+
+@query()
+def process_metrics_supp_chain(spark, sf_dir):
+    return process.partition(_chain(spark, sf_dir, "supp"), seed=1).metrics
+
+
+@query()
+def process_partition_supp_chain(spark, sf_dir):
+    return process.partition(_chain(spark, sf_dir, "supp"), seed=1).ordering
+
+
+@query()
+def process_tears_supp_chain(spark, sf_dir):
+    return process.partition(_chain(spark, sf_dir, "supp"), seed=1).tears
+
+
+@query()
+def scc_part_chain(spark, sf_dir):
+    d = _chain(spark, sf_dir, "part")
+    return G.strong_components(d.elements, d.edges).drop("dsm_id")
+
+
+@query()
+def loops_part_chain(spark, sf_dir):
+    d = _chain(spark, sf_dir, "part")
+    return G.loops(G.strong_components(d.elements, d.edges)).drop("dsm_id")
+
+
+@query()
+def levels_part_chain(spark, sf_dir):
+    d = _chain(spark, sf_dir, "part")
+    return G.levels(d.edges, G.strong_components(d.elements, d.edges)).drop("dsm_id")

@@ -138,3 +138,25 @@ def test_stability_query_makes_all_runs(spark, monkeypatch):
     monkeypatch.setattr(cluster, "stability", lambda *a, **k: seen.append(whole(*a, **k)) or seen[-1])
     rows = queries.queries()["stability"](spark, "/root/testdata/sf0.001").collect()
     assert len(rows) == 25 and seen[0][2].first()["runs"] == 20
+
+
+def test_graph_queries_over_the_chains(spark):
+    from depmatrix.plans import queries
+
+    known, sf = queries.queries(), "/root/testdata/sf0.01"
+    d = queries._chain(spark, sf, "supp")
+    edges, n = [(r["i"], r["j"]) for r in d.edges.collect()], d.elements.count()
+    reach = np.eye(n, dtype=bool)
+    for i, j in edges:
+        reach[i, j] = True
+    for k in range(n):
+        reach |= np.outer(reach[:, k], reach[k])
+    want = {i: int(np.flatnonzero(reach[i] & reach[:, i])[0]) for i in range(n)}
+    assert {r["idx"]: r["scc"] for r in known["scc_supp_chain"](spark, sf).collect()} == want
+    sizes = [list(want.values()).count(c) for c in set(want.values())]
+    assert sorted(r["size"] for r in known["loops_supp_chain"](spark, sf).collect()) == sorted(x for x in sizes if x > 1) == [2, 54]
+    levels = {r["scc"]: r["level"] for r in known["levels_supp_chain"](spark, sf).collect()}
+    assert all(levels[want[i]] > levels[want[j]] for i, j in edges if want[i] != want[j])
+    figures = known["process_metrics_supp_chain"](spark, sf).first()
+    assert (figures["n_blocks"], figures["largest_loop"], figures["n_levels"]) == (len(sizes), 54, max(levels.values()) + 1)
+    assert known["loops_part_chain"](spark, sf).count() == 0
