@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depmatrix.llm.shared import written
+from depmatrix.llm.shared import split_join, written
 
 
 def _stars(edges: DataFrame) -> DataFrame:
-    """One large-star and one small-star step on (a, b) with a > b. Minima come from grouped aggregation and joins, so a hub isn't one task."""
+    """One large-star and one small-star step on (a, b) with a > b. Minima come from grouped aggregation, and a hub's links aren't joined in one task."""
     both = edges.union(edges.select("b", "a")).toDF("u", "v")
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    large = both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a > b").distinct()
-    roots = large.groupBy("a").agg(F.min("b").alias("m"))
+    upper = F.when(F.col("v") > F.col("u"), 1).otherwise(0)
+    least = written(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.sum(upper).alias("n")).withColumnRenamed("u", "_u"))
+    large = split_join(both.filter("v > u"), least, [("u", "_u")], "n").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a > b").distinct()
+    roots = large.groupBy("a").agg(F.min("b").alias("m"))  # a node's links go to distinct minima by now, so none has many
     small = large.join(roots, "a").select(F.greatest("b", "m").alias("x"), F.col("m").alias("y")).filter("x > y")
     return small.union(roots).toDF("a", "b").distinct()
 

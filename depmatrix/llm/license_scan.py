@@ -34,7 +34,7 @@ NOTICES = (
     ("redistribution and use in source and binary forms with or without modification are permitted", "bsd", 8),
     ("all rights reserved", "all-rights-reserved", 1),
 )
-_SPACED = bytes(int(x) or 32 for x in byte_table("ascii"))
+_SPACED = byte_table("ascii").spaced()
 
 
 @dataclass(frozen=True)

@@ -14,21 +14,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from depmatrix.llm.shared import byte_table, string_parts, word_hashes, written
+from depmatrix.llm.shared import Bytes, byte_table, split_join, string_parts, word_hashes, written
 
 _MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-_LINES = np.where(np.arange(256) == 10, 0, np.arange(256)).astype(np.uint8)
-_LINES[0] = 1  # a zero byte is part of a line
+_LINES = byte_table("line", lower=False)
 _WORDS = byte_table(lower=False)
 N_FEATURES = 7 + len(_MARKS) + 4
 
 
-def _distinct(offsets: np.ndarray, data: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _distinct(offsets: np.ndarray, data: np.ndarray, table: Bytes) -> tuple[np.ndarray, np.ndarray]:
     """(pieces, distinct pieces) of each text."""
     n = len(offsets) - 1
     many, kinds = np.zeros(n), np.zeros(n)
     for first, docs, h, counts in word_hashes(offsets, data, table):
         many[first : first + docs] = counts
+        if docs == 1:
+            kinds[first] = len(np.unique(h))
+            continue
         doc = np.repeat(np.arange(docs), counts)
         order = np.lexsort((h, doc))
         h, doc = h[order], doc[order]

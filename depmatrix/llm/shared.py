@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +21,12 @@ _own_folder: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (tests) a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, the warehouse, or in local mode (tests) a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
+    if not spark.sparkContext.master.startswith("local"):
+        return spark.conf.get("spark.sql.warehouse.dir")
     if not _own_folder:
         _own_folder.append(tempfile.mkdtemp(prefix="depmatrix-"))
     return _own_folder[0]
@@ -50,18 +54,31 @@ def lowered(column):
     return F.translate(column, UPPER, UPPER.lower())
 
 
-def byte_table(words: str = "space", lower: bool = True) -> np.ndarray:
-    """256 bytes: 0 for a separator, else the byte (in lower case). words: 'space' splits at white space, 'ascii' at all ASCII but letters and digits."""
-    table = np.arange(256, dtype=np.uint8)
+@dataclass(frozen=True)
+class Bytes:
+    """What each of the 256 bytes becomes, and whether it belongs to a word. Zero bytes are word characters like any other."""
+
+    folded: np.ndarray
+    inside: np.ndarray
+
+    def spaced(self) -> bytes:
+        """For bytes.translate(): separators become spaces."""
+        return np.where(self.inside, self.folded, 32).astype(np.uint8).tobytes()
+
+
+def byte_table(words: str = "space", lower: bool = True) -> Bytes:
+    """words: 'space' splits at white space, 'ascii' at all ASCII but letters and digits, 'line' at newlines."""
+    folded, inside = np.arange(256, dtype=np.uint8), np.ones(256, bool)
     if lower:
-        table[65:91] += 32
+        folded[65:91] += 32
     if words == "space":
-        table[[32, *range(9, 14)]] = 0
+        inside[[32, *range(9, 14)]] = False
+    elif words == "line":
+        inside[10] = False
     else:
-        keep = np.zeros(256, bool)
-        keep[48:58] = keep[65:91] = keep[97:123] = keep[128:] = True
-        table[~keep] = 0
-    return table
+        inside[:128] = False
+        inside[48:58] = inside[65:91] = inside[97:123] = True
+    return Bytes(folded, inside)
 
 
 def string_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -98,33 +115,74 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(offsets: np.ndarray, data: np.ndarray, table: np.ndarray, chunk: int = 1 << 20):
+def _spans(b: np.ndarray, inside: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, polynomial over the bytes) of each word. A word starts and ends at separators and at the edges of its document."""
+    cut = np.zeros(len(b) + 1, bool)
+    cut[edges] = True
+    first = inside.copy()
+    first[1:] &= ~inside[:-1] | cut[1:-1]
+    last = inside.copy()
+    last[:-1] &= ~inside[1:] | cut[1:-1]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    run = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * _power(_BASE, len(b)), out=run[1:])
+    return starts, ends, (run[ends] - run[starts]) * _power(_INVERSE, len(b) + 1)[starts]
+
+
+def _long_document(text: np.ndarray, table: Bytes, chunk: int) -> np.ndarray:
+    """Word hashes of one document, worked out a chunk of bytes at a time; a word that goes on in the next chunk is put together."""
+    found, value, length = [], 0, 0  # of the word that a chunk left open
+    for at in range(0, len(text), chunk):
+        raw = text[at : at + chunk]
+        inside = table.inside[raw]
+        starts, ends, poly = _spans(table.folded[raw], inside, np.array([0, len(raw)]))
+        if length and inside[0]:
+            poly[0] = np.uint64((value + pow(_BASE, length, 1 << 64) * int(poly[0])) % (1 << 64))
+        elif length:
+            found.append(np.array([value], np.uint64))
+            length = 0
+        if inside[-1]:
+            value, length = int(poly[-1]), int(ends[-1] - starts[-1]) + (length if len(starts) == 1 and inside[0] else 0)
+            poly = poly[:-1]
+        else:
+            length = 0
+        found.append(poly)
+    if length:
+        found.append(np.array([value], np.uint64))
+    return mixed(np.concatenate(found))
+
+
+def word_hashes(offsets: np.ndarray, data: np.ndarray, table: Bytes, chunk: int = 1 << 20):
     """Yields (first document, documents, 64-bit hash of each word, words of each document), over about chunk bytes at a time.
 
-    A word's hash is a polynomial over its bytes, taken for all words at once from one running sum."""
+    A word's hash is a polynomial over its bytes, taken for all words at once from one running sum. Only the hashes of a document of more than chunk
+    bytes are held whole (8 bytes a word)."""
     n, at = len(offsets) - 1, 0
     while at < n:
         end = min(n, max(at + 1, int(np.searchsorted(offsets, offsets[at] + chunk, side="right")) - 1))
-        base = offsets[at]
-        b = table[data[base : offsets[end]]]
-        edges = offsets[at : end + 1] - base
-        inside = b != 0
-        # a word starts and ends at white space and at the edges of its document
-        cut = np.zeros(len(b) + 1, bool)
-        cut[edges] = True
-        first = inside.copy()
-        first[1:] &= ~inside[:-1] | cut[1:-1]
-        last = inside.copy()
-        last[:-1] &= ~inside[1:] | cut[1:-1]
-        starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-        run = np.zeros(len(b) + 1, np.uint64)
-        np.cumsum(b * _power(_BASE, len(b)), out=run[1:])
-        h = mixed((run[ends] - run[starts]) * _power(_INVERSE, len(b) + 1)[starts])
-        counts = np.diff(np.searchsorted(starts, edges))
+        raw = data[offsets[at] : offsets[end]]
+        if len(raw) > chunk:
+            h = _long_document(raw, table, chunk)
+            counts = np.array([len(h)])
+        else:
+            edges = offsets[at : end + 1] - offsets[at]
+            starts, _, poly = _spans(table.folded[raw], table.inside[raw], edges)
+            h, counts = mixed(poly), np.diff(np.searchsorted(starts, edges))
         yield at, end - at, h, counts
         at = end
 
 
+def stretches(parts, size: int, overlap: int = 0) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """What word_hashes() yields, a document of more than size words as several stretches that overlap; so what is made of a stretch has a bound."""
+    for first, docs, h, counts in parts:
+        if len(h) <= size or docs > 1:
+            yield first, docs, h, counts
+            continue
+        for a in range(0, max(1, len(h) - overlap), size - overlap):
+            part = h[a : a + size]
+            yield first, 1, part, np.array([len(part)])
+
+
 def ranges(counts: np.ndarray) -> np.ndarray:
     """0..c-1 for each c, one after the other."""
     total = int(counts.sum())
@@ -135,5 +193,29 @@ def one_word_hash(word: bytes) -> np.uint64:
     """word_hashes() for one word."""
     h = 0
     for k, x in enumerate(word):
-        h = (h + x * pow(_BASE, k, 1 << 64)) % (1 << 64)
+        h = (h + (x + 1) * pow(_BASE, k, 1 << 64)) % (1 << 64)
     return mixed(np.array([h], np.uint64))[0]
+
+
+def split_join(big: DataFrame, small: DataFrame, on: list[tuple[str, str]], n_col: str, how: str = "inner", most: int = 100_000) -> DataFrame:
+    """big with the columns of small (a written table with one row a key) but for n_col, which counts big's rows of the key; null keys are equal.
+
+    on: (big's column, small's column). At most `most` rows are broadcast: all of small if it is no longer, else the keys that hold more than one in `most` of
+    the rows (there can't be more than `most` of them). The other keys are joined by a shuffle, in which none is large. how: inner or left."""
+    match = lambda: _all(F.col(a).eqNullSafe(F.col(b)) for a, b in on)
+    keys = [b for _, b in on]
+    seen = small.agg(F.count("*").alias("rows"), F.sum(n_col).alias("total")).first()
+    if seen["rows"] <= most:
+        return big.join(F.broadcast(small.drop(n_col)), match(), how).drop(*keys)
+    often = F.col(n_col) * most > (seen["total"] or 0)
+    hot, rest = small.filter(often).drop(n_col), small.filter(~F.coalesce(often, F.lit(False))).drop(n_col)
+    frequent = big.join(F.broadcast(hot), match(), "inner").drop(*keys)
+    others = big.join(F.broadcast(hot.select(*keys)), match(), "left_anti").join(rest, match(), how).drop(*keys)
+    return frequent.unionByName(others)
+
+
+def _all(conditions):
+    out = None
+    for c in conditions:
+        out = c if out is None else out & c
+    return out

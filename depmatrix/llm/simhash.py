@@ -18,14 +18,15 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from depmatrix.llm.components import connected_components
-from depmatrix.llm.shared import byte_table, string_parts, written
+from depmatrix.llm.shared import byte_table, split_join, string_parts, written
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
-_SPACED = bytes(int(x) or 32 for x in byte_table())
+_SPACED = byte_table().spaced()
 
 
 def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> int:
@@ -49,14 +50,25 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            offsets, data = string_parts(batch.column(1))
-            data = data.tobytes()
-            fps = [fingerprint(data[a:b], words) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64), pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _hashed(batch.column(1), words)], ["doc_id", "fp"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
+def _fingerprint_column(words: int):
+    @arrow_udf("long")
+    def fp(texts: pa.Array) -> pa.Array:
+        return _hashed(texts, words)
+
+    return fp
+
+
+def _hashed(texts: pa.Array, words: int) -> pa.Array:
+    offsets, data = string_parts(texts)
+    fps = [fingerprint(data[a:b].tobytes(), words) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+    return pa.array(np.array(fps, np.uint64).view(np.int64), pa.int64())
+
+
 def position_sets(minimum: int) -> list[tuple[int, ...]]:
     """Sets of byte positions such that any `minimum` of the 8 positions contain one of them."""
     if minimum != 4:
@@ -166,10 +178,14 @@ def near_links(fps: DataFrame, bits: int = 4, list_limit: int = 4096) -> DataFra
     sets = position_sets(8 - bits)
     parts = max(1, int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     keys = fps.select(F.explode(F.array(*(_key(F.col("fp"), n, s) for n, s in enumerate(sets)))).alias("key"), "fp").repartition(parts, "key")
-    counts = keys.groupBy("key").agg(F.count("*").alias("n"))
-    listed = keys.join(counts.filter(f"n between 2 and {list_limit}").select("key"), "key", "left_semi").select("key", "fp")
-    short = listed.sortWithinPartitions("key").mapInArrow(_compare(bits), "a long, b long")
-    hot = keys.join(counts.filter(f"n > {list_limit}").select("key"), "key", "left_semi").select("key", "fp").repartition(parts)
+    hot_keys = written(keys.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > list_limit))
+    short = keys
+    if not hot_keys.isEmpty():
+        short = keys.join(hot_keys.select("key"), "key", "left_anti")
+    short = short.select("key", "fp").sortWithinPartitions("key").mapInArrow(_compare(bits), "a long, b long")
+    if hot_keys.isEmpty():
+        return short
+    hot = keys.join(hot_keys.select("key"), "key", "left_semi").select("key", "fp").repartition(parts)
     balls = hot.mapInArrow(_ball(sets, (bits + 1) // 2), "fp long, near long").distinct()
     hubs = balls.groupBy("near").agg(F.min("fp").alias("b"), F.count("*").alias("n")).filter("n > 1")
     # both ends are within bits/2 of the value between them, thus within bits of one another
@@ -177,28 +193,45 @@ def near_links(fps: DataFrame, bits: int = 4, list_limit: int = 4096) -> DataFra
     return short.union(long)
 
 
+def _components(fps: DataFrame, bits: int, list_limit: int) -> DataFrame:
+    """fps (doc_id, fp), a written table, with the column component_id."""
+    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    roots = connected_components(near_links(nodes.select("fp"), bits, list_limit)).withColumnRenamed("node", "fp")
+    rooted = written(nodes.join(roots, "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")))
+    ids = written(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("_n")).withColumnRenamed("root", "_root"))
+    named = written(split_join(rooted, ids, [("root", "_root")], "_n").select(F.col("fp").alias("_fp"), "n", "component_id"))
+    return split_join(fps, named, [("fp", "_fp")], "n")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, bits: int = 4, list_limit: int = 4096) -> DataFrame:
     """(doc_id, fp, fingerprint, component_id), one row per row of docs; component_id is the smallest doc_id reachable over links of at most `bits` bits.
 
     Null or empty text: fingerprint zero, linked like any other. A repeated row comes out as often as it went in. Rows with a null
     id take part; their component_id is the smallest id that isn't null, or null. Empty table: no rows. Extra columns are not looked at."""
-    fps = written(fingerprints(docs, id_col, text_col, words))
-    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = connected_components(near_links(nodes.select("fp"), bits, list_limit)).withColumnRenamed("node", "fp")
-    rooted = nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(ids, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = _components(written(fingerprints(docs, id_col, text_col, words)), bits, list_limit)
+    return found.select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, bits: int = 4) -> DataFrame:
-    """The rows of docs, columns as they are, without the near duplicates: of each component the row with its smallest id stays.
-
-    Of repeated rows with that id one stays (the first by the hash of its text). Rows with a null id can't be named and stay."""
-    found = near_duplicates(docs, id_col, text_col, words, bits).filter("doc_id = component_id").select(F.col("doc_id").alias("_s_id")).distinct()
-    numbered = docs.withColumn("_s_key", F.col(id_col).cast("long"))
-    # several rows may share the id that stays; a window over it costs no other exchange than the join's
-    kept = numbered.join(found, F.col("_s_key") == F.col("_s_id"), "left_semi")
-    first = F.row_number().over(Window.partitionBy("_s_key").orderBy(F.xxhash64(F.col(text_col))))
-    kept = kept.withColumn("_s_row", first).filter("_s_row = 1")
-    return kept.drop("_s_key", "_s_row").unionByName(docs.filter(F.col(id_col).isNull()))
+    """The rows of docs, columns as they are, without the near duplicates: of each component a row with its smallest id stays.
+
+    Rows are told apart by id and fingerprint: of several rows with one id each goes or stays with its own component. Of rows that share id and component
+    one stays (by the smallest hash of all columns). Rows with a null id can't be named and stay. Null and empty texts are near duplicates of one another.
+    Empty table: no rows. Extra columns stay as they are. Texts aren't shuffled while the ids that go are few enough for Spark to broadcast them by their size."""
+    found = written(_components(written(fingerprints(docs, id_col, text_col, words)), bits, 4096))
+    each = found.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.count_if(F.col("component_id") == F.col("doc_id")).alias("stay"))
+    each = written(each.filter("rows > 1 or stay = 0"))
+    key = F.col(id_col).cast("long")
+    out = docs.join(each.select(F.col("doc_id").alias("_s_id")), key.eqNullSafe(F.col("_s_id")), "left_anti")
+    # ids of several rows of which one stays at least: their rows are judged one by one
+    repeated = each.filter("rows > 1 and stay > 0").select(F.col("doc_id").alias("_s_id"))
+    if repeated.isEmpty():
+        return out
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.join(repeated, key == F.col("_s_id"), "left_semi").select(key.alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.struct(*columns).alias("row"))
+    staying = found.filter("component_id = doc_id").select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp")).distinct()
+    judged = rows.select("doc_id", _fingerprint_column(words)("text").alias("fp"), "row")
+    kept = judged.join(staying, (F.col("doc_id") == F.col("_id")) & (F.col("fp") == F.col("_fp")), "left_semi")
+    # all that stay under one id are of one component, whose smallest id it is; the minimum is found by partial aggregation
+    one = kept.groupBy("doc_id").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return out.unionByName(one.select("row.*"))
