@@ -300,6 +300,57 @@ def test_pigeonhole_finds_all_edited_notices():
         assert any(x[0] == "apache-2" for x in found), "".join(text)
 
 
+def _near(text, parts, budget):
+    """Fewest edits with which all of text reads as the notice's parts, keys standing between word boundaries; brute force over all divisions."""
+    best = {0: 0}
+    for k, (part, key, free) in enumerate(parts):
+        new = {}
+        for a, spent in best.items():
+            for b in range(a, len(text) + 1) if k < len(parts) - 1 else [len(text)]:
+                if key and not ((a == 0 or text[a - 1] == " ") and (b == len(text) or text[b] == " ")):
+                    continue
+                if abs(b - a - len(part)) <= min(free, budget) and (d := license_scan.distance(part, text[a:b])) <= free and spent + d <= budget:
+                    new[b] = min(spent + d, new.get(b, 99))
+        best = new
+    return best.get(len(text), 99)
+
+
+def test_fuzzy_labels_equal_exhaustive_search():
+    """Edits anywhere (also of spaces and at word edges), notices side by side and names swapped, against all stretches between word boundaries."""
+    rng = random.Random(70)
+    notices = [license_scan.Notice(*n) for n in license_scan.NOTICES if len(n[0]) < 60]
+    found = 0
+    for n in range(150):
+        own = rng.choice(notices)
+        text = list(own.text if n % 3 else own.text.replace("mit", rng.choice(["bsd", "isc", "old", "mid"])).replace("nc", "nd").replace("2 0", "1 1").replace("apache", "python").replace("gnu", "new"))
+        for _ in range(rng.randrange(own.edits + 2)):
+            at, kind = rng.randrange(len(text)), rng.randrange(3)
+            text[at : at + 1] = [] if kind == 0 else [rng.choice("q ")] if kind == 1 else [text[at], rng.choice("q ")]
+        line = " ".join(f"ab {''.join(text)} cd".split())
+        words = [i for i in range(len(line)) if i == 0 or line[i - 1] == " "]
+        ends = [i for i in range(1, len(line) + 1) if i == len(line) or line[i] == " "]
+        want = {x.label for x in notices for a in words for b in ends if abs(b - a - len(x.text)) <= x.edits and _near(line[a:b], x.parts(), x.edits) <= x.edits}
+        _, _, got = license_scan.scan(line.encode())
+        assert {x[0] for x in got} & {x.label for x in notices} == want, line
+        for label, first, last, edits, score in got:
+            stretch = " ".join(line.split()[first : last + 1])
+            assert edits == min(_near(stretch, x.parts(), x.edits) for x in map(lambda y: license_scan.Notice(*y), license_scan.NOTICES) if x.label == label) and 0 < score <= 1
+        found += bool(want)
+    assert found > 50
+
+
+@pytest.mark.parametrize("text", ["Released under the BSD license", "released under the ISC license", "released under the old license of the city", "released under the GPL license", "released under the submit license", "released under the permit license", "Licensed under CC BY-ND 4.0", "Licensed under the Apache License, Version 1.1", "Licensed under the Python License, Version 2.0", "licensed under the GNU Affero General Public License", "licensed under the new general public license", "this source code form is subject to the terms of the eclipse public license", "no rights reserved", "some rights reserved", "under the mit\\x00licence"])
+def test_notices_of_other_licenses_have_no_label(text):
+    assert license_scan.scan(text.encode())[1:] == ([], [])
+
+
+def test_each_label_is_its_own_license_only():
+    said = {"Released under the MIT License": {"mit"}, "Licensed under the Apache License, Version 2.0": {"apache-2"}, "Licensed under CC BY-NC 4.0": {"cc-by-nc"}, "Licensed under CC BY-SA 4.0": {"cc-by-sa"}, "Licensed under CC BY 4.0": {"cc-by"}, "This work is licensed under the GNU General Public License, version 3": {"gpl"}, "licensed under the GNU Lesser General Public License": {"lgpl"}}
+    for text, labels in said.items():
+        _, exact, fuzzy = license_scan.scan(text.encode())
+        assert {x[0] for x in exact} | {x[0] for x in fuzzy} == labels, text
+
+
 # -- 2 preference pairs with null turns
 
 
