@@ -1,11 +1,14 @@
 """Main text of web pages: streaming parser events, text-to-tag ratio of each line, Gaussian smoothing, threshold clustering.
 
 Parser events become lines (blocks of text) that know their tags, their container and whether they stand in a part that is never content
-(menus, footers, adverts, forms, comments). The ratios of text to tags of all lines are smoothed and split in two clusters; a
-container with a line in the upper cluster is a content region, and all its lines are kept, short ones too.
+(menus, footers, adverts, forms, comments). The logarithms of the lines' text-to-tag ratios are smoothed and split in two clusters, that of lines without text (its
+centre stays at zero) and that of lines with text, so that a short paragraph beside a long one is text still. A line is content if it is in the upper cluster
+by its smoothed ratio and by its own (smoothing lifts what stands next to text); a container with such a line is a content region,
+and all its lines are kept, short ones too.
 
 An <article>, <main> or role=main gives a bonus, no more: where one has a content region, its other containers are regions too if their mean
-smoothed ratio is half the threshold, or if they are prose by their own ratio, or if they are an <article>'s own lines (its title). One without a content region (a teaser) gets nothing.
+smoothed ratio is half the threshold, or if they are prose by their own ratio, or if they are an <article>'s own lines (its title); so is its h1. One without a
+content region (a teaser) gets nothing.
 """
 
 from __future__ import annotations
@@ -25,22 +28,43 @@ BLOCKS = frozenset("address article aside blockquote body center dd details dial
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose text is never main text.
 NEVER = frozenset("script style noscript template svg math iframe object nav footer aside form menu button select option textarea head title dialog audio video canvas".split())
-#: Words of class, id or role that mark such parts.
-SIGNS = frozenset("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies disqus footer header masthead menu modal nav navbar navigation navigator newsletter notice notices pager pagination popup promo promoted related share sharing sidebar skip social sponsor sponsored subscribe toolbar widget".split())
+#: Words of class, id or role that mark such parts wherever they stand in a name.
+SIGNS = frozenset("advert adverts advertisement advertising breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies disqus foot footer imprint menu modal nav navbar navigation newsletter pager pagination popup promo promoted respond sidebar sponsor sponsored subscribe toolbar".split())
+#: Words that do so alone or beside words of place only (ad-slot, site-header, related-posts, but not article-header, related-work).
+WEAK = frozenset("ad ads banner copyright disclaimer gdpr head header legal masthead navigator notice notices related replies reply search share sharing skip social widget".split())
+#: Words of place.
+PLACES = frozenset("area bar big block bottom box btn button buttons center col column container desktop fixed global group head icons inner item items left link links list main mobile module outer page panel post posts right row section site slot small sticky stories strip thread tools top unit wrap wrapper".split())
+_COMMENT = frozenset("comment comments reply replies respond disqus".split())
 _MAIN = frozenset(("article", "main"))
 _HOLDERS = frozenset("article main section div td body html".split())
-#: Inside a named element with a content region: part of the threshold that a container's mean must reach, or characters a tag.
+#: Elements that may stand in a head; any other one ends it, as its end tag may be left out.
+_IN_HEAD = frozenset("base link meta noscript script style template title".split())
+#: In a named element with a content region: part of the threshold's ratio that a container's mean must reach, or characters a tag.
 _BONUS, _PROSE = 0.5, 40.0
-_PART = re.compile(r"[a-z]+")
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+
+
+def signed(names: str, signs: frozenset[str] = SIGNS, weak: frozenset[str] = WEAK) -> bool:
+    """Whether a class, id or role names a part that is never content; names are split at spaces, then into words."""
+    for name in names.split():
+        words = [w.lower() for w in _PART.findall(name)]
+        if any(w in signs for w in words) or any(w in weak for w in words) and all(w in weak or w in PLACES for w in words):
+            return True
+    return False
 
 
 class _Lines(HTMLParser):
+    """Blocks of text with their tags. Each event costs a bounded time or takes away what it looks at, so a page costs time in proportion to its length."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int]] = []  # text, tags, container, outermost article or main (0: none)
+        self.lines: list[tuple[str, int, int, int, bool]] = []  # text, tags, container, outermost article or main (0: none), in an h1
         self._stack: list[tuple[str, bool, int, int]] = []  # tag, never, container, main
+        self._places: dict[str, list[int]] = {}  # tag: where it stands in the stack
+        self._blocks: list[int] = []  # where blocks stand
         self._text: list[str] = []
         self._tags = self._made = 0
+        self._heading = False
         self.articles: set[int] = set()  # containers that are an outermost article
 
     def _flush(self) -> None:
@@ -48,15 +72,28 @@ class _Lines(HTMLParser):
         self._text.clear()
         if text:
             _, _, holder, main = self._stack[-1] if self._stack else ("", False, 0, 0)
-            self.lines.append((text, self._tags, holder, main))
+            self.lines.append((text, self._tags, holder, main, bool(self._places.get("h1"))))
             self._tags = 0
 
+    def _never(self, tag: str, a: dict[str, str], main: int) -> bool:
+        if tag in NEVER or tag == "header" and not main:
+            return True
+        if "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", ""):
+            return True
+        if tag in ("body", "html"):
+            return False
+        names = " ".join(a.get(k, "") for k in ("class", "id", "role"))
+        if tag in _MAIN:  # an article with a telling name is one inside another; a comment is one in any case
+            return signed(names, SIGNS if main else _COMMENT, WEAK if main else frozenset())
+        return signed(names)
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        block = tag in BLOCKS
-        if block:
+        if self._places.get("head") and tag not in _IN_HEAD:
+            self._flush()
+            self._close("head")
+        if tag in BLOCKS:
             self._flush()
-            if self._stack and self._stack[-1][0] == "p" or any(x[0] == "p" for x in self._stack[-4:]):
-                self._close("p")  # a block ends an open paragraph
+            self._close("p")  # a block ends an open paragraph
         self._tags += 1
         if tag in VOID:
             if tag == "br":
@@ -64,10 +101,7 @@ class _Lines(HTMLParser):
             return
         _, never, holder, main = self._stack[-1] if self._stack else ("", False, 0, 0)
         a = {k: v or "" for k, v in attrs}
-        if not never:
-            never = tag in NEVER or tag == "header" and not main or "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "")
-            if not never and tag not in ("body", "html", "article", "main"):
-                never = any(w in SIGNS for k in ("class", "id", "role") for w in _PART.findall(a.get(k, "").lower()))
+        never = never or self._never(tag, a, main)
         if tag in _HOLDERS or a.get("role") == "main":
             self._made += 1
             holder = self._made
@@ -75,6 +109,9 @@ class _Lines(HTMLParser):
             main = holder
             if tag == "article":
                 self.articles.add(holder)
+        self._places.setdefault(tag, []).append(len(self._stack))
+        if tag in BLOCKS:
+            self._blocks.append(len(self._stack))
         self._stack.append((tag, never, holder, main))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -83,12 +120,14 @@ class _Lines(HTMLParser):
             self._close(tag)
 
     def _close(self, tag: str) -> None:
-        for k in range(len(self._stack) - 1, -1, -1):
-            if self._stack[k][0] == tag:
-                del self._stack[k:]
-                return
-            if tag == "p" and self._stack[k][0] in BLOCKS:
-                return
+        """Ends the innermost open element of that name, and what stands in it; a paragraph only if no block stands in it."""
+        open_ = self._places.get(tag)
+        if not open_ or tag == "p" and self._blocks[-1] > open_[-1]:
+            return
+        for _ in range(len(self._stack) - open_[-1]):
+            self._places[self._stack.pop()[0]].pop()
+            if self._blocks and self._blocks[-1] == len(self._stack):
+                self._blocks.pop()
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
@@ -121,17 +160,40 @@ def smoothed(values: list[float], sigma: float = 1.0) -> list[float]:
 
 
 def threshold(values: list[float]) -> float:
-    """Where two clusters of the values part (two means in one dimension); values all alike are one cluster, above."""
+    """Where two clusters of the values part, in one dimension; the lower one's mean is held at zero. Values all alike are one cluster, above."""
     low, high = min(values), max(values)
     if high - low < 1e-9:
         return low
     while True:
-        cut = (low + high) / 2
-        below, above = [v for v in values if v < cut], [v for v in values if v >= cut]
-        new = (sum(below) / len(below), sum(above) / len(above)) if below and above else (low, high)
-        if abs(new[0] - low) + abs(new[1] - high) < 1e-9:
+        cut = high / 2
+        above = [v for v in values if v >= cut]
+        new = sum(above) / len(above)
+        if abs(new - high) < 1e-9:
             return cut
-        low, high = new
+        high = new
+
+
+def content(lines: list[tuple[str, int, int, int, bool]], articles: set[int]) -> list[int]:
+    """The lines that are kept. lines: text, tags, container, named element or 0, whether it is in an h1."""
+    if not lines:
+        return []
+    own = [math.log1p(len(x[0]) / max(1, x[1])) for x in lines]
+    ratio = smoothed(own)
+    cut, least = threshold(ratio), threshold(own)
+    part = lambda share: math.log1p(share * math.expm1(cut))  # noqa: E731  a share of the threshold's ratio
+    regions = {x[2] for x, r, o in zip(lines, ratio, own, strict=True) if r >= cut and o >= least}
+    if not regions:  # no line is above by both: the smoothed clusters alone decide
+        regions = {x[2] for x, r in zip(lines, ratio, strict=True) if r >= cut}
+    seeded = {x[3] for x in lines if x[3] and x[2] in regions}
+    held: dict[int, list[int]] = {}
+    for k, x in enumerate(lines):
+        if x[3] in seeded:
+            held.setdefault(x[2], []).append(k)
+    for holder, places in held.items():
+        size, tags, mean = sum(len(lines[k][0]) for k in places), sum(lines[k][1] for k in places), sum(ratio[k] for k in places) / len(places)
+        if mean >= part(_BONUS) or size >= _PROSE * max(1, tags) or holder in articles:
+            regions.add(holder)
+    return [k for k, x in enumerate(lines) if x[2] in regions or x[4] and x[3] in seeded]
 
 
 def extract(html: str | None) -> str:
@@ -141,26 +203,13 @@ def extract(html: str | None) -> str:
     parser = _Lines()
     parser.feed(html)
     parser.close()
-    lines = parser.lines
-    if not lines:
-        return ""
-    ratio = smoothed([len(x[0]) / max(1, x[1]) for x in lines])
-    cut = threshold(ratio)
-    regions = {x[2] for x, r in zip(lines, ratio, strict=True) if r >= cut}
-    seeded = {x[3] for x in lines if x[3] and x[2] in regions}
-    parts: dict[int, list[tuple[int, int, float]]] = {}
-    for x, r in zip(lines, ratio, strict=True):
-        if x[3] in seeded:
-            parts.setdefault(x[2], []).append((len(x[0]), x[1], r))
-    for holder, own in parts.items():
-        size, tags, total = (sum(v) for v in zip(*own, strict=True))
-        if total >= _BONUS * cut * len(own) or size >= _PROSE * max(1, tags) or holder in parser.articles:
-            regions.add(holder)
-    return "\n\n".join(x[0] for x in lines if x[2] in regions)
+    return "\n\n".join(parser.lines[k][0] for k in content(parser.lines, parser.articles))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars), one row per row of pages (page_id, url, html). Repeated rows come out alike; extra columns are not looked at."""
+    """(page_id, url, text, n_chars), one row per row of pages (page_id, url, html).
+
+    Null or empty html: an empty text and 0. Repeated rows come out alike. Very long pages take time in proportion. Empty table: no rows. Extra columns are not looked at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
