@@ -12,12 +12,14 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import count
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depmatrix.llm.shared import written
+from depmatrix.llm.shared import split_join, written
 
 DATE = "2024-01-01T00:00:00Z"
 ARCHIVES = "archive string, content binary"
@@ -133,11 +135,19 @@ def read_records(chunks: Iterable[bytes]) -> Iterator[dict]:
 
 
 def with_revisits(pages: DataFrame, least: int = 100) -> DataFrame:
-    """(page_id, url, payload, digest, size, refers_to, revisit). Rows with equal payloads of at least `least` bytes refer to their smallest page_id."""
-    own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
-    own = own.withColumn("digest", F.sha2("payload", 256)).withColumn("size", F.octet_length("payload").cast("long"))
-    copies = own.filter(F.col("size") >= least).groupBy("digest").agg(F.min("page_id").alias("least_id"), F.count("*").alias("n")).filter("n > 1 and least_id is not null").select("digest", "least_id")
-    joined = own.join(copies, "digest", "left")
+    """(page_id, url, payload, digest, size, refers_to, revisit). Rows with equal payloads of at least `least` bytes refer to their smallest page_id.
+
+    Only digests and ids are grouped. Payloads that occur once or are below `least` meet no hot key: what is joined to the pages is one row for each repeated
+    payload, broadcast up to a fixed number of rows and split by frequency beyond."""
+    html = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
+    size = F.octet_length(html).cast("long")
+    said = pages.select(F.col("page_id").cast("long").alias("page_id"), html.alias("payload")).filter(F.octet_length("payload") >= least)
+    copies = said.select("page_id", F.unhex(F.sha2("payload", 256)).alias("_digest")).groupBy("_digest").agg(F.min("page_id").alias("least_id"), F.count("*").alias("n"))
+    copies = written(copies.filter("n > 1 and least_id is not null"))
+    own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("payload"), F.sha2(html, 256).alias("digest"), size.alias("size"))
+    # short payloads have no key, so that all the empty pages aren't one
+    keyed = own.withColumn("key", F.when(F.col("size") >= least, F.unhex("digest")).otherwise(F.unhex(F.sha2(F.concat(F.lit("short"), F.coalesce("page_id", F.lit(0)).cast("string")), 256))))
+    joined = split_join(keyed, copies, [("key", "_digest")], "n", "left")
     revisit = F.col("least_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("least_id"))
     return joined.select("page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "digest", "size", F.when(revisit, F.col("least_id")).alias("refers_to"), revisit.alias("revisit"))
 
@@ -146,12 +156,16 @@ def archives(pages: DataFrame, archive_bytes: int = 4 << 20, least: int = 100) -
     """(archive, content): .warc.gz archives of all rows of pages (page_id, url, html), each of about archive_bytes.
 
     Null html: an empty payload. Null url or page_id: the record lacks that field. Repeated rows: a record each; those with the smallest
-    page_id of equal payloads are all responses. Empty table: no archives. Extra columns are not looked at."""
+    page_id of equal payloads are all responses. Empty table: no archives. Extra columns are not looked at. Archives are named by run, task and number, so equal
+    contents have different names. A task that is run again names its archives alike; write the result as a table before it is used twice."""
+    run_id = uuid.uuid4().hex[:12]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, made = TaskContext.get().partitionId(), count()
+
         def row(parts: list[bytes]) -> pa.RecordBatch:
-            content = b"".join(parts)
-            return pa.RecordBatch.from_arrays([pa.array([f"{hashlib.sha256(content).hexdigest()[:24]}.warc.gz"]), pa.array([content], pa.binary())], ["archive", "content"])
+            name = f"{run_id}-{task:06d}-{next(made):06d}.warc.gz"
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([b"".join(parts)], pa.binary())], ["archive", "content"])
 
         parts, held = [], 0
         for batch in batches:
@@ -197,7 +211,13 @@ def round_trip(pages: DataFrame, with_payload: bool = False) -> DataFrame:
 
 
 def to_files(archived: DataFrame, folder: str) -> DataFrame:
-    """Writes each archive as a file into a folder that all executors have mounted; returns (archive, bytes). A retried task writes the same file again."""
+    """Writes each archive as a file into a folder that all executors have mounted; returns (archive, bytes).
+
+    The archives become a table first, so that names and contents are settled and a retried task writes the same files again. Raises if two have one name."""
+    archived = written(archived)
+    twice = archived.groupBy("archive").count().filter("count > 1").first()
+    if twice:
+        raise ValueError(f"{twice['count']} archives are named {twice['archive']}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
