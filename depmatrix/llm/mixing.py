@@ -5,11 +5,12 @@ exact quota of block draws: whole passes over its blocks, and a disjoint subset
 shards: each node holds the draws left to its sources, its left child gets a multivariate-hypergeometric draw of half of
 them, its right child what remains, so quotas add up exactly at every level. A leaf (shard) knows how many draws it gets from each
 source; a source's draws, in permuted order, are dealt to the shards in that proportion, and each shard orders its draws by hash.
-The tree works on one number for each source and shard; rows stay in the executors.
+The tree works on one number for each source and shard, for MAX_SOURCES sources at most (an error above); rows stay in the executors.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 import math
 import random
@@ -19,10 +20,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from depmatrix.llm.quality_rules import words_of
-from depmatrix.llm.shared import written
+from depmatrix.llm.shared import WORD, written
 
 WEIGHTS = (5, 2, 1)
+#: Sources whose totals are brought to the driver, and sent back as one row each.
+MAX_SOURCES = 10_000
 DRAW = "array<struct<shard:int,rank:bigint,first:bigint,words:bigint>>"
 
 
@@ -133,39 +135,57 @@ def _draws(span_first: Column, size: Column, p: dict[str, Column], bounds: Colum
     return F.when(size > 0, F.flatten(F.transform(F.sequence(div(span_first), div(last)), of_block))).otherwise(F.array().cast(DRAW))
 
 
-def mix(docs: DataFrame, shards: int = 16, buckets: int = 256, seed: int = 7) -> DataFrame:
+def _source_rows(spark, plans: list[SourcePlan], quotas: list[list[int]]) -> DataFrame:
+    """One row for each source, as a written table: its plan, and where each shard's draws end among the source's."""
+    schema = "s string, source_size bigint, target double, block bigint, blocks bigint, passes int, extra bigint, step bigint, shift bigint, bounds array<bigint>"
+    names = [x.split()[0] for x in schema.split(", ")]
+    rows = []
+    for k, p in enumerate(plans):
+        ends = list(itertools.accumulate(row[k] for row in quotas[:-1]))
+        rows.append(dict(zip(names, (p.source, p.size, p.target, p.block, p.blocks, p.passes, p.extra, p.step, p.shift, ends), strict=True)))
+    fields = schema.replace(", ", ",").replace(" ", ":")
+    return written(spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{fields}>>"))))
+
+
+def mix(docs: DataFrame, shards: int = 16, bucket_rows: int = 1 << 20, seed: int = 7) -> DataFrame:
     """One row per row of docs: doc_id, source, size, source_size, target, draws (shard, rank within the shard, first word, words).
 
     Null text has size 0 and no draws; null source is a source of its own, after the others. Repeated rows are separate documents that
-    lie next to each other on the line. Empty table: no rows. Extra columns are not looked at. Same rows, same draws, however partitioned."""
+    lie next to each other on the line. A very long text is cut into its blocks like any other. Empty table: no rows. Extra columns are not looked at.
+    Same rows, same draws, however partitioned. bucket_rows: documents in a stretch of a source's line (256 stretches at least), which one task puts in order."""
     spark = docs.sparkSession
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.size(words_of(F.col("text"))).cast("long").alias("size"), F.xxhash64("text").alias("tie"))
-    sized = written(sized.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(buckets)).cast("int")))
-    parts = written(sized.groupBy("source", "bucket").agg(F.sum("size").alias("words")))
-    plans = plan_sources(_by_code_point([(r["source"], r["n"]) for r in parts.groupBy("source").agg(F.sum("words").alias("n")).collect()]), seed)
-    quotas = split_tree([p.passes * p.blocks + p.extra for p in plans], shards, seed)
-    ends = []  # where each shard's draws end among the source's
-    for k in range(len(plans)):
-        at, ends_k = 0, []
-        for row in quotas[:-1]:
-            at += row[k]
-            ends_k.append(at)
-        ends.append(ends_k)
-    schema = "source string, source_size bigint, target double, block bigint, blocks bigint, passes int, extra bigint, step bigint, shift bigint, bounds array<bigint>"
-    rows = [(p.source, p.size, p.target, p.block, p.blocks, p.passes, p.extra, p.step, p.shift, e) for p, e in zip(plans, ends, strict=True)]
-    names = [x.split()[0] for x in schema.split(", ")]
-    told = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
-    fields = schema.replace(" ", ":")
-    table = spark.range(1).select(F.inline(F.from_json(F.lit(told), f"array<struct<{fields.replace(',:', ',')}>>"))).withColumnRenamed("source", "s")  # one row for each source
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    sized = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.xxhash64("text").alias("tie")))
+    buckets = max(256, -(-sized.count() // bucket_rows))
+    bucket = F.pmod(F.xxhash64("doc_id", "tie", F.lit(seed)), F.lit(buckets)).cast("int")
+    parts = written(sized.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("words")))
+    totals = parts.groupBy("source").agg(F.sum("words").alias("n")).limit(MAX_SOURCES + 1).collect()
+    if len(totals) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources")
+    plans = plan_sources(_by_code_point([(r["source"], r["n"]) for r in totals]), seed)
+    table = _source_rows(spark, plans, split_tree([p.passes * p.blocks + p.extra for p in plans], shards, seed))
     before = F.coalesce(F.sum("words").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = parts.select("source", "bucket", before.alias("base")).join(table, F.col("source").eqNullSafe(F.col("s"))).select(F.col("bucket").alias("k"), "base", *table.columns)
     inside = F.sum("size").over(W.partitionBy("source", "bucket").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "tie", "size").rowsBetween(W.unboundedPreceding, -1))
-    placed = sized.withColumn("inside", F.coalesce(inside, F.lit(0)))
+    placed = sized.withColumn("bucket", bucket).withColumn("inside", F.coalesce(inside, F.lit(0)))
     joined = placed.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("k")))
     p = {c: F.col(c) for c in ("block", "blocks", "passes", "extra", "step", "shift", "source")}
     return joined.withColumn("at", F.col("base") + F.col("inside")).select("doc_id", "source", "size", "source_size", "target", _draws(F.col("at"), F.col("size"), p, F.col("bounds"), seed).alias("draws"))
 
 
+def by_document(mixed: DataFrame) -> DataFrame:
+    """mixed with figures of its draws instead of them: taken (words, repeats counted), n_draws, shards (numbers in order, joined by commas) and first_rank, the
+    document's first place in the order of its first shard (both null if nothing is taken)."""
+    taken = F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d["words"])
+    shards = F.array_sort(F.array_distinct(F.transform("draws", lambda d: d["shard"])))
+    first = F.array_min(F.transform("draws", lambda d: F.struct(d["shard"].alias("shard"), d["rank"].alias("rank"))))
+    named = F.when(F.size("draws") > 0, F.array_join(shards.cast("array<string>"), ","))
+    return mixed.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), F.size("draws").cast("long").alias("n_draws"), named.alias("shards"), first["rank"].alias("first_rank"))
+
+
 def shard_rows(mixed: DataFrame) -> DataFrame:
-    """The mix as rows in output order within each shard: (shard, rank, doc_id, first, words)."""
-    return mixed.select("doc_id", F.explode("draws").alias("d")).select("d.shard", "d.rank", "doc_id", "d.first", "d.words").repartition("shard").sortWithinPartitions("shard", "rank", "doc_id", "first")
+    """The mix as rows in output order within each shard: (shard, rank, doc_id, first, words). A shard's order is by hash, so it is shuffled in itself; the
+    rows are divided by ranges of (shard, rank), so a shard may be many tasks."""
+    order = ("shard", "rank", "doc_id", "first")
+    rows = mixed.select("doc_id", F.explode("draws").alias("d")).select("d.shard", "d.rank", "doc_id", "d.first", "d.words")
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order)

@@ -44,8 +44,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    taken = F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d["words"])
-    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
+    return mixing.by_document(mixing.mix(_table(spark, sf_dir, "documents")))
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
