@@ -188,7 +188,11 @@ def judge(docs: DataFrame, labels: DataFrame, **options) -> tuple[DataFrame, Dec
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of docs, columns as they are, that pass the base rule and the list learned from the labels of these rows."""
-    _, rules = judge(docs, labels, **options)
+    """The rows of docs, columns as they are, that pass the base rule and the list learned from the labels of these rows.
+
+    Null or empty text has no words and goes; very long texts are counted whole; repeated rows are judged alike; rows with a null doc_id are judged but don't
+    teach. No labels or none bad: only the base rule counts. Empty table: no rows. The documents are written once with their statistics, which are then learned from and filtered by."""
+    stated = written(with_statistics(docs))
+    rules = learn_from_labels(stated.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_q_stats").alias("stats")), labels, **options)
     of = lambda f: F.col("_q_stats")[f]
-    return with_statistics(docs).filter(~base_failed(of) & rules.keeps(of)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return stated.filter(~base_failed(of) & rules.keeps(of)).select(*(F.col(f"`{c}`") for c in docs.columns))

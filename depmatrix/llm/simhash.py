@@ -194,12 +194,12 @@ def near_links(fps: DataFrame, bits: int = 4, list_limit: int = 4096) -> DataFra
 
 
 def _components(fps: DataFrame, bits: int, list_limit: int) -> DataFrame:
-    """fps (doc_id, fp), a written table, with the column component_id."""
+    """fps (doc_id, fp), a written table, with the columns root (a fingerprint that names the component) and component_id (its smallest doc_id)."""
     nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     roots = connected_components(near_links(nodes.select("fp"), bits, list_limit)).withColumnRenamed("node", "fp")
     rooted = written(nodes.join(roots, "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")))
     ids = written(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("_n")).withColumnRenamed("root", "_root"))
-    named = written(split_join(rooted, ids, [("root", "_root")], "_n").select(F.col("fp").alias("_fp"), "n", "component_id"))
+    named = written(split_join(rooted, ids, [("root", "_root")], "_n").select(F.col("fp").alias("_fp"), "n", "root", "component_id"))
     return split_join(fps, named, [("fp", "_fp")], "n")
 
 
@@ -229,9 +229,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
         return out
     columns = [F.col(f"`{c}`") for c in docs.columns]
     rows = docs.join(repeated, key == F.col("_s_id"), "left_semi").select(key.alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.struct(*columns).alias("row"))
-    staying = found.filter("component_id = doc_id").select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp")).distinct()
+    staying = found.filter("component_id = doc_id").select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp"), "root").distinct()
     judged = rows.select("doc_id", _fingerprint_column(words)("text").alias("fp"), "row")
-    kept = judged.join(staying, (F.col("doc_id") == F.col("_id")) & (F.col("fp") == F.col("_fp")), "left_semi")
-    # all that stay under one id are of one component, whose smallest id it is; the minimum is found by partial aggregation
-    one = kept.groupBy("doc_id").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    kept = judged.join(staying, (F.col("doc_id") == F.col("_id")) & (F.col("fp") == F.col("_fp")))
+    # one row for each id and component; the minimum is found by partial aggregation
+    one = kept.groupBy("doc_id", "root").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
     return out.unionByName(one.select("row.*"))

@@ -40,3 +40,95 @@ def test_split_join_equals_a_join(spark, most):
     for how in ("inner", "left"):
         got = sorted((tuple(r) for r in shared.split_join(big, small, [("key", "_key")], "many", how, most).collect()), key=str)
         assert got == sorted(((n, k, f"v{k}" if k != "k3" else None) for n, k in rows if how == "left" or k != "k3"), key=str)
+
+
+# -- 6 posteriors
+
+
+def test_posteriors_equal_a_plain_computation(spark):
+    rng = random.Random(3)
+    rows = [(h, p, g, rng.random()) for h, p, g in ((rng.choice(["a", "a", "a", "b", None, "c"]), rng.choice(["x", "y", None]), rng.choice([None, None, 0, 1])) for _ in range(400))] + [("lonely", "z", 0, 0.2), ("good", "z", 1, 0.9)]
+    sites, rate = quality_classifier.site_posteriors(spark.createDataFrame(rows, "host string, path string, good int, p_doc double"))
+    n, k = Counter(), Counter()
+    for h, p, g, e in rows:
+        w = 0.25 if g is None else 1.0
+        n[h, p] += w
+        k[h, p] += w * (e if g is None else g)
+
+    def strength(cells):  # (n, k, mean)
+        total = sum(c[0] for c in cells)
+        beyond = (sum(n * (k / n - m) ** 2 for n, k, m in cells) - sum(m * (1 - m) for _, _, m in cells)) / total
+        spread = sum(n * m * (1 - m) for n, _, m in cells) / total
+        return 1e4 if beyond <= 0 else min(1e4, max(1.0, spread / beyond - 1))
+
+    whole = (sum(k.values()) + 1) / (sum(n.values()) + 2)
+    hn, hk = Counter(), Counter()
+    for (h, p), x in n.items():
+        hn[h] += x
+        hk[h] += k[h, p]
+    m = strength([(hn[h], hk[h], whole) for h in hn])
+    host = {h: (hk[h] + m * whole) / (hn[h] + m) for h in hn}
+    m = strength([(n[s], k[s], host[s[0]]) for s in n])
+    want = {s: (host[s[0]], (k[s] + m * host[s[0]]) / (n[s] + m)) for s in n}
+    got = {(r["host"], r["path"]): (r["host_posterior"], r["path_posterior"]) for r in sites.collect()}
+    assert rate == pytest.approx(whole) and got.keys() == want.keys()
+    assert all(got[s] == pytest.approx(want[s]) for s in want)
+
+
+def test_classifier_on_long_and_repeated_rows_and_clashing_names(spark):
+    rng = random.Random(5)
+    rows = [(k, prose(rng, 40).upper() if k % 4 == 0 else prose(rng, 40), f"s{k % 2}") for k in range(200)]
+    rows += [(300, prose(rng, 300_000), "s0"), (1, rows[1][1], "s1"), (1, rows[1][1], "s1"), (301, "a\x00b \x00 c", "s0")]
+    names = "doc_id long, text string, lang string, source string, rows string, host string, path string, _h string, p_doc string, good string"
+    frame = spark.createDataFrame([(d, t, "en", s, *"zzzzzz") for d, t, s in rows], names)
+    told = spark.createDataFrame([(k, int(k % 4 > 0), 0) for k in range(0, 200, 3)], "doc_id long, quality int, toxic int")
+    kept, said = quality_classifier.keep_good(frame, told), quality_classifier.classify(frame, told)
+    assert said.count() == len(rows) and kept.columns == frame.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(r["doc_id"] for r in said.filter("kept").collect())
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert 300 in ids and ids.count(1) == 3
+
+
+# -- shared
+
+
+def test_zero_bytes_and_long_documents_are_hashed_like_any_other():
+    rng = random.Random(6)
+    texts = ["a\x00 a \x00a \x00 b", "x" * 1000, " ".join(rng.choice(["ab", "é", "c\x00d", "q" * 50, "\x00"]) for _ in range(400)), "", " lead", "trail ", "y" * 130 + " z"]
+    table, names = shared.byte_table(), {}
+    for chunk in (1 << 20, 64, 7, 1):
+        seen = {}
+        for first, _, h, counts in shared.word_hashes(*shared.string_parts(pa.array(texts)), table, chunk):
+            for k, part in enumerate(np.split(h, np.cumsum(counts)[:-1])):
+                seen[first + k] = part.tolist()
+        for k, t in enumerate(texts):
+            words = WORD.findall(t.translate(LOWER))
+            assert len(words) == len(seen[k]), (chunk, t)
+            for w, h in zip(words, seen[k], strict=True):
+                assert names.setdefault(w, h) == h
+    assert len(set(names.values())) == len(names) and names["b"] == int(shared.one_word_hash(b"b")) and names["\x00"] == int(shared.one_word_hash(b"\x00"))
+
+
+def test_stretches_overlap_and_cover():
+    h = np.arange(1000)
+    got = list(shared.stretches([(4, 1, h, np.array([1000])), (5, 2, h[:30], np.array([10, 20]))], 300, 50))
+    assert [g[0] for g in got] == [4] * 4 + [5] and set(np.concatenate([g[2] for g in got[:4]])) == set(range(1000))
+    assert all(b[2][0] == a[2][-50] for a, b in zip(got, got[1:4]))
+
+
+# -- 3 SimHash
+
+
+def test_zero_bytes_count_in_fingerprints(spark):
+    rows = [(1, "a\x00b \x00 c d e"), (2, "a b c d e"), (3, "\x00"), (4, "\x00 \x00 a A")]
+    got = {r["doc_id"]: r["fingerprint"] for r in simhash.near_duplicates(docs(spark, rows)).collect()}
+    assert got == {d: f"{brute_fingerprint(t):016x}" for d, t in rows}
+
+
+def test_keep_one_tells_rows_with_one_id_apart(spark):
+    rng = random.Random(2)
+    a, b, c, d = (prose(rng, 60) for _ in range(4))
+    rows = [(3, a), (8, a), (8, b), (9, c), (9, d), (9, c), (10, c), (11, d), (12, b), (None, a)]
+    kept = sorted((r["doc_id"], r["text"]) for r in simhash.keep_one(docs(spark, rows)).collect() if r["doc_id"] is not None)
+    # 8's copy of 3 goes, its own text stays; 9's two texts stay once each
+    assert kept == sorted([(3, a), (8, b), (9, c), (9, d)])
