@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from depmatrix.llm.shared import byte_table, mixed, ranges, string_parts, word_hashes
+from depmatrix.llm.shared import byte_table, mixed, ranges, stretches, string_parts, word_hashes, written
 
 _TABLE = byte_table()
 DIMS, RANK, PASSAGE, BLOCK = 2048, 64, 64, 4
@@ -29,6 +29,10 @@ WINDOWS = (2, 3, 4, 6, 8, 12, 16)
 #: Blocks from one window to the next: a window always lies within an eighth to a quarter of its length of any item.
 STEPS = {2: 1, 3: 1, 4: 1, 6: 2, 8: 2, 12: 4, 16: 4}
 _CHUNK = 1 << 18
+#: Words of a document that are looked at together, with an overlap in the search; a whole number of passages.
+_STRETCH = 1 << 17
+#: Items in one block, and blocks that are searched in one pass over the documents: what goes to the workers has a bound.
+_ITEMS, _TOGETHER = 4096, 8
 
 
 def _folded(column: str) -> Column:
@@ -48,7 +52,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     omega = _test_matrix()
     df, y, passages = np.zeros(DIMS), np.zeros((DIMS, RANK)), 0
     for batch in batches:
-        for _, _, h, counts in word_hashes(*string_parts(batch.column(0)), _TABLE, _CHUNK):
+        for _, _, h, counts in stretches(word_hashes(*string_parts(batch.column(0)), _TABLE, _CHUNK), _STRETCH):
             each = -(-counts // PASSAGE)
             first = np.cumsum(each) - each
             place = np.arange(len(h)) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -73,16 +77,18 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([df.tobytes()], pa.binary()), pa.array([y.tobytes()], pa.binary())], ["n", "df", "y"])
 
 
-def word_vectors(docs: DataFrame, sums: int = 4) -> np.ndarray:
+def word_vectors(docs: DataFrame, fan_in: int = 32) -> np.ndarray:
     """DIMS x RANK: what a word adds to a window's latent vector: idf times the right singular vectors, divided by the singular values.
 
-    Tasks send one matrix of fixed size each to `sums` adding tasks; the driver gets that many."""
+    Each task writes one matrix of fixed size; they are added up in a tree, fan_in to a task, and the driver gets one."""
     kinds = "n long, df binary, y binary"
-    parts = docs.select(_folded("text").alias("text")).mapInArrow(_sketch, kinds).repartition(sums).mapInArrow(_add, kinds).collect()
-    n = sum(r["n"] for r in parts)
-    df = sum((np.frombuffer(r["df"]) for r in parts), np.zeros(DIMS))
-    y = sum((np.frombuffer(r["y"]).reshape(DIMS, RANK) for r in parts), np.zeros((DIMS, RANK)))
-    return latent(n, df, y)
+    parts = written(docs.select(_folded("text").alias("text")).mapInArrow(_sketch, kinds))
+    while (left := parts.count()) > 1:
+        parts = written(parts.repartition(-(-left // fan_in)).mapInArrow(_add, kinds))
+    sums = parts.collect()
+    if not sums:
+        return latent(0, np.zeros(DIMS), np.zeros((DIMS, RANK)))
+    return latent(sums[0]["n"], np.frombuffer(sums[0]["df"]), np.frombuffer(sums[0]["y"]).reshape(DIMS, RANK))
 
 
 def latent(n: int, df: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -156,16 +162,22 @@ class Limits:
     answer: float = 0.6
 
 
-def candidates(h: np.ndarray, items: Items, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
-    """(first word, query's row, cosine, window's blocks) of windows over consecutive words h that reach the cosine with an item."""
+def running_sums(h: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Sums of the words' vectors up to each block of words, with the longest window's blocks as margin on both sides."""
     n, edge = -(-len(h) // BLOCK), WINDOWS[-1]
-    rows = items.vectors[_bucket(h)]
+    rows = vectors[_bucket(h)]
     if len(rows) < n * BLOCK:
         rows = np.concatenate([rows, np.zeros((n * BLOCK - len(rows), rows.shape[1]), np.float32)])
-    # running sums of blocks, with empty blocks on both sides
     total = np.zeros((n + 2 * edge + 1, rows.shape[1]), np.float32)
     np.cumsum(rows.reshape(n, BLOCK, -1).sum(axis=1), axis=0, out=total[edge + 1 : edge + n + 1])
     total[edge + n + 1 :] = total[edge + n]
+    return total
+
+
+def candidates(total: np.ndarray, items: Items, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """(first word, query's row, cosine, window's blocks) of windows over the words of running_sums() that reach the cosine with an item."""
+    edge = WINDOWS[-1]
+    n = len(total) - 2 * edge - 1
     for blocks, (_, _, units) in items.queries.items():
         step, begin = STEPS[blocks], edge - blocks // 2
         z = total[begin + blocks : edge + n + blocks : step] - total[begin : edge + n : step]
@@ -211,47 +223,70 @@ def _cosine(a: np.ndarray, b: np.ndarray) -> float:
     return float(a @ b / max(float(np.linalg.norm(a) * np.linalg.norm(b)), 1e-12))
 
 
-def search(texts: pa.Array, items: Items, limits: Limits) -> list[tuple[int, int, float, int, float]]:
-    """(row, item, cosine, common words, answer's share) for each text and item that pass all checks."""
-    found: dict[tuple[int, int], tuple[float, int, float]] = {}
-    if not items.queries and not len(items.short[0]):
+def search(texts: pa.Array, blocks: list[Items], limits: Limits) -> list[tuple[int, int, int, float, int, float]]:
+    """(row, block, item, cosine, common words, answer's share) for each text and item that pass all checks. Texts are read once for all blocks of items."""
+    blocks = [b for b in blocks if b.queries or len(b.short[0])]
+    if not blocks:
         return []
-    often = [Counter(w.tolist()) for w in items.words]
-    sets = [set(x) for x in often]
-    sizes = np.array([len(w) for w in items.words])
-    for first, docs, h, counts in word_hashes(*string_parts(texts), _TABLE, _CHUNK):
-        if not len(h):
-            continue
-        ends, listed = np.cumsum(counts), h.tolist()
+    # a stretch of a long text overlaps the one before by the longest that a match can be, with its windows' margins
+    longest = max(len(w) for b in blocks for w in b.words)
+    overlap = 2 * longest + 2 * WINDOWS[-1] * BLOCK
+    known = [_Known(b) for b in blocks]
+    found: dict[tuple[int, int, int], tuple[float, int, float]] = {}
+    for first, _, h, counts in stretches(word_hashes(*string_parts(texts), _TABLE, _CHUNK), max(_STRETCH, 4 * overlap), overlap):
+        if len(h):
+            total = running_sums(h, blocks[0].vectors) if any(b.queries for b in blocks) else None
+            listed = h.tolist()
+            for number, known_ in enumerate(known):
+                for (d, k), got in known_.matches(h, listed, counts, total, limits).items():
+                    place = (first + d, number, k)
+                    if got[1] > found.get(place, (0, 0, 0))[1]:
+                        found[place] = got
+    return [(*place, *got) for place, got in sorted(found.items())]
+
+
+class _Known:
+    """A block of items with what its checks need."""
+
+    def __init__(self, items: Items):
+        self.items = items
+        self.often = [Counter(w.tolist()) for w in items.words]
+        self.sets = [set(x) for x in self.often]
+        self.sizes = np.array([len(w) for w in items.words])
+
+    def matches(self, h: np.ndarray, listed: list[int], counts: np.ndarray, total: np.ndarray | None, limits: Limits) -> dict[tuple[int, int], tuple[float, int, float]]:
+        """{(document, item): (cosine, common words, answer's share)} over consecutive documents' words h."""
+        items, found = self.items, {}
+        ends = np.cumsum(counts)
         tried: set[tuple[int, int]] = set()
 
         def check(k: int, d: int, low: int, high: int, cosine) -> None:
             region, words, answer = listed[max(low, int(ends[d] - counts[d])) : min(high, int(ends[d]))], items.words[k].tolist(), items.answers[k]
             common = lcs(words, region)
-            if common >= limits.lcs * len(words) and common > found.get((first + d, k), (0, 0, 0))[1]:
+            if common >= limits.lcs * len(words) and common > found.get((d, k), (0, 0, 0))[1]:
                 share = lcs(answer.tolist(), region) / len(answer) if len(answer) else 1.0
                 if share >= limits.answer:
-                    found[first + d, k] = (cosine(region), common, share)
+                    found[d, k] = (cosine(region), common, share)
 
-        for start, query, cosine, blocks in candidates(h, items, limits.cosine):
+        for start, query, cosine, blocks in candidates(total, items, limits.cosine) if items.queries else ():
             which, part, _ = items.queries[blocks]
             k, reach = which[query], blocks * BLOCK // 2 + 2
-            from_, to = np.maximum(0, start - part[query] - reach), np.minimum(len(h), start - part[query] + np.maximum(sizes[k], blocks * BLOCK) + reach)
-            keep = np.flatnonzero(_enough(h, from_, to, k, limits.lcs * sizes[k], items))
+            from_, to = np.maximum(0, start - part[query] - reach), np.minimum(len(h), start - part[query] + np.maximum(self.sizes[k], blocks * BLOCK) + reach)
+            keep = np.flatnonzero(_enough(h, from_, to, k, limits.lcs * self.sizes[k], items))
             for s, k, low, high, c in zip(start[keep].tolist(), k[keep].tolist(), from_[keep].tolist(), to[keep].tolist(), cosine[keep].tolist(), strict=True):
                 spot = (k, s // max(1, blocks * BLOCK // 4))
                 # a common subsequence has each of the item's words that stand there, as often as the item has it at most
-                if spot in tried or sum(map(often[k].__getitem__, sets[k].intersection(listed[low:high]))) < limits.lcs * len(items.words[k]):
+                if spot in tried or sum(map(self.often[k].__getitem__, self.sets[k].intersection(listed[low:high]))) < limits.lcs * len(items.words[k]):
                     continue
                 tried.add(spot)
                 for d in range(int(np.searchsorted(ends, low, side="right")), int(np.searchsorted(ends, high - 1, side="right")) + 1):
                     check(k, d, low, high, lambda _, c=c: c)
         for low, high, k in _short(h, items, limits.lcs):
             d = int(np.searchsorted(ends, low, side="right"))
-            if found.get((first + d, k), (0, 0, 0))[1] < len(items.words[k]):
+            if found.get((d, k), (0, 0, 0))[1] < len(items.words[k]):
                 z = lambda w: items.vectors[_bucket(np.array(w, np.uint64))].sum(axis=0)
                 check(k, d, low, high, lambda region, k=k, z=z: _cosine(z(region), z(items.words[k])))
-    return [(d, k, *v) for (d, k), v in sorted(found.items())]
+        return found
 
 
 def _hashes(texts: list[str | None]) -> list[np.ndarray]:
@@ -261,17 +296,22 @@ def _hashes(texts: list[str | None]) -> list[np.ndarray]:
     return out
 
 
-def item_blocks(benchmark: DataFrame, vectors: np.ndarray, block: int = 4096, answer_col: str | None = None, answer_words: int = 5) -> Iterator[Items]:
-    """The benchmark, at most about `block` items at a time, so that what goes to the workers has a bound. Items without words can't be found."""
+def item_blocks(benchmark: DataFrame, vectors: np.ndarray, answer_col: str | None = None, answer_words: int = 5) -> Iterator[list[Items]]:
+    """The benchmark in blocks of about _ITEMS items, up to _TOGETHER of them at a time, so that what goes to the workers has a bound. Items without words can't be found."""
     answer = _folded(answer_col) if answer_col else F.lit(None).cast("string")
     own = benchmark.select(F.col("item_id").cast("long").alias("item_id"), _folded("text").alias("text"), answer.alias("answer")).distinct()
-    many = max(1, -(-own.count() // block))
-    for b in range(many):
-        rows = own.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(many)) == b).orderBy("item_id", "text").collect()
-        if rows:
-            words = _hashes([r["text"] for r in rows])
-            answers = _hashes([r["answer"] for r in rows]) if answer_col else [w[-answer_words:] for w in words]
-            yield Items.build([r["item_id"] for r in rows], words, answers, vectors)
+    own = written(own)
+    many = max(1, -(-own.count() // _ITEMS))
+    for first in range(0, many, _TOGETHER):
+        out = []
+        for b in range(first, min(many, first + _TOGETHER)):
+            rows = own.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(many)) == b).orderBy("item_id", "text").collect()
+            if rows:
+                words = _hashes([r["text"] for r in rows])
+                answers = _hashes([r["answer"] for r in rows]) if answer_col else [w[-answer_words:] for w in words]
+                out.append(Items.build([r["item_id"] for r in rows], words, answers, vectors))
+        if out:
+            yield out
 
 
 MATCHES = "doc_id long, item_id long, cosine double, common_words long, item_words long, lcs_ratio double, answer_ratio double"
@@ -280,22 +320,23 @@ MATCHES = "doc_id long, item_id long, cosine double, common_words long, item_wor
 def contaminated(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits(), answer_col: str | None = None) -> DataFrame:
     """One row for each row of docs (doc_id, text) and item (item_id, text) that it holds: the columns of MATCHES.
 
-    Null or empty texts and items match nothing; repeated rows of docs are found each, repeated items once. Empty tables: no rows. Extra columns are not looked at."""
+    Null or empty texts and items match nothing; repeated rows of docs are found each, repeated items once; very long texts are searched whole, in overlapping
+    stretches. Empty tables: no rows. Extra columns are not looked at."""
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _folded("text").alias("text"))
     out = None
-    for items in item_blocks(benchmark, word_vectors(own), answer_col=answer_col):
-        shared = spark.sparkContext.broadcast(items)
+    for blocks in item_blocks(benchmark, word_vectors(own), answer_col=answer_col):
+        shared = spark.sparkContext.broadcast(blocks)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            items = shared.value
+            blocks = shared.value
             for batch in batches:
-                rows = search(batch.column(1), items, limits)
-                n = [len(items.words[k]) for _, k, *_ in rows]
+                rows = search(batch.column(1), blocks, limits)
+                n = [len(blocks[b].words[k]) for _, b, k, *_ in rows]
                 ids = batch.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
-                yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array([items.ids[r[1]] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64()), pa.array([r[3] for r in rows], pa.int64()), pa.array(n, pa.int64()), pa.array([r[3] / m for r, m in zip(rows, n, strict=True)], pa.float64()), pa.array([r[4] for r in rows], pa.float64())],
-                    ["doc_id", "item_id", "cosine", "common_words", "item_words", "lcs_ratio", "answer_ratio"])
+                columns = [pa.array([blocks[r[1]].ids[r[2]] for r in rows], pa.int64()), *(pa.array([r[c] for r in rows], kind) for c, kind in ((3, pa.float64()), (4, pa.int64())))]
+                shares = [pa.array([r[4] / m for r, m in zip(rows, n, strict=True)], pa.float64()), pa.array([r[5] for r in rows], pa.float64())]
+                yield pa.RecordBatch.from_arrays([ids, *columns, pa.array(n, pa.int64()), *shares], ["doc_id", "item_id", "cosine", "common_words", "item_words", "lcs_ratio", "answer_ratio"])
 
         part = own.mapInArrow(run, MATCHES)
         out = part if out is None else out.union(part)
@@ -303,10 +344,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits(
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """The rows of docs, columns as they are, that hold no item. No shuffle: each row is judged where it lies."""
+    """The rows of docs, columns as they are, that hold no item. No shuffle: each row is judged where it lies.
+
+    Null and empty texts hold nothing and stay, as does every row if there are no items; repeated rows go or stay together; very long texts are searched whole,
+    in overlapping stretches. Empty table: no rows. Extra columns stay as they are, whatever their names."""
     out = docs
-    for items in item_blocks(benchmark, word_vectors(docs)):
-        out = out.filter(_clean(docs.sparkSession.sparkContext.broadcast(items), limits)(_folded("text")))
+    for blocks in item_blocks(benchmark, word_vectors(docs)):
+        out = out.filter(_clean(docs.sparkSession.sparkContext.broadcast(blocks), limits)(_folded("text")))
     return out
 
 

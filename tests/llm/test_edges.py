@@ -132,3 +132,54 @@ def test_keep_one_tells_rows_with_one_id_apart(spark):
     kept = sorted((r["doc_id"], r["text"]) for r in simhash.keep_one(docs(spark, rows)).collect() if r["doc_id"] is not None)
     # 8's copy of 3 goes, its own text stays; 9's two texts stay once each
     assert kept == sorted([(3, a), (8, b), (9, c), (9, d)])
+
+
+# -- 1 decontamination
+
+
+def test_items_are_found_across_stretches_of_a_long_text_and_blocks_of_items(spark, monkeypatch):
+    rng = random.Random(8)
+    monkeypatch.setattr(decontamination, "_STRETCH", 1 << 10)
+    items = [(k, prose(rng, 30, 5000)) for k in range(12)] + [(50, "uno dos tres")]
+    words = prose(rng, 6000, 5000).split()
+    for n, (_, text) in enumerate(items):
+        words[450 * n + 300 : 450 * n + 300] = text.split()
+    rows = [(1, " ".join(words)), (1, " ".join(words)), (2, prose(rng, 3000, 5000)), (3, f"\x00 {items[0][1]}")]
+    own = [decontamination._hashes([t for _, t in items])]
+    vectors = decontamination.word_vectors(docs(spark, rows), fan_in=2)
+    build = lambda part: decontamination.Items.build([k for k, _ in part], decontamination._hashes([t for _, t in part]), [w[-5:] for w in decontamination._hashes([t for _, t in part])], vectors)
+    whole, halves = [build(items)], [build(items[:6]), build(items[6:])]
+    texts = pa.array([t for _, t in rows])
+    named = lambda blocks: {(r[0], blocks[r[1]].ids[r[2]]) for r in decontamination.search(texts, blocks, decontamination.Limits())}
+    assert len(own[0]) == 13 and named(whole) == named(halves) == {(d, k) for d in (0, 1) for k, _ in items} | {(3, 0)}
+
+
+def test_matches_equal_brute_force(spark):
+    """Every document against every item: the best stretch by longest common subsequence, then the answer."""
+    rng = random.Random(9)
+    items = [(k, prose(rng, rng.randrange(2, 40), 3000)) for k in range(25)]
+    rows = []
+    for n in range(120):
+        words = prose(rng, rng.randrange(0, 120), 3000).split()
+        if n % 3:
+            leak = rng.choice(items)[1].split()
+            for _ in range(rng.randrange(1 + len(leak) // 4)):
+                leak[rng.randrange(len(leak))] = f"w{rng.randrange(3000)}x"
+            at = rng.randrange(len(words) + 1)
+            words[at:at] = leak
+        rows.append((n, " ".join(words)))
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    sure, possible = set(), set()
+    for d, text in rows:
+        words = text.split()
+        for k, item in items:
+            own = item.split()
+            n = len(own)
+            # within the item's length and the part that may differ it has to be found; with windows' margins around it may be
+            for reach, into in ((n, sure), (2 * n + 80, possible)):
+                for a in range(max(1, len(words) - reach + 1)):
+                    region = words[a : a + reach]
+                    if decontamination.lcs(own, region) >= 0.7 * n and decontamination.lcs(own[-5:], region) >= 0.6 * len(own[-5:]):
+                        into.add((d, k))
+                        break
+    assert got <= possible and len(sure - got) <= 0.02 * len(sure) and len(sure) > 50
