@@ -11,32 +11,43 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from depmatrix.llm.shared import split_join, written
+
 
 def rendered(role: Column, text: Column) -> Column:
     return F.concat(F.lit("<|"), F.coalesce(role, F.lit("")), F.lit("|>\n"), F.coalesce(text, F.lit("")), F.lit("<|end|>\n"))
 
 
 def _numbered(turns: DataFrame, key: str) -> DataFrame:
-    order = W.partitionBy(key).orderBy(*(F.col(c).asc_nulls_last() for c in ("turn", "role", "text")))
-    return turns.select(key, (F.row_number().over(order) - 1).alias("pos"), "role", "text")
+    """turns with pos, their place in the conversation. Turns are numbered within stretches of 1,024 turn numbers, to which what stands before each is added,
+    so that a conversation of any length is many tasks. Turns without a number are the last stretch."""
+    last = F.lit((1 << 63) - 1)
+    placed = turns.withColumn("stretch", F.coalesce(F.shiftright("turn", 10), last))
+    counts = placed.groupBy(F.col(key).alias("_k"), F.col("stretch").alias("_s")).agg(F.count("*").alias("n"))
+    before = F.sum("n").over(W.partitionBy("_k").orderBy("_s").rowsBetween(W.unboundedPreceding, -1))
+    starts = counts.select("_k", "_s", F.coalesce(before, F.lit(0)).alias("first"))
+    order = W.partitionBy(key, "stretch").orderBy(*(F.col(c).asc_nulls_last() for c in ("turn", "role", "text")))
+    ranked = placed.withColumn("inside", F.row_number().over(order) - 1)
+    joined = ranked.join(starts, (F.col(key) == F.col("_k")) & (F.col("stretch") == F.col("_s")))
+    return joined.select(key, (F.col("first") + F.col("inside")).cast("int").alias("pos"), "role", "text")
 
 
 def preference_segments(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     """chosen, rejected: (pair_id, turn, role, text). Returns (pair_id, part, pos, role, rendered, train, prompt_turns).
 
     Turns stand in the order of turn, then role, then text, nulls last in each, so ties and repeats have one order; null role or text equals null and renders
-    as empty. A side without turns has no rows; rows with a null pair_id are of no pair and are left out. Extra columns are not looked at."""
+    as empty, very long ones whole. A side without turns has no rows; rows with a null pair_id are of no pair and are left out. Extra columns are not looked at."""
     keep = lambda df: df.select("pair_id", F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")).filter("pair_id is not null")
     a = _numbered(keep(chosen), "pair_id").select("pair_id", "pos", F.struct("role", "text").alias("a"))
     b = _numbered(keep(rejected), "pair_id").select("pair_id", "pos", F.struct("role", "text").alias("b"))
-    both = a.join(b, ["pair_id", "pos"], "full_outer")
+    both = written(a.join(b, ["pair_id", "pos"], "full_outer"))
     same = F.col("a").isNotNull() & F.col("b").isNotNull() & F.col("a.role").eqNullSafe(F.col("b.role")) & F.col("a.text").eqNullSafe(F.col("b.text"))
-    # the first turn that differs ends the prompt; a grouped minimum, joined back, so a long conversation isn't one task's window
-    ends = both.groupBy("pair_id").agg(F.coalesce(F.min(F.when(~same, F.col("pos"))), F.max("pos") + 1).alias("prompt_turns"))
+    # the first turn that differs ends the prompt: a grouped minimum, joined back with long conversations split from the rest
+    ends = both.groupBy(F.col("pair_id").alias("_p")).agg(F.coalesce(F.min(F.when(~same, F.col("pos"))), F.max("pos") + 1).alias("prompt_turns"), F.count("*").alias("_n"))
     shared = F.col("pos") < F.col("prompt_turns")
     part = lambda name, side: F.struct(F.lit(name).alias("part"), F.col(f"{side}.role").alias("role"), F.col(f"{side}.text").alias("text"))
     segments = F.when(shared, F.array(part("prompt", "a"))).otherwise(F.filter(F.array(F.when(F.col("a").isNotNull(), part("chosen", "a")), F.when(F.col("b").isNotNull(), part("rejected", "b"))), lambda x: x.isNotNull()))
-    out = both.join(ends, "pair_id").select("pair_id", "pos", "prompt_turns", F.explode(segments).alias("s"))
+    out = split_join(both, written(ends), [("pair_id", "_p")], "_n").select("pair_id", "pos", "prompt_turns", F.explode(segments).alias("s"))
     train = ((F.col("s.part") != "prompt") & F.coalesce(F.col("s.role") == "assistant", F.lit(False))).cast("int")
     return out.select("pair_id", F.col("s.part").alias("part"), "pos", F.col("s.role").alias("role"), rendered(F.col("s.role"), F.col("s.text")).alias("rendered"), train.alias("train"), "prompt_turns")
 

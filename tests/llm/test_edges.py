@@ -183,3 +183,100 @@ def test_matches_equal_brute_force(spark):
                         into.add((d, k))
                         break
     assert got <= possible and len(sure - got) <= 0.02 * len(sure) and len(sure) > 50
+
+
+# -- 2 chat
+
+
+def test_long_conversations_are_numbered_as_a_plain_sort(spark):
+    rng = random.Random(14)
+    rows = [(1, rng.choice([None, *range(-3000, 9000)]), rng.choice(["user", "assistant", None]), rng.choice(["a", "b", None])) for _ in range(6000)] + [(2, 5, "user", "x")] * 3
+    frame = spark.createDataFrame(rows, "pair_id long, turn long, role string, text string")
+    got = sorted((r["pair_id"], r["pos"], r["role"], r["text"]) for r in chat._numbered(frame, "pair_id").collect() if r["pair_id"] == 2)
+    assert got == [(2, k, "user", "x") for k in range(3)]
+    low = lambda x: (x is None, x or "")
+    order = sorted((r for r in rows if r[0] == 1), key=lambda r: (r[1] is None, r[1] or 0, low(r[2]), low(r[3])))
+    seen = {r["pos"]: (r["role"], r["text"]) for r in chat._numbered(frame, "pair_id").collect() if r["pair_id"] == 1}
+    assert [seen[k] for k in range(6000)] == [r[2:] for r in order]
+
+
+def test_null_turns_stand_last_on_both_sides(spark):
+    make = lambda rows: spark.createDataFrame(rows, "pair_id long, turn long, role string, text string")
+    out = chat.preference_segments(make([(1, None, "user", "n"), (1, 1, "user", "q"), (1, 2, "assistant", "a")]), make([(1, 1, "user", "q"), (1, 2, "assistant", "a"), (1, None, "user", "n")]))
+    assert [(r["part"], r["role"]) for r in out.orderBy("pos").collect()] == [("prompt", "user"), ("prompt", "assistant"), ("prompt", "user")]
+
+
+# -- 9 HTML
+
+
+def test_pages_with_swapped_and_left_out_markup():
+    say = lambda k, n=30: " ".join(f"word{k}x{j}" for j in range(n)) + "."
+    get = lambda page: html_extract.extract(page).split("\n\n")
+    assert get("<html><head><title>T</title><body><p>Hello there, this is a text of some words.</p>") == ["Hello there, this is a text of some words."]
+    assert get(f"<title>T</title><p>{say(1)}</p>") == [say(1)]
+    # names that hold a telling word without being one
+    page = f"<body><nav><a href=x>a</a></nav><article><div class='article-header'><h1>Title</h1></div><p>{say(1)}</p><div class='related-work'><p>{say(2)}</p></div><p class=share-price>{say(3)}</p></article></body>"
+    assert get(page) == ["Title", say(1), say(2), say(3)]
+    for name in ("comments", "comment-list", "siteFooter", "site-header", "ad-slot", "related-posts", "cookie_banner", "NavBar", "sidebar left", "foot"):
+        assert get(f"<body><article><h1>Title</h1><p>{say(1)}</p></article><div class='{name}'><p>{say(2)}</p></div></body>") == ["Title", say(1)], name
+        assert get(f"<body><article><h1>Title</h1><p>{say(1)}</p><section id='{name}'><p>{say(2)}</p></section></article></body>") == ["Title", say(1)], name
+    # comments that are articles, inside the article and after it
+    assert get(f"<body><article><h1>T</h1><p>{say(1)}</p><article class='comment'><p>{say(2)}</p></article></article></body>") == ["T", say(1)]
+    assert get(f"<body><article><h1>T</h1><p>{say(1)}</p></article><article class='comment by-user'><p>{say(2)}</p></article></body>") == ["T", say(1)]
+    # a short paragraph in a container of its own, beside a long one, without an article
+    page = f"<body><div><a href=a>Home</a> <a href=b>News</a> <a href=c>About us</a></div><div><p>A real opening paragraph of fifty characters here.</p></div><div><p>{say(1, 35)}</p></div><div><a href=a>Home</a> <a href=b>News</a></div></body>"
+    assert get(page) == ["A real opening paragraph of fifty characters here.", say(1, 35)]
+
+
+def test_pages_of_a_megabyte_take_seconds_at_most():
+    words = " ".join(f"word{k}" for k in range(20))
+    pages = ["<body><article>" + "<div>" * 20_000 + "x</i>" * 20_000, "<body><p><div>" + "<b>" * 20_000 + "y</p>" * 20_000, "<body><article>" + f"<p>{words} <b>x</b> &amp; y</p>" * 6500, "<div>" * 200_000 + "</p>" * 200_000]
+    for page in pages:
+        began = time.time()
+        html_extract.extract(page)
+        assert time.time() - began < 5
+
+
+def _kept(lines, articles):
+    """Ratios, smoothing, clusters and regions once more, in numpy from the description."""
+    own = np.log1p(np.array([len(t) / max(1, n) for t, n, *_ in lines]))
+    apart = np.arange(len(own))[:, None] - np.arange(len(own))
+    weight = np.where(abs(apart) <= 2, np.exp(-0.5 * apart**2.0), 0)
+    smooth = weight @ own / weight.sum(axis=1)
+
+    def cut(v):
+        if np.ptp(v) < 1e-9:
+            return v.min()
+        high = v.max()
+        for _ in range(1000):
+            high = v[v >= high / 2].mean()
+        return high / 2
+
+    least = cut(smooth)
+    holder = np.array([x[2] for x in lines])
+    sure = (smooth >= least) & (own >= cut(own))
+    regions = set(holder[sure if sure.any() else smooth >= least].tolist())
+    seeded = {x[3] for x in lines if x[3] and x[2] in regions}
+    for h in {x[2] for x in lines if x[3] in seeded}:
+        at = np.array([x[2] == h and x[3] in seeded for x in lines])
+        size, tags = (sum(f(x) for x, y in zip(lines, at, strict=True) if y) for f in (lambda x: len(x[0]), lambda x: x[1]))
+        if smooth[at].mean() >= math.log1p(0.5 * math.expm1(least)) or size >= 40 * max(1, tags) or h in articles:
+            regions.add(h)
+    return [k for k, x in enumerate(lines) if x[2] in regions or x[4] and x[3] in seeded]
+
+
+def test_clusters_equal_a_plain_computation():
+    rng, dropped = random.Random(15), 0
+    for n in range(300):
+        say = lambda: " ".join(f"w{rng.randrange(99)}" for _ in range(rng.choice([1, 2, 8, 40, 120])))  # noqa: B023, E731
+        page = "<body>"
+        for _ in range(rng.randrange(1, 12)):
+            tag = rng.choice(["div", "section", "article", "main", "div"])
+            page += f"<{tag}>" + "".join(rng.choice([f"<p>{say()}</p>", f"<p><a href=x>{say()}</a> <b>{say()}</b></p>", f"<h1>{say()}</h1>", f"<div>{say()}</div>"]) for _ in range(rng.randrange(6))) + (f"</{tag}>" if rng.random() < 0.9 else "")
+        parser = html_extract._Lines()
+        parser.feed(page)
+        parser.close()
+        got = html_extract.content(parser.lines, parser.articles)
+        assert got == (_kept(parser.lines, parser.articles) if parser.lines else [])
+        dropped += len(got) < len(parser.lines)
+    assert 30 < dropped < 290
