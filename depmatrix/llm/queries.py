@@ -55,8 +55,36 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.lm_scores(_table(spark, sf_dir, "documents"))
 
 
+def base_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op5's columns that don't depend on the method."""
+    return op5_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def base_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op7's columns that don't depend on the learned list."""
+    return op7_quality_rules(spark, sf_dir).drop("kept")
+
+
+def base_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op8's sizes, and its targets to six digits."""
+    return op8_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"))
+
+
+def base_mixing_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the words that op8 takes of each source come within a thousandth (and one word) of its target, and no document is taken more than twice."""
+    by = op8_mixing(spark, sf_dir).groupBy("source")
+    near = F.abs(F.sum("taken") - F.max("target")) <= 1 + 0.001 * F.max("target")
+    return by.agg(F.count("*").alias("documents"), near.alias("near_target"), F.bool_and(F.col("taken") <= 2 * F.col("size")).alias("twice_at_most"))
+
+
+def base_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op10's columns that don't depend on the method, the score to six digits."""
+    return op10_lm_scoring(spark, sf_dir).drop("score").withColumn("base_score", F.round("base_score", 6))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_preference_chat, op3_simhash, op4_warc, op5_license_scan, op6_quality_classifier, op7_quality_rules, op8_mixing, op9_html_extraction, op10_lm_scoring)}
+    ops = (op1_decontamination, op2_preference_chat, op3_simhash, op4_warc, op5_license_scan, op6_quality_classifier, op7_quality_rules, op8_mixing, op9_html_extraction, op10_lm_scoring)
+    return {f.__name__: f for f in (*ops, base_license_scan, base_quality_rules, base_mixing, base_mixing_by_source, base_lm_scoring)}
 
 
 OP2_SQL = """
@@ -91,5 +119,71 @@ FROM d LEFT JOIN f ON d.payload_digest = f.payload_digest
 """
 
 
+#: Lower case for A-Z only, as the contract has it.
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
+BASE_LICENSE_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+p(words, label) AS (VALUES (['under', 'the', 'mit', 'license'], 'mit'), (['apache', 'license', 'version', '2'], 'apache-2'), (['cc', 'by', 'nc'], 'cc-by-nc')),
+i AS (SELECT r, w, unnest(range(len(w))) AS i FROM d),
+f AS (SELECT i.r, i.i, p.label FROM i JOIN p ON list_slice(i.w, i.i + 1, i.i + len(p.words)) = p.words)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, count(f.i) AS n_base, min(f.i) AS first_word, max(f.i) AS last_word,
+  coalesce(string_agg(DISTINCT f.label, ',' ORDER BY f.label), '') AS base_labels FROM d LEFT JOIN f ON f.r = d.r GROUP BY d.r, d.doc_id, d.w
+"""
+
+BASE_RULES_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+i AS (SELECT r, unnest(range(len(w) - 4)) AS i, w FROM d WHERE len(w) >= 5),
+x AS (SELECT r, i, count(*) OVER (PARTITION BY r, list_slice(w, i + 1, i + 5)) AS n FROM i),
+h AS (SELECT r, count(DISTINCT i + k) AS n FROM x, (SELECT unnest(range(5)) AS k) WHERE x.n > 1 GROUP BY r),
+l AS (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d),
+u AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM l WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY r),
+s AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(u.n, 0) AS n_dup_lines, coalesce(h.n, 0) AS n_repeat_words
+  FROM d LEFT JOIN u ON u.r = d.r LEFT JOIN h ON h.r = d.r)
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM s
+"""
+
+_SIZED = f"""d AS (SELECT doc_id, source, CAST(len({_WORDS.format("coalesce(text, '')")}) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST([5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS DOUBLE) AS weight FROM d GROUP BY source)"""
+
+#: A source is full if its size divided by its weight is low enough: in that order, each in turn is filled as long as twice its size is less than its share of what the others leave.
+BASE_MIXING_SQL = f"""
+WITH {_SIZED},
+o AS (SELECT *, row_number() OVER (ORDER BY source_size / weight, source) AS k, coalesce(sum(source_size) OVER (ORDER BY source_size / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+  sum(weight) OVER (ORDER BY source_size / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open, sum(source_size) OVER () AS whole FROM s),
+q AS (SELECT *, 2 * source_size < weight * (1.5 * whole - 2 * before) / open AS below FROM o),
+e AS (SELECT min(k) AS k FROM q WHERE NOT below),
+t AS (SELECT q.source, q.source_size, CASE WHEN e.k IS NULL OR q.k < e.k THEN 2.0 * q.source_size ELSE q.weight * (SELECT (1.5 * whole - 2 * before) / open FROM q JOIN e ON q.k = e.k) END AS target FROM q, e)
+SELECT d.doc_id, d.size, t.source_size, round(CAST(t.target AS DOUBLE), 6) AS target FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+"""
+
+BASE_MIXING_BY_SOURCE_SQL = "SELECT source, count(*) AS documents, true AS near_target, true AS twice_at_most FROM documents GROUP BY source"
+
+
+#: crc32 of the id's digits, bit by bit.
+_CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+  lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda x, i: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295)"""
+
+BASE_LM_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_CRC} % 5 = 1 AS held_out, list_append({_WORDS.format(_LOWER)}, ' end ') AS w FROM documents),
+t AS (SELECT r, held_out, unnest(w) AS token FROM d),
+c AS (SELECT token, count(*) AS c FROM t WHERE NOT held_out GROUP BY token),
+n AS (SELECT sum(c) AS n, count(*) AS v FROM c)
+SELECT any_value(d.doc_id) AS doc_id, any_value(d.held_out) AS held_out, count(*) AS n_tokens, count(c.c) AS n_known, CAST(any_value(n.n) AS BIGINT) AS train_tokens,
+  round(sum(log10((coalesce(c.c, 0) + 0.5) / (n.n + 0.5 * (n.v + 1)))), 6) AS base_score
+FROM t JOIN d ON d.r = t.r LEFT JOIN c ON c.token = t.token, n GROUP BY d.r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_preference_chat": OP2_SQL, "op4_warc": OP4_SQL}
+    return {
+        "op2_preference_chat": OP2_SQL,
+        "op4_warc": OP4_SQL,
+        "base_license_scan": BASE_LICENSE_SQL,
+        "base_quality_rules": BASE_RULES_SQL,
+        "base_mixing": BASE_MIXING_SQL,
+        "base_mixing_by_source": BASE_MIXING_BY_SOURCE_SQL,
+        "base_lm_scoring": BASE_LM_SQL,
+    }
