@@ -77,7 +77,7 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([df.tobytes()], pa.binary()), pa.array([y.tobytes()], pa.binary())], ["n", "df", "y"])
 
 
-def word_vectors(docs: DataFrame, fan_in: int = 32) -> np.ndarray:
+def word_vectors(docs: DataFrame, fan_in: int = 8) -> np.ndarray:
     """DIMS x RANK: what a word adds to a window's latent vector: idf times the right singular vectors, divided by the singular values.
 
     Each task writes one matrix of fixed size; they are added up in a tree, fan_in to a task, and the driver gets one."""
