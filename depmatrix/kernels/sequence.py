@@ -36,31 +36,32 @@ def anneal(a: np.ndarray, members: list[int], steps: int = 8000, seed: int | Non
     return [members[k] for k in kept]
 
 
-def strong_components(a: np.ndarray) -> list[list[int]]:
-    """Components with those that one depends on before it; members sorted. Two stacks and counters, no recursion (Gabow)."""
-    n = len(a)
-    after = [np.flatnonzero((a[v] > 0) & (np.arange(n) != v)).tolist() for v in range(n)]
-    number, done, clock = [0] * n, [False] * n, 0
+def components_of(after: list[list[int]]) -> list[list[int]]:
+    """Strong components of 0..n-1, after[v] being what v depends on; those that one depends on come before it, members sorted.
+
+    Two stacks and counters, no recursion (Gabow, 2000): time in proportion to elements and dependencies."""
+    n = len(after)
+    number, place, done, clock = [0] * n, [0] * n, [False] * n, 0
     path: list[int] = []
     bounds: list[int] = []
     out: list[list[int]] = []
     for root in range(n):
         if number[root]:
             continue
-        work = [(root, iter(after[root]))]
-        clock += 1
-        number[root] = clock
-        path.append(root)
-        bounds.append(root)
-        while work:
+        work = []
+        enter = [root]
+        while work or enter:
+            if enter:
+                v = enter.pop()
+                clock += 1
+                number[v], place[v] = clock, len(path)
+                path.append(v)
+                bounds.append(v)
+                work.append((v, iter(after[v])))
             v, rest = work[-1]
             for u in rest:
                 if not number[u]:
-                    clock += 1
-                    number[u] = clock
-                    path.append(u)
-                    bounds.append(u)
-                    work.append((u, iter(after[u])))
+                    enter.append(u)
                     break
                 if not done[u]:
                     while number[bounds[-1]] > number[u]:
@@ -69,14 +70,20 @@ def strong_components(a: np.ndarray) -> list[list[int]]:
                 work.pop()
                 if bounds[-1] == v:
                     bounds.pop()
-                    at = path.index(v)
-                    group, path = path[at:], path[:at]
+                    group = path[place[v] :]
+                    del path[place[v] :]
                     for u in group:
                         done[u] = True
                     out.append(sorted(group))
     return out
 
 
+def strong_components(a: np.ndarray) -> list[list[int]]:
+    """components_of() a matrix."""
+    links = (np.asarray(a) > 0) & ~np.eye(len(a), dtype=bool)
+    return components_of([np.flatnonzero(row).tolist() for row in links])
+
+
 def block_levels(a: np.ndarray, blocks: list[list[int]]) -> list[int]:
     """Longest chain of blocks that each depends on; blocks stand with dependencies first."""
     of = {v: b for b, members in enumerate(blocks) for v in members}
@@ -87,14 +94,27 @@ def block_levels(a: np.ndarray, blocks: list[list[int]]) -> list[int]:
     return out
 
 
+def largest_without(cells: list[tuple[int, int]], first: int, last: int) -> list[int]:
+    """For each of the dependencies first..last-1 of a loop: the size of its largest strong component when that one is taken out."""
+    names, at = np.unique(np.array(cells, int).ravel(), return_inverse=True)
+    i, j = at.reshape(-1, 2).T.tolist()
+    after: list[list[int]] = [[] for _ in names]
+    for x, y in zip(i, j, strict=True):
+        after[x].append(y)
+    out = []
+    for k in range(first, min(last, len(cells))):
+        whole = after[i[k]]
+        after[i[k]] = [y for y in whole if y != j[k]]
+        out.append(max(map(len, components_of(after))))
+        after[i[k]] = whole
+    return out
+
+
 def tears(a: np.ndarray, members: list[int], top: int = 5) -> list[dict]:
     """Single dependencies whose removal shrinks the loop most: impact first, then the lighter."""
-    m, n = a[np.ix_(members, members)].astype(float), len(members)
-    found = []
-    if n > 1:
-        for i, j in np.argwhere((m > 0) & ~np.eye(n, dtype=bool)):
-            w, m[i, j] = m[i, j], 0
-            left = max(map(len, strong_components(m)))
-            m[i, j] = w
-            found.append({"i": members[i], "j": members[j], "w": float(w), "impact": n - left, "largest_loop_after": left, "fully_resolves": left == 1})
+    m, n = np.asarray(a, float)[np.ix_(members, members)], len(members)
+    cells = [(int(i), int(j)) for i, j in np.argwhere((m > 0) & ~np.eye(n, dtype=bool))]
+    left = largest_without(cells, 0, len(cells)) if cells else []
+    # elements of no dependency are components of their own
+    found = [{"i": members[i], "j": members[j], "w": float(m[i, j]), "impact": n - x, "largest_loop_after": x, "fully_resolves": x == 1} for (i, j), x in zip(cells, left, strict=True)]
     return sorted(found, key=lambda t: (-t["impact"], t["w"]))[:top]

@@ -1,6 +1,7 @@
 """Loops to a fix-point over edges: components, strong components, levels, tearing, change propagation.
 
-Each round is a join and an aggregate; the state is checkpointed every round into the shared folder, never kept on one executor.
+Each round is a join and an aggregate over edges, never over pairs of elements (closure() apart); the state is checkpointed every
+round into the shared folder, never kept on one executor.
 """
 
 from __future__ import annotations
@@ -11,14 +12,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from depmatrix.kernels.sequence import largest_without
 from depmatrix.schema import Dsm
 
+#: Dependencies inside one loop that tearing() takes; each of them asks for a pass over all.
+MAX_LOOP = 1 << 18
+
 
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, by a checkpoint in the folder that the cluster names, or where it names none (tests) in a temporary one."""
-    sc = df.sparkSession.sparkContext
+    """df with its lineage cut, by a checkpoint in the folder that the cluster names; where it names none, in the warehouse, or in local mode (tests) in a temporary one."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="depmatrix-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            folder = tempfile.mkdtemp(prefix="depmatrix-") if sc.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir")
+        sc.setCheckpointDir(folder)
     return df.checkpoint()
 
 
@@ -46,7 +55,7 @@ def component_sizes(found: DataFrame) -> DataFrame:
 
 
 def closure(edges: DataFrame, key: tuple[str, ...] = ("dsm_id",), max_rounds: int = 64) -> DataFrame:
-    """Reachable pairs (key, i, j) over at least one edge, paths doubling each round. Its rows may reach n squared: for matrices up to about a thousand elements."""
+    """Reachable pairs (key, i, j) over at least one edge, paths doubling each round. Its rows may reach n squared: for small matrices and tests."""
     now = cut(edges.filter("w > 0 and i <> j").select(*key, "i", "j").distinct())
     n = now.count()
     for _ in range(max_rounds):
@@ -58,12 +67,63 @@ def closure(edges: DataFrame, key: tuple[str, ...] = ("dsm_id",), max_rounds: in
     return now
 
 
+def _trimmed(edges: DataFrame, key: list[str], stop: float = 0.02) -> DataFrame:
+    """Edges without those whose source nothing leads to or whose target leads nowhere: no loop runs over them. Layers are taken off while they take a share of `stop`."""
+    n = edges.count()
+    while n:
+        ends = edges.select(*key, F.col("j").alias("i")).distinct()
+        begins = edges.select(*key, F.col("i").alias("j")).distinct()
+        edges = cut(edges.join(ends, [*key, "i"], "left_semi").join(begins, [*key, "j"], "left_semi"))
+        left = edges.count()
+        if n - left <= stop * n:
+            break
+        n = left
+    return edges
+
+
+def _coloured(edges: DataFrame, key: list[str]) -> DataFrame:
+    """(key, idx, c): the smallest element from which idx can be reached, itself included."""
+    now = cut(edges.select(*key, F.explode(F.array("i", "j")).alias("idx")).distinct().withColumn("c", F.col("idx")))
+    while True:
+        reached = edges.join(now.select(*key, F.col("idx").alias("i"), "c"), [*key, "i"]).groupBy(*key, F.col("j").alias("idx")).agg(F.min("c").alias("m"))
+        new = cut(now.join(reached, [*key, "idx"], "left").select(*key, "idx", F.col("c").alias("old"), F.least("c", F.coalesce("m", "c")).alias("c")))
+        now = new.drop("old")
+        if new.filter("c <> old").isEmpty():
+            return now
+
+
 def strong_components(elements: DataFrame, edges: DataFrame, key: tuple[str, ...] = ("dsm_id",)) -> DataFrame:
-    """(key, idx, scc): scc is the smallest element that it reaches and is reached from."""
-    reach = closure(edges, key)
-    mutual = reach.join(reach.select(*key, F.col("j").alias("i"), F.col("i").alias("j")), [*key, "i", "j"])
-    least = mutual.groupBy(*key, F.col("i").alias("idx")).agg(F.min("j").alias("m"))
-    return elements.select(*key, "idx").join(least, [*key, "idx"], "left").select(*key, "idx", F.least("idx", F.coalesce("m", "idx")).alias("scc"))
+    """(key, idx, scc): scc is the smallest element that it reaches and is reached from.
+
+    Forward colours, then backward from each colour's root (Orzan, 2004), on edges that trimming leaves; what reaches its root within its colour is a component, the rest
+    goes round again. Work is in proportion to the edges of each round; rounds grow with the length of the shortest ways inside the loops."""
+    key = list(key)
+    left = cut(edges.filter("w > 0 and i <> j").select(*key, "i", "j").distinct())
+    found = None
+    while True:
+        left = _trimmed(left, key)
+        if left.isEmpty():
+            break
+        colour = _coloured(left, key)
+        a = colour.select(*key, F.col("idx").alias("i"), F.col("c"))
+        b = colour.select(*key, F.col("idx").alias("j"), F.col("c").alias("cj"))
+        inner = cut(left.join(a, [*key, "i"]).join(b, [*key, "j"]).filter("c = cj").select(*key, "i", "j", "c"))
+        reached = front = cut(colour.filter("idx = c"))
+        while True:
+            back = inner.join(front.select(*key, F.col("idx").alias("j"), "c"), [*key, "j", "c"], "left_semi").select(*key, F.col("i").alias("idx"), "c").distinct()
+            front = cut(back.join(reached, [*key, "idx"], "left_anti"))
+            if front.isEmpty():
+                break
+            reached = cut(reached.unionByName(front))
+        own = reached.select(*key, "idx", F.col("c").alias("scc"))
+        found = own if found is None else found.unionByName(own)
+        settled = reached.select(*key, "idx")
+        for end in ("i", "j"):
+            inner = inner.join(settled.withColumnRenamed("idx", end), [*key, end], "left_anti")
+        left = cut(inner.select(*key, "i", "j"))
+    if found is None:
+        return elements.select(*key, "idx", F.col("idx").alias("scc"))
+    return elements.select(*key, "idx").join(found, [*key, "idx"], "left").select(*key, "idx", F.coalesce("scc", "idx").alias("scc"))
 
 
 def loops(sccs: DataFrame, key: tuple[str, ...] = ("dsm_id",)) -> DataFrame:
@@ -73,6 +133,7 @@ def loops(sccs: DataFrame, key: tuple[str, ...] = ("dsm_id",)) -> DataFrame:
 
 def levels(edges: DataFrame, sccs: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """(dsm_id, scc, level): longest chain of components that it depends on."""
+    sccs = cut(sccs.select("dsm_id", "idx", "scc"))
     a, b = sccs.select("dsm_id", F.col("idx").alias("i"), F.col("scc").alias("a")), sccs.select("dsm_id", F.col("idx").alias("j"), F.col("scc").alias("b"))
     deps = cut(edges.filter("w > 0").join(a, ["dsm_id", "i"]).join(b, ["dsm_id", "j"]).filter("a <> b").select("dsm_id", "a", "b").distinct())
     now = cut(sccs.select("dsm_id", F.col("scc").alias("a")).distinct().withColumn("level", F.lit(0)))
@@ -86,20 +147,35 @@ def levels(edges: DataFrame, sccs: DataFrame, max_rounds: int = 10_000) -> DataF
     return now.select("dsm_id", F.col("a").alias("scc"), "level")
 
 
-def tearing(edges: DataFrame, sccs: DataFrame, top: int = 5) -> DataFrame:
-    """(dsm_id, scc, rank, i, j, w, impact, largest_loop_after, fully_resolves): each edge inside a loop is taken out, in a scenario of its own, and loops are found again."""
+def tearing(edges: DataFrame, sccs: DataFrame, top: int = 5, chunk: int = 64) -> DataFrame:
+    """(dsm_id, scc, rank, i, j, w, impact, largest_loop_after, fully_resolves): each edge inside a loop is taken out, in a scenario of its own, and loops are found again.
+
+    A loop's edges go to tasks that try `chunk` edges each, in time linear in the loop for each edge. A loop of more than MAX_LOOP edges is an error."""
+    sccs = cut(sccs.select("dsm_id", "idx", "scc"))
     a, b = sccs.select("dsm_id", F.col("idx").alias("i"), "scc"), sccs.select("dsm_id", F.col("idx").alias("j"), F.col("scc").alias("s2"))
-    size = loops(sccs)
-    inner = cut(edges.filter("w > 0 and i <> j").join(a, ["dsm_id", "i"]).join(b, ["dsm_id", "j"]).filter("scc = s2").join(size, ["dsm_id", "scc"]).select("dsm_id", "scc", "size", "i", "j", "w"))
-    torn = inner.select("dsm_id", "scc", F.col("i").alias("ti"), F.col("j").alias("tj"))
-    left = torn.join(inner.select("dsm_id", "scc", "i", "j", "w"), ["dsm_id", "scc"]).filter("not (i = ti and j = tj)")
-    key = ("dsm_id", "scc", "ti", "tj")
-    members = sccs.join(size.select("dsm_id", "scc"), ["dsm_id", "scc"], "left_semi").select("dsm_id", "scc", "idx")
-    again = strong_components(torn.join(members, ["dsm_id", "scc"]), left, key)
-    sizes = again.toDF(*key, "idx", "part").groupBy(*key, "part").agg(F.count("*").alias("m")).groupBy(*key).agg(F.max("m").alias("largest_loop_after"))
-    out = inner.join(sizes, (inner["dsm_id"] == sizes["dsm_id"]) & (inner["scc"] == sizes["scc"]) & (inner["i"] == sizes["ti"]) & (inner["j"] == sizes["tj"])).select(inner["dsm_id"], inner["scc"], "i", "j", "w", (F.col("size") - F.col("largest_loop_after")).alias("impact"), "largest_loop_after", (F.col("largest_loop_after") == 1).alias("fully_resolves"))
+    inner = edges.filter("w > 0 and i <> j").join(a, ["dsm_id", "i"]).join(b, ["dsm_id", "j"]).filter("scc = s2").select("dsm_id", "scc", "i", "j", "w")
+    counts = cut(inner.groupBy("dsm_id", "scc").agg(F.count("*").alias("m")))
+    large = counts.filter(F.col("m") > MAX_LOOP).first()
+    if large:
+        raise ValueError(f"a loop of {large['dsm_id']} has {large['m']} dependencies, more than {MAX_LOOP}")
+    pack = inner.groupBy("dsm_id", "scc").agg(F.sort_array(F.collect_list(F.struct("i", "j", "w"))).alias("cells"))
+    size = loops(sccs).withColumnRenamed("size", "n")
+    tasks = counts.select("dsm_id", "scc", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1, F.lit(chunk).cast("long")).cast("array<int>")).alias("at")).repartition("dsm_id", "scc", "at")
+
+    def run(frame):
+        import pandas as pd
+
+        out = []
+        for row in frame.to_dict("records"):
+            cells = [(c["i"], c["j"]) for c in row["cells"]]
+            left = largest_without(cells, row["at"], row["at"] + chunk)
+            for c, x in zip(row["cells"][row["at"] :], left, strict=False):
+                out.append((row["dsm_id"], row["scc"], c["i"], c["j"], c["w"], row["n"] - x, x, x == 1))
+        return pd.DataFrame(out, columns=["dsm_id", "scc", "i", "j", "w", "impact", "largest_loop_after", "fully_resolves"])
+
+    found = tasks.join(pack, ["dsm_id", "scc"]).join(size, ["dsm_id", "scc"]).groupBy("dsm_id", "scc", "at").applyInPandas(run, "dsm_id string, scc int, i int, j int, w double, impact long, largest_loop_after long, fully_resolves boolean")
     order = W.partitionBy("dsm_id", "scc").orderBy(F.desc("impact"), "w", "i", "j")
-    return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
 
 
 def propagation(edges: DataFrame, depth: int = 4, attenuation: float = 0.6) -> DataFrame:
@@ -120,13 +196,16 @@ def risk_ranking(risk: DataFrame, sizes: DataFrame, axis: str, top: int = 6, lea
     return means.withColumn("rank", F.row_number().over(W.partitionBy("dsm_id").orderBy(F.desc("mean_risk"), "idx"))).filter((F.col("rank") <= top) & (F.col("mean_risk") > least))
 
 
-def markov_steps(dsm: Dsm, steps: int = 2, inflation: float = 2.0) -> DataFrame:
-    """A fixed number of Markov-clustering steps as joins: self-loops of 1, columns normalised, squared, raised, normalised."""
+def markov_steps(dsm: Dsm, steps: int = 2, inflation: float = 2.0, prune: float = 0.0) -> DataFrame:
+    """A fixed number of Markov-clustering steps as joins: self-loops of 1, columns normalised, squared, raised, normalised.
+
+    prune: what is below that share of its column goes after each step, and columns are normalised again; 0 keeps all, so that rows may fill up to n squared."""
     from depmatrix.operators.transforms import column_normalise
 
     loops_ = dsm.elements.select("dsm_id", F.col("idx").alias("i"), F.col("idx").alias("j"), F.lit(1.0).alias("w"))
     now = cut(column_normalise(dsm.edges.filter("i <> j").unionByName(loops_)))
     for _ in range(steps):
         square = now.withColumnRenamed("j", "k").withColumnRenamed("w", "a").join(now.withColumnRenamed("i", "k").withColumnRenamed("w", "b"), ["dsm_id", "k"]).groupBy("dsm_id", "i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("w"))
-        now = cut(column_normalise(square.withColumn("w", F.pow("w", F.lit(inflation)))))
+        raised = column_normalise(square.withColumn("w", F.pow("w", F.lit(inflation))))
+        now = cut(column_normalise(cut(raised).filter(F.col("w") >= prune)) if prune else raised)
     return now

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from depmatrix.functions.scalar import ratio
+from depmatrix.operators.graph import cut
 from depmatrix.operators.transforms import symmetrise
 from depmatrix.schema import Dsm
 
@@ -34,7 +35,8 @@ def scores(edges: DataFrame, assign: DataFrame, sizes: DataFrame, by: tuple[str,
 
 def metrics(edges: DataFrame, assign: DataFrame, elements: DataFrame, bus: DataFrame) -> DataFrame:
     """Final figures: core only for clusters, marks, ratio and cost; total_marks with bus. The ratio's denominator is at least 1; marks are truncated."""
-    core = assign.join(bus.select("dsm_id", "idx"), ["dsm_id", "idx"], "left_anti")
+    bus = cut(bus.select("dsm_id", "idx"))  # used twice
+    core = cut(assign.select("dsm_id", "idx", "cluster").join(bus, ["dsm_id", "idx"], "left_anti"))
     sizes = core.groupBy("dsm_id").agg(F.count("*").alias("n"))
     k = core.groupBy("dsm_id").agg(F.count_distinct("cluster").alias("n_clusters"))
     joined = with_clusters(edges.filter("w > 0"), core).join(sizes, "dsm_id")
@@ -73,14 +75,14 @@ def connectivity(dsm: Dsm) -> DataFrame:
 
 def bus_elements(dsm: Dsm, threshold: float | None = None) -> DataFrame:
     """(dsm_id, idx, conn, threshold) of elements above the threshold; None: median + 3.5 robust deviations, at least 0.15."""
-    conn = connectivity(dsm)
+    conn = connectivity(dsm) if threshold is not None else cut(connectivity(dsm))  # read three times
     if threshold is not None:
         return conn.withColumn("threshold", F.lit(float(threshold))).filter("conn > threshold")
     mid = conn.groupBy("dsm_id").agg(F.median("conn").alias("mid"), F.stddev_pop("conn").alias("sd"))
     apart = conn.join(mid, "dsm_id").groupBy("dsm_id").agg(F.median(F.abs(F.col("conn") - F.col("mid"))).alias("mad"))
     spread = F.when(F.col("mad") > 0, 1.4826 * F.col("mad")).otherwise(F.col("sd"))
-    cut = mid.join(apart, "dsm_id").select("dsm_id", F.greatest(F.col("mid") + 3.5 * spread, F.lit(0.15)).alias("threshold"))
-    return conn.join(cut, "dsm_id").filter("conn > threshold")
+    limit = mid.join(apart, "dsm_id").select("dsm_id", F.greatest(F.col("mid") + 3.5 * spread, F.lit(0.15)).alias("threshold"))
+    return conn.join(limit, "dsm_id").filter("conn > threshold")
 
 
 def recommend(candidates: DataFrame) -> DataFrame:
@@ -109,13 +111,18 @@ def co_clustering(runs: DataFrame) -> DataFrame:
     return pairs.join(n, "dsm_id").select("dsm_id", "i", "j", (F.col("c") / F.col("runs")).alias("frac"))
 
 
-def consistency(runs: DataFrame, reference: DataFrame, co: DataFrame | None = None) -> DataFrame:
-    """(dsm_id, idx, c): mean share of runs with its peers in the reference (dsm_id, idx, cluster); without peers 1."""
-    co = co_clustering(runs) if co is None else co
-    a, b = reference.select("dsm_id", F.col("idx").alias("i"), "cluster"), reference.select("dsm_id", F.col("idx").alias("j"), "cluster")
-    peers = a.join(b, ["dsm_id", "cluster"]).filter("i <> j").join(co, ["dsm_id", "i", "j"], "left")
-    means = peers.groupBy("dsm_id", F.col("i").alias("idx")).agg(F.avg(F.coalesce("frac", F.lit(0.0))).alias("c"))
-    return reference.select("dsm_id", "idx").join(means, ["dsm_id", "idx"], "left").select("dsm_id", "idx", F.coalesce("c", F.lit(1.0)).alias("c"))
+def consistency(runs: DataFrame, reference: DataFrame) -> DataFrame:
+    """(dsm_id, idx, c): mean share of runs with its peers in the reference (dsm_id, idx, cluster); without peers 1.
+
+    Peers aren't paired: those in one cluster of a run are as many as the run's cluster and the reference's have in common."""
+    named = reference.select("dsm_id", "idx", F.col("cluster").alias("peers"))
+    sizes = named.groupBy("dsm_id", "peers").agg(F.count("*").alias("size"))
+    n = runs.groupBy("dsm_id").agg(F.count_distinct("run").alias("runs"))
+    placed = runs.select("dsm_id", "run", "idx", "cluster").join(named, ["dsm_id", "idx"])
+    common = placed.groupBy("dsm_id", "run", "cluster", "peers").agg((F.count("*") - 1).alias("together"))
+    met = placed.join(common, ["dsm_id", "run", "cluster", "peers"]).groupBy("dsm_id", "idx").agg(F.sum("together").alias("met"))
+    share = F.coalesce("met", F.lit(0)) / (F.col("runs") * (F.col("size") - 1))
+    return named.join(sizes, ["dsm_id", "peers"]).join(n, "dsm_id").join(met, ["dsm_id", "idx"], "left").select("dsm_id", "idx", F.when(F.col("size") < 2, F.lit(1.0)).otherwise(share).alias("c"))
 
 
 def distinct_partitions(runs: DataFrame) -> DataFrame:

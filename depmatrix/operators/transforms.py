@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from depmatrix.operators.numbering import numbered
 from depmatrix.schema import EDGES, Dsm
 
 
@@ -25,8 +26,7 @@ def symmetrise(edges: DataFrame, factor: float = 0.5) -> DataFrame:
 def submatrix(dsm: Dsm, members: DataFrame) -> tuple[Dsm, DataFrame]:
     """(the matrix of the members (dsm_id, idx), numbered anew in their old order; the map dsm_id, old, idx)."""
     kept = dsm.elements.join(members.select("dsm_id", "idx").distinct(), ["dsm_id", "idx"], "left_semi")
-    order = W.partitionBy("dsm_id").orderBy("idx")
-    named = kept.select("dsm_id", F.col("idx").alias("old"), (F.row_number().over(order) - 1).cast("int").alias("idx"), "label")
+    named = numbered(kept.select("dsm_id", F.col("idx").alias("old"), "label"), ["old"], "idx")
     return Dsm(named.select("dsm_id", "idx", "label"), renumber(dsm.edges, named.select("dsm_id", F.col("old").alias("idx"), F.col("idx").alias("to")))), named.select("dsm_id", "old", "idx")
 
 
@@ -50,13 +50,14 @@ def grouped_order(elements: DataFrame, assign: DataFrame, bus: DataFrame) -> Dat
     own = W.partitionBy("dsm_id").orderBy("idx")
     extra = bus.select("dsm_id", "idx").join(k, "dsm_id", "left").select("dsm_id", "idx", (F.coalesce("k", F.lit(0)) + F.row_number().over(own) - 1).alias("cluster"))
     both = core.select("dsm_id", "idx", "cluster", F.lit(0).alias("is_bus")).union(extra.select("dsm_id", "idx", "cluster", F.lit(1)))
-    order = W.partitionBy("dsm_id").orderBy("is_bus", "cluster", "idx")
-    return both.select("dsm_id", (F.row_number().over(order) - 1).cast("int").alias("pos"), "idx", F.col("cluster").cast("int").alias("cluster"))
+    return numbered(both, ["is_bus", "cluster", "idx"], "pos").select("dsm_id", "pos", "idx", F.col("cluster").cast("int").alias("cluster"))
 
 
 def relabel(assign: DataFrame, by: tuple[str, ...] = ("dsm_id",)) -> DataFrame:
-    """Cluster ids 0..k-1 in the order of the old ones."""
-    return assign.withColumn("cluster", (F.dense_rank().over(W.partitionBy(*by).orderBy("cluster")) - 1).cast("int"))
+    """Cluster ids 0..k-1 in the order of the old ones. Only the ids are ranked, not their members."""
+    ids = assign.select(*by, "cluster").distinct()
+    new = ids.withColumn("to", (F.row_number().over(W.partitionBy(*by).orderBy("cluster")) - 1).cast("int"))
+    return assign.join(new, [*by, "cluster"]).withColumn("cluster", F.col("to")).select(*assign.columns)
 
 
 def column_normalise(edges: DataFrame) -> DataFrame:

@@ -7,23 +7,53 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from depmatrix.operators.scoring import scores
-from depmatrix.operators.transforms import symmetrise
+from depmatrix.operators.transforms import relabel, symmetrise
+from depmatrix.schema import Dsm
+
+
+#: What a result may come from, with its title.
+TITLES = {
+    "spectral": "Spectral clustering",
+    "mcl": "MCL clustering",
+    "thebeau": "Thebeau clustering",
+    "louvain": "Louvain clustering",
+    "final": "Final (sequenced)",
+    "process": "Partitioned (sequenced)",
+}
 
 
 def move(assign: DataFrame, idx: int, to: int | None = None) -> DataFrame:
-    """assign (dsm_id, idx, cluster) with one element moved to a cluster, or to a new one (largest id + 1)."""
+    """assign (dsm_id, idx, cluster) with one element moved to a cluster, or to a new one (largest id + 1, above those of bus elements, which assign holds too)."""
     if to is not None:
         return assign.withColumn("cluster", F.when(F.col("idx") == idx, F.lit(to)).otherwise(F.col("cluster")))
     new = assign.groupBy("dsm_id").agg((F.max("cluster") + 1).alias("new"))
     return assign.join(new, "dsm_id").withColumn("cluster", F.when(F.col("idx") == idx, F.col("new")).otherwise(F.col("cluster"))).drop("new")
 
 
-def rescore(edges: DataFrame, sizes: DataFrame, base: DataFrame, trial: DataFrame, tolerance: float = 1e-9) -> DataFrame:
-    """(dsm_id, base_cost, cost, base_external, external, verdict improved/worse/same by cost)."""
+def finalise(dsm: Dsm, ordering: DataFrame, source: str) -> tuple[DataFrame, str]:
+    """(ordering (dsm_id, pos, idx, cluster), title) if the source is known and the ordering has each element once, with a cluster; else ValueError."""
+    if source not in TITLES:
+        raise ValueError(f"unknown source {source!r}")
+    have, want = ordering.select("dsm_id", "idx", "cluster"), dsm.elements.select("dsm_id", "idx")
+    bad = have.groupBy("dsm_id", "idx").agg(F.count("*").alias("n"), F.count("cluster").alias("k")).join(want.withColumn("known", F.lit(True)), ["dsm_id", "idx"], "full_outer")
+    first = bad.filter("n is null or n <> 1 or k <> 1 or known is null").first()
+    if first:
+        raise ValueError(f"the result doesn't match {first['dsm_id']}: element {first['idx']}")
+    return ordering, f"Optimized DSM - {TITLES[source]}"
+
+
+def rescore(edges: DataFrame, sizes: DataFrame, base: DataFrame, trial: DataFrame, tolerance: float = 1e-9, bus: DataFrame | None = None) -> DataFrame:
+    """(dsm_id, base_cost, cost, base_external, external, verdict improved/worse/same by cost, external_verdict by external ratio).
+
+    bus (dsm_id, idx): elements that are left out of both, and of the number of elements."""
+    if bus is not None:
+        without = lambda df: df.join(bus.select("dsm_id", "idx"), ["dsm_id", "idx"], "left_anti")
+        base, trial = without(base), without(trial)
+        sizes = base.groupBy("dsm_id").agg(F.count("*").cast("int").alias("n"))
     a = scores(edges, base, sizes).select("dsm_id", F.col("cost").alias("base_cost"), F.col("external_ratio").alias("base_external"))
     b = scores(edges, trial, sizes).select("dsm_id", "cost", F.col("external_ratio").alias("external"))
-    gain = F.col("cost") - F.col("base_cost")
-    return a.join(b, "dsm_id").withColumn("verdict", F.when(gain < -tolerance, "improved").when(gain > tolerance, "worse").otherwise("same"))
+    said = lambda gain: F.when(gain < -tolerance, "improved").when(gain > tolerance, "worse").otherwise("same")
+    return a.join(b, "dsm_id").withColumn("verdict", said(F.col("cost") - F.col("base_cost"))).withColumn("external_verdict", said(F.col("external") - F.col("base_external")))
 
 
 def enforce_min_size(edges: DataFrame, assign: DataFrame, least: int = 2) -> DataFrame:
@@ -38,7 +68,7 @@ def enforce_min_size(edges: DataFrame, assign: DataFrame, least: int = 2) -> Dat
     offers = small.join(large, "dsm_id").join(pull, ["dsm_id", "idx", "to"], "left").withColumn("pull", F.coalesce("pull", F.lit(0.0)))
     best = offers.withColumn("r", F.row_number().over(W.partitionBy("dsm_id", "idx").orderBy(F.desc("pull"), "first"))).filter("r = 1").select("dsm_id", "idx", "to")
     moved = assign.join(best, ["dsm_id", "idx"], "left").select("dsm_id", "idx", F.coalesce("to", "cluster").alias("cluster"))
-    return moved.withColumn("cluster", (F.dense_rank().over(W.partitionBy("dsm_id").orderBy("cluster")) - 1).cast("int"))
+    return relabel(moved)
 
 
 def merge_step(edges: DataFrame, assign: DataFrame, max_size: int = 20) -> DataFrame:

@@ -19,7 +19,7 @@ from depmatrix.operators import scoring
 from depmatrix.operators.graph import component_sizes, components, cut
 from depmatrix.operators.transforms import submatrix
 from depmatrix.params import Constraints
-from depmatrix.plans.fanout import fan_out, packed
+from depmatrix.plans.fanout import dense, done, failures, fan_out, packed
 from depmatrix.schema import Dsm
 
 ALGORITHMS = scoring.RANK
@@ -52,13 +52,14 @@ def _run(algo: str, a: np.ndarray, limits: Constraints, seed: int | None, inflat
 
 @dataclass(frozen=True)
 class Stage1:
-    """candidates: dsm_id, algo, n_clusters, cost, external_ratio, k_in_range. assign: dsm_id, algo, idx (of the core), cluster."""
+    """candidates: dsm_id, algo, n_clusters, cost, external_ratio, k_in_range. assign: dsm_id, algo, idx (of the core), cluster. failures: dsm_id, task, status."""
 
     core: Dsm
     names: DataFrame
     bus: DataFrame
     candidates: DataFrame
     assign: DataFrame
+    failures: DataFrame | None = None
 
     def recommended(self) -> DataFrame:
         return scoring.recommend(self.candidates)
@@ -77,14 +78,27 @@ def cluster_stage(dsm: Dsm, limits: Constraints = Constraints()) -> Stage1:
             return []
         return _labels(found, algo=task["algo"], inflation=task["inflation"])
 
-    all_ = cut(fan_out(packed(core), tasks, kernel, "idx int, cluster int, algo string, inflation double").drop("task"))
+    found = cut(fan_out(packed(core), tasks, kernel, "idx int, cluster int, algo string, inflation double"))
+    all_ = done(found)
     sizes = core.sizes()
     scored = scoring.k_in_range(scoring.scores(core.edges, all_, sizes, ("dsm_id", "algo", "inflation")), sizes, limits.min_clusters, limits.max_clusters)
     # of the inflations one within the range comes first, then the cheapest, then the lowest
     order = W.partitionBy("dsm_id", "algo").orderBy(F.desc("k_in_range"), "cost", "inflation")
     best = cut(scored.withColumn("r", F.row_number().over(order)).filter("r = 1").drop("r"))
     assign = all_.join(best.select("dsm_id", "algo", "inflation"), ["dsm_id", "algo", "inflation"], "left_semi")
-    return Stage1(core, names, bus, best, assign.select("dsm_id", "algo", "idx", "cluster"))
+    return Stage1(core, names, bus, best, assign.select("dsm_id", "algo", "idx", "cluster"), failures(found))
+
+
+def restored(dsm: Dsm, raw: DataFrame, limits: Constraints = Constraints()) -> Stage1:
+    """The first stage out of saved clusters raw (dsm_id, algo, idx of the core, cluster), scored again but not clustered again."""
+    core, names, bus = core_of(dsm, limits)
+    core, sizes = Dsm(cut(core.elements), cut(core.edges)), core.sizes()
+    assign = cut(raw.select("dsm_id", "algo", "idx", "cluster"))
+    lost = assign.join(core.elements.select("dsm_id", "idx"), ["dsm_id", "idx"], "left_anti").first()
+    if lost:
+        raise ValueError(f"saved clusters don't match the core of {lost['dsm_id']}: element {lost['idx']}")
+    scored = scoring.k_in_range(scoring.scores(core.edges, assign, sizes, ("dsm_id", "algo")), sizes, limits.min_clusters, limits.max_clusters)
+    return Stage1(core, names, bus, cut(scored), assign)
 
 
 def k_sweep(core: Dsm, low: int = 2, high: int | None = None, limits: Constraints = Constraints()) -> DataFrame:
@@ -95,7 +109,7 @@ def k_sweep(core: Dsm, low: int = 2, high: int | None = None, limits: Constraint
             return []
         return _labels(spectral_cluster(a, k=task["k"], low=task["k"], high=task["k"])[0], k=task["k"])
 
-    runs = fan_out(packed(core), [{"k": k} for k in range(low, (high or 11) + 1)], kernel, "idx int, cluster int, k int").drop("task")
+    runs = done(fan_out(packed(core), [{"k": k} for k in range(low, (high or 11) + 1)], kernel, "idx int, cluster int, k int"))
     return scoring.scores(core.edges, cut(runs), core.sizes(), ("dsm_id", "k")).select("dsm_id", "k", "n_clusters", "external_ratio", "cost")
 
 
@@ -111,25 +125,22 @@ def sequence_stage(dsm: Dsm, stage: Stage1, chosen: DataFrame, limits: Constrain
     labels = picked.groupBy("dsm_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", "cluster"))), lambda x: x["cluster"]).alias("labels"))
     pack = packed(stage.core).join(labels, "dsm_id")
 
-    def run(frames):
+    def run(frame):
         import pandas as pd
 
-        from depmatrix.plans.fanout import dense
-
-        for frame in frames:
-            for row in frame.to_dict("records"):
-                a = dense(row)
-                low, high = limits.k_range(len(a))
-                found, merges, splits = within_limits(a, [int(x) for x in row["labels"]], limits.min_cluster_size, limits.max_cluster_size, low, high)
-                out, before, after = [], 0, 0
-                for c in sorted(set(found)):
-                    own = [i for i, x in enumerate(found) if x == c]
-                    new = anneal(a, own, seed=None if limits.seed is None else limits.seed + c)
-                    before, after = before + int(feedback(a, own)), after + int(feedback(a, new))
-                    out += [(i, c) for i in new]
-                yield pd.DataFrame([{"dsm_id": row["dsm_id"], "core": i, "place": p, "cluster": c, "merges": merges, "splits": splits, "before": before, "after": after} for p, (i, c) in enumerate(out)], columns=["dsm_id", "core", "place", "cluster", "merges", "splits", "before", "after"])
-
-    placed = cut(pack.repartition("dsm_id").mapInPandas(run, "dsm_id string, core int, place int, cluster int, merges int, splits int, before long, after long"))
+        row = frame.to_dict("records")[0]
+        a = dense(row)
+        low, high = limits.k_range(len(a))
+        found, merges, splits = within_limits(a, [int(x) for x in row["labels"]], limits.min_cluster_size, limits.max_cluster_size, low, high)
+        out, before, after = [], 0, 0
+        for c in sorted(set(found)):
+            own = [i for i, x in enumerate(found) if x == c]
+            new = anneal(a, own, seed=None if limits.seed is None else limits.seed + c)
+            before, after = before + int(feedback(a, own)), after + int(feedback(a, new))
+            out += [(i, c) for i in new]
+        return pd.DataFrame([(row["dsm_id"], i, p, c, merges, splits, before, after) for p, (i, c) in enumerate(out)], columns=["dsm_id", "core", "place", "cluster", "merges", "splits", "before", "after"])
+
+    placed = cut(pack.groupBy("dsm_id").applyInPandas(run, "dsm_id string, core int, place int, cluster int, merges int, splits int, before long, after long"))
     core = placed.join(stage.names.select("dsm_id", F.col("old").alias("idx"), F.col("idx").alias("core")), ["dsm_id", "core"]).select("dsm_id", F.lit(0).alias("is_bus"), "place", "idx", "cluster")
     k = placed.groupBy("dsm_id").agg((F.max("cluster") + 1).alias("k"))
     own = F.row_number().over(W.partitionBy("dsm_id").orderBy("idx")) - 1
@@ -148,19 +159,20 @@ def run(dsm: Dsm, limits: Constraints = Constraints()) -> tuple[DataFrame, DataF
 
 
 def stability(dsm: Dsm, algo: str, runs: int = 20, limits: Constraints = Constraints()) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(co-clustering, consistency against the first run, one row of figures for each matrix) over seeds 0..runs-1, of which at most 50."""
+    """(co-clustering, consistency against the first run, one row of figures for each matrix) over seeds 0..runs-1."""
     if algo == "mcl":
         raise ValueError("mcl has no seed; its result is always the same")
     if algo not in ALGORITHMS:
         raise ValueError(f"unknown algorithm {algo!r}")
-    runs = max(1, min(50, runs))
+    runs = max(1, runs)
 
     def kernel(a: np.ndarray, task: dict) -> list[dict]:
         return _labels(_run(algo, a, limits, task["seed"]), run=task["seed"])
 
-    labels = cut(fan_out(packed(dsm), [{"seed": s} for s in range(runs)], kernel, "idx int, cluster int, run int").drop("task"))
-    co = cut(scoring.co_clustering(labels))
-    agree = cut(scoring.consistency(labels, labels.filter("run = 0").select("dsm_id", "idx", "cluster"), co))
+    found = fan_out(packed(dsm), [{"seed": s} for s in range(runs)], kernel, "idx int, cluster int, run int")
+    labels = cut(done(found))
+    co = scoring.co_clustering(labels)
+    agree = cut(scoring.consistency(labels, labels.filter("run = 0").select("dsm_id", "idx", "cluster")))
     figures = agree.groupBy("dsm_id").agg(F.avg("c").alias("mean_consistency"), F.count_if(F.col("c") < 0.7).alias("unsettled")).join(scoring.distinct_partitions(labels), "dsm_id").withColumn("runs", F.lit(runs))
     return co, agree, figures
 
@@ -170,7 +182,7 @@ def fiedler_profile(core: Dsm) -> DataFrame:
     found = components(core)
     largest = component_sizes(found).filter("rank = 0").select("dsm_id", "component")
     part, names = submatrix(core, found.join(largest, ["dsm_id", "component"], "left_semi"))
-    values = fan_out(packed(part), [{}], lambda a, _: [{"idx": i, "value": float(v)} for i, v in enumerate(fiedler(a))], "idx int, value double")
+    values = done(fan_out(packed(part), [{}], lambda a, _: [{"idx": i, "value": float(v)} for i, v in enumerate(fiedler(a))], "idx int, value double"))
     return values.join(names, ["dsm_id", "idx"]).select("dsm_id", F.col("old").alias("idx"), "value")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from depmatrix.operators.numbering import numbered
 from depmatrix.schema import Dsm
 
 
@@ -37,7 +38,7 @@ def chain(spark: SparkSession, sf_dir: str, key: str, dsm_id: str) -> Dsm:
     pairs = steps.groupBy(F.col(key).alias("a"), F.col("before").alias("b")).agg(F.count("*").cast("double").alias("w"))
     name, column = ("supplier", "s_suppkey") if key == "l_suppkey" else ("part", "p_partkey")
     ids = table(spark, sf_dir, name).select(F.col(column).alias("item"), F.col("s_name" if name == "supplier" else "p_name").alias("label"))
-    ids = ids.withColumn("idx", (F.row_number().over(W.orderBy("item")) - 1).cast("int"))
+    ids = numbered(ids, ["item"], "idx", by=None)
     edges = pairs.join(ids.select(F.col("item").alias("a"), F.col("idx").alias("i")), "a").join(ids.select(F.col("item").alias("b"), F.col("idx").alias("j")), "b")
     return Dsm(ids.select(F.lit(dsm_id).alias("dsm_id"), "idx", "label"), edges.select(F.lit(dsm_id).alias("dsm_id"), "i", "j", "w"))
 

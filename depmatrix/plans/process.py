@@ -10,9 +10,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from depmatrix.kernels.sequence import anneal, block_levels, strong_components, tears
-from depmatrix.operators import scoring
+from depmatrix.operators import graph, scoring
 from depmatrix.operators.graph import cut
-from depmatrix.plans.fanout import fan_out, packed
+from depmatrix.operators.numbering import numbered
+from depmatrix.plans.fanout import done, fan_out, packed
 from depmatrix.schema import Dsm
 
 
@@ -37,12 +38,12 @@ def partition(dsm: Dsm, seed: int | None = None, suggestions: int = 5) -> Proces
                 out.append({"pos": len(out), "idx": i, "block": b, "level": levels[b], "size": len(members)})
         return out
 
-    placed = cut(fan_out(pack, [{}], order, "pos int, idx int, block int, level int, size int").drop("task"))
+    placed = cut(done(fan_out(pack, [{}], order, "pos int, idx int, block int, level int, size int")))
 
     def cuts(a: np.ndarray, _: dict) -> list[dict]:
         return [{"block": b, "rank": r + 1, **t} for b, m in enumerate(strong_components(a)) if len(m) > 1 for r, t in enumerate(tears(a, m, suggestions))]
 
-    torn = fan_out(pack, [{}], cuts, "block int, rank int, i int, j int, w double, impact int, largest_loop_after int, fully_resolves boolean").drop("task")
+    torn = done(fan_out(pack, [{}], cuts, "block int, rank int, i int, j int, w double, impact int, largest_loop_after int, fully_resolves boolean"))
     blocks = placed.groupBy("dsm_id", "block").agg(F.max("level").alias("level"), (F.max("size") > 1).alias("is_loop"), F.sort_array(F.collect_list("idx")).alias("members"))
     return Process(placed.drop("size"), blocks, torn, process_metrics(dsm, placed))
 
@@ -59,6 +60,14 @@ def process_metrics(dsm: Dsm, placed: DataFrame) -> DataFrame:
     return scoring.guidance(out.withColumn("symmetry_ratio", F.coalesce("symmetry_ratio", F.lit(0.0))).withColumn("sequential_elements", F.col("n_elements") - F.col("coupled_elements")).withColumn("marks_resolved", F.col("feedback_before") - F.col("feedback_after")))
 
 
+def by_levels(dsm: Dsm) -> DataFrame:
+    """(dsm_id, pos, idx, block, level, size): the order by level, loop and index, for matrices of any size, in tables alone. Elements of a loop aren't arranged among themselves."""
+    sccs = cut(graph.strong_components(dsm.elements, dsm.edges))
+    blocks = sccs.groupBy("dsm_id", "scc").agg(F.count("*").cast("int").alias("size")).join(graph.levels(dsm.edges, sccs), ["dsm_id", "scc"])
+    blocks = numbered(blocks, ["level", "scc"], "block")
+    return numbered(sccs.join(blocks, ["dsm_id", "scc"]), ["block", "idx"], "pos").select("dsm_id", "pos", "idx", "block", "level", "size")
+
+
 def banded(placed: DataFrame) -> DataFrame:
     """Elements by level, for drawing: (dsm_id, level, elements)."""
-    return placed.withColumn("r", F.row_number().over(W.partitionBy("dsm_id").orderBy("pos"))).groupBy("dsm_id", "level").agg(F.count("*").alias("elements"))
+    return placed.groupBy("dsm_id", "level").agg(F.count("*").alias("elements"))

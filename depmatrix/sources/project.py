@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -46,6 +47,54 @@ def read_projects(spark: SparkSession, path: str) -> Dsm:
     return as_dsm(files.mapInPandas(run, _CELLS))
 
 
+@dataclass(frozen=True)
+class Restored:
+    """What a project file holds besides its matrix, as tables.
+
+    state: dsm_id, dsm_type, convention, source_name. params: dsm_id, name, value. raw: dsm_id, algo, idx (of the core), cluster, for cluster.restored().
+    result: dsm_id, pos, label, cluster, source, title, the result that was final. client: dsm_id, client_state (JSON)."""
+
+    dsm: Dsm
+    state: DataFrame
+    params: DataFrame
+    raw: DataFrame
+    result: DataFrame
+    client: DataFrame
+
+
+_STATE = "dsm_id string, kind string, name string, value string, i int, cluster int"
+
+
+def restore(spark: SparkSession, path: str) -> Restored:
+    """The projects of a path with their parameters, convention, clusters and results, so that work goes on without clustering again."""
+    files = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("dsm_id"), "value")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for dsm_id, text in zip(frame["dsm_id"], frame["value"], strict=True):
+                p = parse(text)
+                kept = p.get("server_state") or {}
+                defaults = {"dsm_type": "component", "convention": "IR", "source_name": "project"}
+                out = [(dsm_id, "state", k, str(p.get(k) or kept.get(k) or v), None, None) for k, v in defaults.items()]
+                out += [(dsm_id, "param", k, None if v is None else str(v), None, None) for k, v in (p["params"] or kept.get("params") or {}).items()]
+                for algo, found in (kept.get("stage1") or {}).items():
+                    if isinstance(found, dict):
+                        out += [(dsm_id, "raw", algo, None, i, int(c)) for i, c in enumerate(found.get("raw_clusters") or [])]
+                last = kept.get("last_result") or {}
+                said = f"{last.get('source', 'final')}/{last.get('title', 'Optimized DSM')}"
+                out += [(dsm_id, "result", label, said, i, int(c)) for i, (label, c) in enumerate(zip(last.get("labels") or [], last.get("clusters") or [], strict=True))]
+                out.append((dsm_id, "client", None, json.dumps(p.get("client_state")), None, None))
+                yield pd.DataFrame(out, columns=["dsm_id", "kind", "name", "value", "i", "cluster"]).astype({"i": "Int32", "cluster": "Int32"})
+
+    found = files.mapInPandas(run, _STATE)
+    of = lambda kind: found.filter(F.col("kind") == kind)
+    state = of("state").groupBy("dsm_id").pivot("name", ["dsm_type", "convention", "source_name"]).agg(F.first("value"))
+    source = F.split("value", "/", 2)
+    result = of("result").select("dsm_id", F.col("i").alias("pos"), F.col("name").alias("label"), "cluster", source[0].alias("source"), source[1].alias("title"))
+    raw = of("raw").select("dsm_id", F.col("name").alias("algo"), F.col("i").alias("idx"), "cluster")
+    return Restored(read_projects(spark, path), state, of("param").select("dsm_id", "name", "value"), raw, result, of("client").select("dsm_id", F.col("value").alias("client_state")))
+
+
 def save(dsm: Dsm, path: str, **results: DataFrame) -> None:
     """elements, edges and results as Parquet, a folder for each matrix, so that one can be read alone."""
     for name, df in {"elements": dsm.elements, "edges": dsm.edges, **results}.items():

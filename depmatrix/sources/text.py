@@ -8,9 +8,9 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from depmatrix.operators.numbering import numbered
 from depmatrix.schema import Dsm
 
 _CELLS = "dsm_id string, i int, j int, label string, w double"
@@ -60,7 +60,7 @@ def edges_from_lines(lines: DataFrame, dsm_id: Column | None = None) -> Dsm:
     """From (line bigint, value) with 'from,to[,weight]'. A blank weight is 1; of repeated pairs the last counts; an edge to itself only names its element.
 
     Elements are numbered by first appearance. A header is a first line that starts with from or source, or whose third cell isn't a number.
-    A weight that isn't a number raises an error, as do fewer than two elements when validated."""
+    A weight that isn't a number raises an error; fewer than two elements are found by schema.validate()."""
     name = F.lit("edge_list") if dsm_id is None else dsm_id
     cells = F.transform(F.split("value", ","), lambda x: F.trim(x))
     rows = lines.filter(F.trim("value") != "").select(name.alias("dsm_id"), "line", cells.alias("c"))
@@ -72,7 +72,7 @@ def edges_from_lines(lines: DataFrame, dsm_id: Column | None = None) -> Dsm:
     weight = F.when(third == "", 1.0).when(number.isNull() | F.isnan(number), F.raise_error(F.concat(F.lit("not a weight: "), third)).cast("double")).otherwise(number)
     pairs = body.select("dsm_id", "line", F.get("c", F.lit(0)).alias("src"), F.get("c", F.lit(1)).alias("dst"), weight.alias("w"))
     seen = pairs.select("dsm_id", "line", F.posexplode(F.array("src", "dst")).alias("side", "label")).groupBy("dsm_id", "label").agg(F.min(2 * F.col("line") + F.col("side")).alias("first"))
-    elements = seen.select("dsm_id", (F.row_number().over(W.partitionBy("dsm_id").orderBy("first")) - 1).cast("int").alias("idx"), "label")
+    elements = numbered(seen, ["first", "label"], "idx").select("dsm_id", "idx", "label")
     last = pairs.filter("src <> dst").groupBy("dsm_id", "src", "dst").agg(F.max_by("w", "line").alias("w")).filter("w > 0")
     a, b = elements.select("dsm_id", F.col("idx").alias("i"), F.col("label").alias("src")), elements.select("dsm_id", F.col("idx").alias("j"), F.col("label").alias("dst"))
     return Dsm(elements, last.join(a, ["dsm_id", "src"]).join(b, ["dsm_id", "dst"]).select("dsm_id", "i", "j", "w"))

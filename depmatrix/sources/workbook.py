@@ -86,13 +86,14 @@ def read_workbooks(spark: SparkSession, path: str, sheet: int | str = 0, convent
 
 
 def list_sheets(spark: SparkSession, path: str) -> DataFrame:
-    """(dsm_id, place, sheet) of visible sheets."""
+    """(dsm_id, place, sheet) of visible sheets; none for files that aren't workbooks, such as CSV."""
     files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("dsm_id"), "content")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for dsm_id, content in zip(frame["dsm_id"], frame["content"], strict=True):
-                yield pd.DataFrame([(dsm_id, k, n) for k, (n, _, seen) in enumerate(sheets(content)) if seen], columns=["dsm_id", "place", "sheet"])
+                listed = sheets(content) if zipfile.is_zipfile(io.BytesIO(content)) else []
+                yield pd.DataFrame([(dsm_id, k, n) for k, (n, _, seen) in enumerate(listed) if seen], columns=["dsm_id", "place", "sheet"])
 
     return files.mapInPandas(run, "dsm_id string, place int, sheet string")
 
@@ -104,24 +105,78 @@ def _name(column: int) -> str:
     return out
 
 
-def workbook(matrix, labels: list[str], title: str = "DSM") -> bytes:
-    """One matrix as a workbook: title in A1, header in the row below from column B on, integral weights as integers, others to two places."""
+#: Fills of clusters in turn, of the diagonal, of marks between clusters.
+COLOURS = ("AED6F1", "A9DFBF", "F9E79F", "F5CBA7", "D7BDE2", "FAD7A0", "A3E4D7", "85C1E9", "D5DBDB", "FADBD8")
+DIAGONAL, BETWEEN = "BFC9CA", "F1948A"
 
-    def cell(r: int, c: int, v) -> str:
-        at = f"{_name(c)}{r + 1}"
-        return f'<c r="{at}" t="inlineStr"><is><t>{escape(v)}</t></is></c>' if isinstance(v, str) else f'<c r="{at}"><v>{int(v) if float(v).is_integer() else round(float(v), 2)}</v></c>'
 
-    lines = [[(0, title)], [(c + 1, x) for c, x in enumerate(labels)]]
-    lines += [[(0, x), *((c + 1, v) for c, v in enumerate(matrix[r]) if v)] for r, x in enumerate(labels)]
-    sheet = "".join(f'<row r="{r + 1}">{"".join(cell(r, c, v) for c, v in line)}</row>' for r, line in enumerate(lines))
+def _styles(main: str) -> str:
+    fills = [*COLOURS, DIAGONAL, BETWEEN]
+    solid = "".join(f'<fill><patternFill patternType="solid"><fgColor rgb="FF{x}"/></patternFill></fill>' for x in fills)
+    used = "".join(f'<xf numFmtId="0" fontId="0" fillId="{k + 2}" borderId="0" xfId="0" applyFill="1"/>' for k in range(len(fills)))
+    none = '<fill><patternFill patternType="none"/></fill><fill><patternFill patternType="gray125"/></fill>'
+    plain = '<xf numFmtId="0" fontId="0" fillId="0" borderId="0"'
+    return (
+        f'<styleSheet xmlns="{main}"><fonts count="1"><font/></fonts><fills count="{len(fills) + 2}">{none}{solid}</fills><borders count="1"><border/></borders>'
+        f'<cellStyleXfs count="1">{plain}/></cellStyleXfs><cellXfs count="{len(fills) + 1}">{plain} xfId="0"/>{used}</cellXfs></styleSheet>'
+    )
+
+
+def workbook(matrix, labels: list[str], title: str = "DSM", clusters: list[int] | None = None) -> bytes:
+    """One matrix as a workbook: title in A1, header beside it from column B on, integral weights as integers, others to two places.
+
+    clusters: labels and marks inside a cluster have its colour, marks between clusters another, the diagonal its own."""
+    known = {c: k % len(COLOURS) for k, c in enumerate(sorted(set(clusters)))} if clusters else {}
+    fill = [known[c] + 1 for c in clusters] if clusters else [0] * len(labels)
+
+    def cell(r: int, c: int, v, style: int) -> str:
+        at = f'r="{_name(c)}{r + 1}"' + (f' s="{style}"' if style else "")
+        if v is None:
+            return f"<c {at}/>"
+        if isinstance(v, str):
+            return f'<c {at} t="inlineStr"><is><t>{escape(v)}</t></is></c>'
+        return f"<c {at}><v>{int(v) if float(v).is_integer() else round(float(v), 2)}</v></c>"
+
+    def mark(r: int, c: int, v) -> str:
+        if r == c:
+            return cell(r + 1, c + 1, None, len(COLOURS) + 1) if clusters else ""
+        inside = not clusters or clusters[r] == clusters[c]
+        return cell(r + 1, c + 1, v, fill[r] if inside else len(COLOURS) + 2) if v > 0 else ""
+
+    lines = [cell(0, 0, title, 0) + "".join(cell(0, c + 1, x, fill[c]) for c, x in enumerate(labels))]
+    lines += [cell(r + 1, 0, x, fill[r]) + "".join(mark(r, c, v) for c, v in enumerate(matrix[r])) for r, x in enumerate(labels)]
+    sheet = "".join(f'<row r="{r + 1}">{line}</row>' for r, line in enumerate(lines))
     main, rel = _NS["m"], "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
     package = "http://schemas.openxmlformats.org/package/2006"
     kind = "application/vnd.openxmlformats-officedocument.spreadsheetml"
+    parts = {"/xl/workbook.xml": "sheet.main", "/xl/worksheets/sheet1.xml": "worksheet", "/xl/styles.xml": "styles"}
+    named = "".join(f'<Override PartName="{p}" ContentType="{kind}.{k}+xml"/>' for p, k in parts.items())
+    plain = '<Default Extension="xml" ContentType="application/xml"/>'
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr("[Content_Types].xml", f'<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="{kind}.worksheet+xml"/></Types>')
+        z.writestr("[Content_Types].xml", f'<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/>{plain}{named}</Types>')
         z.writestr("_rels/.rels", f'<Relationships xmlns="{package}/relationships"><Relationship Id="r1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
         z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="DSM" sheetId="1" r:id="r1"/></sheets></workbook>')
-        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{package}/relationships"><Relationship Id="r1" Type="{rel}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>')
+        links = f'<Relationship Id="r1" Type="{rel}/worksheet" Target="worksheets/sheet1.xml"/><Relationship Id="r2" Type="{rel}/styles" Target="styles.xml"/>'
+        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{package}/relationships">{links}</Relationships>')
+        z.writestr("xl/styles.xml", _styles(main))
         z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{main}"><sheetData>{sheet}</sheetData></worksheet>')
     return out.getvalue()
+
+
+def workbooks(dsm: Dsm, ordering: DataFrame, title: str = "Optimized DSM", convention: str = "IR") -> DataFrame:
+    """(dsm_id, content): each matrix in the order of ordering (dsm_id, pos, idx, cluster) as a workbook with the clusters' colours; IC files are transposed back."""
+    from depmatrix.operators.transforms import permute
+    from depmatrix.plans.fanout import dense, packed
+
+    final = permute(dsm, ordering)
+    said = ordering.select("dsm_id", F.col("pos").alias("idx"), "cluster").join(final.elements, ["dsm_id", "idx"])
+    listed = said.groupBy("dsm_id").agg(F.sort_array(F.collect_list(F.struct("idx", "label", "cluster"))).alias("said"))
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        row = frame.to_dict("records")[0]
+        a = dense(row)
+        content = workbook(a.T if convention == "IC" else a, [x["label"] for x in row["said"]], title, [int(x["cluster"]) for x in row["said"]])
+        return pd.DataFrame({"dsm_id": [row["dsm_id"]], "content": [content]})
+
+    return packed(final).join(listed, "dsm_id").groupBy("dsm_id").applyInPandas(run, "dsm_id string, content binary")

@@ -5,10 +5,10 @@ import pytest
 from fixtures import loop_process, planted_blocks, two_cliques, weight_pull
 
 from depmatrix.kernels.cost import cost, external_ratio
-from depmatrix.kernels.louvain import louvain
+from depmatrix.kernels.louvain import Graph, _moved, louvain, modularity
 from depmatrix.kernels.mcl import mcl
 from depmatrix.kernels.repair import grow_small, merge_many, split_few, split_large, within_limits
-from depmatrix.kernels.sequence import anneal, block_levels, feedback, strong_components, tears
+from depmatrix.kernels.sequence import anneal, block_levels, feedback, largest_without, strong_components, tears
 from depmatrix.kernels.spectral import fiedler, spectral_cluster
 from depmatrix.kernels.thebeau import thebeau
 
@@ -77,6 +77,53 @@ def test_components_come_after_what_they_depend_on():
         assert all(place[j] <= place[i] for i, j in np.argwhere(a > 0))
 
 
+def test_louvain_gains_modularity():
+    rng = np.random.default_rng(4)
+    for k in range(20):
+        a = (rng.random((24, 24)) < 0.15) * rng.integers(1, 5, (24, 24))
+        got = louvain(a, seed=k)
+        assert sorted(set(got)) == list(range(len(set(got)))) and modularity(a, got) >= modularity(a, [0] * 24) - 1e-12
+        assert modularity(a, got) > modularity(a, np.arange(24) % 6) and louvain(a, seed=k) == got
+    assert modularity(planted_blocks(), louvain(planted_blocks(), seed=1)) >= modularity(planted_blocks(), np.arange(20) // 5) - 1e-9
+    # by hand: two cliques of five, all weight inside, halves of it each
+    assert modularity(two_cliques(), [0] * 5 + [1] * 5) == pytest.approx(0.5)
+
+
+def test_local_moves_agree_with_a_recount():
+    rng = np.random.default_rng(6)
+    a = np.triu((rng.random((15, 15)) < 0.3) * rng.integers(1, 4, (15, 15)), 1).astype(float)
+    a += a.T
+    i, j = np.nonzero(a)
+    g = Graph.of(15, i, j, a[i, j])
+    found = _moved(g, rng.permutation(15), 1.0, True)
+    best = modularity(a, found)
+    for v in range(15):  # no single move into a neighbour's community gains
+        for c in {int(found[u]) for u in np.flatnonzero(a[v])}:
+            trial = found.copy()
+            trial[v] = c
+            assert modularity(a, trial) <= best + 1e-9
+    small = g.merged(found)
+    assert small.degrees.sum() == pytest.approx(a.sum()) and small.loops.sum() == pytest.approx(a[found[:, None] == found].sum())
+
+
+def test_largest_without_each_edge():
+    rng = np.random.default_rng(7)
+    for _ in range(30):
+        n = int(rng.integers(2, 9))
+        a = (rng.random((n, n)) < 0.5) & ~np.eye(n, dtype=bool)
+        cells = [(int(x) + 10, int(y) + 10) for x, y in np.argwhere(a)]
+        if not cells:
+            continue
+        want = []
+        for x, y in np.argwhere(a):
+            b = a.copy()
+            b[x, y] = False
+            want.append(max(len(c) for c in strong_components(b.astype(float))))
+        got = largest_without(cells, 0, len(cells))
+        assert got == want
+        assert largest_without(cells, 1, 3) == want[1:3]
+
+
 def test_tears():
     two = np.array([[0, 1.0], [3, 0]])
     got = tears(two, [0, 1])

@@ -101,7 +101,7 @@ def test_files(spark, tmp_path):
     assert not text.looks_like_edge_list(["a,b,c,d", "e,f,g,h"])
     (tmp_path / "w.xlsx").write_bytes(workbook.workbook([[0, 1, 0], [0, 0, 2.5], [0, 0, 0]], ["X", "Y", "Z"], "Title"))
     got = workbook.rows((tmp_path / "w.xlsx").read_bytes())
-    assert got[0][0] == "Title" and got[1][1:] == ["X", "Y", "Z"]
+    assert got[0] == ["Title", "X", "Y", "Z"] and got[1][:3] == ["X", "", "1"]  # header beside the title, where readers of such files look for it
     w = dispatch.read_dsm(spark, str(tmp_path / "w.xlsx"))
     assert rows(workbook.list_sheets(spark, str(tmp_path / "w.xlsx")), "sheet") == [("DSM",)]
     assert w.elements.count() == 3
@@ -118,6 +118,122 @@ def test_files(spark, tmp_path):
     assert len(list((tmp_path / "out").glob("dsm_id=*/*.txt"))) == 1
 
 
+def test_components_equal_closure_on_random_graphs(spark):
+    rng = np.random.default_rng(3)
+    made = {f"m{k}": (rng.random((n, n)) < p).astype(float) for k, (n, p) in enumerate(((30, 0.03), (30, 0.06), (12, 0.4), (25, 0.02), (40, 0.05)))}
+    chain = np.zeros((40, 40))
+    chain[np.arange(1, 40), np.arange(39)] = 1
+    ring = chain.copy()
+    ring[0, 39] = 1
+    d = dsm_of(spark, chain=chain, ring=ring, none=np.zeros((3, 3)), **made)
+    reach = graph.closure(d.edges)
+    mutual = reach.join(reach.select("dsm_id", F.col("j").alias("i"), F.col("i").alias("j")), ["dsm_id", "i", "j"]).groupBy("dsm_id", F.col("i").alias("idx")).agg(F.min("j").alias("m"))
+    want = d.elements.join(mutual, ["dsm_id", "idx"], "left").select("dsm_id", "idx", F.least("idx", F.coalesce("m", "idx")).alias("scc"))
+    got = graph.strong_components(d.elements, d.edges)
+    assert rows(got, "dsm_id", "idx", "scc") == rows(want, "dsm_id", "idx", "scc")
+    assert {r["level"] for r in graph.levels(d.edges.filter("dsm_id = 'chain'"), got.filter("dsm_id = 'chain'")).collect()} == set(range(40))
+
+
+def test_numbering_and_levels(spark):
+    from depmatrix.operators.numbering import numbered
+
+    frame = spark.createDataFrame([(f"d{n % 3}", (n * 37) % 101) for n in range(100)], "dsm_id string, v int").repartition(7)
+    got = numbered(frame, ["v"], "place").collect()
+    for d in ("d0", "d1", "d2"):
+        own = sorted((r["place"], r["v"]) for r in got if r["dsm_id"] == d)
+        assert [p for p, _ in own] == list(range(len(own))) and [v for _, v in own] == sorted(v for _, v in own)
+    assert sorted(r["place"] for r in numbered(frame, ["dsm_id", "v"], "place", by=None).collect()) == list(range(100))
+    d = dsm_of(spark, a=loop_process())
+    placed = process.by_levels(d)
+    kernel = {r["idx"]: r["level"] for r in process.partition(d, seed=1).ordering.collect()}
+    assert {r["idx"]: r["level"] for r in placed.collect()} == kernel and sorted(r["pos"] for r in placed.collect()) == list(range(7))
+    assert process.process_metrics(d, placed).first()["n_loops"] == 1
+
+
+def test_failing_kernels_leave_a_row(spark):
+    from depmatrix.plans import fanout
+
+    def kernel(a, task):
+        if task["k"] == 2 and len(a) == 7:
+            raise ValueError("no")
+        return [{"n": len(a) * task["k"]}]
+
+    found = fanout.fan_out(fanout.packed(dsm_of(spark, a=loop_process(), b=two_cliques())), [{"k": 1}, {"k": 2}], kernel, "n int")
+    assert rows(fanout.done(found), "dsm_id", "n") == [("a", 7), ("b", 10), ("b", 20)]
+    assert rows(fanout.failures(found), "dsm_id", "status") == [("a", "ValueError: no")]
+    with pytest.raises(Exception, match="too large"):
+        fanout.packed(dsm_of(spark, a=loop_process()), max_n=3).collect()
+
+
+def test_small_matrices_are_found(spark):
+    d = dsm_of(spark, one=np.zeros((1, 1)))
+    with pytest.raises(ValueError, match="fewer than two elements"):
+        validate(d)
+    with pytest.raises(ValueError, match="fewer than two elements"):
+        validate(Dsm(d.elements, dsm_of(spark, gone=two_cliques()).edges))
+
+
+def test_what_if_leaves_bus_elements_out(spark):
+    a = np.zeros((5, 5))
+    a[0, 1] = a[2, 3] = a[1, 2] = 1
+    a[4, :4] = a[:4, 4] = 1
+    d = dsm_of(spark, a=a)
+    base = spark.createDataFrame([("a", k, k // 2) for k in range(5)], "dsm_id string, idx int, cluster int")
+    bus = spark.createDataFrame([("a", 4)], "dsm_id string, idx int")
+    trial = whatif.move(base, 1)
+    assert rows(trial.filter("idx = 1"), "cluster") == [(3,)]  # above the bus element's own
+    got = whatif.rescore(d.edges, d.sizes(), base, trial, bus=bus).first()
+    # before: 2 + 2 inside, 4 between; after: 4 + 4 between, 2 inside
+    assert (got["base_cost"], got["cost"], got["verdict"], got["external_verdict"]) == (8.0, 10.0, "worse", "worse")
+    order = base.withColumn("pos", F.col("idx"))
+    assert whatif.finalise(d, order, "final")[1] == "Optimized DSM - Final (sequenced)"
+    for bad in (order.filter("idx > 0"), order.union(order.limit(1)), order.withColumn("cluster", F.when(F.col("idx") > 1, F.col("cluster")))):
+        with pytest.raises(ValueError, match="element"):
+            whatif.finalise(d, bad, "final")
+    with pytest.raises(ValueError, match="unknown source"):
+        whatif.finalise(d, order, "elsewhere")
+
+
+def test_reports_and_restored_projects(spark, tmp_path):
+    from depmatrix.plans import report
+
+    limits = Constraints(seed=5)
+    d = dsm_of(spark, planted=planted_blocks(noise=2))
+    stage = cluster.cluster_stage(d, limits)
+    assert stage.failures.count() == 0
+    chosen = stage.recommended().select("dsm_id", "algo")
+    ordering, figures = cluster.sequence_stage(d, stage, chosen, limits)
+    made = report.component_report(d, stage, ordering, figures, limits=limits)
+    told = {r["algo"]: r for r in made["comparison"].collect()}
+    assert set(told) == set(scoring.RANK) and sum(r["recommended"] for r in told.values()) == sum(r["chosen"] for r in told.values()) == 1
+    assert made["parameters"].first()["bus_threshold"] == "adaptive" and made["parameters"].first()["seed"] == "5"
+    assert sum(r["size"] for r in made["membership"].collect()) == 20 and made["final"].first()["cost"] == figures.first()["cost"]
+    p = process.partition(dsm_of(spark, a=loop_process()), seed=1)
+    out = report.process_report(dsm_of(spark, a=loop_process()), p)
+    assert out["summary"].first()["n_loops"] == 1
+    assert rows(out["tears"], "loop", "from_label", "to_label")[0] == (1, "e0", "e1")
+    other = dsm_of(spark, planted=planted_blocks())
+    assert report.diff_report(d, other).first()["added"] > 0
+    # saved and restored: the same candidates without clustering again
+    raw = {a: [r["cluster"] for r in sorted(stage.assign.filter(F.col("algo") == a).collect(), key=lambda r: r["idx"])] for a in scoring.RANK}
+    m = planted_blocks(noise=2).tolist()
+    saved = {"stage1": {a: {"raw_clusters": c} for a, c in raw.items() if c} | {"recommended": "louvain"}, "params": {"min_clusters": 3}, "convention": "IC", "last_result": {"matrix": m, "labels": [f"e{k}" for k in range(20)], "clusters": [0] * 20, "source": "mcl", "title": "T"}}
+    (tmp_path / "p.json").write_text(project.serialize(m, [f"e{k}" for k in range(20)], server_state=saved, client_state={"tab": 1}))
+    back = project.restore(spark, str(tmp_path / "p.json"))
+    assert back.state.first()["convention"] == "IC" and rows(back.params, "name", "value") == [("min_clusters", "3")]
+    assert back.result.first()["title"] == "T" and back.client.first()["client_state"] == '{"tab": 1}'
+    again = cluster.restored(back.dsm, back.raw, limits)
+    assert rows(again.candidates, "algo", "cost") == rows(stage.candidates, "algo", "cost")
+    assert cluster.sequence_stage(back.dsm, again, again.recommended().select("dsm_id", "algo"), limits)[0].count() == 20
+    book = workbook.workbooks(d, ordering).first()["content"]
+    table = workbook.rows(bytes(book))
+    labels = [r["label"] for r in sorted(ordering.join(d.elements, ["dsm_id", "idx"]).collect(), key=lambda r: r["pos"])]
+    assert table[0] == ["Optimized DSM", *labels] and [r[0] for r in table[1:]] == labels
+    assert sum(bool(x) for r in table[1:] for x in r[1:]) == int(planted_blocks(noise=2).sum())
+    (tmp_path / "plain.csv").write_text("a,b\n")
+    assert workbook.list_sheets(spark, str(tmp_path / "plain.csv")).count() == 0
+
+
 def test_parameters():
     c = Constraints.of({"min_clusters": "3", "bus_threshold": "", "max_external_ratio": "0.5", "other": 1})
     assert (c.min_clusters, c.bus_threshold, c.max_external_ratio) == (3, None, 0.5)
