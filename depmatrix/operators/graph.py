@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -17,17 +17,22 @@ from depmatrix.schema import Dsm
 
 #: Dependencies inside one loop that tearing() takes; each of them asks for a pass over all.
 MAX_LOOP = 1 << 18
+_own_folder: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the one that the cluster names; where it names none, the warehouse, or in local mode (tests) a temporary one."""
+    if not _own_folder:
+        local = spark.sparkContext.master.startswith("local")
+        _own_folder.append(spark.conf.get("spark.checkpoint.dir", None) or (tempfile.mkdtemp(prefix="depmatrix-") if local else spark.conf.get("spark.sql.warehouse.dir")))
+    return _own_folder[0]
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, by a checkpoint in the folder that the cluster names; where it names none, in the warehouse, or in local mode (tests) in a temporary one."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    """df with its lineage cut, by a checkpoint in the shared folder."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            folder = tempfile.mkdtemp(prefix="depmatrix-") if sc.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

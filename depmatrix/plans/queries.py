@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -483,24 +484,94 @@ def _chain(spark: SparkSession, sf_dir: str, kind: str) -> Dsm:
     return Dsm(d.elements, G.cut(d.edges))
 
 
-@query()
+_DEP = "dep AS (SELECT DISTINCT a.scc AS a, b.scc AS b FROM e JOIN scc a ON a.idx = e.i JOIN scc b ON b.idx = e.j WHERE a.scc <> b.scc)"
+_LV = "lv(scc, level) AS (SELECT scc, 0 FROM scc UNION SELECT dep.a, lv.level + 1 FROM lv JOIN dep ON dep.b = lv.scc)"
+_SHAPE = (
+    "blk AS (SELECT s.scc, s.size, l.level FROM (SELECT scc, count(*) AS size FROM scc GROUP BY scc) s JOIN (SELECT scc, max(level) AS level FROM lv GROUP BY scc) l ON l.scc = s.scc)",
+    "o AS (SELECT scc.idx, row_number() OVER (ORDER BY blk.level, blk.scc, scc.idx) AS pos FROM scc JOIN blk ON blk.scc = scc.scc)",
+    """f AS (SELECT CAST(sum(size) AS BIGINT) AS n_elements, count(*) AS n_blocks, count(*) FILTER (size > 1) AS n_loops, CAST(coalesce(max(size) FILTER (size > 1), 1) AS BIGINT) AS largest_loop,
+  CAST(coalesce(sum(size) FILTER (size > 1), 0) AS BIGINT) AS coupled_elements, max(level) + 1 AS n_levels, (SELECT CAST(coalesce(sum(CASE WHEN i < j THEN w END), 0) AS BIGINT) FROM e) AS feedback_before,
+  (SELECT CAST(coalesce(sum(CASE WHEN a.pos < b.pos THEN w END), 0) AS BIGINT) FROM e JOIN o a ON a.idx = e.i JOIN o b ON b.idx = e.j) AS feedback_after,
+  (SELECT coalesce(avg(CASE WHEN r.i IS NULL THEN 0.0 ELSE 1.0 END), 0) FROM e LEFT JOIN e r ON e.i = r.j AND e.j = r.i) AS s FROM blk)""",
+)
+_SHAPE_SQL = """SELECT n_elements, n_blocks, n_loops, largest_loop, coupled_elements, n_levels, feedback_before, feedback_after, round(s, 6) AS symmetry_ratio, n_elements - coupled_elements AS sequential_elements,
+  feedback_before - feedback_after AS marks_resolved, CASE WHEN s >= 0.6 THEN 'symmetric' WHEN n_loops >= 1 AND largest_loop >= 0.8 * n_elements THEN 'giant_loop' ELSE 'process' END AS guidance FROM f"""
+
+
+def _shape(d: Dsm) -> DataFrame:
+    """Figures of a process matrix in the order by levels, in tables alone."""
+    out = process.process_metrics(d, process.by_levels(d)).drop("dsm_id")
+    return out.withColumn("symmetry_ratio", F.round("symmetry_ratio", 6))
+
+
+def _chain_sql(kind: str, *parts: str) -> str:
+    key, ident, name = ("l_suppkey", "s_suppkey", "supplier") if kind == "supp" else ("l_partkey", "p_partkey", "part")
+    edges = _CUT.format(share=0.99) if kind == "supp" else "e AS (SELECT * FROM t WHERE w >= 2)"
+    elements = f"n AS (SELECT CAST(row_number() OVER (ORDER BY {ident}) - 1 AS INTEGER) AS idx FROM {name})"
+    return "WITH RECURSIVE " + ", ".join([f"t AS ({_CHAIN.format(key=key, id=ident, table=name)})", elements, edges, _REACH, _SCC, *parts]) + " "
+
+
+@query(_with(_REACH, _SCC, _DEP, _LV, *_SHAPE, share=0.5, recursive=True) + _SHAPE_SQL)
+def process_shape(spark, sf_dir):
+    return _shape(_dsm(spark, sf_dir, 0.5))
+
+
+@query(_chain_sql("supp", _DEP, _LV, *_SHAPE) + _SHAPE_SQL)
+def process_shape_supp_chain(spark, sf_dir):
+    return _shape(_chain(spark, sf_dir, "supp"))
+
+
+@query(_chain_sql("part", _DEP, _LV, *_SHAPE) + _SHAPE_SQL)
+def process_shape_part_chain(spark, sf_dir):
+    return _shape(_chain(spark, sf_dir, "part"))
+
+
+@query(_with(share=0.9) + "SELECT i, j, w FROM e")
+def matrix_files(spark, sf_dir):
+    """The matrix written as a file of rows and read again."""
+    from depmatrix.sources import text
+
+    path = f"{G.shared_folder(spark)}/depmatrix-{uuid.uuid4().hex}"
+    text.write_matrix_csv(_dsm(spark, sf_dir, 0.9), path)
+    return text.read_matrices(spark, f"{path}/dsm_id=*").edges.drop("dsm_id")
+
+
+@query(_chain_sql("supp") + "SELECT idx, scc FROM scc")
 def scc_supp_chain(spark, sf_dir):
     d = _chain(spark, sf_dir, "supp")
     return G.strong_components(d.elements, d.edges).drop("dsm_id")
 
 
-@query()
+@query(_chain_sql("supp") + "SELECT scc, count(*) AS size FROM scc GROUP BY scc HAVING count(*) > 1")
 def loops_supp_chain(spark, sf_dir):
     d = _chain(spark, sf_dir, "supp")
     return G.loops(G.strong_components(d.elements, d.edges)).drop("dsm_id")
 
 
-@query()
+@query(_chain_sql("supp", _DEP, _LV) + "SELECT scc, max(level) AS level FROM lv GROUP BY scc")
 def levels_supp_chain(spark, sf_dir):
     d = _chain(spark, sf_dir, "supp")
     return G.levels(d.edges, G.strong_components(d.elements, d.edges)).drop("dsm_id")
 
 
+@query(_chain_sql("part") + "SELECT idx, scc FROM scc")
+def scc_part_chain(spark, sf_dir):
+    d = _chain(spark, sf_dir, "part")
+    return G.strong_components(d.elements, d.edges).drop("dsm_id")
+
+
+@query(_chain_sql("part") + "SELECT scc, count(*) AS size FROM scc GROUP BY scc HAVING count(*) > 1")
+def loops_part_chain(spark, sf_dir):
+    d = _chain(spark, sf_dir, "part")
+    return G.loops(G.strong_components(d.elements, d.edges)).drop("dsm_id")
+
+
+@query(_chain_sql("part", _DEP, _LV) + "SELECT scc, max(level) AS level FROM lv GROUP BY scc")
+def levels_part_chain(spark, sf_dir):
+    d = _chain(spark, sf_dir, "part")
+    return G.levels(d.edges, G.strong_components(d.elements, d.edges)).drop("dsm_id")
+
+
 @query()
 def process_metrics_supp_chain(spark, sf_dir):
     return process.partition(_chain(spark, sf_dir, "supp"), seed=1).metrics
@@ -517,18 +588,6 @@ def process_tears_supp_chain(spark, sf_dir):
 
 
 @query()
-def scc_part_chain(spark, sf_dir):
-    d = _chain(spark, sf_dir, "part")
-    return G.strong_components(d.elements, d.edges).drop("dsm_id")
-
-
-@query()
-def loops_part_chain(spark, sf_dir):
-    d = _chain(spark, sf_dir, "part")
-    return G.loops(G.strong_components(d.elements, d.edges)).drop("dsm_id")
-
-
-@query()
-def levels_part_chain(spark, sf_dir):
-    d = _chain(spark, sf_dir, "part")
-    return G.levels(d.edges, G.strong_components(d.elements, d.edges)).drop("dsm_id")
+def tearing_supp_chain(spark, sf_dir):
+    d = _chain(spark, sf_dir, "supp")
+    return G.tearing(d.edges, G.strong_components(d.elements, d.edges)).drop("dsm_id")
