@@ -280,3 +280,140 @@ def test_clusters_equal_a_plain_computation():
         assert got == (_kept(parser.lines, parser.articles) if parser.lines else [])
         dropped += len(got) < len(parser.lines)
     assert 30 < dropped < 290
+
+
+# -- 8 mixing
+
+
+def test_shards_come_from_the_tree(spark):
+    """Draws of each source in each shard are the tree's, and what a document gives is the sum over the shards' rows; targets once more by bisection."""
+    rng = random.Random(21)
+    rows = [(k, prose(rng, rng.randrange(1, 120)), rng.choice(["a", "a", "a", "b", None])) for k in range(200)] + [(500, None, "a"), (501, "q\x00r s", "a"), (502, prose(rng, 200_000), "b")]
+    mixed = mixing.mix(docs(spark, rows), shards=8, bucket_rows=16)
+    pieces = [r.asDict() for r in mixing.shard_rows(mixed).collect()]
+    source = {r[0]: r[2] for r in rows}
+    size = Counter()
+    for d, t, s in rows:
+        size[s] += len(WORD.findall(t or ""))
+    names = sorted(size, key=lambda s: (s is None, s or ""))
+    plans = mixing.plan_sources([(n, size[n]) for n in names])
+    tree = mixing.split_tree([p.passes * p.blocks + p.extra for p in plans], 8)
+    words = Counter((r["shard"], source[r["doc_id"]]) for r in pieces for _ in range(r["words"]))
+    for k, p in enumerate(plans):
+        assert p.block == max(1, -(-p.size // (1 << 16)))
+        for shard in range(8):
+            # blocks are whole but for the last one of a source
+            assert 0 <= tree[shard][k] * p.block - words[shard, p.source] <= 2 * p.block
+    out = {r["doc_id"]: r for r in mixing.by_document(mixed).collect()}
+    taken = Counter()
+    for r in pieces:
+        taken[r["doc_id"]] += r["words"]
+    for d, r in out.items():
+        own = sorted({x["shard"] for x in pieces if x["doc_id"] == d})
+        assert r["taken"] == taken[d] and r["shards"] == (",".join(map(str, own)) if own else None)
+        assert r["first_rank"] == min(((x["shard"], x["rank"]) for x in pieces if x["doc_id"] == d), default=(0, None))[1]
+    order = [(r["shard"], r["rank"]) for r in pieces]
+    assert order == sorted(order)
+    # the level c of all sources at which min(2 size, weight c) adds up to the whole
+    weight = {n: (5, 2, 1)[k % 3] for k, n in enumerate(names)}
+    low, high = 0.0, 2.0 * sum(size.values())
+    for _ in range(200):
+        c = (low + high) / 2
+        low, high = (c, high) if sum(min(2 * size[n], weight[n] * c) for n in names) < 1.5 * sum(size.values()) else (low, c)
+    assert all(out[d]["target"] == pytest.approx(min(2 * size[s], weight[s] * c), rel=1e-6) for d, _, s in rows)
+
+
+def test_too_many_sources_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 3)
+    with pytest.raises(ValueError, match="more than 3 sources"):
+        mixing.mix(docs(spark, [(k, "a b", f"s{k}") for k in range(4)]))
+
+
+# -- 7 quality rules
+
+
+def brute_list(rows, features, cuts, held, max_conditions=3, precision=0.95, least=5):
+    """Sequential covering once more, over rows in memory: rows (values, bad), cuts as the operator found them."""
+    def met(rule, x):
+        return all(x[features.index(f)] >= t if above else x[features.index(f)] < t for f, above, t in rule)
+
+    left, rules = list(zip(rows, held)), []
+    while True:
+        rule = []
+        while len(rule) < max_conditions:
+            own = [(x, bad) for (x, bad), h in left if not h and met(rule, x)]
+            p0, n0 = sum(b for _, b in own), sum(not b for _, b in own)
+            if not p0 or not n0:
+                break
+            best = (0.0, None)
+            for i, f in enumerate(features):
+                for t in cuts[f]:
+                    for above in (False, True):
+                        inside = [b for x, b in own if (x[i] >= t) == above]
+                        p, n = sum(inside), len(inside) - sum(inside)
+                        if p and n < n0:
+                            gain = p * (math.log2(p / (p + n)) - math.log2(p0 / (p0 + n0)))
+                            if gain > best[0] + 1e-9:
+                                best = (gain, (f, above, t))
+            if best[1] is None:
+                break
+            rule.append(best[1])
+        if not rule:
+            return rules
+
+        def counts(k, only_held):
+            found = [b for (x, b), h in left if (h or not only_held) and met(rule[: k + 1], x)]
+            return sum(found), len(found) - sum(found)
+
+        worth = [(p - n) / max(1, p + n) for p, n in (counts(k, True) for k in range(len(rule)))]
+        k = max(range(len(rule)), key=lambda k: (worth[k], -k))
+        (p, n), (hp, hn) = counts(k, False), counts(k, True)
+        if p < least or hp < precision * (hp + hn) or p < precision * (p + n):
+            return rules
+        rules.append(tuple(rule[: k + 1]))
+        left = [(r, h) for r, h in left if not met(rule[: k + 1], r[0])]
+
+
+def test_decision_list_equals_covering_in_memory(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(33)
+    features = ("f", "g")
+    rows = []
+    for _ in range(500):
+        f, g = rng.randrange(12), rng.randrange(9)
+        rows.append(((float(f), float(g)), (f >= 9 or f < 3 and g >= 6) != (rng.random() < 0.01)))
+    frame = spark.createDataFrame([(k, *x, bad) for k, (x, bad) in enumerate(rows)], "id long, f double, g double, bad boolean")
+    held = [r["h"] for r in frame.orderBy("id").select((F.pmod(F.xxhash64("id", F.lit("prune")), F.lit(3)) == 0).alias("h")).collect()]
+    cuts = {f: sorted({x[k] for x, _ in rows}) for k, f in enumerate(features)}  # few values, so the quantiles are all of them
+    got = [tuple((c.feature, c.above, c.threshold) for c in rule) for rule in quality_rules.learn(frame, features).rules]
+    want = brute_list(rows, features, cuts, held)
+    assert want and got == want
+
+
+# -- 10 LM
+
+
+def test_scores_add_up_to_one_over_the_vocabulary():
+    """Interpolated probabilities over all known words, the end and one unknown word, from true counts: at most one, and one where the context is known."""
+    rng = random.Random(4)
+    text = [[rng.choice("abcdef") for _ in range(30)] + [None] for _ in range(20)]
+    one = Counter(w for t in text for w in t)
+    two = Counter(x for t in text for x in zip([None, *t], t, strict=False))
+    n, v = sum(one.values()), len(one)
+    for context in one:
+        known = sum(0.3 * two[context, w] / one[context] + 0.7 * (one[w] + 0.5) / (n + 0.5 * (v + 1)) for w in one)
+        assert known + 0.7 * 0.5 / (n + 0.5 * (v + 1)) == pytest.approx(1)
+
+
+def test_zero_bytes_and_long_texts_are_scored(spark):
+    rng = random.Random(41)
+    rows = [(1, "a\x00b \x00 c"), (2, prose(rng, 400_000)), (3, None), (3, None), (4, "\x00")]
+    got = {r["doc_id"]: r["n_tokens"] for r in lm_score.lm_scores(docs(spark, rows)).collect()}
+    assert got == {1: 4, 2: 400_001, 3: 1, 4: 2}
+
+
+def test_components_of_a_hub_and_a_chain(spark):
+    links = [(k, 0) for k in range(1, 400)] + [(1000 + k, 1001 + k) for k in range(60)] + [(5, 5)]
+    got = {r["node"]: r["root"] for r in components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {**{k: 0 for k in range(400)}, **{1000 + k: 1000 for k in range(61)}}

@@ -70,3 +70,34 @@ def test_registered_queries(spark):
 
     names = __spark_entry__.queries()
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Empty tables, nulls, a very long text, repeated ids and columns with names that operators use inside."""
+    rng = random.Random(2)
+    prose = lambda n: " ".join(rng.choice(["the", "of"]) if rng.random() < 0.3 else f"w{rng.randrange(4000)}x" for _ in range(n))
+    extra = "doc_id long, text string, lang string, source string, n_chars long, rows string, n string, root string, row string, key string, draws string, _h string, stats string"
+    item, long = prose(30), prose(200_000)
+    texts = [(k, prose(90), f"s{k % 3}") for k in range(60)] + [(70, long, "s0"), (71, None, None), (72, "", None), (None, prose(90), "s1"), (73, f"{prose(60)} {item}", "s1")]
+    texts += [(5, texts[5][1], "s2"), (5, texts[5][1], "s2"), (74, texts[6][1], "s1"), (7, prose(90), "s1")]
+    for name, rows in (("odd", texts), ("none", [])):
+        d = str(tmp_path / name)
+        frame = spark.createDataFrame([(k, t, "en", s, 0, *"zzzzzzzz") for k, t, s in rows], extra)
+        frame.write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+        spark.createDataFrame([(1, item), (2, None)] if rows else [], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+        now = spark.read.parquet(f"{d}/documents.parquet")
+        left = []
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            now = stage(spark, now, d)
+            assert now.columns == frame.columns
+            left.append(now.count())
+        final = corpus_pipeline.run(spark, d).collect()
+        if not rows:
+            assert left == [0, 0, 0, 0] and not final
+            continue
+        # no words: two rows; copies: two of 5, one of 6; a benchmark item: one
+        assert left == [len(rows) - 2, len(rows) - 2, len(rows) - 5, len(rows) - 6]
+        ids = sorted((r["doc_id"] for r in final), key=str)
+        assert ids == sorted([*range(60), 7, 70, None], key=str)
+        assert next(r["size"] for r in final if r["doc_id"] == 70) == 200_000
