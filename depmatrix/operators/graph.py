@@ -152,10 +152,11 @@ def levels(edges: DataFrame, sccs: DataFrame, max_rounds: int = 10_000) -> DataF
     return now.select("dsm_id", F.col("a").alias("scc"), "level")
 
 
-def tearing(edges: DataFrame, sccs: DataFrame, top: int = 5, chunk: int = 64) -> DataFrame:
+def tearing(edges: DataFrame, sccs: DataFrame, top: int = 5, chunk: int = 512) -> DataFrame:
     """(dsm_id, scc, rank, i, j, w, impact, largest_loop_after, fully_resolves): each edge inside a loop is taken out, in a scenario of its own, and loops are found again.
 
-    A loop's edges go to tasks that try `chunk` edges each, in time linear in the loop for each edge. A loop of more than MAX_LOOP edges is an error."""
+    A loop's edges go to tasks that try `chunk` edges each. Only the edges of two spanning trees (twice the loop's elements at most) can break it;
+    these take time linear in the loop each, the others none. A loop of more than MAX_LOOP edges is an error."""
     sccs = cut(sccs.select("dsm_id", "idx", "scc"))
     a, b = sccs.select("dsm_id", F.col("idx").alias("i"), "scc"), sccs.select("dsm_id", F.col("idx").alias("j"), F.col("scc").alias("s2"))
     inner = edges.filter("w > 0 and i <> j").join(a, ["dsm_id", "i"]).join(b, ["dsm_id", "j"]).filter("scc = s2").select("dsm_id", "scc", "i", "j", "w")

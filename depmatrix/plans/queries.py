@@ -14,7 +14,7 @@ from depmatrix.operators import scoring as S
 from depmatrix.operators import transforms as T
 from depmatrix.operators import whatif as Q
 from depmatrix.params import Constraints
-from depmatrix.plans import cluster, derive, process
+from depmatrix.plans import cluster, derive, process, report
 from depmatrix.schema import Dsm
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -312,6 +312,39 @@ def new_gone_elements(spark, sf_dir):
     return D.element_changes(part("cluster <= 3"), part("cluster >= 2")).drop("dsm_id")
 
 
+@query(
+    _PERIODS
+    + """, x AS (SELECT n_name AS label, n_regionkey AS r FROM nation),
+la2 AS (SELECT la.* FROM la JOIN x a ON a.label = la.src JOIN x b ON b.label = la.dst WHERE a.r <= 3 AND b.r <= 3),
+lb2 AS (SELECT lb.* FROM lb JOIN x a ON a.label = lb.src JOIN x b ON b.label = lb.dst WHERE a.r >= 2 AND b.r >= 2),
+c AS (SELECT la2.w AS wa, lb2.w AS wb FROM la2 FULL OUTER JOIN lb2 ON la2.src = lb2.src AND la2.dst = lb2.dst)
+SELECT count(*) FILTER (wa IS NULL) AS added, count(*) FILTER (wb IS NULL) AS removed, count(*) FILTER (wa <> wb) AS changed,
+  (SELECT string_agg(label, ', ' ORDER BY label) FROM x WHERE r > 3) AS new_elements, (SELECT string_agg(label, ', ' ORDER BY label) FROM x WHERE r < 2) AS gone_elements FROM c"""
+)
+def report_diff(spark, sf_dir):
+    """Two periods, the second without the first two regions and the first without the last: what a reader is told of the changes."""
+    r = _regions(spark, sf_dir)
+    a, b = (T.submatrix(d, r.filter(cond))[0] for d, cond in zip(_periods(spark, sf_dir), ("cluster <= 3", "cluster >= 2"), strict=True))
+    return report.diff_report(a, b).drop("dsm_id")
+
+
+@query("SELECT n_regionkey + 1 AS cluster, count(*) AS size, string_agg(n_name, ', ' ORDER BY n_nationkey) AS members FROM nation GROUP BY n_regionkey")
+def report_membership(spark, sf_dir):
+    ordering = _regions(spark, sf_dir).select("dsm_id", F.col("idx").alias("pos"), "idx", "cluster")
+    return report.membership(ordering, derive.nation_trade(spark, sf_dir)).drop("dsm_id")
+
+
+@query("SELECT * FROM (VALUES ('2-8', '2-20', 'adaptive', '7')) AS v(k_range, cluster_size, bus_threshold, seed)")
+def report_parameters(spark, sf_dir):
+    limits = Constraints(min_clusters=2, max_clusters=8, min_cluster_size=2, max_cluster_size=20, seed=7)
+    return report.parameters(derive.nation_trade(spark, sf_dir), limits).drop("dsm_id")
+
+
+@query()
+def report_comparison(spark, sf_dir):
+    return report.comparison(cluster.cluster_stage(derive.nation_trade(spark, sf_dir), Constraints(seed=1)))
+
+
 @query("SELECT * FROM (VALUES (0, 1, 'Pump', 'Valve', 3.0::DOUBLE), (2, 0, 'Motor', 'Pump', 1.0::DOUBLE)) AS v(i, j, src, dst, w)")
 def edge_list_ingest(spark, sf_dir):
     from depmatrix.sources.text import edges_from_lines
@@ -526,6 +559,18 @@ def process_shape_part_chain(spark, sf_dir):
     return _shape(_chain(spark, sf_dir, "part"))
 
 
+@query(_chain_sql("supp", _DEP, _LV, *_SHAPE) + "SELECT level, CAST(sum(size) AS BIGINT) AS elements FROM blk GROUP BY level")
+def level_bands_supp_chain(spark, sf_dir):
+    return process.banded(process.by_levels(_chain(spark, sf_dir, "supp"))).drop("dsm_id")
+
+
+@query(_with(_REACH, _SCC, _DEP, _LV, *_SHAPE, share=0.5, recursive=True) + "SELECT n_loops, coupled_elements, n_elements, n_levels, feedback_before FROM f")
+def report_process(spark, sf_dir):
+    """The summary, but for the feedback after annealing, which the seed decides."""
+    d = _dsm(spark, sf_dir, 0.5)
+    return report.process_report(d, process.partition(d, seed=1))["summary"].drop("dsm_id", "feedback_after")
+
+
 @query(_with(share=0.9) + "SELECT i, j, w FROM e")
 def matrix_files(spark, sf_dir):
     """The matrix written as a file of rows and read again."""

@@ -8,7 +8,7 @@ from depmatrix.kernels.cost import cost, external_ratio
 from depmatrix.kernels.louvain import Graph, _moved, louvain, modularity
 from depmatrix.kernels.mcl import mcl
 from depmatrix.kernels.repair import grow_small, merge_many, split_few, split_large, within_limits
-from depmatrix.kernels.sequence import anneal, block_levels, feedback, largest_without, strong_components, tears
+from depmatrix.kernels.sequence import anneal, block_levels, feedback, largest_without, spanning, strong_components, tears
 from depmatrix.kernels.spectral import fiedler, spectral_cluster
 from depmatrix.kernels.thebeau import thebeau
 
@@ -124,6 +124,22 @@ def test_largest_without_each_edge():
         assert largest_without(cells, 1, 3) == want[1:3]
 
 
+def test_largest_without_in_loops_of_spare_ways():
+    rng = np.random.default_rng(11)
+    for n in (2, 5, 12, 30):
+        for share in (0.0, 0.1, 0.4):
+            a = rng.random((n, n)) < share
+            a[np.arange(n), (np.arange(n) + 1) % n] = True
+            np.fill_diagonal(a, False)
+            cells = [(int(x), int(y)) for x, y in np.argwhere(a)]
+            assert len(spanning(n, cells)) <= 2 * (n - 1)
+            for (x, y), got in zip(cells, largest_without(cells, 0, len(cells)), strict=True):
+                b = a.copy()
+                b[x, y] = False
+                assert got == max(len(c) for c in strong_components(b.astype(float)))
+    assert spanning(3, [(0, 1), (1, 2)]) is None and largest_without([], 0, 0) == []
+
+
 def test_tears():
     two = np.array([[0, 1.0], [3, 0]])
     got = tears(two, [0, 1])
