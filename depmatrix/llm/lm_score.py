@@ -4,10 +4,11 @@ Word counts are exact, over all training documents. Every n-gram of two words th
 count: an n-gram whose count has the logarithmic level q is stored once for each level 1..q, and a count is read by probing levels
 until one is missing.
 
-Nothing is broadcast. Documents are written as blocks of about 2 MB; a block asks for each of its words and n-grams once, with its training
+Nothing is broadcast. Documents are written as blocks of 2 MB and more; a block asks for each of its words and n-grams once, with its training
 count there. The requests are dealt by hash into buckets, whose number grows with the corpus; a bucket sums the counts, builds its filters
 from the n-grams that occur in training, and answers each block's requests. A block then scores its documents. As a block asks once for each
-n-gram, frequent ones don't weigh on one bucket. Words are told apart by 64-bit hashes, n-grams by 32 bits inside their bucket (42 and more in all).
+n-gram, frequent ones don't weigh on one bucket. Blocks and buckets both grow with the root of the corpus, up to bounds that fit a task: with blocks of one
+size, ever more buckets would get ever smaller requests from each. Words are told apart by 64-bit hashes, n-grams by 32 bits inside their bucket (42 and more in all).
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ from depmatrix.llm.shared import byte_table, mixed, one_word_hash, string_parts,
 #: The end token: a space can't be in a word.
 END = one_word_hash(b" end ")
 _TABLE = byte_table()
-_BLOCK = 1 << 21
+#: Bytes of text in a block and to a bucket: at least, and at most from _LARGE times 16^2 and 4^2 on.
+_BLOCK, _BUCKET, _LARGE = (1 << 21, 1 << 25), (1 << 24, 1 << 26), 1 << 34
 
 
 @dataclass
@@ -128,19 +130,30 @@ def _joined_counts(low: pa.ChunkedArray, high: pa.ChunkedArray) -> np.ndarray:
     return out
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of documents: ids, held out, texts end to end and where they end."""
-    block = TaskContext.get().partitionId() << 32
-    for batch in batches:
-        offsets, data = string_parts(batch.column(2))
-        at, n = 0, batch.num_rows
-        while at < n:
-            end = min(n, max(at + 1, int(np.searchsorted(offsets, offsets[at] + _BLOCK, side="right")) - 1))
-            text, ends = data[offsets[at] : offsets[end]].tobytes(), (offsets[at : end + 1] - offsets[at]).astype(np.int64)
-            one = lambda x, kind: pa.array([x], kind)
-            lists = [pa.ListArray.from_arrays(pa.array([0, end - at], pa.int32()), batch.column(k).slice(at, end - at)) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([one(block, pa.int64()), *lists, one(pa.compress(text, codec="zstd", asbytes=True), pa.binary()), one(ends.tobytes(), pa.binary()), one(int(ends[-1]) + end - at, pa.int64())], ["block", "ids", "held", "text", "ends", "size"])
-            block, at = block + 1, end
+def sizes(text: int) -> tuple[int, int]:
+    """(bytes of text in a block, in a bucket's share) for a corpus of so many bytes."""
+    grown = math.sqrt(max(1.0, text / _LARGE))
+    return min(_BLOCK[1], int(_BLOCK[0] * grown)), min(_BUCKET[1], int(_BUCKET[0] * grown))
+
+
+def _blocks(most: int):
+    """Blocks of documents, of so many bytes of text unless a single one has more: ids, held out, texts end to end and where they end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            offsets, data = string_parts(batch.column(2))
+            at, n = 0, batch.num_rows
+            while at < n:
+                end = min(n, max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1))
+                text, ends = data[offsets[at] : offsets[end]].tobytes(), (offsets[at : end + 1] - offsets[at]).astype(np.int64)
+                one = lambda x, kind: pa.array([x], kind)
+                lists = [pa.ListArray.from_arrays(pa.array([0, end - at], pa.int32()), batch.column(k).slice(at, end - at)) for k in (0, 1)]
+                packed = one(pa.compress(text, codec="zstd", asbytes=True), pa.binary())
+                yield pa.RecordBatch.from_arrays([one(block, pa.int64()), *lists, packed, one(ends.tobytes(), pa.binary())], ["block", "ids", "held", "text", "ends"])
+                block, at = block + 1, end
+
+    return run
 
 
 def _tokens(text: bytes, ends: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -226,20 +239,22 @@ def held_out(doc_id):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 1
 
 
-def lm_scores(docs: DataFrame, max_words: int = 1 << 21, max_ngrams: int = 1 << 19, weight: float = 0.3) -> DataFrame:
+def lm_scores(docs: DataFrame, max_words: int | None = None, max_ngrams: int = 1 << 19, weight: float = 0.3, block_bytes: int | None = None) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Trains on the rows that aren't held out. Null or empty text: its end is its only token. Repeated rows count and are scored as often as they occur.
     No training rows: all counts are 0, and scores are those of unseen words. Extra columns are not looked at.
 
-    max_words: a bucket's share of the text is 8 times as many bytes at most. max_ngrams: n-grams in one filter. Both only set how many buckets
-    and filters there are; no word and no n-gram is left out."""
+    max_words: a bucket's share of the text is 8 times as many bytes at most. block_bytes: text in a block. Both follow from the size of all texts unless given.
+    max_ngrams: n-grams in one filter. These only set how many blocks, buckets and filters there are; no word and no n-gram is left out."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
-    blocks = written(own.mapInArrow(_blocks, "block long, ids array<long>, held array<boolean>, text binary, ends binary, size long"))
-    size = int(blocks.agg(F.sum("size")).first()[0] or 0)
-    bits = max(10, math.ceil(math.log2(max(1, size / (8 * max_words)))))
+    size = int(own.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1)).first()[0] or 0)
+    block, bucket = sizes(size)
+    bucket = 8 * max_words if max_words else bucket
+    blocks = written(own.mapInArrow(_blocks(block_bytes or block), "block long, ids array<long>, held array<boolean>, text binary, ends binary"))
+    bits = max(10, math.ceil(math.log2(max(1, size / bucket))))
     asked = blocks.select("block", "held", "text", "ends").mapInArrow(_requests(bits), "part int, block long, words binary, wl binary, wh binary, pairs binary, pl binary, ph binary")
     answers = written(asked.groupBy("part").applyInArrow(_answers(max_ngrams), "block long, part int, wl binary, wh binary, levels binary, tokens long, distinct long"))
     tokens, distinct = (int(x or 0) for x in answers.agg(F.sum("tokens"), F.sum("distinct")).first())
     kinds = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return blocks.drop("size").groupBy("block").cogroup(answers.select("block", "part", "wl", "wh", "levels").groupBy("block")).applyInArrow(_score(tokens, distinct, weight, bits), kinds)
+    return blocks.groupBy("block").cogroup(answers.select("block", "part", "wl", "wh", "levels").groupBy("block")).applyInArrow(_score(tokens, distinct, weight, bits), kinds)

@@ -451,12 +451,17 @@ def test_lm_scores_keep_every_bigram(spark):
 
     want = {d: score(tokens(t)) for d, t in rows}
     assert sum(c == 1 for c in two.values()) > 5000
-    for options in ({}, {"max_ngrams": 3}, {"max_words": 1}):
+    for options in ({}, {"max_ngrams": 3}, {"max_words": 1}, {"block_bytes": 700, "max_words": 1}, {"block_bytes": 1 << 25}):
         got = {r["doc_id"]: r["score"] for r in lm_score.lm_scores(docs(spark, rows), **options).collect()}
         off = sorted(abs(got[d] - want[d]) for d in want)
         assert len(got) == len(rows) and off[len(off) // 2] < 1e-6 and sum(off) / len(off) < 0.05  # a few false positives of the filter
 
 
+def test_lm_blocks_and_buckets_grow_within_bounds():
+    assert lm_score.sizes(0) == lm_score.sizes(1 << 34) == (1 << 21, 1 << 24)
+    assert lm_score.sizes(1 << 36) == (1 << 22, 1 << 25) and lm_score.sizes(1 << 47) == (1 << 25, 1 << 26)
+
+
 def test_log_bloom_never_underestimates():
     rng = np.random.default_rng(9)
     codes, counts = rng.integers(0, 1 << 40, 20_000), rng.integers(3, 5000, 20_000)
