@@ -4,7 +4,7 @@ Word counts are exact, over all training documents. Every n-gram of two words th
 count: an n-gram whose count has the logarithmic level q is stored once for each level 1..q, and a count is read by probing levels
 until one is missing.
 
-Nothing is broadcast. Documents are written as blocks of 2 MB and more; a block asks for each of its words and n-grams once, with its training
+Nothing is broadcast. Documents are written as blocks of 8 MB and more; a block asks for each of its words and n-grams once, with its training
 count there. The requests are dealt by hash into buckets, whose number grows with the corpus; a bucket sums the counts, builds its filters
 from the n-grams that occur in training, and answers each block's requests. A block then scores its documents. As a block asks once for each
 n-gram, frequent ones don't weigh on one bucket. Blocks and buckets both grow with the root of the corpus, up to bounds that fit a task: with blocks of one
@@ -28,8 +28,8 @@ from depmatrix.llm.shared import byte_table, mixed, one_word_hash, string_parts,
 #: The end token: a space can't be in a word.
 END = one_word_hash(b" end ")
 _TABLE = byte_table()
-#: Bytes of text in a block and to a bucket: at least, and at most from _LARGE times 16^2 and 4^2 on.
-_BLOCK, _BUCKET, _LARGE = (1 << 21, 1 << 25), (1 << 24, 1 << 26), 1 << 34
+#: Bytes of text in a block and to a bucket: least and most; they grow from _LARGE bytes of text to 16 times as many.
+_BLOCK, _BUCKET, _LARGE = (1 << 23, 1 << 25), (1 << 24, 1 << 26), 1 << 34
 
 
 @dataclass

@@ -458,8 +458,8 @@ def test_lm_scores_keep_every_bigram(spark):
 
 
 def test_lm_blocks_and_buckets_grow_within_bounds():
-    assert lm_score.sizes(0) == lm_score.sizes(1 << 34) == (1 << 21, 1 << 24)
-    assert lm_score.sizes(1 << 36) == (1 << 22, 1 << 25) and lm_score.sizes(1 << 47) == (1 << 25, 1 << 26)
+    assert lm_score.sizes(0) == lm_score.sizes(1 << 34) == (1 << 23, 1 << 24)
+    assert lm_score.sizes(1 << 36) == (1 << 24, 1 << 25) and lm_score.sizes(1 << 47) == (1 << 25, 1 << 26)
 
 
 def test_log_bloom_never_underestimates():
