@@ -420,12 +420,26 @@ def levels(spark, sf_dir):
     return G.levels(d.edges, G.strong_components(d.elements, d.edges)).drop("dsm_id")
 
 
-@query(_with(_REACH, _SCC, share=0.9, recursive=True) + """, s AS (SELECT scc, count(*) AS size FROM scc GROUP BY scc HAVING count(*) > 1),
+_TEAR = """
+s AS (SELECT scc, count(*) AS size FROM scc GROUP BY scc HAVING count(*) > 1),
 x AS (SELECT a.scc, s.size, e.i, e.j, e.w FROM e JOIN scc a ON a.idx = e.i JOIN scc b ON b.idx = e.j AND a.scc = b.scc JOIN s ON s.scc = a.scc),
-r2(ti, tj, scc, i, j) AS (SELECT t.i, t.j, t.scc, x.i, x.j FROM x t JOIN x ON x.scc = t.scc AND NOT (x.i = t.i AND x.j = t.j) UNION SELECT r.ti, r.tj, r.scc, r.i, x.j FROM r2 r JOIN x ON x.scc = r.scc AND x.i = r.j AND NOT (x.i = r.ti AND x.j = r.tj)),
-p AS (SELECT t.i AS ti, t.j AS tj, t.scc, m.idx, coalesce(count(b.j), 0) AS mutual FROM x t JOIN scc m ON m.scc = t.scc LEFT JOIN (SELECT a.* FROM r2 a JOIN r2 b ON a.ti = b.ti AND a.tj = b.tj AND a.i = b.j AND a.j = b.i) b ON b.ti = t.i AND b.tj = t.j AND b.i = m.idx GROUP BY ALL),
-o AS (SELECT x.scc, x.i, x.j, x.w, x.size - greatest(max(p.mutual), 1) AS impact, greatest(max(p.mutual), 1) AS largest_loop_after FROM x JOIN p ON p.ti = x.i AND p.tj = x.j GROUP BY x.scc, x.i, x.j, x.w, x.size)
-SELECT scc, i, j, w, impact, largest_loop_after, largest_loop_after = 1 AS fully_resolves, CAST(row_number() OVER (PARTITION BY scc ORDER BY impact DESC, w, i, j) AS INTEGER) AS rank FROM o QUALIFY rank <= 5""".replace(", s AS", "SELECT * FROM (WITH RECURSIVE s AS", 1) + ")")
+r2(ti, tj, scc, i, j) AS (SELECT t.i, t.j, t.scc, x.i, x.j FROM x t JOIN x ON x.scc = t.scc AND NOT (x.i = t.i AND x.j = t.j)
+  UNION SELECT r.ti, r.tj, r.scc, r.i, x.j FROM r2 r JOIN x ON x.scc = r.scc AND x.i = r.j AND NOT (x.i = r.ti AND x.j = r.tj)),
+m2 AS (SELECT a.ti, a.tj, a.i, a.j FROM r2 a JOIN r2 b ON a.ti = b.ti AND a.tj = b.tj AND a.i = b.j AND a.j = b.i),
+p AS (SELECT t.i AS ti, t.j AS tj, t.scc, m.idx, coalesce(count(b.j), 0) AS mutual FROM x t JOIN scc m ON m.scc = t.scc
+  LEFT JOIN m2 b ON b.ti = t.i AND b.tj = t.j AND b.i = m.idx GROUP BY ALL),
+o AS (SELECT x.scc, x.i, x.j, x.w, x.size - greatest(max(p.mutual), 1) AS impact, greatest(max(p.mutual), 1) AS largest_loop_after
+  FROM x JOIN p ON p.ti = x.i AND p.tj = x.j GROUP BY x.scc, x.i, x.j, x.w, x.size)
+SELECT scc, i, j, w, impact, largest_loop_after, largest_loop_after = 1 AS fully_resolves,
+  CAST(row_number() OVER (PARTITION BY scc ORDER BY impact DESC, w, i, j) AS INTEGER) AS rank FROM o QUALIFY rank <= 5"""
+
+
+def _torn(before: str) -> str:
+    """before: SQL that ends with scc, the strong components."""
+    return f"{before} SELECT * FROM (WITH RECURSIVE {_TEAR})"
+
+
+@query(_torn(_with(_REACH, _SCC, share=0.9, recursive=True)))
 def tearing_q90(spark, sf_dir):
     d = _dsm(spark, sf_dir, 0.9)
     return G.tearing(d.edges, G.strong_components(d.elements, d.edges)).drop("dsm_id")
@@ -463,6 +477,25 @@ def mcl_two_steps(spark, sf_dir):
     return G.markov_steps(_dsm(spark, sf_dir, 0.9), 2).select("i", "j", F.round("w", 9).alias("w"))
 
 
+_DEP = "dep AS (SELECT DISTINCT a.scc AS a, b.scc AS b FROM e JOIN scc a ON a.idx = e.i JOIN scc b ON b.idx = e.j WHERE a.scc <> b.scc)"
+_LV = "lv(scc, level) AS (SELECT scc, 0 FROM scc UNION SELECT dep.a, lv.level + 1 FROM lv JOIN dep ON dep.b = lv.scc)"
+_SHAPE = (
+    "blk AS (SELECT s.scc, s.size, l.level FROM (SELECT scc, count(*) AS size FROM scc GROUP BY scc) s JOIN (SELECT scc, max(level) AS level FROM lv GROUP BY scc) l ON l.scc = s.scc)",
+    "o AS (SELECT scc.idx, row_number() OVER (ORDER BY blk.level, blk.scc, scc.idx) AS pos FROM scc JOIN blk ON blk.scc = scc.scc)",
+    """f AS (SELECT CAST(sum(size) AS BIGINT) AS n_elements, count(*) AS n_blocks, count(*) FILTER (size > 1) AS n_loops, CAST(coalesce(max(size) FILTER (size > 1), 1) AS BIGINT) AS largest_loop,
+  CAST(coalesce(sum(size) FILTER (size > 1), 0) AS BIGINT) AS coupled_elements, max(level) + 1 AS n_levels, (SELECT CAST(coalesce(sum(CASE WHEN i < j THEN w END), 0) AS BIGINT) FROM e) AS feedback_before,
+  (SELECT CAST(coalesce(sum(CASE WHEN a.pos < b.pos THEN w END), 0) AS BIGINT) FROM e JOIN o a ON a.idx = e.i JOIN o b ON b.idx = e.j) AS feedback_after,
+  (SELECT coalesce(avg(CASE WHEN r.i IS NULL THEN 0.0 ELSE 1.0 END), 0) FROM e LEFT JOIN e r ON e.i = r.j AND e.j = r.i) AS s FROM blk)""",
+)
+_SHAPE_SQL = """SELECT n_elements, n_blocks, n_loops, largest_loop, coupled_elements, n_levels, feedback_before, feedback_after, round(s, 6) AS symmetry_ratio, n_elements - coupled_elements AS sequential_elements,
+  feedback_before - feedback_after AS marks_resolved, CASE WHEN s >= 0.6 THEN 'symmetric' WHEN n_loops >= 1 AND largest_loop >= 0.8 * n_elements THEN 'giant_loop' ELSE 'process' END AS guidance FROM f"""
+_FIXED_SQL = _SHAPE_SQL.replace("feedback_before, feedback_after,", "feedback_before,").replace("feedback_before - feedback_after AS marks_resolved, ", "")
+
+
+def _fixed(metrics: DataFrame) -> DataFrame:
+    return metrics.drop("dsm_id", "feedback_after", "marks_resolved").withColumn("symmetry_ratio", F.round("symmetry_ratio", 6))
+
+
 @query()
 def process_partition(spark, sf_dir):
     return process.partition(_dsm(spark, sf_dir, 0.5), seed=1).ordering
@@ -473,11 +506,32 @@ def process_metrics(spark, sf_dir):
     return process.partition(_dsm(spark, sf_dir, 0.5), seed=1).metrics
 
 
+_LEVEL_OF = "SELECT scc.idx, max(lv.level) AS level FROM scc JOIN lv ON lv.scc = scc.scc GROUP BY scc.idx"
+
+
+@query(_with(_REACH, _SCC, _DEP, _LV, share=0.5, recursive=True) + _LEVEL_OF)
+def process_levels(spark, sf_dir):
+    """Of the ordering what the seed doesn't decide."""
+    return process.partition(_dsm(spark, sf_dir, 0.5), seed=1).ordering.select("idx", "level")
+
+
+@query(_with(_REACH, _SCC, _DEP, _LV, *_SHAPE, share=0.5, recursive=True) + _FIXED_SQL)
+def process_metrics_fixed(spark, sf_dir):
+    """Of the metrics what the seed doesn't decide."""
+    return _fixed(process.partition(_dsm(spark, sf_dir, 0.5), seed=1).metrics)
+
+
 @query()
 def process_tears(spark, sf_dir):
     return process.partition(_dsm(spark, sf_dir, 0.5), seed=1).tears
 
 
+@query(f"SELECT * EXCLUDE (scc) FROM ({_torn(_with(_REACH, _SCC, share=0.5, recursive=True))})")
+def process_tears_fixed(spark, sf_dir):
+    """The tears but for the block's number."""
+    return process.partition(_dsm(spark, sf_dir, 0.5), seed=1).tears.drop("dsm_id", "block")
+
+
 @query()
 def cluster_candidates(spark, sf_dir):
     return cluster.cluster_stage(_dsm(spark, sf_dir, 0.9), Constraints(seed=1)).candidates
@@ -509,6 +563,53 @@ def fiedler_profile(spark, sf_dir):
     return cluster.fiedler_profile(_dsm(spark, sf_dir, 0.9))
 
 
+@query("SELECT count(*) AS elements, count(*) AS places, 0 AS first, CAST(count(*) - 1 AS INTEGER) AS last, true AS together FROM nation")
+def cluster_sequence_cover(spark, sf_dir):
+    """Each element has a place of its own, places go from 0 without a gap, and each cluster's places lie side by side."""
+    order = cluster.run(_dsm(spark, sf_dir, 0.9), Constraints(seed=1))[0]
+    spans = order.groupBy("cluster").agg(F.count("*").alias("n"), (F.max("pos") - F.min("pos") + 1).alias("span"))
+    found = order.agg(F.count_distinct("idx").alias("elements"), F.count_distinct("pos").alias("places"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+    return found.crossJoin(spans.agg(F.bool_and(F.col("n") == F.col("span")).alias("together")))
+
+
+@query(
+    _with(_BUS, share=0.9)
+    + """SELECT (SELECT count(*) FROM bus) AS n_bus, CAST(sum(w) AS BIGINT) AS total_marks,
+  CAST(coalesce(sum(CASE WHEN i NOT IN (SELECT idx FROM bus) AND j NOT IN (SELECT idx FROM bus) THEN w END), 0) AS BIGINT) AS core_marks, true AS no_more_feedback, true AS within_bounds FROM e"""
+)
+def cluster_metrics_fixed(spark, sf_dir):
+    """Of the metrics what the seed doesn't decide; ordering never adds feedback, and the cost lies between the core's marks and these times its elements."""
+    d = _dsm(spark, sf_dir, 0.9)
+    found = cluster.run(d, Constraints(seed=1))[1].join(d.sizes(), "dsm_id")
+    within = (F.col("external_marks") <= F.col("core_marks")) & (F.col("cost") >= F.col("core_marks")) & (F.col("cost") <= F.col("core_marks") * F.col("n"))
+    return found.select("n_bus", "total_marks", "core_marks", (F.col("feedback_after") <= F.col("feedback_before")).alias("no_more_feedback"), within.alias("within_bounds"))
+
+
+@query(_with(_BUS, share=0.9) + "SELECT algo, true AS scored_alike, true AS cheapest_recommended FROM (VALUES ('spectral'), ('mcl'), ('thebeau'), ('louvain')) x(algo)")
+def cluster_candidates_rescored(spark, sf_dir):
+    """Every algorithm has a candidate, whose figures come out again from its clusters, and the recommended one is the cheapest."""
+    stage = cluster.cluster_stage(_dsm(spark, sf_dir, 0.9), Constraints(seed=1))
+    again = S.scores(stage.core.edges, stage.assign, stage.core.sizes(), ("dsm_id", "algo")).select("dsm_id", "algo", F.col("cost").alias("c"), F.col("external_ratio").alias("x"), F.col("n_clusters").alias("k"))
+    alike = (F.abs(F.col("c") - F.col("cost")) < 1e-6) & (F.abs(F.col("x") - F.col("external_ratio")) < 1e-9) & (F.col("k") == F.col("n_clusters"))
+    least = stage.recommended().select("dsm_id", F.col("cost").alias("least"))
+    return stage.candidates.join(again, ["dsm_id", "algo"]).join(least, "dsm_id").select("algo", alike.alias("scored_alike"), (F.col("cost") >= F.col("least")).alias("cheapest_recommended"))
+
+
+@query(_with(_BUS, share=0.9) + "SELECT CAST(k AS INTEGER) AS k, k AS n_clusters FROM (SELECT count(*) AS n FROM n WHERE idx NOT IN (SELECT idx FROM bus)), range(2, 12) r(k) WHERE k < least(12, n)")
+def k_sweep_points(spark, sf_dir):
+    """All k that the sweep tries, each with as many clusters."""
+    return k_sweep(spark, sf_dir).select("k", F.col("n_clusters").cast("long").alias("n_clusters"))
+
+
+@query("SELECT count(*) AS elements, 20 AS runs, true AS within_bounds FROM nation")
+def stability_bounds(spark, sf_dir):
+    """Consistency lies in 0..1, its mean is that of the elements, and there are as many different partitions as runs at most."""
+    _, agree, figures = cluster.stability(_dsm(spark, sf_dir, 0.9), "louvain")
+    each = agree.agg(F.count_distinct("idx").alias("elements"), F.min("c").alias("low"), F.max("c").alias("high"), F.avg("c").alias("mean"))
+    fine = (F.col("low") >= 0) & (F.col("high") <= 1) & (F.abs(F.col("mean") - F.col("mean_consistency")) < 1e-9) & F.col("distinct_partitions").between(1, F.col("runs"))
+    return each.crossJoin(figures).select("elements", "runs", fine.alias("within_bounds"))
+
+
 def _chain(spark: SparkSession, sf_dir: str, kind: str) -> Dsm:
     """supp: the heaviest hundredth of the suppliers' chain. part: edges of the parts' chain that occur twice at least."""
     d = derive.chain(spark, sf_dir, "l_suppkey" if kind == "supp" else "l_partkey", f"{kind}_chain")
@@ -517,20 +618,6 @@ def _chain(spark: SparkSession, sf_dir: str, kind: str) -> Dsm:
     return Dsm(d.elements, G.cut(d.edges))
 
 
-_DEP = "dep AS (SELECT DISTINCT a.scc AS a, b.scc AS b FROM e JOIN scc a ON a.idx = e.i JOIN scc b ON b.idx = e.j WHERE a.scc <> b.scc)"
-_LV = "lv(scc, level) AS (SELECT scc, 0 FROM scc UNION SELECT dep.a, lv.level + 1 FROM lv JOIN dep ON dep.b = lv.scc)"
-_SHAPE = (
-    "blk AS (SELECT s.scc, s.size, l.level FROM (SELECT scc, count(*) AS size FROM scc GROUP BY scc) s JOIN (SELECT scc, max(level) AS level FROM lv GROUP BY scc) l ON l.scc = s.scc)",
-    "o AS (SELECT scc.idx, row_number() OVER (ORDER BY blk.level, blk.scc, scc.idx) AS pos FROM scc JOIN blk ON blk.scc = scc.scc)",
-    """f AS (SELECT CAST(sum(size) AS BIGINT) AS n_elements, count(*) AS n_blocks, count(*) FILTER (size > 1) AS n_loops, CAST(coalesce(max(size) FILTER (size > 1), 1) AS BIGINT) AS largest_loop,
-  CAST(coalesce(sum(size) FILTER (size > 1), 0) AS BIGINT) AS coupled_elements, max(level) + 1 AS n_levels, (SELECT CAST(coalesce(sum(CASE WHEN i < j THEN w END), 0) AS BIGINT) FROM e) AS feedback_before,
-  (SELECT CAST(coalesce(sum(CASE WHEN a.pos < b.pos THEN w END), 0) AS BIGINT) FROM e JOIN o a ON a.idx = e.i JOIN o b ON b.idx = e.j) AS feedback_after,
-  (SELECT coalesce(avg(CASE WHEN r.i IS NULL THEN 0.0 ELSE 1.0 END), 0) FROM e LEFT JOIN e r ON e.i = r.j AND e.j = r.i) AS s FROM blk)""",
-)
-_SHAPE_SQL = """SELECT n_elements, n_blocks, n_loops, largest_loop, coupled_elements, n_levels, feedback_before, feedback_after, round(s, 6) AS symmetry_ratio, n_elements - coupled_elements AS sequential_elements,
-  feedback_before - feedback_after AS marks_resolved, CASE WHEN s >= 0.6 THEN 'symmetric' WHEN n_loops >= 1 AND largest_loop >= 0.8 * n_elements THEN 'giant_loop' ELSE 'process' END AS guidance FROM f"""
-
-
 def _shape(d: Dsm) -> DataFrame:
     """Figures of a process matrix in the order by levels, in tables alone."""
     out = process.process_metrics(d, process.by_levels(d)).drop("dsm_id")
@@ -632,7 +719,23 @@ def process_tears_supp_chain(spark, sf_dir):
     return process.partition(_chain(spark, sf_dir, "supp"), seed=1).tears
 
 
-@query()
+@query(_torn(_chain_sql("supp")))
 def tearing_supp_chain(spark, sf_dir):
     d = _chain(spark, sf_dir, "supp")
     return G.tearing(d.edges, G.strong_components(d.elements, d.edges)).drop("dsm_id")
+
+
+@query(_chain_sql("supp", _DEP, _LV) + _LEVEL_OF)
+def process_levels_supp_chain(spark, sf_dir):
+    return process.partition(_chain(spark, sf_dir, "supp"), seed=1).ordering.select("idx", "level")
+
+
+@query(_chain_sql("supp", _DEP, _LV, *_SHAPE) + _FIXED_SQL)
+def process_metrics_fixed_supp_chain(spark, sf_dir):
+    return _fixed(process.partition(_chain(spark, sf_dir, "supp"), seed=1).metrics)
+
+
+@query(f"SELECT * EXCLUDE (scc) FROM ({_torn(_chain_sql('supp'))})")
+def process_tears_fixed_supp_chain(spark, sf_dir):
+    """The tears but for the block's number."""
+    return process.partition(_chain(spark, sf_dir, "supp"), seed=1).tears.drop("dsm_id", "block")
