@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depmatrix.llm import chat, decontamination, html_extract, license_scan, lm_score, mixing, quality_classifier, quality_rules, simhash, warc
+from depmatrix.llm.shared import lowered
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,9 +83,31 @@ def base_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_lm_scoring(spark, sf_dir).drop("score").withColumn("base_score", F.round("base_score", 6))
 
 
+def _spaced(text: Column, lower) -> Column:
+    """Words with one space between them."""
+    return F.trim(F.regexp_replace(lower(F.coalesce(text.cast("string"), F.lit(""))), r"[\x20\x09-\x0D]+", " "))
+
+
+def copies_in_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that occur more than once, but for case and white space, and whether op3 gives all copies one fingerprint and one component."""
+    texts = _table(spark, sf_dir, "documents").select("doc_id", F.sha2(_spaced(F.col("text"), lowered), 256).alias("copy_of"))
+    together = (F.count_distinct("fingerprint") == 1) & (F.count_distinct("component_id") == 1) & (F.max("component_id") <= F.min("doc_id"))
+    by = texts.join(op3_simhash(spark, sf_dir), "doc_id").groupBy("copy_of")
+    return by.agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), together.alias("together")).filter("copies > 1").drop("copy_of")
+
+
+def items_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op1's pairs of which the document holds the item's words side by side, in any case."""
+    padded = lambda c: F.concat(F.lit(" "), _spaced(c, F.lower), F.lit(" "))
+    pairs = op1_decontamination(spark, sf_dir).select("doc_id", "item_id")
+    texts = _table(spark, sf_dir, "documents").select("doc_id", padded(F.col("text")).alias("text"))
+    items = _table(spark, sf_dir, "benchmark").select("item_id", padded(F.col("text")).alias("item"))
+    return pairs.join(items, "item_id").join(texts, "doc_id").filter(F.contains("text", "item")).select("doc_id", "item_id").distinct()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (op1_decontamination, op2_preference_chat, op3_simhash, op4_warc, op5_license_scan, op6_quality_classifier, op7_quality_rules, op8_mixing, op9_html_extraction, op10_lm_scoring)
-    return {f.__name__: f for f in (*ops, base_license_scan, base_quality_rules, base_mixing, base_mixing_by_source, base_lm_scoring)}
+    return {f.__name__: f for f in (*ops, base_license_scan, base_quality_rules, base_mixing, base_mixing_by_source, base_lm_scoring, copies_in_components, items_contained)}
 
 
 OP2_SQL = """
@@ -177,6 +200,19 @@ FROM t JOIN d ON d.r = t.r LEFT JOIN c ON c.token = t.token, n GROUP BY d.r
 """
 
 
+_SPACED = r"trim(regexp_replace({}, '[\x20\x09-\x0D]+', ' ', 'g'))"
+
+COPIES_SQL = f"""
+SELECT min(doc_id) AS doc_id, count(*) AS copies, true AS together FROM documents GROUP BY {_SPACED.format(_LOWER)} HAVING count(*) > 1
+"""
+
+CONTAINED_SQL = f"""
+WITH d AS (SELECT doc_id, ' ' || {_SPACED.format("lower(coalesce(text, ''))")} || ' ' AS text FROM documents),
+i AS (SELECT item_id, {_SPACED.format("lower(coalesce(text, ''))")} AS item FROM benchmark)
+SELECT DISTINCT d.doc_id, i.item_id FROM d JOIN i ON contains(d.text, ' ' || i.item || ' ') WHERE i.item <> ''
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_preference_chat": OP2_SQL,
@@ -186,4 +222,6 @@ def oracle_sql() -> dict[str, str]:
         "base_mixing": BASE_MIXING_SQL,
         "base_mixing_by_source": BASE_MIXING_BY_SOURCE_SQL,
         "base_lm_scoring": BASE_LM_SQL,
+        "copies_in_components": COPIES_SQL,
+        "items_contained": CONTAINED_SQL,
     }
