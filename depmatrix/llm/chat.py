@@ -37,19 +37,48 @@ def preference_segments(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
 
     Turns stand in the order of turn, then role, then text, nulls last in each, so ties and repeats have one order; null role or text equals null and renders
     as empty, very long ones whole. A side without turns has no rows; rows with a null pair_id are of no pair and are left out. Extra columns are not looked at."""
-    keep = lambda df: df.select("pair_id", F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")).filter("pair_id is not null")
+    keep = lambda df: df.select(
+        "pair_id",
+        F.col("turn").cast("long").alias("turn"),
+        F.col("role").cast("string").alias("role"),
+        F.col("text").cast("string").alias("text"),
+    ).filter("pair_id is not null")
     a = _numbered(keep(chosen), "pair_id").select("pair_id", "pos", F.struct("role", "text").alias("a"))
     b = _numbered(keep(rejected), "pair_id").select("pair_id", "pos", F.struct("role", "text").alias("b"))
     both = written(a.join(b, ["pair_id", "pos"], "full_outer"))
-    same = F.col("a").isNotNull() & F.col("b").isNotNull() & F.col("a.role").eqNullSafe(F.col("b.role")) & F.col("a.text").eqNullSafe(F.col("b.text"))
+    same = (
+        F.col("a").isNotNull()
+        & F.col("b").isNotNull()
+        & F.col("a.role").eqNullSafe(F.col("b.role"))
+        & F.col("a.text").eqNullSafe(F.col("b.text"))
+    )
     # the first turn that differs ends the prompt: a grouped minimum, joined back with long conversations split from the rest
-    ends = both.groupBy(F.col("pair_id").alias("_p")).agg(F.coalesce(F.min(F.when(~same, F.col("pos"))), F.max("pos") + 1).alias("prompt_turns"), F.count("*").alias("_n"))
+    ends = both.groupBy(F.col("pair_id").alias("_p")).agg(
+        F.coalesce(F.min(F.when(~same, F.col("pos"))), F.max("pos") + 1).alias("prompt_turns"), F.count("*").alias("_n")
+    )
     shared = F.col("pos") < F.col("prompt_turns")
-    part = lambda name, side: F.struct(F.lit(name).alias("part"), F.col(f"{side}.role").alias("role"), F.col(f"{side}.text").alias("text"))
-    segments = F.when(shared, F.array(part("prompt", "a"))).otherwise(F.filter(F.array(F.when(F.col("a").isNotNull(), part("chosen", "a")), F.when(F.col("b").isNotNull(), part("rejected", "b"))), lambda x: x.isNotNull()))
-    out = split_join(both, written(ends), [("pair_id", "_p")], "_n").select("pair_id", "pos", "prompt_turns", F.explode(segments).alias("s"))
+    part = lambda name, side: (
+        F.struct(F.lit(name).alias("part"), F.col(f"{side}.role").alias("role"), F.col(f"{side}.text").alias("text"))
+    )
+    segments = F.when(shared, F.array(part("prompt", "a"))).otherwise(
+        F.filter(
+            F.array(F.when(F.col("a").isNotNull(), part("chosen", "a")), F.when(F.col("b").isNotNull(), part("rejected", "b"))),
+            lambda x: x.isNotNull(),
+        )
+    )
+    out = split_join(both, written(ends), [("pair_id", "_p")], "_n").select(
+        "pair_id", "pos", "prompt_turns", F.explode(segments).alias("s")
+    )
     train = ((F.col("s.part") != "prompt") & F.coalesce(F.col("s.role") == "assistant", F.lit(False))).cast("int")
-    return out.select("pair_id", F.col("s.part").alias("part"), "pos", F.col("s.role").alias("role"), rendered(F.col("s.role"), F.col("s.text")).alias("rendered"), train.alias("train"), "prompt_turns")
+    return out.select(
+        "pair_id",
+        F.col("s.part").alias("part"),
+        "pos",
+        F.col("s.role").alias("role"),
+        rendered(F.col("s.role"), F.col("s.text")).alias("rendered"),
+        train.alias("train"),
+        "prompt_turns",
+    )
 
 
 def pairs_from_conversations(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -58,11 +87,18 @@ def pairs_from_conversations(conversations: DataFrame) -> tuple[DataFrame, DataF
 
     A turn without a number stands after all that have one, so it is part of the chosen side only, and is never the last assistant turn.
     A conversation whose neighbour, or which itself, has no assistant turn gets a rejected side without that turn."""
-    c = conversations.select(F.col("conv_id").cast("long").alias("pair_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")).filter("pair_id is not null")
+    c = conversations.select(
+        F.col("conv_id").cast("long").alias("pair_id"),
+        F.col("turn").cast("long").alias("turn"),
+        F.col("role").cast("string").alias("role"),
+        F.col("text").cast("string").alias("text"),
+    ).filter("pair_id is not null")
     said = F.when((F.col("role") == "assistant") & F.col("turn").isNotNull(), F.struct("turn", "text"))
     last = c.groupBy("pair_id").agg(F.max(said).alias("reply"), F.max("turn").alias("end"))
     cut = last.select("pair_id", F.coalesce("reply.turn", F.col("end") + 1).alias("cut"))
-    neighbour = last.filter("reply is not null").select(F.col("pair_id").bitwiseXOR(F.lit(1).cast("long")).alias("pair_id"), F.col("reply.text").alias("text"))
+    neighbour = last.filter("reply is not null").select(
+        F.col("pair_id").bitwiseXOR(F.lit(1).cast("long")).alias("pair_id"), F.col("reply.text").alias("text")
+    )
     before = c.join(cut, "pair_id").filter("turn < cut").select("pair_id", "turn", "role", "text")
     reply = neighbour.join(cut, "pair_id").select("pair_id", F.col("cut").alias("turn"), F.lit("assistant").alias("role"), "text")
     return c, before.unionByName(reply)

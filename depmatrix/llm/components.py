@@ -13,7 +13,12 @@ def _stars(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select("b", "a")).toDF("u", "v")
     upper = F.when(F.col("v") > F.col("u"), 1).otherwise(0)
     least = written(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.sum(upper).alias("n")).withColumnRenamed("u", "_u"))
-    large = split_join(both.filter("v > u"), least, [("u", "_u")], "n").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a > b").distinct()
+    large = (
+        split_join(both.filter("v > u"), least, [("u", "_u")], "n")
+        .select(F.col("v").alias("a"), F.col("m").alias("b"))
+        .filter("a > b")
+        .distinct()
+    )
     roots = large.groupBy("a").agg(F.min("b").alias("m"))  # a node's links go to distinct minima by now, so none has many
     small = large.join(roots, "a").select(F.greatest("b", "m").alias("x"), F.col("m").alias("y")).filter("x > y")
     return small.union(roots).toDF("a", "b").distinct()

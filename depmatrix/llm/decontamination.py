@@ -64,7 +64,9 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 df += (c > 0).sum(axis=0)
                 y += c.T @ (c @ omega)
             passages += n
-    yield pa.RecordBatch.from_arrays([pa.array([passages], pa.int64()), pa.array([df.tobytes()], pa.binary()), pa.array([y.tobytes()], pa.binary())], ["n", "df", "y"])
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([passages], pa.int64()), pa.array([df.tobytes()], pa.binary()), pa.array([y.tobytes()], pa.binary())], ["n", "df", "y"]
+    )
 
 
 def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,7 +76,9 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n += batch.column(0)[i].as_py()
             df += np.frombuffer(batch.column(1)[i].as_buffer())
             y += np.frombuffer(batch.column(2)[i].as_buffer())
-    yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([df.tobytes()], pa.binary()), pa.array([y.tobytes()], pa.binary())], ["n", "df", "y"])
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([n], pa.int64()), pa.array([df.tobytes()], pa.binary()), pa.array([y.tobytes()], pa.binary())], ["n", "df", "y"]
+    )
 
 
 def word_vectors(docs: DataFrame, fan_in: int = 8) -> np.ndarray:
@@ -148,7 +152,9 @@ class Items:
         brief = [(w, k) for k, own in enumerate(words) if len(own) < WINDOWS[0] * BLOCK for w in sorted(set(own.tolist()))]
         brief.sort()
         out.short = (np.array([x[0] for x in brief], np.uint64), np.array([x[1] for x in brief], np.int64))
-        out.queries = {b: (np.array([x[0] for x in v]), np.array([x[1] for x in v]), np.array([x[2] for x in v], np.float32)) for b, v in by.items()}
+        out.queries = {
+            b: (np.array([x[0] for x in v]), np.array([x[1] for x in v]), np.array([x[2] for x in v], np.float32)) for b, v in by.items()
+        }
         return out
 
     def places(self, h: np.ndarray, k: np.ndarray) -> np.ndarray:
@@ -254,14 +260,20 @@ class _Known:
         self.sets = [set(x) for x in self.often]
         self.sizes = np.array([len(w) for w in items.words])
 
-    def matches(self, h: np.ndarray, listed: list[int], counts: np.ndarray, total: np.ndarray | None, limits: Limits) -> dict[tuple[int, int], tuple[float, int, float]]:
+    def matches(
+        self, h: np.ndarray, listed: list[int], counts: np.ndarray, total: np.ndarray | None, limits: Limits
+    ) -> dict[tuple[int, int], tuple[float, int, float]]:
         """{(document, item): (cosine, common words, answer's share)} over consecutive documents' words h."""
         items, found = self.items, {}
         ends = np.cumsum(counts)
         tried: set[tuple[int, int]] = set()
 
         def check(k: int, d: int, low: int, high: int, cosine) -> None:
-            region, words, answer = listed[max(low, int(ends[d] - counts[d])) : min(high, int(ends[d]))], items.words[k].tolist(), items.answers[k]
+            region, words, answer = (
+                listed[max(low, int(ends[d] - counts[d])) : min(high, int(ends[d]))],
+                items.words[k].tolist(),
+                items.answers[k],
+            )
             common = lcs(words, region)
             if common >= limits.lcs * len(words) and common > found.get((d, k), (0, 0, 0))[1]:
                 share = lcs(answer.tolist(), region) / len(answer) if len(answer) else 1.0
@@ -271,12 +283,19 @@ class _Known:
         for start, query, cosine, blocks in candidates(total, items, limits.cosine) if items.queries else ():
             which, part, _ = items.queries[blocks]
             k, reach = which[query], blocks * BLOCK // 2 + 2
-            from_, to = np.maximum(0, start - part[query] - reach), np.minimum(len(h), start - part[query] + np.maximum(self.sizes[k], blocks * BLOCK) + reach)
+            from_, to = (
+                np.maximum(0, start - part[query] - reach),
+                np.minimum(len(h), start - part[query] + np.maximum(self.sizes[k], blocks * BLOCK) + reach),
+            )
             keep = np.flatnonzero(_enough(h, from_, to, k, limits.lcs * self.sizes[k], items))
-            for s, k, low, high, c in zip(start[keep].tolist(), k[keep].tolist(), from_[keep].tolist(), to[keep].tolist(), cosine[keep].tolist(), strict=True):
+            for s, k, low, high, c in zip(
+                start[keep].tolist(), k[keep].tolist(), from_[keep].tolist(), to[keep].tolist(), cosine[keep].tolist(), strict=True
+            ):
                 spot = (k, s // max(1, blocks * BLOCK // 4))
                 # a common subsequence has each of the item's words that stand there, as often as the item has it at most
-                if spot in tried or sum(map(self.often[k].__getitem__, self.sets[k].intersection(listed[low:high]))) < limits.lcs * len(items.words[k]):
+                if spot in tried or sum(
+                    map(self.often[k].__getitem__, self.sets[k].intersection(listed[low:high]))
+                ) < limits.lcs * len(items.words[k]):
                     continue
                 tried.add(spot)
                 for d in range(int(np.searchsorted(ends, low, side="right")), int(np.searchsorted(ends, high - 1, side="right")) + 1):
@@ -334,9 +353,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits(
                 rows = search(batch.column(1), blocks, limits)
                 n = [len(blocks[b].words[k]) for _, b, k, *_ in rows]
                 ids = batch.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
-                columns = [pa.array([blocks[r[1]].ids[r[2]] for r in rows], pa.int64()), *(pa.array([r[c] for r in rows], kind) for c, kind in ((3, pa.float64()), (4, pa.int64())))]
-                shares = [pa.array([r[4] / m for r, m in zip(rows, n, strict=True)], pa.float64()), pa.array([r[5] for r in rows], pa.float64())]
-                yield pa.RecordBatch.from_arrays([ids, *columns, pa.array(n, pa.int64()), *shares], ["doc_id", "item_id", "cosine", "common_words", "item_words", "lcs_ratio", "answer_ratio"])
+                columns = [
+                    pa.array([blocks[r[1]].ids[r[2]] for r in rows], pa.int64()),
+                    *(pa.array([r[c] for r in rows], kind) for c, kind in ((3, pa.float64()), (4, pa.int64()))),
+                ]
+                shares = [
+                    pa.array([r[4] / m for r, m in zip(rows, n, strict=True)], pa.float64()), pa.array([r[5] for r in rows], pa.float64())
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [ids, *columns, pa.array(n, pa.int64()), *shares],
+                    ["doc_id", "item_id", "cosine", "common_words", "item_words", "lcs_ratio", "answer_ratio"],
+                )
 
         part = own.mapInArrow(run, MATCHES)
         out = part if out is None else out.union(part)

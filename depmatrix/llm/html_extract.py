@@ -190,7 +190,11 @@ def content(lines: list[tuple[str, int, int, int, bool]], articles: set[int]) ->
         if x[3] in seeded:
             held.setdefault(x[2], []).append(k)
     for holder, places in held.items():
-        size, tags, mean = sum(len(lines[k][0]) for k in places), sum(lines[k][1] for k in places), sum(ratio[k] for k in places) / len(places)
+        size, tags, mean = (
+            sum(len(lines[k][0]) for k in places),
+            sum(lines[k][1] for k in places),
+            sum(ratio[k] for k in places) / len(places),
+        )
         if mean >= part(_BONUS) or size >= _PROSE * max(1, tags) or holder in articles:
             regions.add(holder)
     return [k for k, x in enumerate(lines) if x[2] in regions or x[4] and x[3] in seeded]
@@ -214,7 +218,12 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [extract(x) for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
-
-    own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
+                ["page_id", "url", "text", "n_chars"],
+            )
+
+    own = pages.select(
+        F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")
+    )
     return own.mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -72,8 +72,14 @@ class Notice:
         return [x for x in [*out, (rest, False, self.edits)] if x[0]]
 
     def pattern(self) -> str:
-        fuzzy = lambda part, free: f"(?:{regex.escape(part, literal_spaces=True)}){{e<={free}}}" if free else regex.escape(part, literal_spaces=True)
-        return "(?b)" + "".join(f"(?<![^ ]){fuzzy(part, free)}(?![^ ])" if key else fuzzy(part, free) for part, key, free in self.parts()) + "(?![^ ])"
+        fuzzy = lambda part, free: (
+            f"(?:{regex.escape(part, literal_spaces=True)}){{e<={free}}}" if free else regex.escape(part, literal_spaces=True)
+        )
+        return (
+            "(?b)"
+            + "".join(f"(?<![^ ]){fuzzy(part, free)}(?![^ ])" if key else fuzzy(part, free) for part, key, free in self.parts())
+            + "(?![^ ])"
+        )
 
     def pieces(self) -> list[tuple[int, str]]:
         """(where it starts, piece): edits + 1 pieces of about equal length."""
@@ -116,7 +122,9 @@ def _matches(line: str, notice: Notice, pattern: regex.Pattern, begins: set[int]
             yield start, end, edits
 
 
-def scan(text: bytes, notices: tuple[tuple, ...] = NOTICES) -> tuple[int, list[tuple[str, int, int]], list[tuple[str, int, int, int, float]]]:
+def scan(
+    text: bytes, notices: tuple[tuple, ...] = NOTICES
+) -> tuple[int, list[tuple[str, int, int]], list[tuple[str, int, int, int, float]]]:
     """(words, exact places as (label, first word, words), fuzzy matches as (label, first word, last word, edits, score)).
 
     Bytes beyond ASCII are letters; an edit in them counts once for each byte."""
@@ -155,7 +163,10 @@ def scan(text: bytes, notices: tuple[tuple, ...] = NOTICES) -> tuple[int, list[t
 
 
 SPANS = "array<struct<label:string,first_word:long,last_word:long,edits:long,score:double>>"
-RESULT = f"doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans {SPANS}"
+RESULT = (
+    "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans "
+    f"{SPANS}"
+)
 
 
 def license_scan(docs: DataFrame, notices: tuple[tuple, ...] = NOTICES) -> DataFrame:
@@ -171,10 +182,33 @@ def license_scan(docs: DataFrame, notices: tuple[tuple, ...] = NOTICES) -> DataF
                 n, exact, fuzzy = scan(data[a:b].tobytes(), notices)
                 starts = [x[1] for x in exact]
                 base = {x[0] for x in exact}
-                spans = [dict(zip(("label", "first_word", "last_word", "edits", "score"), (x, f, f + k - 1, 0, 1.0), strict=True)) for x, f, k in exact]
+                spans = [
+                    dict(zip(("label", "first_word", "last_word", "edits", "score"), (x, f, f + k - 1, 0, 1.0), strict=True))
+                    for x, f, k in exact
+                ]
                 spans += [dict(zip(("label", "first_word", "last_word", "edits", "score"), x, strict=True)) for x in fuzzy]
-                rows.append((doc, n, len(exact), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | {x[0] for x in fuzzy})), max((s["score"] for s in spans), default=0.0), spans))
-            span = pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("edits", pa.int64()), ("score", pa.float64())])
+                rows.append(
+                    (
+                        doc,
+                        n,
+                        len(exact),
+                        min(starts, default=None),
+                        max(starts, default=None),
+                        ",".join(sorted(base)),
+                        ",".join(sorted(base | {x[0] for x in fuzzy})),
+                        max((s["score"] for s in spans), default=0.0),
+                        spans,
+                    )
+                )
+            span = pa.struct(
+                [
+                    ("label", pa.string()),
+                    ("first_word", pa.int64()),
+                    ("last_word", pa.int64()),
+                    ("edits", pa.int64()),
+                    ("score", pa.float64()),
+                ]
+            )
             kinds = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.float64(), pa.list_(span)]
             names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)

@@ -43,7 +43,11 @@ class LogBloom:
 
     @classmethod
     def build(cls, codes: np.ndarray, counts: np.ndarray, least: int, base: float = 1.5, probes: int = 7, bits_each: int = 12) -> LogBloom:
-        levels = 1 + np.floor(np.log(np.maximum(counts, least) / least) / math.log(base) + 1e-9).astype(np.int64) if len(codes) else np.zeros(0, np.int64)
+        levels = (
+            1 + np.floor(np.log(np.maximum(counts, least) / least) / math.log(base) + 1e-9).astype(np.int64)
+            if len(codes)
+            else np.zeros(0, np.int64)
+        )
         size = 1 << max(10, math.ceil(math.log2(max(1, int(levels.sum())) * bits_each)))
         out = cls(np.zeros(size >> 3, np.uint8), least, base, probes)
         for q in range(1, int(levels.max(initial=0)) + 1):
@@ -106,7 +110,11 @@ def _with_ends(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def _cut_up(values: np.ndarray, ends: np.ndarray) -> pa.Array:
     """values as binaries, one for each stretch between ends."""
-    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+    return pa.Array.from_buffers(
+        pa.binary(),
+        len(ends) - 1,
+        [None, pa.py_buffer((ends * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))],
+    )
 
 
 def _joined(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
@@ -121,7 +129,10 @@ def _joined(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray
 def _cut_counts(counts: np.ndarray, ends: np.ndarray) -> tuple[pa.Array, pa.Array]:
     """A byte each; those from 255 on in full, in the second column."""
     large = counts >= 255
-    return _cut_up(np.minimum(counts, 255).astype(np.uint8), ends), _cut_up(counts[large].astype(np.int64), np.r_[0, np.cumsum(large)][ends])
+    return (
+        _cut_up(np.minimum(counts, 255).astype(np.uint8), ends),
+        _cut_up(counts[large].astype(np.int64), np.r_[0, np.cumsum(large)][ends]),
+    )
 
 
 def _joined_counts(low: pa.ChunkedArray, high: pa.ChunkedArray) -> np.ndarray:
@@ -150,7 +161,9 @@ def _blocks(most: int):
                 one = lambda x, kind: pa.array([x], kind)
                 lists = [pa.ListArray.from_arrays(pa.array([0, end - at], pa.int32()), batch.column(k).slice(at, end - at)) for k in (0, 1)]
                 packed = one(pa.compress(text, codec="zstd", asbytes=True), pa.binary())
-                yield pa.RecordBatch.from_arrays([one(block, pa.int64()), *lists, packed, one(ends.tobytes(), pa.binary())], ["block", "ids", "held", "text", "ends"])
+                yield pa.RecordBatch.from_arrays(
+                    [one(block, pa.int64()), *lists, packed, one(ends.tobytes(), pa.binary())], ["block", "ids", "held", "text", "ends"]
+                )
                 block, at = block + 1, end
 
     return run
@@ -183,8 +196,16 @@ def _requests(bits: int):
                 parts = np.union1d(place_w, place_p)
                 ends_w, ends_p = (np.r_[0, np.searchsorted(x, parts, side="right")] for x in (place_w, place_p))
                 count = lambda at, n: np.bincount(at[train], minlength=n)
-                columns = [_cut_up(words, ends_w), *_cut_counts(count(w, len(words)), ends_w), _cut_up(pairs.astype(np.uint32), ends_p), *_cut_counts(count(p, len(pairs)), ends_p)]
-                yield pa.RecordBatch.from_arrays([pa.array(parts.astype(np.int32)), pa.array(np.full(len(parts), block, np.int64)), *columns], ["part", "block", "words", "wl", "wh", "pairs", "pl", "ph"])
+                columns = [
+                    _cut_up(words, ends_w),
+                    *_cut_counts(count(w, len(words)), ends_w),
+                    _cut_up(pairs.astype(np.uint32), ends_p),
+                    *_cut_counts(count(p, len(pairs)), ends_p),
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(parts.astype(np.int32)), pa.array(np.full(len(parts), block, np.int64)), *columns],
+                    ["part", "block", "words", "wl", "wh", "pairs", "pl", "ph"],
+                )
 
     return run
 
@@ -207,8 +228,15 @@ def _answers(max_ngrams: int):
             trained = own & (counts > 0)
             levels[own] = LogBloom.build(codes[trained].astype(np.int64), counts[trained], 1).levels(codes[own].astype(np.int64))
         first = (np.arange(asked.num_rows) == 0).astype(np.int64)  # the bucket's figures, once
-        columns = [*_cut_counts(total[at], ends_w), _cut_up(levels[at_p], ends_p), pa.array(first * int(total.sum())), pa.array(first * int((total > 0).sum()))]
-        return pa.Table.from_arrays([asked.column("block"), asked.column("part"), *columns], ["block", "part", "wl", "wh", "levels", "tokens", "distinct"])
+        columns = [
+            *_cut_counts(total[at], ends_w),
+            _cut_up(levels[at_p], ends_p),
+            pa.array(first * int(total.sum())),
+            pa.array(first * int((total > 0).sum())),
+        ]
+        return pa.Table.from_arrays(
+            [asked.column("block"), asked.column("part"), *columns], ["block", "part", "wl", "wh", "levels", "tokens", "distinct"]
+        )
 
     return run
 
@@ -221,7 +249,9 @@ def _score(tokens: int, distinct: int, weight: float, bits: int):
         pairs, p = np.unique(_pairs(t, bits), return_inverse=True)
         counts, levels = _joined_counts(answers.column("wl"), answers.column("wh")), _joined(answers.column("levels"), np.uint8)[0]
         if len(counts) != len(words) or len(levels) != len(pairs):
-            raise RuntimeError(f"block {block.column('block')[0]}: {len(counts)} and {len(levels)} answers to {len(words)} and {len(pairs)} requests")
+            raise RuntimeError(
+                f"block {block.column('block')[0]}: {len(counts)} and {len(levels)} answers to {len(words)} and {len(pairs)} requests"
+            )
         context = counts[np.r_[np.searchsorted(words, END), w[:-1]]]
         lone = np.log10((counts + 0.5) / (tokens + 0.5 * (distinct + 1)))[w]
         share = np.where(context > 0, weight, 0.0)
@@ -229,7 +259,18 @@ def _score(tokens: int, distinct: int, weight: float, bits: int):
         starts = np.cumsum(many) - many
         by_doc = lambda x: pa.array(np.add.reduceat(x, starts))
         ids, held = (pa.concat_arrays([x.flatten() for x in block.column(c).chunks]) for c in ("ids", "held"))
-        return pa.Table.from_arrays([ids, held, pa.array(many), by_doc((counts[w] > 0).astype(np.int64)), pa.array(np.full(len(many), tokens)), by_doc(lone), by_doc(np.log10(both))], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        return pa.Table.from_arrays(
+            [
+                ids,
+                held,
+                pa.array(many),
+                by_doc((counts[w] > 0).astype(np.int64)),
+                pa.array(np.full(len(many), tokens)),
+                by_doc(lone),
+                by_doc(np.log10(both)),
+            ],
+            ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+        )
 
     return run
 
@@ -239,7 +280,9 @@ def held_out(doc_id):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 1
 
 
-def lm_scores(docs: DataFrame, max_words: int | None = None, max_ngrams: int = 1 << 19, weight: float = 0.3, block_bytes: int | None = None) -> DataFrame:
+def lm_scores(
+    docs: DataFrame, max_words: int | None = None, max_ngrams: int = 1 << 19, weight: float = 0.3, block_bytes: int | None = None
+) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Trains on the rows that aren't held out. Null or empty text: its end is its only token. Repeated rows count and are scored as often as they occur.
@@ -247,14 +290,30 @@ def lm_scores(docs: DataFrame, max_words: int | None = None, max_ngrams: int = 1
 
     max_words: a bucket's share of the text is 8 times as many bytes at most. block_bytes: text in a block. Both follow from the size of all texts unless given.
     max_ngrams: n-grams in one filter. These only set how many blocks, buckets and filters there are; no word and no n-gram is left out."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
+    own = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        held_out(F.col("doc_id")).alias("held_out"),
+        F.col("text").cast("string").alias("text"),
+    )
     size = int(own.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1)).first()[0] or 0)
     block, bucket = sizes(size)
     bucket = 8 * max_words if max_words else bucket
-    blocks = written(own.mapInArrow(_blocks(block_bytes or block), "block long, ids array<long>, held array<boolean>, text binary, ends binary"))
+    blocks = written(
+        own.mapInArrow(_blocks(block_bytes or block), "block long, ids array<long>, held array<boolean>, text binary, ends binary")
+    )
     bits = max(10, math.ceil(math.log2(max(1, size / bucket))))
-    asked = blocks.select("block", "held", "text", "ends").mapInArrow(_requests(bits), "part int, block long, words binary, wl binary, wh binary, pairs binary, pl binary, ph binary")
-    answers = written(asked.groupBy("part").applyInArrow(_answers(max_ngrams), "block long, part int, wl binary, wh binary, levels binary, tokens long, distinct long"))
+    asked = blocks.select("block", "held", "text", "ends").mapInArrow(
+        _requests(bits), "part int, block long, words binary, wl binary, wh binary, pairs binary, pl binary, ph binary"
+    )
+    answers = written(
+        asked.groupBy("part").applyInArrow(
+            _answers(max_ngrams), "block long, part int, wl binary, wh binary, levels binary, tokens long, distinct long"
+        )
+    )
     tokens, distinct = (int(x or 0) for x in answers.agg(F.sum("tokens"), F.sum("distinct")).first())
     kinds = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return blocks.groupBy("block").cogroup(answers.select("block", "part", "wl", "wh", "levels").groupBy("block")).applyInArrow(_score(tokens, distinct, weight, bits), kinds)
+    return (
+        blocks.groupBy("block")
+        .cogroup(answers.select("block", "part", "wl", "wh", "levels").groupBy("block"))
+        .applyInArrow(_score(tokens, distinct, weight, bits), kinds)
+    )

@@ -137,12 +137,17 @@ def _draws(span_first: Column, size: Column, p: dict[str, Column], bounds: Colum
 
 def _source_rows(spark, plans: list[SourcePlan], quotas: list[list[int]]) -> DataFrame:
     """One row for each source, as a written table: its plan, and where each shard's draws end among the source's."""
-    schema = "s string, source_size bigint, target double, block bigint, blocks bigint, passes int, extra bigint, step bigint, shift bigint, bounds array<bigint>"
+    schema = (
+        "s string, source_size bigint, target double, block bigint, blocks bigint, passes int, extra bigint, step bigint, shift bigint, "
+        "bounds array<bigint>"
+    )
     names = [x.split()[0] for x in schema.split(", ")]
     rows = []
     for k, p in enumerate(plans):
         ends = list(itertools.accumulate(row[k] for row in quotas[:-1]))
-        rows.append(dict(zip(names, (p.source, p.size, p.target, p.block, p.blocks, p.passes, p.extra, p.step, p.shift, ends), strict=True)))
+        rows.append(
+            dict(zip(names, (p.source, p.size, p.target, p.block, p.blocks, p.passes, p.extra, p.step, p.shift, ends), strict=True))
+        )
     fields = schema.replace(", ", ",").replace(" ", ":")
     return written(spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{fields}>>"))))
 
@@ -155,7 +160,14 @@ def mix(docs: DataFrame, shards: int = 16, bucket_rows: int = 1 << 20, seed: int
     Same rows, same draws, however partitioned. bucket_rows: documents in a stretch of a source's line (256 stretches at least), which one task puts in order."""
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    sized = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.xxhash64("text").alias("tie")))
+    sized = written(
+        docs.select(
+            F.col("doc_id").cast("long").alias("doc_id"),
+            F.col("source").cast("string").alias("source"),
+            F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
+            F.xxhash64("text").alias("tie"),
+        )
+    )
     buckets = max(256, -(-sized.count() // bucket_rows))
     bucket = F.pmod(F.xxhash64("doc_id", "tie", F.lit(seed)), F.lit(buckets)).cast("int")
     parts = written(sized.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("words")))
@@ -165,12 +177,22 @@ def mix(docs: DataFrame, shards: int = 16, bucket_rows: int = 1 << 20, seed: int
     plans = plan_sources(_by_code_point([(r["source"], r["n"]) for r in totals]), seed)
     table = _source_rows(spark, plans, split_tree([p.passes * p.blocks + p.extra for p in plans], shards, seed))
     before = F.coalesce(F.sum("words").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = parts.select("source", "bucket", before.alias("base")).join(table, F.col("source").eqNullSafe(F.col("s"))).select(F.col("bucket").alias("k"), "base", *table.columns)
-    inside = F.sum("size").over(W.partitionBy("source", "bucket").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "tie", "size").rowsBetween(W.unboundedPreceding, -1))
+    starts = (
+        parts.select("source", "bucket", before.alias("base"))
+        .join(table, F.col("source").eqNullSafe(F.col("s")))
+        .select(F.col("bucket").alias("k"), "base", *table.columns)
+    )
+    inside = F.sum("size").over(
+        W.partitionBy("source", "bucket")
+        .orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "tie", "size")
+        .rowsBetween(W.unboundedPreceding, -1)
+    )
     placed = sized.withColumn("bucket", bucket).withColumn("inside", F.coalesce(inside, F.lit(0)))
     joined = placed.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("k")))
     p = {c: F.col(c) for c in ("block", "blocks", "passes", "extra", "step", "shift", "source")}
-    return joined.withColumn("at", F.col("base") + F.col("inside")).select("doc_id", "source", "size", "source_size", "target", _draws(F.col("at"), F.col("size"), p, F.col("bounds"), seed).alias("draws"))
+    return joined.withColumn("at", F.col("base") + F.col("inside")).select(
+        "doc_id", "source", "size", "source_size", "target", _draws(F.col("at"), F.col("size"), p, F.col("bounds"), seed).alias("draws")
+    )
 
 
 def by_document(mixed: DataFrame) -> DataFrame:
@@ -180,7 +202,17 @@ def by_document(mixed: DataFrame) -> DataFrame:
     shards = F.array_sort(F.array_distinct(F.transform("draws", lambda d: d["shard"])))
     first = F.array_min(F.transform("draws", lambda d: F.struct(d["shard"].alias("shard"), d["rank"].alias("rank"))))
     named = F.when(F.size("draws") > 0, F.array_join(shards.cast("array<string>"), ","))
-    return mixed.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), F.size("draws").cast("long").alias("n_draws"), named.alias("shards"), first["rank"].alias("first_rank"))
+    return mixed.select(
+        "doc_id",
+        "source",
+        "size",
+        "source_size",
+        "target",
+        taken.alias("taken"),
+        F.size("draws").cast("long").alias("n_draws"),
+        named.alias("shards"),
+        first["rank"].alias("first_rank"),
+    )
 
 
 def shard_rows(mixed: DataFrame) -> DataFrame:

@@ -114,7 +114,9 @@ def _logit(p: Column) -> Column:
 def _strength(sites: DataFrame, mean: str, floor: float = 1.0, ceiling: float = 1e4) -> float:
     """Pseudo-documents of the prior: mean (1 - mean) over the variance of the rates beyond chance, minus 1."""
     m, n = F.col(mean), F.col("n")
-    got = sites.filter("n > 0").agg(F.sum(n), F.sum(n * F.pow(F.col("k") / n - m, F.lit(2))), F.sum(m * (1 - m)), F.sum(n * m * (1 - m))).first()
+    got = sites.filter("n > 0").agg(
+        F.sum(n), F.sum(n * F.pow(F.col("k") / n - m, F.lit(2))), F.sum(m * (1 - m)), F.sum(n * m * (1 - m))
+    ).first()
     if not got[0]:
         return ceiling
     beyond = (got[1] - got[2]) / got[0]  # a site's rate varies by m (1 - m) / n by chance
@@ -125,29 +127,55 @@ def _strength(sites: DataFrame, mean: str, floor: float = 1.0, ceiling: float =
 def site_posteriors(evidence: DataFrame, unlabelled: float = 0.25) -> tuple[DataFrame, float]:
     """((host, path, host_posterior, path_posterior, rows), global rate) from rows (host, path, good or null, p_doc); the first is a written table."""
     n = F.when(F.col("good").isNotNull(), 1.0).otherwise(unlabelled)
-    paths = written(evidence.groupBy("host", "path").agg(F.sum(n).alias("n"), F.sum(n * F.coalesce(F.col("good").cast("double"), F.col("p_doc"))).alias("k"), F.count("*").alias("rows")))
+    paths = written(
+        evidence.groupBy("host", "path").agg(
+            F.sum(n).alias("n"), F.sum(n * F.coalesce(F.col("good").cast("double"), F.col("p_doc"))).alias("k"), F.count("*").alias("rows")
+        )
+    )
     total = paths.agg(F.sum("n"), F.sum("k")).first()
     rate = min(0.999, max(0.001, ((total[1] or 0) + 1) / ((total[0] or 0) + 2)))
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.count("*").alias("paths")).withColumn("m", F.lit(rate))
+    hosts = paths.groupBy("host").agg(
+        F.sum("n").alias("n"), F.sum("k").alias("k"), F.count("*").alias("paths")
+    ).withColumn("m", F.lit(rate))
     m = _strength(hosts, "m")
     hosts = written(hosts.select(F.col("host").alias("h"), ((F.col("k") + m * rate) / (F.col("n") + m)).alias("host_posterior"), "paths"))
     nested = written(split_join(paths, hosts, [("host", "h")], "paths"))  # a host may have most of the paths
     m = _strength(nested, "host_posterior")
-    return written(nested.select("host", "path", "host_posterior", ((F.col("k") + m * F.col("host_posterior")) / (F.col("n") + m)).alias("path_posterior"), "rows")), rate
-
-
-def classify(docs: DataFrame, labels: DataFrame, host_col: str = "source", path_col: str = "lang", max_train: int = 20_000, least: float = 0.5) -> DataFrame:
+    return (
+        written(
+            nested.select(
+                "host",
+                "path",
+                "host_posterior",
+                ((F.col("k") + m * F.col("host_posterior")) / (F.col("n") + m)).alias("path_posterior"),
+                "rows",
+            )
+        ),
+        rate,
+    )
+
+
+def classify(
+    docs: DataFrame, labels: DataFrame, host_col: str = "source", path_col: str = "lang", max_train: int = 20_000, least: float = 0.5
+) -> DataFrame:
     """docs' columns host, path and doc_id per row, with p_doc, host_posterior, path_posterior, p_quality and kept (p_quality >= least).
 
     Null or empty text is judged as an empty one; null host or path is a site of its own; rows with a null doc_id have no label; repeated rows count each;
     no labels: the evidence is a constant. Empty table: no rows. Extra columns are not looked at. Each text is judged once, and only its evidence goes on."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(path_col).cast("string").alias("path"), F.col("text").cast("string").alias("text"))
+    own = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col(host_col).cast("string").alias("host"),
+        F.col(path_col).cast("string").alias("path"),
+        F.col("text").cast("string").alias("text"),
+    )
     p_doc = predictor(*train(own, labels, max_train))
     scored = written(own.select("doc_id", "host", "path", p_doc("text").alias("p_doc")))
     sites, rate = _sites(scored, labels)
     joined = split_join(scored, sites.withColumnsRenamed({"host": "_h", "path": "_p"}), [("host", "_h"), ("path", "_p")], "rows")
     moved = _combined(F.col("p_doc"), F.col("path_posterior"), rate)
-    return joined.select("doc_id", "host", "path", "p_doc", "host_posterior", "path_posterior", moved.alias("p_quality"), (moved >= least).alias("kept"))
+    return joined.select(
+        "doc_id", "host", "path", "p_doc", "host_posterior", "path_posterior", moved.alias("p_quality"), (moved >= least).alias("kept")
+    )
 
 
 def _combined(p_doc: Column, path: Column, rate: float) -> Column:
@@ -159,7 +187,9 @@ def _sites(scored: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
     return site_posteriors(scored.join(labelled(labels), "doc_id", "left").select("host", "path", "good", "p_doc"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, host_col: str = "source", path_col: str = "lang", max_train: int = 20_000, least: float = 0.5) -> DataFrame:
+def keep_good(
+    docs: DataFrame, labels: DataFrame, host_col: str = "source", path_col: str = "lang", max_train: int = 20_000, least: float = 0.5
+) -> DataFrame:
     """The rows of docs, columns as they are, with p_quality >= least, which classify() gives.
 
     Null and empty texts, null hosts, paths and ids, repeated rows, missing labels and empty tables as there. The documents are written once with their evidence.
@@ -168,11 +198,27 @@ def keep_good(docs: DataFrame, labels: DataFrame, host_col: str = "source", path
     p_doc = predictor(*train(own, labels, max_train))
     scored = written(docs.withColumn("_c_p", p_doc(F.col("text").cast("string"))))
     site = {"_c_host": F.col(host_col).cast("string"), "_c_path": F.col(path_col).cast("string")}
-    sites, rate = _sites(scored.select(F.col("doc_id").cast("long").alias("doc_id"), site["_c_host"].alias("host"), site["_c_path"].alias("path"), F.col("_c_p").alias("p_doc")), labels)
-    joined = split_join(scored.withColumns(site), sites.toDF("_c_h", "_c_q", "_c_site", "_c_post", "_c_rows"), [("_c_host", "_c_h"), ("_c_path", "_c_q")], "_c_rows")
+    sites, rate = _sites(
+        scored.select(
+            F.col("doc_id").cast("long").alias("doc_id"),
+            site["_c_host"].alias("host"),
+            site["_c_path"].alias("path"),
+            F.col("_c_p").alias("p_doc"),
+        ),
+        labels,
+    )
+    joined = split_join(
+        scored.withColumns(site),
+        sites.toDF("_c_h", "_c_q", "_c_site", "_c_post", "_c_rows"),
+        [("_c_host", "_c_h"), ("_c_path", "_c_q")],
+        "_c_rows",
+    )
     return joined.filter(_combined(F.col("_c_p"), F.col("_c_post"), rate) >= least).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def site_columns(url: Column) -> tuple[Column, Column]:
     """(host, first part of the path) of a URL column, for tables that have URLs."""
-    return F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)", 1)), F.regexp_extract(url, r"^[^/]*//[^/?#]+/([^/?#]*)", 1)
+    return (
+        F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)", 1)),
+        F.regexp_extract(url, r"^[^/]*//[^/?#]+/([^/?#]*)", 1),
+    )

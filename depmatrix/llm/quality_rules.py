@@ -32,23 +32,41 @@ def words_of(text: Column) -> Column:
 
 def _window_hashes(words: Column, width: int) -> Column:
     hashed = F.transform(words, lambda w: F.xxhash64(w))
-    return _let(hashed, lambda h: F.when(F.size(h) >= width, F.transform(F.sequence(F.lit(0), F.size(h) - width), lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(width))))).otherwise(F.array().cast("array<bigint>")))
+    return _let(
+        hashed,
+        lambda h: F.when(
+            F.size(h) >= width,
+            F.transform(F.sequence(F.lit(0), F.size(h) - width), lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(width)))),
+        ).otherwise(F.array().cast("array<bigint>")),
+    )
 
 
 def _covered(windows: Column, width: int) -> Column:
     """Words in windows that occur twice or more."""
     placed = F.sort_array(F.transform(windows, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-    again = _let(placed, lambda s: F.filter(s, lambda e, k: F.coalesce(F.get(s, k - 1)["h"] == e["h"], F.lit(False)) | F.coalesce(F.get(s, k + 1)["h"] == e["h"], F.lit(False))))
+    again = _let(
+        placed,
+        lambda s: F.filter(
+            s,
+            lambda e, k: F.coalesce(F.get(s, k - 1)["h"] == e["h"], F.lit(False)) | F.coalesce(
+                F.get(s, k + 1)["h"] == e["h"], F.lit(False)
+            ),
+        ),
+    )
     starts = F.sort_array(F.transform(again, lambda e: e["i"]))
     start = F.struct(F.lit(0).alias("c"), F.lit(-width).alias("last"))
-    return F.aggregate(starts, start, lambda a, p: F.struct((a["c"] + F.least(F.lit(width), p - a["last"])).alias("c"), p.alias("last")), lambda a: a["c"])
+    return F.aggregate(
+        starts, start, lambda a, p: F.struct((a["c"] + F.least(F.lit(width), p - a["last"])).alias("c"), p.alias("last")), lambda a: a["c"]
+    )
 
 
 def with_statistics(docs: DataFrame, text_col: str = "text", prefix: str = "_q_", width: int = 5) -> DataFrame:
     """docs with one column more, `{prefix}stats`: a struct of the counts and FEATURES. Null text counts as empty. No shuffle."""
     w, x, n, u = (f"{prefix}{k}" for k in ("words", "windows", "lines", "text"))
     df = docs.withColumn(u, F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    df = df.withColumn(w, words_of(F.col(u))).withColumn(n, F.filter(F.split(F.col(u), "\n", -1), lambda line: line.rlike(r"[^\x20\x09-\x0D]")))
+    df = df.withColumn(w, words_of(F.col(u))).withColumn(
+        n, F.filter(F.split(F.col(u), "\n", -1), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
+    )
     df = df.withColumn(x, _window_hashes(F.col(w), width))
     long = lambda c: c.cast("long")
     counts = {
@@ -65,7 +83,15 @@ def with_statistics(docs: DataFrame, text_col: str = "text", prefix: str = "_q_"
     df = df.withColumn(f"{prefix}counts", F.struct(*(long(c).alias(k) for k, c in counts.items())))
     c = F.col(f"{prefix}counts")
     share = lambda a, b: F.coalesce(c[a].cast("double") / F.nullif(c[b], F.lit(0).cast("long")), F.lit(0.0))
-    ratios = {"word_length": ("word_chars", "n_words"), "symbol_ratio": ("n_symbols", "n_words"), "upper_ratio": ("n_upper", "word_chars"), "dup_line_ratio": ("n_dup_lines", "n_lines"), "repeat_ratio": ("n_repeat_words", "n_words"), "distinct_ratio": ("n_distinct", "n_words"), "mark_ratio": ("n_marks", "n_words")}
+    ratios = {
+        "word_length": ("word_chars", "n_words"),
+        "symbol_ratio": ("n_symbols", "n_words"),
+        "upper_ratio": ("n_upper", "word_chars"),
+        "dup_line_ratio": ("n_dup_lines", "n_lines"),
+        "repeat_ratio": ("n_repeat_words", "n_words"),
+        "distinct_ratio": ("n_distinct", "n_words"),
+        "mark_ratio": ("n_marks", "n_words"),
+    }
     stats = F.struct(*(c[k].alias(k) for k in _COUNTS), *(share(*v).alias(k) for k, v in ratios.items()))
     return df.withColumn(f"{prefix}stats", stats).drop(w, x, n, u, f"{prefix}counts")
 
@@ -103,7 +129,15 @@ class DecisionList:
         return "\n".join("reject if " + " and ".join(map(str, r)) for r in self.rules) or "keep all"
 
 
-def learn(rows: DataFrame, features: tuple[str, ...] = FEATURES, bins: int = 32, max_rules: int | None = None, max_conditions: int = 3, precision: float = 0.95, least: int = 5) -> DecisionList:
+def learn(
+    rows: DataFrame,
+    features: tuple[str, ...] = FEATURES,
+    bins: int = 32,
+    max_rules: int | None = None,
+    max_conditions: int = 3,
+    precision: float = 0.95,
+    least: int = 5,
+) -> DecisionList:
     """A decision list from rows (id, features..., bad boolean). No rows, or none bad: an empty list.
 
     precision: what a rule needs on the rows that it wasn't grown on. least: bad rows that it must cover.
@@ -112,10 +146,22 @@ def learn(rows: DataFrame, features: tuple[str, ...] = FEATURES, bins: int = 32,
     if not total[1] or total[0] == total[1]:
         return DecisionList(())
     marks = [i / bins for i in range(bins + 1)]  # with both ends, so that a rule can take in all of a class
-    spread = rows.agg(*(F.percentile_approx(F.when(F.col("bad") == b, F.col(f).cast("double")), marks, 10_000).alias(f"{f}_{b}") for f in features for b in (True, False))).first()
+    spread = rows.agg(
+        *(
+            F.percentile_approx(F.when(F.col("bad") == b, F.col(f).cast("double")), marks, 10_000).alias(f"{f}_{b}")
+            for f in features
+            for b in (True, False)
+        )
+    ).first()
     cuts = {f: sorted({x for b in (True, False) for x in (spread[f"{f}_{b}"] or [])}) for f in features}
     place = lambda f: sum((F.col(f).cast("double") >= t).cast("int") for t in cuts[f]) if cuts[f] else F.lit(0)
-    binned = written(rows.select("bad", (F.pmod(F.xxhash64("id", F.lit("prune")), F.lit(3)) == 0).alias("held"), F.array(*(place(f) for f in features)).alias("at")))
+    binned = written(
+        rows.select(
+            "bad",
+            (F.pmod(F.xxhash64("id", F.lit("prune")), F.lit(3)) == 0).alias("held"),
+            F.array(*(place(f) for f in features)).alias("at"),
+        )
+    )
 
     def met(rule) -> Column:
         out = F.lit(True)
@@ -127,7 +173,14 @@ def learn(rows: DataFrame, features: tuple[str, ...] = FEATURES, bins: int = 32,
     def grow(left: DataFrame) -> list[tuple[str, bool, int]]:
         rule: list[tuple[str, bool, int]] = []
         while len(rule) < max_conditions:
-            seen = left.filter(~F.col("held")).filter(met(rule)).select("bad", F.posexplode("at").alias("f", "k")).groupBy("f", "k").agg(F.count_if("bad").alias("p"), F.count_if(~F.col("bad")).alias("n")).collect()
+            seen = (
+                left.filter(~F.col("held"))
+                .filter(met(rule))
+                .select("bad", F.posexplode("at").alias("f", "k"))
+                .groupBy("f", "k")
+                .agg(F.count_if("bad").alias("p"), F.count_if(~F.col("bad")).alias("n"))
+                .collect()
+            )
             p0, n0 = (sum(r[c] for r in seen if r["f"] == 0) for c in ("p", "n"))
             if not p0 or not n0:
                 break
@@ -153,8 +206,17 @@ def learn(rows: DataFrame, features: tuple[str, ...] = FEATURES, bins: int = 32,
         if not rule:
             break
         heads = [rule[: k + 1] for k in range(len(rule))]
-        got = left.agg(*(F.count_if(met(h) & (F.col("bad") == b) & (F.col("held") if held else F.lit(True))).alias(f"{k}_{b}_{held}") for k, h in enumerate(heads) for b in (True, False) for held in (True, False))).first()
-        worth = lambda k: (got[f"{k}_True_True"] - got[f"{k}_False_True"]) / max(1, got[f"{k}_True_True"] + got[f"{k}_False_True"])
+        got = left.agg(
+            *(
+                F.count_if(met(h) & (F.col("bad") == b) & (F.col("held") if held else F.lit(True))).alias(f"{k}_{b}_{held}")
+                for k, h in enumerate(heads)
+                for b in (True, False)
+                for held in (True, False)
+            )
+        ).first()
+        worth = lambda k: (
+            (got[f"{k}_True_True"] - got[f"{k}_False_True"]) / max(1, got[f"{k}_True_True"] + got[f"{k}_False_True"])
+        )
         k = max(range(len(heads)), key=lambda k: (worth(k), -k))
         enough = lambda held: got[f"{k}_True_{held}"] >= precision * (got[f"{k}_True_{held}"] + got[f"{k}_False_{held}"])
         if got[f"{k}_True_False"] < least or not enough(True) or not enough(False):
@@ -193,6 +255,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     Null or empty text has no words and goes; very long texts are counted whole; repeated rows are judged alike; rows with a null doc_id are judged but don't
     teach. No labels or none bad: only the base rule counts. Empty table: no rows. The documents are written once with their statistics, which are then learned from and filtered by."""
     stated = written(with_statistics(docs))
-    rules = learn_from_labels(stated.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_q_stats").alias("stats")), labels, **options)
+    rules = learn_from_labels(
+        stated.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_q_stats").alias("stats")), labels, **options
+    )
     of = lambda f: F.col("_q_stats")[f]
     return stated.filter(~base_failed(of) & rules.keeps(of)).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -41,7 +41,9 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged, _ = quality_rules.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
-    return judged.select("doc_id", *(f"stats.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), "base_failed", "kept")
+    return judged.select(
+        "doc_id", *(f"stats.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), "base_failed", "kept"
+    )
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +77,9 @@ def base_mixing_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the words that op8 takes of each source come within a thousandth (and one word) of its target, and no document is taken more than twice."""
     by = op8_mixing(spark, sf_dir).groupBy("source")
     near = F.abs(F.sum("taken") - F.max("target")) <= 1 + 0.001 * F.max("target")
-    return by.agg(F.count("*").alias("documents"), near.alias("near_target"), F.bool_and(F.col("taken") <= 2 * F.col("size")).alias("twice_at_most"))
+    return by.agg(
+        F.count("*").alias("documents"), near.alias("near_target"), F.bool_and(F.col("taken") <= 2 * F.col("size")).alias("twice_at_most")
+    )
 
 
 def base_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +97,9 @@ def copies_in_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = _table(spark, sf_dir, "documents").select("doc_id", F.sha2(_spaced(F.col("text"), lowered), 256).alias("copy_of"))
     together = (F.count_distinct("fingerprint") == 1) & (F.count_distinct("component_id") == 1) & (F.max("component_id") <= F.min("doc_id"))
     by = texts.join(op3_simhash(spark, sf_dir), "doc_id").groupBy("copy_of")
-    return by.agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), together.alias("together")).filter("copies > 1").drop("copy_of")
+    return by.agg(
+        F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), together.alias("together")
+    ).filter("copies > 1").drop("copy_of")
 
 
 def items_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,8 +112,32 @@ def items_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_decontamination, op2_preference_chat, op3_simhash, op4_warc, op5_license_scan, op6_quality_classifier, op7_quality_rules, op8_mixing, op9_html_extraction, op10_lm_scoring)
-    return {f.__name__: f for f in (*ops, base_license_scan, base_quality_rules, base_mixing, base_mixing_by_source, base_lm_scoring, copies_in_components, items_contained)}
+    ops = (
+        op1_decontamination,
+        op2_preference_chat,
+        op3_simhash,
+        op4_warc,
+        op5_license_scan,
+        op6_quality_classifier,
+        op7_quality_rules,
+        op8_mixing,
+        op9_html_extraction,
+        op10_lm_scoring,
+    )
+    return {
+        f.__name__: f
+        for f
+        in (
+            *ops,
+            base_license_scan,
+            base_quality_rules,
+            base_mixing,
+            base_mixing_by_source,
+            base_lm_scoring,
+            copies_in_components,
+            items_contained,
+        )
+    }
 
 
 OP2_SQL = """
@@ -182,7 +212,9 @@ t AS (SELECT q.source, q.source_size, CASE WHEN e.k IS NULL OR q.k < e.k THEN 2.
 SELECT d.doc_id, d.size, t.source_size, round(CAST(t.target AS DOUBLE), 6) AS target FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 """
 
-BASE_MIXING_BY_SOURCE_SQL = "SELECT source, count(*) AS documents, true AS near_target, true AS twice_at_most FROM documents GROUP BY source"
+BASE_MIXING_BY_SOURCE_SQL = (
+    "SELECT source, count(*) AS documents, true AS near_target, true AS twice_at_most FROM documents GROUP BY source"
+)
 
 
 #: crc32 of the id's digits, bit by bit.

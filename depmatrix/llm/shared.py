@@ -87,7 +87,11 @@ def string_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         column = column.combine_chunks()
     column = column.fill_null("").cast(pa.large_string())
     _, offsets, data = column.buffers()
-    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if offsets else np.zeros(len(column) + 1, np.int64)
+    offsets = (
+        np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+        if offsets
+        else np.zeros(len(column) + 1, np.int64)
+    )
     return offsets, np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
 
 
@@ -197,7 +201,9 @@ def one_word_hash(word: bytes) -> np.uint64:
     return mixed(np.array([h], np.uint64))[0]
 
 
-def split_join(big: DataFrame, small: DataFrame, on: list[tuple[str, str]], n_col: str, how: str = "inner", most: int = 100_000) -> DataFrame:
+def split_join(
+    big: DataFrame, small: DataFrame, on: list[tuple[str, str]], n_col: str, how: str = "inner", most: int = 100_000
+) -> DataFrame:
     """big with the columns of small (a written table with one row a key) but for n_col, which counts big's rows of the key; null keys are equal.
 
     on: (big's column, small's column). At most `most` rows are broadcast: all of small if it is no longer, else the keys that hold more than one in `most` of

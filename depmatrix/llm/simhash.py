@@ -52,7 +52,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), _hashed(batch.column(1), words)], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")
+    ).mapInArrow(run, "doc_id long, fp long")
 
 
 def _fingerprint_column(words: int):
@@ -162,7 +164,9 @@ def _ball(sets: list[tuple[int, ...]], radius: int):
         masks = []
         for s in sets:
             free = [b for b in range(64) if b // 8 not in s]
-            masks.append(np.array([sum(1 << b for b in c) for r in range(radius + 1) for c in combinations(free, r)], np.uint64).view(np.int64))
+            masks.append(
+                np.array([sum(1 << b for b in c) for r in range(radius + 1) for c in combinations(free, r)], np.uint64).view(np.int64)
+            )
         for batch in batches:
             ks, fs = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
             for k, f in zip((ks >> (8 * len(sets[0]))).tolist(), fs, strict=True):
@@ -177,7 +181,9 @@ def near_links(fps: DataFrame, bits: int = 4, list_limit: int = 4096) -> DataFra
     """(a, b): links whose components are those of all pairs of distinct fingerprints within `bits` bits. fps: (fp), distinct."""
     sets = position_sets(8 - bits)
     parts = max(1, int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    keys = fps.select(F.explode(F.array(*(_key(F.col("fp"), n, s) for n, s in enumerate(sets)))).alias("key"), "fp").repartition(parts, "key")
+    keys = fps.select(
+        F.explode(F.array(*(_key(F.col("fp"), n, s) for n, s in enumerate(sets)))).alias("key"), "fp"
+    ).repartition(parts, "key")
     hot_keys = written(keys.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > list_limit))
     short = keys
     if not hot_keys.isEmpty():
@@ -198,12 +204,16 @@ def _components(fps: DataFrame, bits: int, list_limit: int) -> DataFrame:
     nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     roots = connected_components(near_links(nodes.select("fp"), bits, list_limit)).withColumnRenamed("node", "fp")
     rooted = written(nodes.join(roots, "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")))
-    ids = written(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("_n")).withColumnRenamed("root", "_root"))
+    ids = written(
+        rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("_n")).withColumnRenamed("root", "_root")
+    )
     named = written(split_join(rooted, ids, [("root", "_root")], "_n").select(F.col("fp").alias("_fp"), "n", "root", "component_id"))
     return split_join(fps, named, [("fp", "_fp")], "n")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, bits: int = 4, list_limit: int = 4096) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, bits: int = 4, list_limit: int = 4096
+) -> DataFrame:
     """(doc_id, fp, fingerprint, component_id), one row per row of docs; component_id is the smallest doc_id reachable over links of at most `bits` bits.
 
     Null or empty text: fingerprint zero, linked like any other. A repeated row comes out as often as it went in. Rows with a null
@@ -219,7 +229,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     one stays (by the smallest hash of all columns). Rows with a null id can't be named and stay. Null and empty texts are near duplicates of one another.
     Empty table: no rows. Extra columns stay as they are. Texts aren't shuffled while the ids that go are few enough for Spark to broadcast them by their size."""
     found = written(_components(written(fingerprints(docs, id_col, text_col, words)), bits, 4096))
-    each = found.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.count_if(F.col("component_id") == F.col("doc_id")).alias("stay"))
+    each = found.filter("doc_id is not null").groupBy("doc_id").agg(
+        F.count("*").alias("rows"), F.count_if(F.col("component_id") == F.col("doc_id")).alias("stay")
+    )
     each = written(each.filter("rows > 1 or stay = 0"))
     key = F.col(id_col).cast("long")
     out = docs.join(each.select(F.col("doc_id").alias("_s_id")), key.eqNullSafe(F.col("_s_id")), "left_anti")
@@ -228,7 +240,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     if repeated.isEmpty():
         return out
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    rows = docs.join(repeated, key == F.col("_s_id"), "left_semi").select(key.alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.struct(*columns).alias("row"))
+    rows = docs.join(repeated, key == F.col("_s_id"), "left_semi").select(
+        key.alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.struct(*columns).alias("row")
+    )
     staying = found.filter("component_id = doc_id").select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp"), "root").distinct()
     judged = rows.select("doc_id", _fingerprint_column(words)("text").alias("fp"), "row")
     kept = judged.join(staying, (F.col("doc_id") == F.col("_id")) & (F.col("fp") == F.col("_fp")))

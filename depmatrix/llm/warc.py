@@ -34,19 +34,32 @@ def _line(value: str) -> str:
     return value.replace("\r", "%0D").replace("\n", "%0A")
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool, size: int | None = None) -> bytes:
+def record(
+    page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool, size: int | None = None
+) -> bytes:
     """One gzip member. A revisit holds the HTTP header only, whose Content-Length tells the payload's size."""
     size = len(payload) if size is None else size
-    block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode() + (b"" if revisit else payload)
+    block = (
+        f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
+        + (b"" if revisit else payload)
+    )
     name = lambda page: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{page}/{digest}')}>"
     head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {name(page_id)}", f"WARC-Date: {DATE}"]
     if url is not None:
         head.append(f"WARC-Target-URI: {_line(url)}")
     if page_id is not None:
         head.append(f"X-Page-ID: {page_id}")
-    head += [f"WARC-Payload-Digest: sha256:{digest}", f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}", "Content-Type: application/http; msgtype=response"]
+    head += [
+        f"WARC-Payload-Digest: sha256:{digest}",
+        f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}",
+        "Content-Type: application/http; msgtype=response",
+    ]
     if revisit:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {name(refers_to)}", f"X-Refers-To-Page-ID: {refers_to}"]
+        head += [
+            "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
+            f"WARC-Refers-To: {name(refers_to)}",
+            f"X-Refers-To-Page-ID: {refers_to}",
+        ]
     head.append(f"Content-Length: {len(block)}")
     pack = zlib.compressobj(6, zlib.DEFLATED, 31)
     return pack.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + pack.flush()
@@ -131,7 +144,15 @@ def read_records(chunks: Iterable[bytes]) -> Iterator[dict]:
         if not revisit and (hashlib.sha256(payload).hexdigest() != digest or len(payload) != size):
             raise WarcError("payload digest differs")
         number = lambda k: int(fields[k]) if fields.get(k, "None") != "None" else None  # noqa: B023, E731
-        yield {"page_id": number("x-page-id"), "url": fields.get("warc-target-uri"), "record_type": fields["warc-type"], "refers_to": number("x-refers-to-page-id"), "payload_bytes": size, "payload_digest": digest, "payload": None if revisit else payload}
+        yield {
+            "page_id": number("x-page-id"),
+            "url": fields.get("warc-target-uri"),
+            "record_type": fields["warc-type"],
+            "refers_to": number("x-refers-to-page-id"),
+            "payload_bytes": size,
+            "payload_digest": digest,
+            "payload": None if revisit else payload,
+        }
 
 
 def with_revisits(pages: DataFrame, least: int = 100) -> DataFrame:
@@ -142,14 +163,37 @@ def with_revisits(pages: DataFrame, least: int = 100) -> DataFrame:
     html = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     size = F.octet_length(html).cast("long")
     said = pages.select(F.col("page_id").cast("long").alias("page_id"), html.alias("payload")).filter(F.octet_length("payload") >= least)
-    copies = said.select("page_id", F.unhex(F.sha2("payload", 256)).alias("_digest")).groupBy("_digest").agg(F.min("page_id").alias("least_id"), F.count("*").alias("n"))
+    copies = (
+        said.select("page_id", F.unhex(F.sha2("payload", 256)).alias("_digest"))
+        .groupBy("_digest")
+        .agg(F.min("page_id").alias("least_id"), F.count("*").alias("n"))
+    )
     copies = written(copies.filter("n > 1 and least_id is not null"))
-    own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("payload"), F.sha2(html, 256).alias("digest"), size.alias("size"))
+    own = pages.select(
+        F.col("page_id").cast("long").alias("page_id"),
+        F.col("url").cast("string").alias("url"),
+        html.alias("payload"),
+        F.sha2(html, 256).alias("digest"),
+        size.alias("size"),
+    )
     # short payloads have no key, so that all the empty pages aren't one
-    keyed = own.withColumn("key", F.when(F.col("size") >= least, F.unhex("digest")).otherwise(F.unhex(F.sha2(F.concat(F.lit("short"), F.coalesce("page_id", F.lit(0)).cast("string")), 256))))
+    keyed = own.withColumn(
+        "key",
+        F.when(F.col("size") >= least, F.unhex("digest")).otherwise(
+            F.unhex(F.sha2(F.concat(F.lit("short"), F.coalesce("page_id", F.lit(0)).cast("string")), 256))
+        ),
+    )
     joined = split_join(keyed, copies, [("key", "_digest")], "n", "left")
     revisit = F.col("least_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("least_id"))
-    return joined.select("page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "digest", "size", F.when(revisit, F.col("least_id")).alias("refers_to"), revisit.alias("revisit"))
+    return joined.select(
+        "page_id",
+        "url",
+        F.when(~revisit, F.col("payload")).alias("payload"),
+        "digest",
+        "size",
+        F.when(revisit, F.col("least_id")).alias("refers_to"),
+        revisit.alias("revisit"),
+    )
 
 
 def archives(pages: DataFrame, archive_bytes: int = 4 << 20, least: int = 100) -> DataFrame:

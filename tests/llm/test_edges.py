@@ -36,7 +36,9 @@ def test_split_join_equals_a_join(spark, most):
     rows = [(n, rng.choice([None, "hot", "hot", f"k{n % 40}"])) for n in range(500)]
     big = spark.createDataFrame(rows, "n long, key string")
     counts = Counter(k for _, k in rows)
-    small = spark.createDataFrame([(k, c, f"v{k}") for k, c in counts.items() if k != "k3"] + [("none", 0, "x")], "_key string, many long, value string")
+    small = spark.createDataFrame(
+        [(k, c, f"v{k}") for k, c in counts.items() if k != "k3"] + [("none", 0, "x")], "_key string, many long, value string"
+    )
     for how in ("inner", "left"):
         got = sorted((tuple(r) for r in shared.split_join(big, small, [("key", "_key")], "many", how, most).collect()), key=str)
         assert got == sorted(((n, k, f"v{k}" if k != "k3" else None) for n, k in rows if how == "left" or k != "k3"), key=str)
@@ -47,7 +49,17 @@ def test_split_join_equals_a_join(spark, most):
 
 def test_posteriors_equal_a_plain_computation(spark):
     rng = random.Random(3)
-    rows = [(h, p, g, rng.random()) for h, p, g in ((rng.choice(["a", "a", "a", "b", None, "c"]), rng.choice(["x", "y", None]), rng.choice([None, None, 0, 1])) for _ in range(400))] + [("lonely", "z", 0, 0.2), ("good", "z", 1, 0.9)]
+    rows = (
+        [
+            (h, p, g, rng.random())
+            for h, p, g
+            in (
+                (rng.choice(["a", "a", "a", "b", None, "c"]), rng.choice(["x", "y", None]), rng.choice([None, None, 0, 1]))
+                for _ in range(400)
+            )
+        ]
+        + [("lonely", "z", 0, 0.2), ("good", "z", 1, 0.9)]
+    )
     sites, rate = quality_classifier.site_posteriors(spark.createDataFrame(rows, "host string, path string, good int, p_doc double"))
     n, k = Counter(), Counter()
     for h, p, g, e in rows:
@@ -79,7 +91,9 @@ def test_classifier_on_long_and_repeated_rows_and_clashing_names(spark):
     rng = random.Random(5)
     rows = [(k, prose(rng, 40).upper() if k % 4 == 0 else prose(rng, 40), f"s{k % 2}") for k in range(200)]
     rows += [(300, prose(rng, 300_000), "s0"), (1, rows[1][1], "s1"), (1, rows[1][1], "s1"), (301, "a\x00b \x00 c", "s0")]
-    names = "doc_id long, text string, lang string, source string, rows string, host string, path string, _h string, p_doc string, good string"
+    names = (
+        "doc_id long, text string, lang string, source string, rows string, host string, path string, _h string, p_doc string, good string"
+    )
     frame = spark.createDataFrame([(d, t, "en", s, *"zzzzzz") for d, t, s in rows], names)
     told = spark.createDataFrame([(k, int(k % 4 > 0), 0) for k in range(0, 200, 3)], "doc_id long, quality int, toxic int")
     kept, said = quality_classifier.keep_good(frame, told), quality_classifier.classify(frame, told)
@@ -94,7 +108,15 @@ def test_classifier_on_long_and_repeated_rows_and_clashing_names(spark):
 
 def test_zero_bytes_and_long_documents_are_hashed_like_any_other():
     rng = random.Random(6)
-    texts = ["a\x00 a \x00a \x00 b", "x" * 1000, " ".join(rng.choice(["ab", "é", "c\x00d", "q" * 50, "\x00"]) for _ in range(400)), "", " lead", "trail ", "y" * 130 + " z"]
+    texts = [
+        "a\x00 a \x00a \x00 b",
+        "x" * 1000,
+        " ".join(rng.choice(["ab", "é", "c\x00d", "q" * 50, "\x00"]) for _ in range(400)),
+        "",
+        " lead",
+        "trail ",
+        "y" * 130 + " z",
+    ]
     table, names = shared.byte_table(), {}
     for chunk in (1 << 20, 64, 7, 1):
         seen = {}
@@ -106,7 +128,11 @@ def test_zero_bytes_and_long_documents_are_hashed_like_any_other():
             assert len(words) == len(seen[k]), (chunk, t)
             for w, h in zip(words, seen[k], strict=True):
                 assert names.setdefault(w, h) == h
-    assert len(set(names.values())) == len(names) and names["b"] == int(shared.one_word_hash(b"b")) and names["\x00"] == int(shared.one_word_hash(b"\x00"))
+    assert (
+        len(set(names.values())) == len(names)
+        and names["b"] == int(shared.one_word_hash(b"b"))
+        and names["\x00"] == int(shared.one_word_hash(b"\x00"))
+    )
 
 
 def test_stretches_overlap_and_cover():
@@ -147,10 +173,17 @@ def test_items_are_found_across_stretches_of_a_long_text_and_blocks_of_items(spa
     rows = [(1, " ".join(words)), (1, " ".join(words)), (2, prose(rng, 3000, 5000)), (3, f"\x00 {items[0][1]}")]
     own = [decontamination._hashes([t for _, t in items])]
     vectors = decontamination.word_vectors(docs(spark, rows), fan_in=2)
-    build = lambda part: decontamination.Items.build([k for k, _ in part], decontamination._hashes([t for _, t in part]), [w[-5:] for w in decontamination._hashes([t for _, t in part])], vectors)
+    build = lambda part: decontamination.Items.build(
+        [k for k, _ in part],
+        decontamination._hashes([t for _, t in part]),
+        [w[-5:] for w in decontamination._hashes([t for _, t in part])],
+        vectors,
+    )
     whole, halves = [build(items)], [build(items[:6]), build(items[6:])]
     texts = pa.array([t for _, t in rows])
-    named = lambda blocks: {(r[0], blocks[r[1]].ids[r[2]]) for r in decontamination.search(texts, blocks, decontamination.Limits())}
+    named = lambda blocks: (
+        {(r[0], blocks[r[1]].ids[r[2]]) for r in decontamination.search(texts, blocks, decontamination.Limits())}
+    )
     assert len(own[0]) == 13 and named(whole) == named(halves) == {(d, k) for d in (0, 1) for k, _ in items} | {(3, 0)}
 
 
@@ -168,7 +201,10 @@ def test_matches_equal_brute_force(spark):
             at = rng.randrange(len(words) + 1)
             words[at:at] = leak
         rows.append((n, " ".join(words)))
-    got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    got = {
+        (r["doc_id"], r["item_id"])
+        for r in decontamination.contaminated(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    }
     sure, possible = set(), set()
     for d, text in rows:
         words = text.split()
@@ -190,7 +226,13 @@ def test_matches_equal_brute_force(spark):
 
 def test_long_conversations_are_numbered_as_a_plain_sort(spark):
     rng = random.Random(14)
-    rows = [(1, rng.choice([None, *range(-3000, 9000)]), rng.choice(["user", "assistant", None]), rng.choice(["a", "b", None])) for _ in range(6000)] + [(2, 5, "user", "x")] * 3
+    rows = (
+        [
+            (1, rng.choice([None, *range(-3000, 9000)]), rng.choice(["user", "assistant", None]), rng.choice(["a", "b", None]))
+            for _ in range(6000)
+        ]
+        + [(2, 5, "user", "x")] * 3
+    )
     frame = spark.createDataFrame(rows, "pair_id long, turn long, role string, text string")
     got = sorted((r["pair_id"], r["pos"], r["role"], r["text"]) for r in chat._numbered(frame, "pair_id").collect() if r["pair_id"] == 2)
     assert got == [(2, k, "user", "x") for k in range(3)]
@@ -202,8 +244,13 @@ def test_long_conversations_are_numbered_as_a_plain_sort(spark):
 
 def test_null_turns_stand_last_on_both_sides(spark):
     make = lambda rows: spark.createDataFrame(rows, "pair_id long, turn long, role string, text string")
-    out = chat.preference_segments(make([(1, None, "user", "n"), (1, 1, "user", "q"), (1, 2, "assistant", "a")]), make([(1, 1, "user", "q"), (1, 2, "assistant", "a"), (1, None, "user", "n")]))
-    assert [(r["part"], r["role"]) for r in out.orderBy("pos").collect()] == [("prompt", "user"), ("prompt", "assistant"), ("prompt", "user")]
+    out = chat.preference_segments(
+        make([(1, None, "user", "n"), (1, 1, "user", "q"), (1, 2, "assistant", "a")]),
+        make([(1, 1, "user", "q"), (1, 2, "assistant", "a"), (1, None, "user", "n")]),
+    )
+    assert [(r["part"], r["role"]) for r in out.orderBy("pos").collect()] == [
+        ("prompt", "user"), ("prompt", "assistant"), ("prompt", "user")
+    ]
 
 
 # -- 9 HTML
@@ -212,25 +259,53 @@ def test_null_turns_stand_last_on_both_sides(spark):
 def test_pages_with_swapped_and_left_out_markup():
     say = lambda k, n=30: " ".join(f"word{k}x{j}" for j in range(n)) + "."
     get = lambda page: html_extract.extract(page).split("\n\n")
-    assert get("<html><head><title>T</title><body><p>Hello there, this is a text of some words.</p>") == ["Hello there, this is a text of some words."]
+    assert get(
+        "<html><head><title>T</title><body><p>Hello there, this is a text of some words.</p>"
+    ) == ["Hello there, this is a text of some words."]
     assert get(f"<title>T</title><p>{say(1)}</p>") == [say(1)]
     # names that hold a telling word without being one
-    page = f"<body><nav><a href=x>a</a></nav><article><div class='article-header'><h1>Title</h1></div><p>{say(1)}</p><div class='related-work'><p>{say(2)}</p></div><p class=share-price>{say(3)}</p></article></body>"
+    page = (
+        f"<body><nav><a href=x>a</a></nav><article><div class='article-header'><h1>Title</h1></div><p>{say(1)}</p><div "
+        f"class='related-work'><p>{say(2)}</p></div><p class=share-price>{say(3)}</p></article></body>"
+    )
     assert get(page) == ["Title", say(1), say(2), say(3)]
-    for name in ("comments", "comment-list", "siteFooter", "site-header", "ad-slot", "related-posts", "cookie_banner", "NavBar", "sidebar left", "foot"):
+    for name in (
+        "comments",
+        "comment-list",
+        "siteFooter",
+        "site-header",
+        "ad-slot",
+        "related-posts",
+        "cookie_banner",
+        "NavBar",
+        "sidebar left",
+        "foot",
+    ):
         assert get(f"<body><article><h1>Title</h1><p>{say(1)}</p></article><div class='{name}'><p>{say(2)}</p></div></body>") == ["Title", say(1)], name
         assert get(f"<body><article><h1>Title</h1><p>{say(1)}</p><section id='{name}'><p>{say(2)}</p></section></article></body>") == ["Title", say(1)], name
     # comments that are articles, inside the article and after it
-    assert get(f"<body><article><h1>T</h1><p>{say(1)}</p><article class='comment'><p>{say(2)}</p></article></article></body>") == ["T", say(1)]
-    assert get(f"<body><article><h1>T</h1><p>{say(1)}</p></article><article class='comment by-user'><p>{say(2)}</p></article></body>") == ["T", say(1)]
+    assert get(
+        f"<body><article><h1>T</h1><p>{say(1)}</p><article class='comment'><p>{say(2)}</p></article></article></body>"
+    ) == ["T", say(1)]
+    assert get(
+        f"<body><article><h1>T</h1><p>{say(1)}</p></article><article class='comment by-user'><p>{say(2)}</p></article></body>"
+    ) == ["T", say(1)]
     # a short paragraph in a container of its own, beside a long one, without an article
-    page = f"<body><div><a href=a>Home</a> <a href=b>News</a> <a href=c>About us</a></div><div><p>A real opening paragraph of fifty characters here.</p></div><div><p>{say(1, 35)}</p></div><div><a href=a>Home</a> <a href=b>News</a></div></body>"
+    page = (
+        "<body><div><a href=a>Home</a> <a href=b>News</a> <a href=c>About us</a></div><div><p>A real opening paragraph of fifty "
+        f"characters here.</p></div><div><p>{say(1, 35)}</p></div><div><a href=a>Home</a> <a href=b>News</a></div></body>"
+    )
     assert get(page) == ["A real opening paragraph of fifty characters here.", say(1, 35)]
 
 
 def test_pages_of_a_megabyte_take_seconds_at_most():
     words = " ".join(f"word{k}" for k in range(20))
-    pages = ["<body><article>" + "<div>" * 20_000 + "x</i>" * 20_000, "<body><p><div>" + "<b>" * 20_000 + "y</p>" * 20_000, "<body><article>" + f"<p>{words} <b>x</b> &amp; y</p>" * 6500, "<div>" * 200_000 + "</p>" * 200_000]
+    pages = [
+        "<body><article>" + "<div>" * 20_000 + "x</i>" * 20_000,
+        "<body><p><div>" + "<b>" * 20_000 + "y</p>" * 20_000,
+        "<body><article>" + f"<p>{words} <b>x</b> &amp; y</p>" * 6500,
+        "<div>" * 200_000 + "</p>" * 200_000,
+    ]
     for page in pages:
         began = time.time()
         html_extract.extract(page)
@@ -272,7 +347,16 @@ def test_clusters_equal_a_plain_computation():
         page = "<body>"
         for _ in range(rng.randrange(1, 12)):
             tag = rng.choice(["div", "section", "article", "main", "div"])
-            page += f"<{tag}>" + "".join(rng.choice([f"<p>{say()}</p>", f"<p><a href=x>{say()}</a> <b>{say()}</b></p>", f"<h1>{say()}</h1>", f"<div>{say()}</div>"]) for _ in range(rng.randrange(6))) + (f"</{tag}>" if rng.random() < 0.9 else "")
+            page += (
+                f"<{tag}>"
+                + "".join(
+                    rng.choice(
+                        [f"<p>{say()}</p>", f"<p><a href=x>{say()}</a> <b>{say()}</b></p>", f"<h1>{say()}</h1>", f"<div>{say()}</div>"]
+                    )
+                    for _ in range(rng.randrange(6))
+                )
+                + (f"</{tag}>" if rng.random() < 0.9 else "")
+            )
         parser = html_extract._Lines()
         parser.feed(page)
         parser.close()
@@ -288,7 +372,10 @@ def test_clusters_equal_a_plain_computation():
 def test_shards_come_from_the_tree(spark):
     """Draws of each source in each shard are the tree's, and what a document gives is the sum over the shards' rows; targets once more by bisection."""
     rng = random.Random(21)
-    rows = [(k, prose(rng, rng.randrange(1, 120)), rng.choice(["a", "a", "a", "b", None])) for k in range(200)] + [(500, None, "a"), (501, "q\x00r s", "a"), (502, prose(rng, 200_000), "b")]
+    rows = (
+        [(k, prose(rng, rng.randrange(1, 120)), rng.choice(["a", "a", "a", "b", None])) for k in range(200)]
+        + [(500, None, "a"), (501, "q\x00r s", "a"), (502, prose(rng, 200_000), "b")]
+    )
     mixed = mixing.mix(docs(spark, rows), shards=8, bucket_rows=16)
     pieces = [r.asDict() for r in mixing.shard_rows(mixed).collect()]
     source = {r[0]: r[2] for r in rows}

@@ -16,13 +16,18 @@ import xxhash
 from depmatrix.llm import chat, components, decontamination, html_extract, license_scan, lm_score, mixing, quality_classifier, quality_rules, shared, simhash, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp string, key string, h string, words string, size string, draws string, row string"
+DOCS = (
+    "doc_id long, text string, lang string, source string, n_chars long, fp string, key string, h string, words string, size string, "
+    "draws string, row string"
+)
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def docs(spark, rows):
     """rows: (doc_id, text) or (doc_id, text, source); the other columns have names that operators use inside."""
-    return spark.createDataFrame([(r[0], r[1], "en", r[2] if len(r) > 2 else "s0", 0, "x", "x", "x", "x", "x", "x", "x") for r in rows], DOCS)
+    return spark.createDataFrame(
+        [(r[0], r[1], "en", r[2] if len(r) > 2 else "s0", 0, "x", "x", "x", "x", "x", "x", "x") for r in rows], DOCS
+    )
 
 
 def prose(rng, n, names=300):
@@ -31,7 +36,21 @@ def prose(rng, n, names=300):
 
 def odd_rows(rng):
     base = prose(rng, 80)
-    return [(1, base), (2, base), (3, None), (4, ""), (5, " \n\t "), (6, "Ünïcode ÄÖ words"), (7, base.upper()), (8, base + " tail"), (8, base + " tail"), (9, prose(rng, 20_000)), (None, base), (10, "one two three"), (11, "a a a a a a a")]
+    return [
+        (1, base),
+        (2, base),
+        (3, None),
+        (4, ""),
+        (5, " \n\t "),
+        (6, "Ünïcode ÄÖ words"),
+        (7, base.upper()),
+        (8, base + " tail"),
+        (8, base + " tail"),
+        (9, prose(rng, 20_000)),
+        (None, base),
+        (10, "one two three"),
+        (11, "a a a a a a a"),
+    ]
 
 
 # -- 3 SimHash
@@ -102,7 +121,10 @@ def test_keep_one_and_empty(spark):
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
     from itertools import combinations
 
-    assert len(simhash.position_sets(4)) == 20 and all(any(set(s) <= set(c) for s in simhash.position_sets(4)) for c in combinations(range(8), 4))
+    assert (
+        len(simhash.position_sets(4)) == 20
+        and all(any(set(s) <= set(c) for s in simhash.position_sets(4)) for c in combinations(range(8), 4))
+    )
 
 
 # -- 7 quality rules
@@ -123,10 +145,14 @@ def test_quality_statistics_equal_brute_force(spark):
     rows += [(30 + k, " ".join(rng.choice("ab") for _ in range(40)) + "\nq\nq") for k in range(20)]
     got, _ = quality_rules.judge(docs(spark, rows), spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    assert sorted(((r["doc_id"], *(r["stats"][n] for n in names)) for r in got.collect()), key=str) == sorted(((d, *brute_stats(t)) for d, t in rows), key=str)
+    assert sorted(
+        ((r["doc_id"], *(r["stats"][n] for n in names)) for r in got.collect()), key=str
+    ) == sorted(((d, *brute_stats(t)) for d, t in rows), key=str)
     for r in got.collect():
         s = r["stats"]
-        assert r["base_failed"] == (s["n_words"] < 10 or 100 * s["n_repeat_words"] > 20 * s["n_words"]) and r["kept"] == (not r["base_failed"])
+        assert (
+            r["base_failed"] == (s["n_words"] < 10 or 100 * s["n_repeat_words"] > 20 * s["n_words"]) and r["kept"] == (not r["base_failed"])
+        )
 
 
 def test_decision_list_learns_and_applies(spark):
@@ -182,7 +208,10 @@ def test_splitting_tree_is_exact_and_unbiased():
 
 def test_mix(spark):
     rng = random.Random(5)
-    rows = [(k, prose(rng, rng.randrange(1, 400)), rng.choice(["a", "a", "a", "b", "c", None, "d"])) for k in range(300)] + [(900, None, "a"), (901, "", None), (5, "same row", "b"), (5, "same row", "b")]
+    rows = (
+        [(k, prose(rng, rng.randrange(1, 400)), rng.choice(["a", "a", "a", "b", "c", None, "d"])) for k in range(300)]
+        + [(900, None, "a"), (901, "", None), (5, "same row", "b"), (5, "same row", "b")]
+    )
     frame = docs(spark, rows)
     out = [r.asDict(recursive=True) for r in mixing.mix(frame).collect()]
     again = [r.asDict(recursive=True) for r in mixing.mix(frame.repartition(7)).collect()]
@@ -212,14 +241,31 @@ def test_mix(spark):
 
 def test_preference_segments(spark):
     schema = "pair_id long, turn long, role string, text string, pos string, part string"
-    chosen = [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 2, "user", "more"), (2, 0, "user", None), (3, 0, "user", "x"), (3, 0, "user", "x"), (None, 0, "user", "n"), (4, 5, "user", "same")]
+    chosen = [
+        (1, 0, "user", "q"),
+        (1, 1, "assistant", "a"),
+        (1, 2, "user", "more"),
+        (2, 0, "user", None),
+        (3, 0, "user", "x"),
+        (3, 0, "user", "x"),
+        (None, 0, "user", "n"),
+        (4, 5, "user", "same"),
+    ]
     rejected = [(1, 0, "user", "q"), (1, 1, "assistant", "b"), (2, 0, "user", None), (2, 1, "assistant", ""), (4, 9, "user", "same")]
     make = lambda rows: spark.createDataFrame([(*r, "z", "z") for r in rows], schema)
     out = chat.preference_segments(make(chosen), make(rejected))
     got = {}
     for r in out.orderBy("pair_id", "part", "pos").collect():
         got.setdefault((r["pair_id"], r["part"]), []).append((r["role"], r["train"]))
-    assert got == {(1, "prompt"): [("user", 0)], (1, "chosen"): [("assistant", 1), ("user", 0)], (1, "rejected"): [("assistant", 1)], (2, "prompt"): [("user", 0)], (2, "rejected"): [("assistant", 1)], (3, "chosen"): [("user", 0)] * 2, (4, "prompt"): [("user", 0)]}
+    assert got == {
+        (1, "prompt"): [("user", 0)],
+        (1, "chosen"): [("assistant", 1), ("user", 0)],
+        (1, "rejected"): [("assistant", 1)],
+        (2, "prompt"): [("user", 0)],
+        (2, "rejected"): [("assistant", 1)],
+        (3, "chosen"): [("user", 0)] * 2,
+        (4, "prompt"): [("user", 0)],
+    }
     assert out.filter("pair_id = 1 and part = 'prompt'").first()["rendered"] == "<|user|>\nq<|end|>\n"
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.preference_segments(*chat.pairs_from_conversations(empty)).count() == 0
@@ -230,7 +276,18 @@ def test_preference_segments(spark):
 
 def test_warc_round_trip(spark, tmp_path):
     body = "ä" * 60 + "<p>"
-    rows = [(3, "http://a/\r\nX: y", body), (1, None, body), (2, "http://b", "short"), (4, "http://c", "short"), (5, "http://d", None), (6, "http://e", ""), (7, "http://f", "x" * 300_000), (None, "http://g", body), (8, "http://h", "x" * 99), (9, "http://i", "x" * 99)]
+    rows = [
+        (3, "http://a/\r\nX: y", body),
+        (1, None, body),
+        (2, "http://b", "short"),
+        (4, "http://c", "short"),
+        (5, "http://d", None),
+        (6, "http://e", ""),
+        (7, "http://f", "x" * 300_000),
+        (None, "http://g", body),
+        (8, "http://h", "x" * 99),
+        (9, "http://i", "x" * 99),
+    ]
     pages = spark.createDataFrame([(*r, "z", "z") for r in rows], "page_id long, url string, html string, digest string, payload string")
     got = {r["page_id"]: r for r in warc.round_trip(pages, with_payload=True).collect()}
     assert len(got) == len(rows)
@@ -270,13 +327,34 @@ def test_warc_reader_finds_damage():
 
 def brute_license(text):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
-    at = [(i, label) for phrase, label in license_scan.PHRASES.items() for i in range(len(words)) if words[i : i + phrase.count(" ") + 1] == phrase.split()]
-    return len(words), len(at), min((i for i, _ in at), default=None), max((i for i, _ in at), default=None), ",".join(sorted({x for _, x in at}))
+    at = [
+        (i, label)
+        for phrase, label in license_scan.PHRASES.items()
+        for i in range(len(words))
+        if words[i : i + phrase.count(" ") + 1] == phrase.split()
+    ]
+    return (
+        len(words),
+        len(at),
+        min((i for i, _ in at), default=None),
+        max((i for i, _ in at), default=None),
+        ",".join(sorted({x for _, x in at})),
+    )
 
 
 def test_license_scan_equals_brute_force(spark):
     rng = random.Random(6)
-    rows = odd_rows(rng) + [(20, "Released under the MIT License."), (21, "CC BY-NC, cc by nc! cc_by nc"), (22, "Apache License, Version 2.0; under the mit licenseX"), (23, "Released undr the MIT Licence"), (24, "under the mit license under the mit license"), (25, "Licensed under the Apachee Licence, Version 2.0 ç")]
+    rows = (
+        odd_rows(rng)
+        + [
+            (20, "Released under the MIT License."),
+            (21, "CC BY-NC, cc by nc! cc_by nc"),
+            (22, "Apache License, Version 2.0; under the mit licenseX"),
+            (23, "Released undr the MIT Licence"),
+            (24, "under the mit license under the mit license"),
+            (25, "Licensed under the Apachee Licence, Version 2.0 ç"),
+        ]
+    )
     got = {(r["doc_id"], r["n_words"]): r for r in license_scan.license_scan(docs(spark, rows)).collect()}
     for doc, text in rows:
         want = brute_license(text)
@@ -294,7 +372,10 @@ def test_pigeonhole_finds_all_edited_notices():
         text = list(notice[0])
         for _ in range(notice[2]):
             # inside longer words: white space is normalised, so edits of it could count twice
-            at, kind = rng.choice([i for i in range(1, len(text) - 1) if text[i - 1].isalpha() and text[i].isalpha() and text[i + 1].isalpha()]), rng.randrange(3)
+            at, kind = (
+                rng.choice([i for i in range(1, len(text) - 1) if text[i - 1].isalpha() and text[i].isalpha() and text[i + 1].isalpha()]),
+                rng.randrange(3),
+            )
             text[at : at + 1] = [] if kind == 0 else ["q"] if kind == 1 else [text[at], "q"]
         _, _, found = license_scan.scan(f"some words {''.join(text)} and more".encode())
         assert any(x[0] == "apache-2" for x in found), "".join(text)
@@ -309,7 +390,9 @@ def _near(text, parts, budget):
             for b in range(a, len(text) + 1) if k < len(parts) - 1 else [len(text)]:
                 if key and not ((a == 0 or text[a - 1] == " ") and (b == len(text) or text[b] == " ")):
                     continue
-                if abs(b - a - len(part)) <= min(free, budget) and (d := license_scan.distance(part, text[a:b])) <= free and spent + d <= budget:
+                if abs(b - a - len(part)) <= min(free, budget) and (
+                    d := license_scan.distance(part, text[a:b])
+                ) <= free and spent + d <= budget:
                     new[b] = min(spent + d, new.get(b, 99))
         best = new
     return best.get(len(text), 99)
@@ -322,30 +405,76 @@ def test_fuzzy_labels_equal_exhaustive_search():
     found = 0
     for n in range(150):
         own = rng.choice(notices)
-        text = list(own.text if n % 3 else own.text.replace("mit", rng.choice(["bsd", "isc", "old", "mid"])).replace("nc", "nd").replace("2 0", "1 1").replace("apache", "python").replace("gnu", "new"))
+        text = list(
+            own.text
+            if n % 3
+            else own.text.replace(
+                "mit", rng.choice(["bsd", "isc", "old", "mid"])
+            ).replace("nc", "nd").replace("2 0", "1 1").replace("apache", "python").replace("gnu", "new")
+        )
         for _ in range(rng.randrange(own.edits + 2)):
             at, kind = rng.randrange(len(text)), rng.randrange(3)
             text[at : at + 1] = [] if kind == 0 else [rng.choice("q ")] if kind == 1 else [text[at], rng.choice("q ")]
         line = " ".join(f"ab {''.join(text)} cd".split())
         words = [i for i in range(len(line)) if i == 0 or line[i - 1] == " "]
         ends = [i for i in range(1, len(line) + 1) if i == len(line) or line[i] == " "]
-        want = {x.label for x in notices for a in words for b in ends if abs(b - a - len(x.text)) <= x.edits and _near(line[a:b], x.parts(), x.edits) <= x.edits}
+        want = {
+            x.label
+            for x in notices
+            for a in words
+            for b in ends
+            if abs(b - a - len(x.text)) <= x.edits and _near(line[a:b], x.parts(), x.edits) <= x.edits
+        }
         _, _, got = license_scan.scan(line.encode())
         assert {x[0] for x in got} & {x.label for x in notices} == want, line
         for label, first, last, edits, score in got:
             stretch = " ".join(line.split()[first : last + 1])
-            assert edits == min(_near(stretch, x.parts(), x.edits) for x in map(lambda y: license_scan.Notice(*y), license_scan.NOTICES) if x.label == label) and 0 < score <= 1
+            assert (
+                edits == min(
+                    _near(stretch, x.parts(), x.edits)
+                    for x in map(lambda y: license_scan.Notice(*y), license_scan.NOTICES)
+                    if x.label == label
+                )
+                and 0 < score <= 1
+            )
         found += bool(want)
     assert found > 50
 
 
-@pytest.mark.parametrize("text", ["Released under the BSD license", "released under the ISC license", "released under the old license of the city", "released under the GPL license", "released under the submit license", "released under the permit license", "Licensed under CC BY-ND 4.0", "Licensed under the Apache License, Version 1.1", "Licensed under the Python License, Version 2.0", "licensed under the GNU Affero General Public License", "licensed under the new general public license", "this source code form is subject to the terms of the eclipse public license", "no rights reserved", "some rights reserved", "under the mit\\x00licence"])
+@pytest.mark.parametrize(
+    "text",
+    [
+        "Released under the BSD license",
+        "released under the ISC license",
+        "released under the old license of the city",
+        "released under the GPL license",
+        "released under the submit license",
+        "released under the permit license",
+        "Licensed under CC BY-ND 4.0",
+        "Licensed under the Apache License, Version 1.1",
+        "Licensed under the Python License, Version 2.0",
+        "licensed under the GNU Affero General Public License",
+        "licensed under the new general public license",
+        "this source code form is subject to the terms of the eclipse public license",
+        "no rights reserved",
+        "some rights reserved",
+        "under the mit\\x00licence",
+    ],
+)
 def test_notices_of_other_licenses_have_no_label(text):
     assert license_scan.scan(text.encode())[1:] == ([], [])
 
 
 def test_each_label_is_its_own_license_only():
-    said = {"Released under the MIT License": {"mit"}, "Licensed under the Apache License, Version 2.0": {"apache-2"}, "Licensed under CC BY-NC 4.0": {"cc-by-nc"}, "Licensed under CC BY-SA 4.0": {"cc-by-sa"}, "Licensed under CC BY 4.0": {"cc-by"}, "This work is licensed under the GNU General Public License, version 3": {"gpl"}, "licensed under the GNU Lesser General Public License": {"lgpl"}}
+    said = {
+        "Released under the MIT License": {"mit"},
+        "Licensed under the Apache License, Version 2.0": {"apache-2"},
+        "Licensed under CC BY-NC 4.0": {"cc-by-nc"},
+        "Licensed under CC BY-SA 4.0": {"cc-by-sa"},
+        "Licensed under CC BY 4.0": {"cc-by"},
+        "This work is licensed under the GNU General Public License, version 3": {"gpl"},
+        "licensed under the GNU Lesser General Public License": {"lgpl"},
+    }
     for text, labels in said.items():
         _, exact, fuzzy = license_scan.scan(text.encode())
         assert {x[0] for x in exact} | {x[0] for x in fuzzy} == labels, text
@@ -358,9 +487,27 @@ def test_turns_without_a_number_stand_last(spark):
     duckdb = pytest.importorskip("duckdb")
     from depmatrix.llm.queries import OP2_SQL
 
-    rows = [(0, 1, "user", "q"), (0, 2, "assistant", "a"), (0, None, "user", "lost"), (0, 1, None, "q"), (1, 1, "user", "q"), (1, 2, "assistant", "b"), (1, None, "assistant", "late"), (2, None, "assistant", "x"), (2, None, None, None), (3, 1, "user", None), (3, 1, "user", "z")]
+    rows = [
+        (0, 1, "user", "q"),
+        (0, 2, "assistant", "a"),
+        (0, None, "user", "lost"),
+        (0, 1, None, "q"),
+        (1, 1, "user", "q"),
+        (1, 2, "assistant", "b"),
+        (1, None, "assistant", "late"),
+        (2, None, "assistant", "x"),
+        (2, None, None, None),
+        (3, 1, "user", None),
+        (3, 1, "user", "z"),
+    ]
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = [tuple(r) for r in chat.preference_segments(*chat.pairs_from_conversations(frame)).select("pair_id", "part", "pos", "role", "rendered", "train", "prompt_turns").collect()]
+    got = [
+        tuple(r)
+        for r
+        in chat.preference_segments(*chat.pairs_from_conversations(frame)).select(
+            "pair_id", "part", "pos", "role", "rendered", "train", "prompt_turns"
+        ).collect()
+    ]
     assert {r[6] for r in got if r[0] == 0} == {2} and any("lost" in r[4] and r[1] == "chosen" for r in got)
     db = duckdb.connect()
     db.execute("CREATE TABLE conversations(conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
@@ -379,10 +526,17 @@ def test_html_extraction(spark):
     want = "Head & line\n\nFirst part\n\nSecond part.\n\nOk."
     assert html_extract.extract(PAGE) == want
     assert html_extract.extract(PAGE.partition("</article>")[0]) == want
-    bare = "<html><body><div class=menu><a href=x>a</a><a href=y>b</a></div><div>" + "".join(f"<p>Paragraph number {k} has quite a lot of words in it, more than a menu has.</p>" for k in range(5)) + "<p>Short.</p></div><div><a href=q>x</a> <a href=r>y</a></div></body></html>"
+    bare = (
+        "<html><body><div class=menu><a href=x>a</a><a href=y>b</a></div><div>"
+        + "".join(f"<p>Paragraph number {k} has quite a lot of words in it, more than a menu has.</p>" for k in range(5))
+        + "<p>Short.</p></div><div><a href=q>x</a> <a href=r>y</a></div></body></html>"
+    )
     assert html_extract.extract(bare).count("\n\n") == 5 and html_extract.extract(bare).endswith("Short.")
     assert html_extract.extract("plain words only") == "plain words only" and html_extract.extract("<p></p>") == ""
-    pages = spark.createDataFrame([(1, "u", PAGE, "z"), (1, "u", PAGE, "z"), (2, None, None, "z"), (None, "v", "", "z")], "page_id long, url string, html string, text string")
+    pages = spark.createDataFrame(
+        [(1, "u", PAGE, "z"), (1, "u", PAGE, "z"), (2, None, None, "z"), (None, "v", "", "z")],
+        "page_id long, url string, html string, text string",
+    )
     got = sorted((tuple(r) for r in html_extract.extract_pages(pages).collect()), key=str)
     assert got == sorted([(1, "u", want, len(want)), (1, "u", want, len(want)), (2, None, "", 0), (None, "v", "", 0)], key=str)
     assert html_extract.extract_pages(pages.limit(0)).count() == 0
@@ -394,10 +548,16 @@ def test_html_clusters_decide_where_an_article_is_named():
     cards = "".join(f"<article><h3><a href=/{k}>Card {k}</a></h3><p><a href=/{k}><b>See</b> it</a></p></article>" for k in range(4))
     links = "<div>" + "".join(f"<p><a href=/{k}>more {k}</a></p>" for k in range(9)) + "</div>"
     # teasers are articles, the story isn't; with and without a main around all
-    for page in (f"<body>{cards}<div>{story}</div>{cards}</body>", f"<body><main>{cards}<div>{story}</div>{cards}</main></body>", f"<body><div role=main>{cards}<div>{story}</div>{cards}</div></body>"):
+    for page in (
+        f"<body>{cards}<div>{story}</div>{cards}</body>",
+        f"<body><main>{cards}<div>{story}</div>{cards}</main></body>",
+        f"<body><div role=main>{cards}<div>{story}</div>{cards}</div></body>",
+    ):
         assert html_extract.extract(page).split("\n\n") == [say(k, 40) for k in range(6)]
     # boilerplate without a telling class inside main
-    assert html_extract.extract(f"<body><main>{links}<div>{story}</div>{links}</main></body>").split("\n\n") == [say(k, 40) for k in range(6)]
+    assert html_extract.extract(
+        f"<body><main>{links}<div>{story}</div>{links}</main></body>"
+    ).split("\n\n") == [say(k, 40) for k in range(6)]
     # parts of an article that are prose stay, however long another part is, and so does its title
     page = f"<body><article><h1>A title</h1><div>{story}</div><section><p>{say(7)}</p></section><div><p>{say(8, 900)}</p></div><section><p>{say(9)}</p><p>{say(10)}</p></section></article></body>"
     got = html_extract.extract(page).split("\n\n")
@@ -420,7 +580,20 @@ def test_lm_base_scores_equal_brute_force(spark):
     counts = Counter(x for d, t in rows if not held(d) for x in tokens(t))
     n, v = sum(counts.values()), len(counts)
     got = sorted((tuple(r) for r in lm_score.lm_scores(docs(spark, rows), max_words=500, max_ngrams=300).collect()), key=str)
-    want = sorted(((d, held(d), len(tokens(t)), sum(counts[x] > 0 for x in tokens(t)), n, sum(math.log10((counts[x] + 0.5) / (n + 0.5 * (v + 1))) for x in tokens(t))) for d, t in rows), key=str)
+    want = sorted(
+        (
+            (
+                d,
+                held(d),
+                len(tokens(t)),
+                sum(counts[x] > 0 for x in tokens(t)),
+                n,
+                sum(math.log10((counts[x] + 0.5) / (n + 0.5 * (v + 1))) for x in tokens(t)),
+            )
+            for d, t in rows
+        ),
+        key=str,
+    )
     assert [g[:5] for g in got] == [w[:5] for w in want]
     assert [g[5] for g in got] == pytest.approx([w[5] for w in want]) and all(g[6] <= 0 for g in got)
     assert lm_score.lm_scores(docs(spark, [])).count() == 0
@@ -429,7 +602,10 @@ def test_lm_base_scores_equal_brute_force(spark):
 def test_lm_scores_keep_every_bigram(spark):
     """Bigrams seen once or twice, of rare words too, raise the score as brute force says, however few n-grams one filter holds."""
     rng = random.Random(12)
-    rows = [(k, " ".join(f"w{rng.randrange(700)}" for _ in range(80))) for k in range(150)] + [(1000 + k, "once upon " + prose(rng, 30)) for k in range(40)]
+    rows = (
+        [(k, " ".join(f"w{rng.randrange(700)}" for _ in range(80))) for k in range(150)]
+        + [(1000 + k, "once upon " + prose(rng, 30)) for k in range(40)]
+    )
     rows += [(None, ""), (2000, rows[1][1]), (2001, rows[2][1]), (2002, rows[3][1]), (2003, rows[4][1])]
     tokens = lambda t: [*WORD.findall(t.translate(LOWER)), None]
     held = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 5 == 1
@@ -538,7 +714,10 @@ def test_decontamination_recall_and_precision(spark):
 
 def test_decontamination_of_short_and_heavily_edited_items(spark):
     rng = random.Random(21)
-    items = [(k, " ".join(f"s{k}x{j}" for j in range(1 + k % 7))) for k in range(70)] + [(k, prose(rng, 30 + k % 30, 5000)) for k in range(100, 200)]
+    items = (
+        [(k, " ".join(f"s{k}x{j}" for j in range(1 + k % 7))) for k in range(70)]
+        + [(k, prose(rng, 30 + k % 30, 5000)) for k in range(100, 200)]
+    )
     rows, want = [], set()
     for n, (k, text) in enumerate(items):
         words, leak = prose(rng, rng.randrange(50, 300), 5000).split(), text.split()
@@ -550,7 +729,10 @@ def test_decontamination_of_short_and_heavily_edited_items(spark):
         words[at:at] = leak
         rows.append((n, " ".join(words)))
         want.add((n, k))
-    got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    got = {
+        (r["doc_id"], r["item_id"])
+        for r in decontamination.contaminated(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    }
     short = {x for x in want if x[1] < 100}
     assert short <= got and not got - want and len((got & want) - short) >= 0.98 * len(want - short)
 

@@ -15,7 +15,9 @@ COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 @pytest.fixture(scope="module")
 def tables(spark, tmp_path_factory):
     rng, d = random.Random(1), str(tmp_path_factory.mktemp("sf"))
-    prose = lambda n: " ".join(rng.choice(["the", "of"]) if rng.random() < 0.3 else f"w{rng.randrange(4000)}x" for _ in range(n))
+    prose = lambda n: (
+        " ".join(rng.choice(["the", "of"]) if rng.random() < 0.3 else f"w{rng.randrange(4000)}x" for _ in range(n))
+    )
     items = [(k, prose(30)) for k in range(10)]
     rows, labels = [], []
     for k in range(400):
@@ -75,10 +77,18 @@ def test_registered_queries(spark):
 def test_stages_on_odd_tables(spark, tmp_path):
     """Empty tables, nulls, a very long text, repeated ids and columns with names that operators use inside."""
     rng = random.Random(2)
-    prose = lambda n: " ".join(rng.choice(["the", "of"]) if rng.random() < 0.3 else f"w{rng.randrange(4000)}x" for _ in range(n))
-    extra = "doc_id long, text string, lang string, source string, n_chars long, rows string, n string, root string, row string, key string, draws string, _h string, stats string"
+    prose = lambda n: (
+        " ".join(rng.choice(["the", "of"]) if rng.random() < 0.3 else f"w{rng.randrange(4000)}x" for _ in range(n))
+    )
+    extra = (
+        "doc_id long, text string, lang string, source string, n_chars long, rows string, n string, root string, row string, key string, "
+        "draws string, _h string, stats string"
+    )
     item, long = prose(30), prose(200_000)
-    texts = [(k, prose(90), f"s{k % 3}") for k in range(60)] + [(70, long, "s0"), (71, None, None), (72, "", None), (None, prose(90), "s1"), (73, f"{prose(60)} {item}", "s1")]
+    texts = (
+        [(k, prose(90), f"s{k % 3}") for k in range(60)]
+        + [(70, long, "s0"), (71, None, None), (72, "", None), (None, prose(90), "s1"), (73, f"{prose(60)} {item}", "s1")]
+    )
     texts += [(5, texts[5][1], "s2"), (5, texts[5][1], "s2"), (74, texts[6][1], "s1"), (7, prose(90), "s1")]
     for name, rows in (("odd", texts), ("none", [])):
         d = str(tmp_path / name)
