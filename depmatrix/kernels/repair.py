@@ -64,7 +64,9 @@ def merge_many(a: np.ndarray, labels, k: int, most: int) -> tuple[list[int], int
     while len(ids := np.unique(labels)) > max(1, k):
         member = (labels[:, None] == ids).astype(float)
         weight, size = member.T @ both @ member, member.sum(axis=0)
-        pairs = [(bool(most > 0 and size[x] + size[y] > most), -weight[x, y], x, y) for x in range(len(ids)) for y in range(x + 1, len(ids))]
+        pairs = [
+            (bool(most > 0 and size[x] + size[y] > most), -weight[x, y], x, y) for x in range(len(ids)) for y in range(x + 1, len(ids))
+        ]
         _, _, x, y = min(pairs)
         labels = np.where(labels == ids[y], ids[x], labels)
         merges += 1

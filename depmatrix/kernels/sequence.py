@@ -155,5 +155,8 @@ def tears(a: np.ndarray, members: list[int], top: int = 5) -> list[dict]:
     cells = [(int(i), int(j)) for i, j in np.argwhere((m > 0) & ~np.eye(n, dtype=bool))]
     left = largest_without(cells, 0, len(cells)) if cells else []
     # elements of no dependency are components of their own
-    found = [{"i": members[i], "j": members[j], "w": float(m[i, j]), "impact": n - x, "largest_loop_after": x, "fully_resolves": x == 1} for (i, j), x in zip(cells, left, strict=True)]
+    found = [
+        {"i": members[i], "j": members[j], "w": float(m[i, j]), "impact": n - x, "largest_loop_after": x, "fully_resolves": x == 1}
+        for (i, j), x in zip(cells, left, strict=True)
+    ]
     return sorted(found, key=lambda t: (-t["impact"], t["w"]))[:top]

@@ -24,7 +24,10 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: the one that the cluster names; where it names none, the warehouse, or in local mode (tests) a temporary one."""
     if not _own_folder:
         local = spark.sparkContext.master.startswith("local")
-        _own_folder.append(spark.conf.get("spark.checkpoint.dir", None) or (tempfile.mkdtemp(prefix="depmatrix-") if local else spark.conf.get("spark.sql.warehouse.dir")))
+        _own_folder.append(
+            spark.conf.get("spark.checkpoint.dir", None)
+            or (tempfile.mkdtemp(prefix="depmatrix-") if local else spark.conf.get("spark.sql.warehouse.dir"))
+        )
     return _own_folder[0]
 
 
@@ -43,8 +46,14 @@ def components(dsm: Dsm, max_rounds: int = 10_000) -> DataFrame:
     now = cut(dsm.elements.select("dsm_id", "idx", F.col("idx").alias("c")))
     for _ in range(max_rounds):
         # the neighbours' smallest label, then that label's own label: halves the distance to the root
-        near = links.join(now.select("dsm_id", F.col("idx").alias("j"), "c"), ["dsm_id", "j"]).groupBy("dsm_id", F.col("i").alias("idx")).agg(F.min("c").alias("m"))
-        new = now.join(near, ["dsm_id", "idx"], "left").select("dsm_id", "idx", F.col("c").alias("old"), F.least("c", F.coalesce("m", "c")).alias("c"))
+        near = (
+            links.join(now.select("dsm_id", F.col("idx").alias("j"), "c"), ["dsm_id", "j"])
+            .groupBy("dsm_id", F.col("i").alias("idx"))
+            .agg(F.min("c").alias("m"))
+        )
+        new = now.join(near, ["dsm_id", "idx"], "left").select(
+            "dsm_id", "idx", F.col("c").alias("old"), F.least("c", F.coalesce("m", "c")).alias("c")
+        )
         jump = new.select("dsm_id", F.col("idx").alias("c"), F.col("c").alias("cc"))
         new = cut(new.join(jump, ["dsm_id", "c"]).select("dsm_id", "idx", "old", F.least("c", "cc").alias("c")))
         if new.filter("c <> old").isEmpty():
@@ -56,7 +65,9 @@ def components(dsm: Dsm, max_rounds: int = 10_000) -> DataFrame:
 def component_sizes(found: DataFrame) -> DataFrame:
     """Largest first, ties by smallest member: (dsm_id, rank, component, size)."""
     sizes = found.groupBy("dsm_id", "component").agg(F.count("*").alias("size"))
-    return sizes.withColumn("rank", F.row_number().over(W.partitionBy("dsm_id").orderBy(F.desc("size"), "component")) - 1).select("dsm_id", "rank", "component", "size")
+    return sizes.withColumn(
+        "rank", F.row_number().over(W.partitionBy("dsm_id").orderBy(F.desc("size"), "component")) - 1
+    ).select("dsm_id", "rank", "component", "size")
 
 
 def closure(edges: DataFrame, key: tuple[str, ...] = ("dsm_id",), max_rounds: int = 64) -> DataFrame:
@@ -90,8 +101,16 @@ def _coloured(edges: DataFrame, key: list[str]) -> DataFrame:
     """(key, idx, c): the smallest element from which idx can be reached, itself included."""
     now = cut(edges.select(*key, F.explode(F.array("i", "j")).alias("idx")).distinct().withColumn("c", F.col("idx")))
     while True:
-        reached = edges.join(now.select(*key, F.col("idx").alias("i"), "c"), [*key, "i"]).groupBy(*key, F.col("j").alias("idx")).agg(F.min("c").alias("m"))
-        new = cut(now.join(reached, [*key, "idx"], "left").select(*key, "idx", F.col("c").alias("old"), F.least("c", F.coalesce("m", "c")).alias("c")))
+        reached = (
+            edges.join(now.select(*key, F.col("idx").alias("i"), "c"), [*key, "i"])
+            .groupBy(*key, F.col("j").alias("idx"))
+            .agg(F.min("c").alias("m"))
+        )
+        new = cut(
+            now.join(reached, [*key, "idx"], "left").select(
+                *key, "idx", F.col("c").alias("old"), F.least("c", F.coalesce("m", "c")).alias("c")
+            )
+        )
         now = new.drop("old")
         if new.filter("c <> old").isEmpty():
             return now
@@ -115,7 +134,9 @@ def strong_components(elements: DataFrame, edges: DataFrame, key: tuple[str, ...
         inner = cut(left.join(a, [*key, "i"]).join(b, [*key, "j"]).filter("c = cj").select(*key, "i", "j", "c"))
         reached = front = cut(colour.filter("idx = c"))
         while True:
-            back = inner.join(front.select(*key, F.col("idx").alias("j"), "c"), [*key, "j", "c"], "left_semi").select(*key, F.col("i").alias("idx"), "c").distinct()
+            back = inner.join(
+                front.select(*key, F.col("idx").alias("j"), "c"), [*key, "j", "c"], "left_semi"
+            ).select(*key, F.col("i").alias("idx"), "c").distinct()
             front = cut(back.join(reached, [*key, "idx"], "left_anti"))
             if front.isEmpty():
                 break
@@ -139,12 +160,25 @@ def loops(sccs: DataFrame, key: tuple[str, ...] = ("dsm_id",)) -> DataFrame:
 def levels(edges: DataFrame, sccs: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """(dsm_id, scc, level): longest chain of components that it depends on."""
     sccs = cut(sccs.select("dsm_id", "idx", "scc"))
-    a, b = sccs.select("dsm_id", F.col("idx").alias("i"), F.col("scc").alias("a")), sccs.select("dsm_id", F.col("idx").alias("j"), F.col("scc").alias("b"))
-    deps = cut(edges.filter("w > 0").join(a, ["dsm_id", "i"]).join(b, ["dsm_id", "j"]).filter("a <> b").select("dsm_id", "a", "b").distinct())
+    a, b = (
+        sccs.select("dsm_id", F.col("idx").alias("i"), F.col("scc").alias("a")),
+        sccs.select("dsm_id", F.col("idx").alias("j"), F.col("scc").alias("b")),
+    )
+    deps = cut(
+        edges.filter("w > 0").join(a, ["dsm_id", "i"]).join(b, ["dsm_id", "j"]).filter("a <> b").select("dsm_id", "a", "b").distinct()
+    )
     now = cut(sccs.select("dsm_id", F.col("scc").alias("a")).distinct().withColumn("level", F.lit(0)))
     for _ in range(max_rounds):
-        up = deps.join(now.select("dsm_id", F.col("a").alias("b"), "level"), ["dsm_id", "b"]).groupBy("dsm_id", "a").agg((F.max("level") + 1).alias("m"))
-        new = cut(now.join(up, ["dsm_id", "a"], "left").select("dsm_id", "a", F.col("level").alias("old"), F.coalesce("m", F.lit(0)).alias("level")))
+        up = (
+            deps.join(now.select("dsm_id", F.col("a").alias("b"), "level"), ["dsm_id", "b"])
+            .groupBy("dsm_id", "a")
+            .agg((F.max("level") + 1).alias("m"))
+        )
+        new = cut(
+            now.join(up, ["dsm_id", "a"], "left").select(
+                "dsm_id", "a", F.col("level").alias("old"), F.coalesce("m", F.lit(0)).alias("level")
+            )
+        )
         settled = new.filter("level <> old").isEmpty()
         now = new.drop("old")
         if settled:
@@ -159,14 +193,24 @@ def tearing(edges: DataFrame, sccs: DataFrame, top: int = 5, chunk: int = 512) -
     these take time linear in the loop each, the others none. A loop of more than MAX_LOOP edges is an error."""
     sccs = cut(sccs.select("dsm_id", "idx", "scc"))
     a, b = sccs.select("dsm_id", F.col("idx").alias("i"), "scc"), sccs.select("dsm_id", F.col("idx").alias("j"), F.col("scc").alias("s2"))
-    inner = edges.filter("w > 0 and i <> j").join(a, ["dsm_id", "i"]).join(b, ["dsm_id", "j"]).filter("scc = s2").select("dsm_id", "scc", "i", "j", "w")
+    inner = (
+        edges.filter("w > 0 and i <> j")
+        .join(a, ["dsm_id", "i"])
+        .join(b, ["dsm_id", "j"])
+        .filter("scc = s2")
+        .select("dsm_id", "scc", "i", "j", "w")
+    )
     counts = cut(inner.groupBy("dsm_id", "scc").agg(F.count("*").alias("m")))
     large = counts.filter(F.col("m") > MAX_LOOP).first()
     if large:
         raise ValueError(f"a loop of {large['dsm_id']} has {large['m']} dependencies, more than {MAX_LOOP}")
     pack = inner.groupBy("dsm_id", "scc").agg(F.sort_array(F.collect_list(F.struct("i", "j", "w"))).alias("cells"))
     size = loops(sccs).withColumnRenamed("size", "n")
-    tasks = counts.select("dsm_id", "scc", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1, F.lit(chunk).cast("long")).cast("array<int>")).alias("at")).repartition("dsm_id", "scc", "at")
+    tasks = counts.select(
+        "dsm_id",
+        "scc",
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1, F.lit(chunk).cast("long")).cast("array<int>")).alias("at"),
+    ).repartition("dsm_id", "scc", "at")
 
     def run(frame):
         import pandas as pd
@@ -179,7 +223,9 @@ def tearing(edges: DataFrame, sccs: DataFrame, top: int = 5, chunk: int = 512) -
                 out.append((row["dsm_id"], row["scc"], c["i"], c["j"], c["w"], row["n"] - x, x, x == 1))
         return pd.DataFrame(out, columns=["dsm_id", "scc", "i", "j", "w", "impact", "largest_loop_after", "fully_resolves"])
 
-    found = tasks.join(pack, ["dsm_id", "scc"]).join(size, ["dsm_id", "scc"]).groupBy("dsm_id", "scc", "at").applyInPandas(run, "dsm_id string, scc int, i int, j int, w double, impact long, largest_loop_after long, fully_resolves boolean")
+    found = tasks.join(pack, ["dsm_id", "scc"]).join(size, ["dsm_id", "scc"]).groupBy("dsm_id", "scc", "at").applyInPandas(
+        run, "dsm_id string, scc int, i int, j int, w double, impact long, largest_loop_after long, fully_resolves boolean"
+    )
     order = W.partitionBy("dsm_id", "scc").orderBy(F.desc("impact"), "w", "i", "j")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
 
@@ -191,15 +237,27 @@ def propagation(edges: DataFrame, depth: int = 4, attenuation: float = 0.6) -> D
     direct = cut(e.join(top, "dsm_id").select("dsm_id", "i", "j", (F.col("w") / F.col("top")).alias("s")))
     now = direct
     for _ in range(depth - 1):
-        step = direct.select("dsm_id", "i", F.col("j").alias("k"), F.col("s").alias("a")).join(now.select("dsm_id", F.col("i").alias("k"), "j", "s"), ["dsm_id", "k"]).filter("i <> j").select("dsm_id", "i", "j", (F.lit(attenuation) * F.col("a") * F.col("s")).alias("s"))
+        step = (
+            direct.select("dsm_id", "i", F.col("j").alias("k"), F.col("s").alias("a"))
+            .join(now.select("dsm_id", F.col("i").alias("k"), "j", "s"), ["dsm_id", "k"])
+            .filter("i <> j")
+            .select("dsm_id", "i", "j", (F.lit(attenuation) * F.col("a") * F.col("s")).alias("s"))
+        )
         now = cut(direct.union(step).groupBy("dsm_id", "i", "j").agg(F.max("s").alias("s")))
     return now.select("dsm_id", "i", "j", F.col("s").alias("strength"))
 
 
 def risk_ranking(risk: DataFrame, sizes: DataFrame, axis: str, top: int = 6, least: float = 0.01) -> DataFrame:
     """axis 'j': who drives change (column means); 'i': who is prone to it (row means). (dsm_id, idx, mean_risk, rank)."""
-    means = risk.groupBy("dsm_id", F.col(axis).alias("idx")).agg(F.sum("strength").alias("s")).join(sizes, "dsm_id").select("dsm_id", "idx", (F.col("s") / F.greatest(F.col("n") - 1, F.lit(1))).alias("mean_risk"))
-    return means.withColumn("rank", F.row_number().over(W.partitionBy("dsm_id").orderBy(F.desc("mean_risk"), "idx"))).filter((F.col("rank") <= top) & (F.col("mean_risk") > least))
+    means = (
+        risk.groupBy("dsm_id", F.col(axis).alias("idx"))
+        .agg(F.sum("strength").alias("s"))
+        .join(sizes, "dsm_id")
+        .select("dsm_id", "idx", (F.col("s") / F.greatest(F.col("n") - 1, F.lit(1))).alias("mean_risk"))
+    )
+    return means.withColumn(
+        "rank", F.row_number().over(W.partitionBy("dsm_id").orderBy(F.desc("mean_risk"), "idx"))
+    ).filter((F.col("rank") <= top) & (F.col("mean_risk") > least))
 
 
 def markov_steps(dsm: Dsm, steps: int = 2, inflation: float = 2.0, prune: float = 0.0) -> DataFrame:
@@ -211,7 +269,13 @@ def markov_steps(dsm: Dsm, steps: int = 2, inflation: float = 2.0, prune: float
     loops_ = dsm.elements.select("dsm_id", F.col("idx").alias("i"), F.col("idx").alias("j"), F.lit(1.0).alias("w"))
     now = cut(column_normalise(dsm.edges.filter("i <> j").unionByName(loops_)))
     for _ in range(steps):
-        square = now.withColumnRenamed("j", "k").withColumnRenamed("w", "a").join(now.withColumnRenamed("i", "k").withColumnRenamed("w", "b"), ["dsm_id", "k"]).groupBy("dsm_id", "i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("w"))
+        square = (
+            now.withColumnRenamed("j", "k")
+            .withColumnRenamed("w", "a")
+            .join(now.withColumnRenamed("i", "k").withColumnRenamed("w", "b"), ["dsm_id", "k"])
+            .groupBy("dsm_id", "i", "j")
+            .agg(F.sum(F.col("a") * F.col("b")).alias("w"))
+        )
         raised = column_normalise(square.withColumn("w", F.pow("w", F.lit(inflation))))
         now = cut(column_normalise(cut(raised).filter(F.col("w") >= prune)) if prune else raised)
     return now

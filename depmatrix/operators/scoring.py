@@ -28,9 +28,13 @@ def scores(edges: DataFrame, assign: DataFrame, sizes: DataFrame, by: tuple[str,
     joined = with_clusters(edges.filter("w > 0 and i <> j"), assign, by).join(sizes, "dsm_id")
     same = F.col("ci") == F.col("cj")
     price = F.col("w") * F.pow(F.when(same, F.col("size")).otherwise(F.col("n")).cast("double"), F.lit(pow_cc))
-    sums = joined.groupBy(*by).agg(F.sum(price).alias("cost"), F.sum(F.when(~same, F.col("w")).otherwise(0.0)).alias("ext"), F.sum("w").alias("total"))
+    sums = joined.groupBy(*by).agg(
+        F.sum(price).alias("cost"), F.sum(F.when(~same, F.col("w")).otherwise(0.0)).alias("ext"), F.sum("w").alias("total")
+    )
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    return k.join(sums, list(by), "left").select(*by, "n_clusters", zero("cost").alias("cost"), ratio(zero("ext"), zero("total")).alias("external_ratio"))
+    return k.join(sums, list(by), "left").select(
+        *by, "n_clusters", zero("cost").alias("cost"), ratio(zero("ext"), zero("total")).alias("external_ratio")
+    )
 
 
 def metrics(edges: DataFrame, assign: DataFrame, elements: DataFrame, bus: DataFrame) -> DataFrame:
@@ -41,19 +45,37 @@ def metrics(edges: DataFrame, assign: DataFrame, elements: DataFrame, bus: DataF
     k = core.groupBy("dsm_id").agg(F.count_distinct("cluster").alias("n_clusters"))
     joined = with_clusters(edges.filter("w > 0"), core).join(sizes, "dsm_id")
     same = F.col("ci") == F.col("cj")
-    sums = joined.groupBy("dsm_id").agg(F.sum("w").alias("core"), F.sum(F.when(~same, F.col("w")).otherwise(0.0)).alias("ext"), F.sum(F.col("w") * F.when(same, F.col("size")).otherwise(F.col("n"))).alias("cost"))
+    sums = joined.groupBy("dsm_id").agg(
+        F.sum("w").alias("core"),
+        F.sum(F.when(~same, F.col("w")).otherwise(0.0)).alias("ext"),
+        F.sum(F.col("w") * F.when(same, F.col("size")).otherwise(F.col("n"))).alias("cost"),
+    )
     total = edges.groupBy("dsm_id").agg(F.sum("w").alias("total"))
     out = elements.select("dsm_id").distinct().join(k, "dsm_id", "left").join(sums, "dsm_id", "left").join(total, "dsm_id", "left")
     out = out.join(bus.groupBy("dsm_id").agg(F.count("*").alias("n_bus")), "dsm_id", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     whole = lambda c: zero(c).cast("long").alias
-    return out.select("dsm_id", whole("n_clusters")("n_clusters"), whole("n_bus")("n_bus"), whole("total")("total_marks"), whole("core")("core_marks"), whole("ext")("external_marks"), (zero("ext") / F.greatest(zero("core"), F.lit(1.0))).alias("external_ratio_core"), zero("cost").cast("double").alias("cost"))
+    return out.select(
+        "dsm_id",
+        whole("n_clusters")("n_clusters"),
+        whole("n_bus")("n_bus"),
+        whole("total")("total_marks"),
+        whole("core")("core_marks"),
+        whole("ext")("external_marks"),
+        (zero("ext") / F.greatest(zero("core"), F.lit(1.0))).alias("external_ratio_core"),
+        zero("cost").cast("double").alias("cost"),
+    )
 
 
 def feedback(edges: DataFrame, ordering: DataFrame, by: tuple[str, ...] = ("dsm_id",)) -> DataFrame:
     """(by, feedback, feedback_marks): weight from an element to one that comes later; marks truncated."""
-    a, b = ordering.select(*by, F.col("idx").alias("i"), F.col("pos").alias("pi")), ordering.select(*by, F.col("idx").alias("j"), F.col("pos").alias("pj"))
-    got = edges.join(a, ["dsm_id", "i"]).join(b, [*by, "j"]).groupBy(*by).agg(F.sum(F.when(F.col("pi") < F.col("pj"), F.col("w")).otherwise(0.0)).alias("f"))
+    a, b = (
+        ordering.select(*by, F.col("idx").alias("i"), F.col("pos").alias("pi")),
+        ordering.select(*by, F.col("idx").alias("j"), F.col("pos").alias("pj")),
+    )
+    got = edges.join(a, ["dsm_id", "i"]).join(b, [*by, "j"]).groupBy(*by).agg(
+        F.sum(F.when(F.col("pi") < F.col("pj"), F.col("w")).otherwise(0.0)).alias("f")
+    )
     keys = ordering.select(*by).distinct()
     f = F.coalesce("f", F.lit(0.0))
     return keys.join(got, list(by), "left").select(*by, f.alias("feedback"), f.cast("long").alias("feedback_marks"))
@@ -63,7 +85,9 @@ def symmetry_ratio(edges: DataFrame) -> DataFrame:
     """Share of edges whose reverse exists."""
     e = edges.filter("w <> 0 and i <> j").select("dsm_id", "i", "j")
     back = e.select("dsm_id", F.col("j").alias("i"), F.col("i").alias("j"), F.lit(1).alias("back"))
-    return e.join(back, ["dsm_id", "i", "j"], "left").groupBy("dsm_id").agg(F.avg(F.coalesce("back", F.lit(0)).cast("double")).alias("symmetry_ratio"))
+    return e.join(back, ["dsm_id", "i", "j"], "left").groupBy("dsm_id").agg(
+        F.avg(F.coalesce("back", F.lit(0)).cast("double")).alias("symmetry_ratio")
+    )
 
 
 def connectivity(dsm: Dsm) -> DataFrame:
@@ -122,7 +146,12 @@ def consistency(runs: DataFrame, reference: DataFrame) -> DataFrame:
     common = placed.groupBy("dsm_id", "run", "cluster", "peers").agg((F.count("*") - 1).alias("together"))
     met = placed.join(common, ["dsm_id", "run", "cluster", "peers"]).groupBy("dsm_id", "idx").agg(F.sum("together").alias("met"))
     share = F.coalesce("met", F.lit(0)) / (F.col("runs") * (F.col("size") - 1))
-    return named.join(sizes, ["dsm_id", "peers"]).join(n, "dsm_id").join(met, ["dsm_id", "idx"], "left").select("dsm_id", "idx", F.when(F.col("size") < 2, F.lit(1.0)).otherwise(share).alias("c"))
+    return (
+        named.join(sizes, ["dsm_id", "peers"])
+        .join(n, "dsm_id")
+        .join(met, ["dsm_id", "idx"], "left")
+        .select("dsm_id", "idx", F.when(F.col("size") < 2, F.lit(1.0)).otherwise(share).alias("c"))
+    )
 
 
 def distinct_partitions(runs: DataFrame) -> DataFrame:
@@ -130,7 +159,9 @@ def distinct_partitions(runs: DataFrame) -> DataFrame:
     first = runs.groupBy("dsm_id", "run", "cluster").agg(F.min("idx").alias("first"))
     both = runs.join(first, ["dsm_id", "run", "cluster"]).groupBy("dsm_id", "run").agg(
         F.sort_array(F.collect_list(F.struct("idx", "cluster"))).alias("raw"), F.sort_array(F.collect_list(F.struct("idx", "first"))).alias("canonical"))
-    return both.groupBy("dsm_id").agg(F.count_distinct("raw").alias("distinct_partitions"), F.count_distinct("canonical").alias("distinct_canonical"))
+    return both.groupBy("dsm_id").agg(
+        F.count_distinct("raw").alias("distinct_partitions"), F.count_distinct("canonical").alias("distinct_canonical")
+    )
 
 
 def unsettled(consistent: DataFrame, below: float = 0.7) -> DataFrame:
@@ -140,10 +171,14 @@ def unsettled(consistent: DataFrame, below: float = 0.7) -> DataFrame:
 def members(assign: DataFrame, elements: DataFrame) -> DataFrame:
     """(dsm_id, cluster, labels in the order of idx, joined by a comma)."""
     listed = F.sort_array(F.collect_list(F.struct("idx", "label")))
-    return assign.join(elements, ["dsm_id", "idx"]).groupBy("dsm_id", "cluster").agg(F.array_join(F.transform(listed, lambda x: x["label"]), ", ").alias("labels"))
+    return assign.join(elements, ["dsm_id", "idx"]).groupBy("dsm_id", "cluster").agg(
+        F.array_join(F.transform(listed, lambda x: x["label"]), ", ").alias("labels")
+    )
 
 
 def guidance(metrics: DataFrame) -> DataFrame:
     """Which view suits a process matrix, from its metrics (symmetry_ratio, largest_loop, n_loops, n_elements)."""
-    said: Column = F.when(F.col("symmetry_ratio") >= 0.6, "symmetric").when((F.col("n_loops") >= 1) & (F.col("largest_loop") >= 0.8 * F.col("n_elements")), "giant_loop").otherwise("process")
+    said: Column = F.when(F.col("symmetry_ratio") >= 0.6, "symmetric").when(
+        (F.col("n_loops") >= 1) & (F.col("largest_loop") >= 0.8 * F.col("n_elements")), "giant_loop"
+    ).otherwise("process")
     return metrics.withColumn("guidance", said)

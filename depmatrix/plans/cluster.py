@@ -81,7 +81,9 @@ def cluster_stage(dsm: Dsm, limits: Constraints = Constraints()) -> Stage1:
     found = cut(fan_out(packed(core), tasks, kernel, "idx int, cluster int, algo string, inflation double"))
     all_ = done(found)
     sizes = core.sizes()
-    scored = scoring.k_in_range(scoring.scores(core.edges, all_, sizes, ("dsm_id", "algo", "inflation")), sizes, limits.min_clusters, limits.max_clusters)
+    scored = scoring.k_in_range(
+        scoring.scores(core.edges, all_, sizes, ("dsm_id", "algo", "inflation")), sizes, limits.min_clusters, limits.max_clusters
+    )
     # of the inflations one within the range comes first, then the cheapest, then the lowest
     order = W.partitionBy("dsm_id", "algo").orderBy(F.desc("k_in_range"), "cost", "inflation")
     best = cut(scored.withColumn("r", F.row_number().over(order)).filter("r = 1").drop("r"))
@@ -97,7 +99,9 @@ def restored(dsm: Dsm, raw: DataFrame, limits: Constraints = Constraints()) -> S
     lost = assign.join(core.elements.select("dsm_id", "idx"), ["dsm_id", "idx"], "left_anti").first()
     if lost:
         raise ValueError(f"saved clusters don't match the core of {lost['dsm_id']}: element {lost['idx']}")
-    scored = scoring.k_in_range(scoring.scores(core.edges, assign, sizes, ("dsm_id", "algo")), sizes, limits.min_clusters, limits.max_clusters)
+    scored = scoring.k_in_range(
+        scoring.scores(core.edges, assign, sizes, ("dsm_id", "algo")), sizes, limits.min_clusters, limits.max_clusters
+    )
     return Stage1(core, names, bus, cut(scored), assign)
 
 
@@ -110,7 +114,9 @@ def k_sweep(core: Dsm, low: int = 2, high: int | None = None, limits: Constraint
         return _labels(spectral_cluster(a, k=task["k"], low=task["k"], high=task["k"])[0], k=task["k"])
 
     runs = done(fan_out(packed(core), [{"k": k} for k in range(low, (high or 11) + 1)], kernel, "idx int, cluster int, k int"))
-    return scoring.scores(core.edges, cut(runs), core.sizes(), ("dsm_id", "k")).select("dsm_id", "k", "n_clusters", "external_ratio", "cost")
+    return scoring.scores(core.edges, cut(runs), core.sizes(), ("dsm_id", "k")).select(
+        "dsm_id", "k", "n_clusters", "external_ratio", "cost"
+    )
 
 
 def sequence_stage(dsm: Dsm, stage: Stage1, chosen: DataFrame, limits: Constraints = Constraints()) -> tuple[DataFrame, DataFrame]:
@@ -122,7 +128,9 @@ def sequence_stage(dsm: Dsm, stage: Stage1, chosen: DataFrame, limits: Constrain
     if lost:
         raise ValueError(f"no valid {lost[0]['algo']} partition of {lost[0]['dsm_id']}")
     picked = stage.assign.join(chosen.select("dsm_id", "algo"), ["dsm_id", "algo"], "left_semi")
-    labels = picked.groupBy("dsm_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", "cluster"))), lambda x: x["cluster"]).alias("labels"))
+    labels = picked.groupBy("dsm_id").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("idx", "cluster"))), lambda x: x["cluster"]).alias("labels")
+    )
     pack = packed(stage.core).join(labels, "dsm_id")
 
     def run(frame):
@@ -131,24 +139,46 @@ def sequence_stage(dsm: Dsm, stage: Stage1, chosen: DataFrame, limits: Constrain
         row = frame.to_dict("records")[0]
         a = dense(row)
         low, high = limits.k_range(len(a))
-        found, merges, splits = within_limits(a, [int(x) for x in row["labels"]], limits.min_cluster_size, limits.max_cluster_size, low, high)
+        found, merges, splits = within_limits(
+            a, [int(x) for x in row["labels"]], limits.min_cluster_size, limits.max_cluster_size, low, high
+        )
         out, before, after = [], 0, 0
         for c in sorted(set(found)):
             own = [i for i, x in enumerate(found) if x == c]
             new = anneal(a, own, seed=None if limits.seed is None else limits.seed + c)
             before, after = before + int(feedback(a, own)), after + int(feedback(a, new))
             out += [(i, c) for i in new]
-        return pd.DataFrame([(row["dsm_id"], i, p, c, merges, splits, before, after) for p, (i, c) in enumerate(out)], columns=["dsm_id", "core", "place", "cluster", "merges", "splits", "before", "after"])
-
-    placed = cut(pack.groupBy("dsm_id").applyInPandas(run, "dsm_id string, core int, place int, cluster int, merges int, splits int, before long, after long"))
-    core = placed.join(stage.names.select("dsm_id", F.col("old").alias("idx"), F.col("idx").alias("core")), ["dsm_id", "core"]).select("dsm_id", F.lit(0).alias("is_bus"), "place", "idx", "cluster")
+        return pd.DataFrame(
+            [(row["dsm_id"], i, p, c, merges, splits, before, after) for p, (i, c) in enumerate(out)],
+            columns=["dsm_id", "core", "place", "cluster", "merges", "splits", "before", "after"],
+        )
+
+    placed = cut(
+        pack.groupBy("dsm_id").applyInPandas(
+            run, "dsm_id string, core int, place int, cluster int, merges int, splits int, before long, after long"
+        )
+    )
+    core = placed.join(
+        stage.names.select("dsm_id", F.col("old").alias("idx"), F.col("idx").alias("core")), ["dsm_id", "core"]
+    ).select("dsm_id", F.lit(0).alias("is_bus"), "place", "idx", "cluster")
     k = placed.groupBy("dsm_id").agg((F.max("cluster") + 1).alias("k"))
     own = F.row_number().over(W.partitionBy("dsm_id").orderBy("idx")) - 1
-    bus = stage.bus.join(k, "dsm_id", "left").select("dsm_id", F.lit(1).alias("is_bus"), own.alias("place"), "idx", (F.coalesce("k", F.lit(0)) + own).cast("int").alias("cluster"))
+    bus = stage.bus.join(k, "dsm_id", "left").select(
+        "dsm_id", F.lit(1).alias("is_bus"), own.alias("place"), "idx", (F.coalesce("k", F.lit(0)) + own).cast("int").alias("cluster")
+    )
     order = W.partitionBy("dsm_id").orderBy("is_bus", "place")
     ordering = cut(core.union(bus).select("dsm_id", (F.row_number().over(order) - 1).cast("int").alias("pos"), "idx", "cluster"))
-    info = placed.groupBy("dsm_id").agg(F.max("merges").alias("merges"), F.max("splits").alias("splits"), F.max("before").alias("feedback_before"), F.max("after").alias("feedback_after"))
-    figures = scoring.over_target(scoring.metrics(dsm.edges, ordering.select("dsm_id", "idx", "cluster"), dsm.elements, stage.bus), limits.max_external_ratio, "external_ratio_core")
+    info = placed.groupBy("dsm_id").agg(
+        F.max("merges").alias("merges"),
+        F.max("splits").alias("splits"),
+        F.max("before").alias("feedback_before"),
+        F.max("after").alias("feedback_after"),
+    )
+    figures = scoring.over_target(
+        scoring.metrics(dsm.edges, ordering.select("dsm_id", "idx", "cluster"), dsm.elements, stage.bus),
+        limits.max_external_ratio,
+        "external_ratio_core",
+    )
     return ordering, figures.join(info, "dsm_id", "left")
 
 
@@ -173,7 +203,12 @@ def stability(dsm: Dsm, algo: str, runs: int = 20, limits: Constraints = Constra
     labels = cut(done(found))
     co = scoring.co_clustering(labels)
     agree = cut(scoring.consistency(labels, labels.filter("run = 0").select("dsm_id", "idx", "cluster")))
-    figures = agree.groupBy("dsm_id").agg(F.avg("c").alias("mean_consistency"), F.count_if(F.col("c") < 0.7).alias("unsettled")).join(scoring.distinct_partitions(labels), "dsm_id").withColumn("runs", F.lit(runs))
+    figures = (
+        agree.groupBy("dsm_id")
+        .agg(F.avg("c").alias("mean_consistency"), F.count_if(F.col("c") < 0.7).alias("unsettled"))
+        .join(scoring.distinct_partitions(labels), "dsm_id")
+        .withColumn("runs", F.lit(runs))
+    )
     return co, agree, figures
 
 
@@ -182,7 +217,9 @@ def fiedler_profile(core: Dsm) -> DataFrame:
     found = components(core)
     largest = component_sizes(found).filter("rank = 0").select("dsm_id", "component")
     part, names = submatrix(core, found.join(largest, ["dsm_id", "component"], "left_semi"))
-    values = done(fan_out(packed(part), [{}], lambda a, _: [{"idx": i, "value": float(v)} for i, v in enumerate(fiedler(a))], "idx int, value double"))
+    values = done(
+        fan_out(packed(part), [{}], lambda a, _: [{"idx": i, "value": float(v)} for i, v in enumerate(fiedler(a))], "idx int, value double")
+    )
     return values.join(names, ["dsm_id", "idx"]).select("dsm_id", F.col("old").alias("idx"), "value")
 
 

@@ -25,8 +25,16 @@ def nation_trade(spark: SparkSession, sf_dir: str, since: str | None = None, unt
     supplier = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("j"))
     buyers = orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey").join(customer, "o_custkey").select("l_orderkey", "i")
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
-    edges = lines.join(supplier, "l_suppkey").join(buyers, "l_orderkey").filter("i <> j").groupBy("i", "j").agg(F.count("*").cast("double").alias("w"))
-    elements = table(spark, sf_dir, "nation").select(F.lit(dsm_id).alias("dsm_id"), F.col("n_nationkey").alias("idx"), F.col("n_name").alias("label"))
+    edges = (
+        lines.join(supplier, "l_suppkey")
+        .join(buyers, "l_orderkey")
+        .filter("i <> j")
+        .groupBy("i", "j")
+        .agg(F.count("*").cast("double").alias("w"))
+    )
+    elements = table(spark, sf_dir, "nation").select(
+        F.lit(dsm_id).alias("dsm_id"), F.col("n_nationkey").alias("idx"), F.col("n_name").alias("label")
+    )
     return Dsm(elements, edges.select(F.lit(dsm_id).alias("dsm_id"), "i", "j", "w"))
 
 
@@ -39,7 +47,9 @@ def chain(spark: SparkSession, sf_dir: str, key: str, dsm_id: str) -> Dsm:
     name, column = ("supplier", "s_suppkey") if key == "l_suppkey" else ("part", "p_partkey")
     ids = table(spark, sf_dir, name).select(F.col(column).alias("item"), F.col("s_name" if name == "supplier" else "p_name").alias("label"))
     ids = numbered(ids, ["item"], "idx", by=None)
-    edges = pairs.join(ids.select(F.col("item").alias("a"), F.col("idx").alias("i")), "a").join(ids.select(F.col("item").alias("b"), F.col("idx").alias("j")), "b")
+    edges = pairs.join(ids.select(F.col("item").alias("a"), F.col("idx").alias("i")), "a").join(
+        ids.select(F.col("item").alias("b"), F.col("idx").alias("j")), "b"
+    )
     return Dsm(ids.select(F.lit(dsm_id).alias("dsm_id"), "idx", "label"), edges.select(F.lit(dsm_id).alias("dsm_id"), "i", "j", "w"))
 
 
@@ -49,7 +59,12 @@ def strongest(dsm: Dsm, share: float) -> Dsm:
     ranked = dsm.edges.groupBy("dsm_id", "w").agg(F.count("*").alias("c"))
     upto = ranked.withColumn("upto", F.sum("c").over(order.rowsBetween(W.unboundedPreceding, 0)))
     total = dsm.edges.groupBy("dsm_id").agg(F.count("*").alias("n"))
-    cut = upto.join(total, "dsm_id").filter(F.col("upto") > F.floor(F.lit(share) * F.col("n"))).groupBy("dsm_id").agg(F.min("w").alias("least"))
+    cut = (
+        upto.join(total, "dsm_id")
+        .filter(F.col("upto") > F.floor(F.lit(share) * F.col("n")))
+        .groupBy("dsm_id")
+        .agg(F.min("w").alias("least"))
+    )
     return Dsm(dsm.elements, dsm.edges.join(cut, "dsm_id").filter("w >= least").select("dsm_id", "i", "j", "w"))
 
 
@@ -59,11 +74,17 @@ def at_least(dsm: Dsm, w: float) -> Dsm:
 
 def regions(spark: SparkSession, sf_dir: str, dsm_id: str = "nation_trade") -> DataFrame:
     """(dsm_id, idx, cluster): nations by region."""
-    return table(spark, sf_dir, "nation").select(F.lit(dsm_id).alias("dsm_id"), F.col("n_nationkey").alias("idx"), F.col("n_regionkey").alias("cluster"))
+    return table(spark, sf_dir, "nation").select(
+        F.lit(dsm_id).alias("dsm_id"), F.col("n_nationkey").alias("idx"), F.col("n_regionkey").alias("cluster")
+    )
 
 
 def event_flow(events: DataFrame, dsm_id: str = "event_flow") -> DataFrame:
     """Edges: an event type depends on the type before it of the same user; types in alphabetical order are the elements."""
     w = W.partitionBy("user_id").orderBy("ts", "event_id")
     steps = events.withColumn("before", F.lag("event_type").over(w)).filter("before is not null and before <> event_type")
-    return steps.groupBy(F.col("event_type").alias("src"), F.col("before").alias("dst")).agg(F.count("*").cast("double").alias("w")).select(F.lit(dsm_id).alias("dsm_id"), "src", "dst", "w")
+    return (
+        steps.groupBy(F.col("event_type").alias("src"), F.col("before").alias("dst"))
+        .agg(F.count("*").cast("double").alias("w"))
+        .select(F.lit(dsm_id).alias("dsm_id"), "src", "dst", "w")
+    )

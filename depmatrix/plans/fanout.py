@@ -21,11 +21,18 @@ MAX_CELLS = 10_000_000
 
 def packed(dsm: Dsm, max_n: int = MAX_N) -> DataFrame:
     """(dsm_id, n, ii, jj, ww), checkpointed. Raises for matrices that a kernel can't hold."""
-    sizes = dsm.sizes().select("dsm_id", F.when(F.col("n") > max_n, F.raise_error(F.concat(F.lit("matrix too large for a kernel: "), "dsm_id"))).otherwise(F.col("n")).cast("int").alias("n"))
+    sizes = dsm.sizes().select(
+        "dsm_id",
+        F.when(
+            F.col("n") > max_n, F.raise_error(F.concat(F.lit("matrix too large for a kernel: "), "dsm_id"))
+        ).otherwise(F.col("n")).cast("int").alias("n"),
+    )
     # a packed matrix has at most max_n squared cells
     cells = dsm.edges.join(sizes, "dsm_id", "left_semi").groupBy("dsm_id").agg(F.collect_list(F.struct("i", "j", "w")).alias("cells"))
     field = lambda k: F.transform("cells", lambda c: c[k])
-    return cut(sizes.join(cells, "dsm_id", "left").select("dsm_id", "n", field("i").alias("ii"), field("j").alias("jj"), field("w").alias("ww")))
+    return cut(
+        sizes.join(cells, "dsm_id", "left").select("dsm_id", "n", field("i").alias("ii"), field("j").alias("jj"), field("w").alias("ww"))
+    )
 
 
 def dense(row) -> np.ndarray:

@@ -41,10 +41,19 @@ def partition(dsm: Dsm, seed: int | None = None, suggestions: int = 5) -> Proces
     placed = cut(done(fan_out(pack, [{}], order, "pos int, idx int, block int, level int, size int")))
 
     def cuts(a: np.ndarray, _: dict) -> list[dict]:
-        return [{"block": b, "rank": r + 1, **t} for b, m in enumerate(strong_components(a)) if len(m) > 1 for r, t in enumerate(tears(a, m, suggestions))]
-
-    torn = done(fan_out(pack, [{}], cuts, "block int, rank int, i int, j int, w double, impact int, largest_loop_after int, fully_resolves boolean"))
-    blocks = placed.groupBy("dsm_id", "block").agg(F.max("level").alias("level"), (F.max("size") > 1).alias("is_loop"), F.sort_array(F.collect_list("idx")).alias("members"))
+        return [
+            {"block": b, "rank": r + 1, **t}
+            for b, m in enumerate(strong_components(a))
+            if len(m) > 1
+            for r, t in enumerate(tears(a, m, suggestions))
+        ]
+
+    torn = done(
+        fan_out(pack, [{}], cuts, "block int, rank int, i int, j int, w double, impact int, largest_loop_after int, fully_resolves boolean")
+    )
+    blocks = placed.groupBy("dsm_id", "block").agg(
+        F.max("level").alias("level"), (F.max("size") > 1).alias("is_loop"), F.sort_array(F.collect_list("idx")).alias("members")
+    )
     return Process(placed.drop("size"), blocks, torn, process_metrics(dsm, placed))
 
 
@@ -52,18 +61,33 @@ def process_metrics(dsm: Dsm, placed: DataFrame) -> DataFrame:
     """placed: dsm_id, pos, idx, block, level, size (of the block)."""
     each = placed.groupBy("dsm_id", "block").agg(F.max("size").alias("size"), F.max("level").alias("level"))
     loop = F.when(F.col("size") > 1, F.col("size"))
-    shape = each.groupBy("dsm_id").agg(F.sum("size").alias("n_elements"), F.count("*").alias("n_blocks"), F.count(loop).alias("n_loops"), F.coalesce(F.max(loop), F.lit(1)).alias("largest_loop"), F.coalesce(F.sum(loop), F.lit(0)).alias("coupled_elements"), (F.max("level") + 1).alias("n_levels"))
+    shape = each.groupBy("dsm_id").agg(
+        F.sum("size").alias("n_elements"),
+        F.count("*").alias("n_blocks"),
+        F.count(loop).alias("n_loops"),
+        F.coalesce(F.max(loop), F.lit(1)).alias("largest_loop"),
+        F.coalesce(F.sum(loop), F.lit(0)).alias("coupled_elements"),
+        (F.max("level") + 1).alias("n_levels"),
+    )
     start = dsm.elements.select("dsm_id", "idx", F.col("idx").alias("pos"))
     before = scoring.feedback(dsm.edges, start).select("dsm_id", F.col("feedback_marks").alias("feedback_before"))
     after = scoring.feedback(dsm.edges, placed).select("dsm_id", F.col("feedback_marks").alias("feedback_after"))
     out = shape.join(before, "dsm_id").join(after, "dsm_id").join(scoring.symmetry_ratio(dsm.edges), "dsm_id", "left")
-    return scoring.guidance(out.withColumn("symmetry_ratio", F.coalesce("symmetry_ratio", F.lit(0.0))).withColumn("sequential_elements", F.col("n_elements") - F.col("coupled_elements")).withColumn("marks_resolved", F.col("feedback_before") - F.col("feedback_after")))
+    return scoring.guidance(
+        out.withColumn("symmetry_ratio", F.coalesce("symmetry_ratio", F.lit(0.0)))
+        .withColumn("sequential_elements", F.col("n_elements") - F.col("coupled_elements"))
+        .withColumn("marks_resolved", F.col("feedback_before") - F.col("feedback_after"))
+    )
 
 
 def by_levels(dsm: Dsm) -> DataFrame:
     """(dsm_id, pos, idx, block, level, size): the order by level, loop and index, for matrices of any size, in tables alone. Elements of a loop aren't arranged among themselves."""
     sccs = cut(graph.strong_components(dsm.elements, dsm.edges))
-    blocks = sccs.groupBy("dsm_id", "scc").agg(F.count("*").cast("int").alias("size")).join(graph.levels(dsm.edges, sccs), ["dsm_id", "scc"])
+    blocks = (
+        sccs.groupBy("dsm_id", "scc")
+        .agg(F.count("*").cast("int").alias("size"))
+        .join(graph.levels(dsm.edges, sccs), ["dsm_id", "scc"])
+    )
     blocks = numbered(blocks, ["level", "scc"], "block")
     return numbered(sccs.join(blocks, ["dsm_id", "scc"]), ["block", "idx"], "pos").select("dsm_id", "pos", "idx", "block", "level", "size")
 

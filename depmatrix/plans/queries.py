@@ -23,9 +23,15 @@ _found: dict[str, tuple[Query, str | None]] = {}
 _TRADE = """t AS (SELECT c.c_nationkey AS i, s.s_nationkey AS j, CAST(count(*) AS DOUBLE) AS w FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
   JOIN customer c ON o.o_custkey = c.c_custkey JOIN supplier s ON l.l_suppkey = s.s_suppkey WHERE c.c_nationkey <> s.s_nationkey{when} GROUP BY ALL)"""
 _NATION = "n AS (SELECT n_nationkey AS idx, n_name AS label, n_regionkey AS cluster FROM nation)"
-_CUT = "e AS (SELECT i, j, w FROM t WHERE w >= (SELECT w FROM (SELECT w, row_number() OVER (ORDER BY w) - 1 AS r FROM t) WHERE r = (SELECT CAST(floor({share} * count(*)) AS BIGINT) FROM t)))"
+_CUT = (
+    "e AS (SELECT i, j, w FROM t WHERE w >= (SELECT w FROM (SELECT w, row_number() OVER (ORDER BY w) - 1 AS r FROM t) WHERE r = (SELECT "
+    "CAST(floor({share} * count(*)) AS BIGINT) FROM t)))"
+)
 _REACH = "reach(i, j) AS (SELECT i, j FROM e UNION SELECT r.i, e.j FROM reach r JOIN e ON r.j = e.i)"
-_SCC = "scc AS (SELECT n.idx, least(n.idx, coalesce(min(a.j), n.idx)) AS scc FROM n LEFT JOIN (SELECT a.i, a.j FROM reach a JOIN reach b ON a.i = b.j AND a.j = b.i) a ON a.i = n.idx GROUP BY n.idx)"
+_SCC = (
+    "scc AS (SELECT n.idx, least(n.idx, coalesce(min(a.j), n.idx)) AS scc FROM n LEFT JOIN (SELECT a.i, a.j FROM reach a JOIN reach b ON "
+    "a.i = b.j AND a.j = b.i) a ON a.i = n.idx GROUP BY n.idx)"
+)
 
 
 def _trade(when: str = "") -> str:
@@ -96,7 +102,10 @@ def dsm_edges_part_chain(spark, sf_dir):
     return derive.chain(spark, sf_dir, "l_partkey", "part_chain").edges.drop("dsm_id")
 
 
-@query("WITH s AS (SELECT event_type AS src, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events) SELECT src, dst, CAST(count(*) AS DOUBLE) AS w FROM s WHERE dst IS NOT NULL AND src <> dst GROUP BY ALL")
+@query(
+    "WITH s AS (SELECT event_type AS src, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events) SELECT "
+    "src, dst, CAST(count(*) AS DOUBLE) AS w FROM s WHERE dst IS NOT NULL AND src <> dst GROUP BY ALL"
+)
 def dsm_edges_event_flow(spark, sf_dir):
     return derive.event_flow(derive.table(spark, sf_dir, "events")).drop("dsm_id")
 
@@ -125,7 +134,9 @@ bus AS (SELECT idx, conn, threshold FROM c, th WHERE conn > threshold)"""
 
 @query(_with(_BUS, share=0.9) + "SELECT idx, round(conn, 6) AS conn, round(threshold, 6) AS threshold FROM bus")
 def bus_adaptive(spark, sf_dir):
-    return S.bus_elements(_dsm(spark, sf_dir, 0.9)).select("idx", F.round("conn", 6).alias("conn"), F.round("threshold", 6).alias("threshold"))
+    return S.bus_elements(_dsm(spark, sf_dir, 0.9)).select(
+        "idx", F.round("conn", 6).alias("conn"), F.round("threshold", 6).alias("threshold")
+    )
 
 
 @query(_with(_BUS, share=0.9) + "SELECT idx, round(conn, 6) AS conn FROM c WHERE conn > 0.25")
@@ -133,7 +144,10 @@ def bus_fixed(spark, sf_dir):
     return S.bus_elements(_dsm(spark, sf_dir, 0.9), 0.25).select("idx", F.round("conn", 6).alias("conn"))
 
 
-_CORE = "core AS (SELECT idx AS old, CAST(row_number() OVER (ORDER BY idx) - 1 AS INTEGER) AS idx, label, cluster FROM n WHERE idx NOT IN (SELECT idx FROM bus))"
+_CORE = (
+    "core AS (SELECT idx AS old, CAST(row_number() OVER (ORDER BY idx) - 1 AS INTEGER) AS idx, label, cluster FROM n WHERE idx NOT IN "
+    "(SELECT idx FROM bus))"
+)
 
 
 @query(_with(_BUS, _CORE, share=0.9) + "SELECT a.idx AS i, b.idx AS j, e.w FROM e JOIN core a ON a.old = e.i JOIN core b ON b.old = e.j")
@@ -150,7 +164,10 @@ def grouped_order(spark, sf_dir):
     return T.grouped_order(d.elements, _regions(spark, sf_dir), S.bus_elements(d)).drop("dsm_id")
 
 
-@query(_with("o AS (SELECT idx, CAST(row_number() OVER (ORDER BY cluster, idx) - 1 AS INTEGER) AS pos FROM n)") + "SELECT a.pos AS i, b.pos AS j, w FROM e JOIN o a ON a.idx = e.i JOIN o b ON b.idx = e.j")
+@query(
+    _with("o AS (SELECT idx, CAST(row_number() OVER (ORDER BY cluster, idx) - 1 AS INTEGER) AS pos FROM n)")
+    + "SELECT a.pos AS i, b.pos AS j, w FROM e JOIN o a ON a.idx = e.i JOIN o b ON b.idx = e.j"
+)
 def permute_by_cluster(spark, sf_dir):
     d = _dsm(spark, sf_dir)
     return T.permute(d, T.grouped_order(d.elements, _regions(spark, sf_dir), _no_bus(d))).edges.drop("dsm_id")
@@ -166,7 +183,10 @@ def column_normalise(spark, sf_dir):
     return T.column_normalise(_dsm(spark, sf_dir, 0.5).edges).select("i", "j", F.round("w", 9).alias("w"))
 
 
-@query(_with(share=0.9) + "SELECT i - CASE WHEN i > 3 THEN 1 ELSE 0 END AS i, j - CASE WHEN j > 3 THEN 1 ELSE 0 END AS j, w FROM e WHERE i <> 3 AND j <> 3")
+@query(
+    _with(share=0.9)
+    + "SELECT i - CASE WHEN i > 3 THEN 1 ELSE 0 END AS i, j - CASE WHEN j > 3 THEN 1 ELSE 0 END AS j, w FROM e WHERE i <> 3 AND j <> 3"
+)
 def editor_remove(spark, sf_dir):
     return T.remove_element(_dsm(spark, sf_dir, 0.9), "nation_trade", 3).edges.drop("dsm_id")
 
@@ -185,13 +205,17 @@ FROM e JOIN g a ON a.idx = e.i JOIN g b ON b.idx = e.j JOIN z ON z.cluster = a.c
 @query(_score_sql("SELECT idx, cluster FROM n"))
 def coupling_by_region(spark, sf_dir):
     d = _dsm(spark, sf_dir)
-    return S.scores(d.edges, _regions(spark, sf_dir), d.sizes()).select("n_clusters", "cost", F.round("external_ratio", 6).alias("external_ratio"))
+    return S.scores(d.edges, _regions(spark, sf_dir), d.sizes()).select(
+        "n_clusters", "cost", F.round("external_ratio", 6).alias("external_ratio")
+    )
 
 
 @query(_score_sql("SELECT idx, cluster FROM n", 0.9))
 def coupling_strongest(spark, sf_dir):
     d = _dsm(spark, sf_dir, 0.9)
-    return S.scores(d.edges, _regions(spark, sf_dir), d.sizes()).select("n_clusters", "cost", F.round("external_ratio", 6).alias("external_ratio"))
+    return S.scores(d.edges, _regions(spark, sf_dir), d.sizes()).select(
+        "n_clusters", "cost", F.round("external_ratio", 6).alias("external_ratio")
+    )
 
 
 @query(_with(_BUS, "g AS (SELECT idx, cluster FROM n WHERE idx NOT IN (SELECT idx FROM bus))", "z AS (SELECT cluster, count(*) AS size FROM g GROUP BY cluster)", share=0.9) + """SELECT CAST((SELECT count(*) FROM z) AS BIGINT) AS n_clusters, CAST((SELECT count(*) FROM bus) AS BIGINT) AS n_bus,
@@ -200,16 +224,30 @@ round(sum(CASE WHEN a.cluster <> b.cluster THEN w ELSE 0 END) / greatest(sum(w),
 FROM e JOIN g a ON a.idx = e.i JOIN g b ON b.idx = e.j JOIN z ON z.cluster = a.cluster""")
 def metrics_core(spark, sf_dir):
     d = _dsm(spark, sf_dir, 0.9)
-    return S.metrics(d.edges, _regions(spark, sf_dir), d.elements, S.bus_elements(d)).drop("dsm_id").withColumn("external_ratio_core", F.round("external_ratio_core", 6))
+    return (
+        S.metrics(d.edges, _regions(spark, sf_dir), d.elements, S.bus_elements(d))
+        .drop("dsm_id")
+        .withColumn("external_ratio_core", F.round("external_ratio_core", 6))
+    )
 
 
-@query(_with() + "SELECT sum(CASE WHEN i < j THEN w ELSE 0 END) AS feedback, CAST(sum(CASE WHEN i < j THEN w ELSE 0 END) AS BIGINT) AS feedback_marks FROM e")
+@query(
+    _with()
+    + "SELECT sum(CASE WHEN i < j THEN w ELSE 0 END) AS feedback, CAST(sum(CASE WHEN i < j THEN w ELSE 0 END) AS BIGINT) AS feedback_marks FROM e"
+)
 def feedback_identity(spark, sf_dir):
     d = _dsm(spark, sf_dir)
     return S.feedback(d.edges, d.elements.select("dsm_id", "idx", F.col("idx").alias("pos"))).drop("dsm_id")
 
 
-@query(_with("o AS (SELECT n.idx, row_number() OVER (ORDER BY coalesce(sum(e.w), 0), n.idx) - 1 AS pos FROM n LEFT JOIN e ON e.i = n.idx GROUP BY n.idx)", share=0.5) + "SELECT sum(CASE WHEN a.pos < b.pos THEN w ELSE 0 END) AS feedback FROM e JOIN o a ON a.idx = e.i JOIN o b ON b.idx = e.j")
+@query(
+    _with(
+        "o AS (SELECT n.idx, row_number() OVER (ORDER BY coalesce(sum(e.w), 0), n.idx) - 1 AS pos FROM n LEFT JOIN e ON e.i = n.idx "
+        "GROUP BY n.idx)",
+        share=0.5,
+    )
+    + "SELECT sum(CASE WHEN a.pos < b.pos THEN w ELSE 0 END) AS feedback FROM e JOIN o a ON a.idx = e.i JOIN o b ON b.idx = e.j"
+)
 def feedback_by_degree(spark, sf_dir):
     from pyspark.sql import Window as W
 
@@ -219,12 +257,18 @@ def feedback_by_degree(spark, sf_dir):
     return S.feedback(d.edges, order).select("feedback")
 
 
-@query(_with(share=0.9) + "SELECT round(avg(CASE WHEN b.i IS NULL THEN 0.0 ELSE 1.0 END), 6) AS symmetry_ratio FROM e LEFT JOIN e b ON e.i = b.j AND e.j = b.i")
+@query(
+    _with(share=0.9)
+    + "SELECT round(avg(CASE WHEN b.i IS NULL THEN 0.0 ELSE 1.0 END), 6) AS symmetry_ratio FROM e LEFT JOIN e b ON e.i = b.j AND e.j = b.i"
+)
 def symmetry_ratio(spark, sf_dir):
     return S.symmetry_ratio(_dsm(spark, sf_dir, 0.9).edges).select(F.round("symmetry_ratio", 6).alias("symmetry_ratio"))
 
 
-_FIXED = "g AS (SELECT idx, cluster, 'spectral' AS algo FROM n UNION ALL SELECT idx, idx % 4, 'mcl' FROM n UNION ALL SELECT idx, idx % 7, 'thebeau' FROM n UNION ALL SELECT idx, idx % 12, 'louvain' FROM n)"
+_FIXED = (
+    "g AS (SELECT idx, cluster, 'spectral' AS algo FROM n UNION ALL SELECT idx, idx % 4, 'mcl' FROM n UNION ALL SELECT idx, idx % 7, "
+    "'thebeau' FROM n UNION ALL SELECT idx, idx % 12, 'louvain' FROM n)"
+)
 _SCORED = """z AS (SELECT algo, cluster, count(*) AS size FROM g GROUP BY ALL), k AS (SELECT algo, count(DISTINCT cluster) AS n_clusters FROM g GROUP BY algo),
 sc AS (SELECT a.algo, k.n_clusters, sum(w * CASE WHEN a.cluster = b.cluster THEN z.size ELSE (SELECT count(*) FROM n) END) AS cost, sum(CASE WHEN a.cluster <> b.cluster THEN w ELSE 0 END) / sum(w) AS external_ratio
 FROM e JOIN g a ON a.idx = e.i JOIN g b ON b.idx = e.j AND a.algo = b.algo JOIN z ON z.algo = a.algo AND z.cluster = a.cluster JOIN k ON k.algo = a.algo GROUP BY ALL)"""
@@ -232,14 +276,20 @@ FROM e JOIN g a ON a.idx = e.i JOIN g b ON b.idx = e.j AND a.algo = b.algo JOIN
 
 def _fixed(spark, sf_dir) -> tuple[Dsm, DataFrame]:
     d = _dsm(spark, sf_dir, 0.9)
-    parts = [_regions(spark, sf_dir).withColumn("algo", F.lit("spectral"))] + [_mod(d, k).withColumn("algo", F.lit(a)) for a, k in (("mcl", 4), ("thebeau", 7), ("louvain", 12))]
+    parts = (
+        [_regions(spark, sf_dir).withColumn("algo", F.lit("spectral"))]
+        + [_mod(d, k).withColumn("algo", F.lit(a)) for a, k in (("mcl", 4), ("thebeau", 7), ("louvain", 12))]
+    )
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return d, out
 
 
-@query(_with(_FIXED, _SCORED, share=0.9) + "SELECT algo, cost FROM sc ORDER BY cost, CASE algo WHEN 'spectral' THEN 0 WHEN 'mcl' THEN 1 WHEN 'thebeau' THEN 2 ELSE 3 END LIMIT 1")
+@query(
+    _with(_FIXED, _SCORED, share=0.9)
+    + "SELECT algo, cost FROM sc ORDER BY cost, CASE algo WHEN 'spectral' THEN 0 WHEN 'mcl' THEN 1 WHEN 'thebeau' THEN 2 ELSE 3 END LIMIT 1"
+)
 def recommend(spark, sf_dir):
     d, g = _fixed(spark, sf_dir)
     return S.recommend(S.scores(d.edges, g, d.sizes(), ("dsm_id", "algo"))).drop("dsm_id")
@@ -252,7 +302,10 @@ def candidate_flags(spark, sf_dir):
     return out.select("algo", "n_clusters", "cost", F.round("external_ratio", 6).alias("external_ratio"), "k_in_range", "exceeds_target")
 
 
-_RUNS = "r AS (SELECT 0 AS run, idx, cluster FROM n UNION ALL SELECT 1, idx, idx % 4 FROM n UNION ALL SELECT 2, idx, idx % 5 FROM n UNION ALL SELECT 3, idx, (idx + 1) % 5 FROM n)"
+_RUNS = (
+    "r AS (SELECT 0 AS run, idx, cluster FROM n UNION ALL SELECT 1, idx, idx % 4 FROM n UNION ALL SELECT 2, idx, idx % 5 FROM n UNION "
+    "ALL SELECT 3, idx, (idx + 1) % 5 FROM n)"
+)
 
 
 def _runs(spark, sf_dir) -> DataFrame:
@@ -263,7 +316,13 @@ def _runs(spark, sf_dir) -> DataFrame:
     return out
 
 
-@query("WITH " + _NATION + ", " + _RUNS + " SELECT a.idx AS i, b.idx AS j, count(*) / 4 AS frac FROM r a JOIN r b ON a.run = b.run AND a.cluster = b.cluster GROUP BY ALL")
+@query(
+    "WITH "
+    + _NATION
+    + ", "
+    + _RUNS
+    + " SELECT a.idx AS i, b.idx AS j, count(*) / 4 AS frac FROM r a JOIN r b ON a.run = b.run AND a.cluster = b.cluster GROUP BY ALL"
+)
 def co_clustering(spark, sf_dir):
     return S.co_clustering(_runs(spark, sf_dir)).drop("dsm_id")
 
@@ -305,7 +364,10 @@ def diff_summary(spark, sf_dir):
     return D.summary(D.diff(*_periods(spark, sf_dir))).drop("dsm_id")
 
 
-@query("SELECT n_name AS label, CASE WHEN n_regionkey < 2 THEN 'gone' ELSE 'new' END AS change FROM nation WHERE n_regionkey < 2 OR n_regionkey > 3")
+@query(
+    "SELECT n_name AS label, CASE WHEN n_regionkey < 2 THEN 'gone' ELSE 'new' END AS change FROM nation WHERE n_regionkey < 2 OR "
+    "n_regionkey > 3"
+)
 def new_gone_elements(spark, sf_dir):
     d, r = derive.nation_trade(spark, sf_dir), _regions(spark, sf_dir)
     part = lambda cond: T.submatrix(d, r.filter(cond))[0]
@@ -328,7 +390,10 @@ def report_diff(spark, sf_dir):
     return report.diff_report(a, b).drop("dsm_id")
 
 
-@query("SELECT n_regionkey + 1 AS cluster, count(*) AS size, string_agg(n_name, ', ' ORDER BY n_nationkey) AS members FROM nation GROUP BY n_regionkey")
+@query(
+    "SELECT n_regionkey + 1 AS cluster, count(*) AS size, string_agg(n_name, ', ' ORDER BY n_nationkey) AS members FROM nation GROUP BY "
+    "n_regionkey"
+)
 def report_membership(spark, sf_dir):
     ordering = _regions(spark, sf_dir).select("dsm_id", F.col("idx").alias("pos"), "idx", "cluster")
     return report.membership(ordering, derive.nation_trade(spark, sf_dir)).drop("dsm_id")
@@ -352,7 +417,10 @@ def edge_list_ingest(spark, sf_dir):
     text = "from,to,weight\nPump,Valve,2\nMotor,Pump,\n\nPump,Valve,3\nFan,Fan,1\nlonely\n"
     lines = spark.range(1).select(F.posexplode(F.split(F.lit(text), "\n")).alias("line", "value"))
     d = edges_from_lines(lines)
-    a, b = d.elements.select("dsm_id", F.col("idx").alias("i"), F.col("label").alias("src")), d.elements.select("dsm_id", F.col("idx").alias("j"), F.col("label").alias("dst"))
+    a, b = (
+        d.elements.select("dsm_id", F.col("idx").alias("i"), F.col("label").alias("src")),
+        d.elements.select("dsm_id", F.col("idx").alias("j"), F.col("label").alias("dst")),
+    )
     return d.edges.join(a, ["dsm_id", "i"]).join(b, ["dsm_id", "j"]).select("i", "j", "src", "dst", "w")
 
 
@@ -379,7 +447,10 @@ def merge_step(spark, sf_dir):
     return Q.merge_step(_dsm(spark, sf_dir, 0.5).edges, _regions(spark, sf_dir)).drop("dsm_id")
 
 
-@query(_with(share=0.5) + "SELECT a.cluster AS ci, b.cluster AS cj, sum(w) AS w FROM e JOIN n a ON a.idx = e.i JOIN n b ON b.idx = e.j GROUP BY ALL")
+@query(
+    _with(share=0.5)
+    + "SELECT a.cluster AS ci, b.cluster AS cj, sum(w) AS w FROM e JOIN n a ON a.idx = e.i JOIN n b ON b.idx = e.j GROUP BY ALL"
+)
 def louvain_aggregate(spark, sf_dir):
     return Q.aggregate_communities(_dsm(spark, sf_dir, 0.5).edges, _regions(spark, sf_dir)).drop("dsm_id")
 
@@ -394,7 +465,9 @@ SELECT base_cost, cost, round(base_external, 6) AS base_external, round(external
 def whatif_move(spark, sf_dir):
     d, r = _dsm(spark, sf_dir), _regions(spark, sf_dir)
     out = Q.rescore(d.edges, d.sizes(), r, Q.move(r, 5))
-    return out.select("base_cost", "cost", F.round("base_external", 6).alias("base_external"), F.round("external", 6).alias("external"), "verdict")
+    return out.select(
+        "base_cost", "cost", F.round("base_external", 6).alias("base_external"), F.round("external", 6).alias("external"), "verdict"
+    )
 
 
 @query("WITH RECURSIVE " + _with(share=0.9)[5:] + "SELECT idx, min(c) AS component FROM (WITH RECURSIVE u(i, j) AS (SELECT i, j FROM e UNION SELECT j, i FROM e), q(idx, c) AS (SELECT idx, idx FROM n UNION SELECT u.j, q.c FROM q JOIN u ON u.i = q.idx) SELECT * FROM q) GROUP BY idx")
@@ -414,7 +487,17 @@ def loops(spark, sf_dir):
     return G.loops(G.strong_components(d.elements, d.edges)).drop("dsm_id")
 
 
-@query(_with(_REACH, _SCC, "dep AS (SELECT DISTINCT a.scc AS a, b.scc AS b FROM e JOIN scc a ON a.idx = e.i JOIN scc b ON b.idx = e.j WHERE a.scc <> b.scc)", "lv(scc, level) AS (SELECT scc, 0 FROM scc UNION SELECT dep.a, lv.level + 1 FROM lv JOIN dep ON dep.b = lv.scc)", share=0.5, recursive=True) + "SELECT scc, max(level) AS level FROM lv GROUP BY scc")
+@query(
+    _with(
+        _REACH,
+        _SCC,
+        "dep AS (SELECT DISTINCT a.scc AS a, b.scc AS b FROM e JOIN scc a ON a.idx = e.i JOIN scc b ON b.idx = e.j WHERE a.scc <> b.scc)",
+        "lv(scc, level) AS (SELECT scc, 0 FROM scc UNION SELECT dep.a, lv.level + 1 FROM lv JOIN dep ON dep.b = lv.scc)",
+        share=0.5,
+        recursive=True,
+    )
+    + "SELECT scc, max(level) AS level FROM lv GROUP BY scc"
+)
 def levels(spark, sf_dir):
     d = _dsm(spark, sf_dir, 0.5)
     return G.levels(d.edges, G.strong_components(d.elements, d.edges)).drop("dsm_id")
@@ -445,7 +528,14 @@ def tearing_q90(spark, sf_dir):
     return G.tearing(d.edges, G.strong_components(d.elements, d.edges)).drop("dsm_id")
 
 
-_RISK = "p1 AS (SELECT i, j, w / (SELECT max(w) FROM e) AS s FROM e), " + ", ".join(f"p{k + 1} AS (SELECT i, j, max(s) AS s FROM (SELECT * FROM p1 UNION ALL SELECT a.i, b.j, 0.6 * a.s * b.s FROM p1 a JOIN p{k} b ON a.j = b.i AND a.i <> b.j) GROUP BY i, j)" for k in (1, 2, 3))
+_RISK = (
+    "p1 AS (SELECT i, j, w / (SELECT max(w) FROM e) AS s FROM e), "
+    + ", ".join(
+        f"p{k + 1} AS (SELECT i, j, max(s) AS s FROM (SELECT * FROM p1 UNION ALL SELECT a.i, b.j, 0.6 * a.s * b.s FROM p1 a JOIN p{k} b "
+        "ON a.j = b.i AND a.i <> b.j) GROUP BY i, j)"
+        for k in (1, 2, 3)
+    )
+)
 
 
 @query(_with(_RISK, share=0.9) + "SELECT i, j, round(s, 9) AS strength FROM p4")
@@ -469,7 +559,14 @@ def change_prone(spark, sf_dir):
     return G.risk_ranking(G.propagation(d.edges), d.sizes(), "i").select("idx", F.round("mean_risk", 6).alias("mean_risk"), "rank")
 
 
-_MCL = "m0 AS (SELECT i, j, w / sum(w) OVER (PARTITION BY j) AS w FROM (SELECT i, j, w FROM e UNION ALL SELECT idx, idx, 1.0 FROM n)), " + ", ".join(f"q{k} AS (SELECT a.i, b.j, pow(sum(a.w * b.w), 2) AS w FROM m{k} a JOIN m{k} b ON a.j = b.i GROUP BY a.i, b.j), m{k + 1} AS (SELECT i, j, w / sum(w) OVER (PARTITION BY j) AS w FROM q{k})" for k in (0, 1))
+_MCL = (
+    "m0 AS (SELECT i, j, w / sum(w) OVER (PARTITION BY j) AS w FROM (SELECT i, j, w FROM e UNION ALL SELECT idx, idx, 1.0 FROM n)), "
+    + ", ".join(
+        f"q{k} AS (SELECT a.i, b.j, pow(sum(a.w * b.w), 2) AS w FROM m{k} a JOIN m{k} b ON a.j = b.i GROUP BY a.i, b.j), m{k + 1} AS "
+        f"(SELECT i, j, w / sum(w) OVER (PARTITION BY j) AS w FROM q{k})"
+        for k in (0, 1)
+    )
+)
 
 
 @query(_with(_MCL, share=0.9) + "SELECT i, j, round(w, 9) AS w FROM m2")
@@ -480,7 +577,8 @@ def mcl_two_steps(spark, sf_dir):
 _DEP = "dep AS (SELECT DISTINCT a.scc AS a, b.scc AS b FROM e JOIN scc a ON a.idx = e.i JOIN scc b ON b.idx = e.j WHERE a.scc <> b.scc)"
 _LV = "lv(scc, level) AS (SELECT scc, 0 FROM scc UNION SELECT dep.a, lv.level + 1 FROM lv JOIN dep ON dep.b = lv.scc)"
 _SHAPE = (
-    "blk AS (SELECT s.scc, s.size, l.level FROM (SELECT scc, count(*) AS size FROM scc GROUP BY scc) s JOIN (SELECT scc, max(level) AS level FROM lv GROUP BY scc) l ON l.scc = s.scc)",
+    "blk AS (SELECT s.scc, s.size, l.level FROM (SELECT scc, count(*) AS size FROM scc GROUP BY scc) s JOIN (SELECT scc, max(level) AS "
+    "level FROM lv GROUP BY scc) l ON l.scc = s.scc)",
     "o AS (SELECT scc.idx, row_number() OVER (ORDER BY blk.level, blk.scc, scc.idx) AS pos FROM scc JOIN blk ON blk.scc = scc.scc)",
     """f AS (SELECT CAST(sum(size) AS BIGINT) AS n_elements, count(*) AS n_blocks, count(*) FILTER (size > 1) AS n_loops, CAST(coalesce(max(size) FILTER (size > 1), 1) AS BIGINT) AS largest_loop,
   CAST(coalesce(sum(size) FILTER (size > 1), 0) AS BIGINT) AS coupled_elements, max(level) + 1 AS n_levels, (SELECT CAST(coalesce(sum(CASE WHEN i < j THEN w END), 0) AS BIGINT) FROM e) AS feedback_before,
@@ -489,7 +587,9 @@ _SHAPE = (
 )
 _SHAPE_SQL = """SELECT n_elements, n_blocks, n_loops, largest_loop, coupled_elements, n_levels, feedback_before, feedback_after, round(s, 6) AS symmetry_ratio, n_elements - coupled_elements AS sequential_elements,
   feedback_before - feedback_after AS marks_resolved, CASE WHEN s >= 0.6 THEN 'symmetric' WHEN n_loops >= 1 AND largest_loop >= 0.8 * n_elements THEN 'giant_loop' ELSE 'process' END AS guidance FROM f"""
-_FIXED_SQL = _SHAPE_SQL.replace("feedback_before, feedback_after,", "feedback_before,").replace("feedback_before - feedback_after AS marks_resolved, ", "")
+_FIXED_SQL = _SHAPE_SQL.replace("feedback_before, feedback_after,", "feedback_before,").replace(
+    "feedback_before - feedback_after AS marks_resolved, ", ""
+)
 
 
 def _fixed(metrics: DataFrame) -> DataFrame:
@@ -568,7 +668,12 @@ def cluster_sequence_cover(spark, sf_dir):
     """Each element has a place of its own, places go from 0 without a gap, and each cluster's places lie side by side."""
     order = cluster.run(_dsm(spark, sf_dir, 0.9), Constraints(seed=1))[0]
     spans = order.groupBy("cluster").agg(F.count("*").alias("n"), (F.max("pos") - F.min("pos") + 1).alias("span"))
-    found = order.agg(F.count_distinct("idx").alias("elements"), F.count_distinct("pos").alias("places"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+    found = order.agg(
+        F.count_distinct("idx").alias("elements"),
+        F.count_distinct("pos").alias("places"),
+        F.min("pos").alias("first"),
+        F.max("pos").alias("last"),
+    )
     return found.crossJoin(spans.agg(F.bool_and(F.col("n") == F.col("span")).alias("together")))
 
 
@@ -581,18 +686,39 @@ def cluster_metrics_fixed(spark, sf_dir):
     """Of the metrics what the seed doesn't decide; ordering never adds feedback, and the cost lies between the core's marks and these times its elements."""
     d = _dsm(spark, sf_dir, 0.9)
     found = cluster.run(d, Constraints(seed=1))[1].join(d.sizes(), "dsm_id")
-    within = (F.col("external_marks") <= F.col("core_marks")) & (F.col("cost") >= F.col("core_marks")) & (F.col("cost") <= F.col("core_marks") * F.col("n"))
-    return found.select("n_bus", "total_marks", "core_marks", (F.col("feedback_after") <= F.col("feedback_before")).alias("no_more_feedback"), within.alias("within_bounds"))
+    within = (
+        (F.col("external_marks") <= F.col("core_marks"))
+        & (F.col("cost") >= F.col("core_marks"))
+        & (F.col("cost") <= F.col("core_marks") * F.col("n"))
+    )
+    return found.select(
+        "n_bus",
+        "total_marks",
+        "core_marks",
+        (F.col("feedback_after") <= F.col("feedback_before")).alias("no_more_feedback"),
+        within.alias("within_bounds"),
+    )
 
 
-@query(_with(_BUS, share=0.9) + "SELECT algo, true AS scored_alike, true AS cheapest_recommended FROM (VALUES ('spectral'), ('mcl'), ('thebeau'), ('louvain')) x(algo)")
+@query(
+    _with(_BUS, share=0.9)
+    + "SELECT algo, true AS scored_alike, true AS cheapest_recommended FROM (VALUES ('spectral'), ('mcl'), ('thebeau'), ('louvain')) x(algo)"
+)
 def cluster_candidates_rescored(spark, sf_dir):
     """Every algorithm has a candidate, whose figures come out again from its clusters, and the recommended one is the cheapest."""
     stage = cluster.cluster_stage(_dsm(spark, sf_dir, 0.9), Constraints(seed=1))
-    again = S.scores(stage.core.edges, stage.assign, stage.core.sizes(), ("dsm_id", "algo")).select("dsm_id", "algo", F.col("cost").alias("c"), F.col("external_ratio").alias("x"), F.col("n_clusters").alias("k"))
-    alike = (F.abs(F.col("c") - F.col("cost")) < 1e-6) & (F.abs(F.col("x") - F.col("external_ratio")) < 1e-9) & (F.col("k") == F.col("n_clusters"))
+    again = S.scores(stage.core.edges, stage.assign, stage.core.sizes(), ("dsm_id", "algo")).select(
+        "dsm_id", "algo", F.col("cost").alias("c"), F.col("external_ratio").alias("x"), F.col("n_clusters").alias("k")
+    )
+    alike = (
+        (F.abs(F.col("c") - F.col("cost")) < 1e-6)
+        & (F.abs(F.col("x") - F.col("external_ratio")) < 1e-9)
+        & (F.col("k") == F.col("n_clusters"))
+    )
     least = stage.recommended().select("dsm_id", F.col("cost").alias("least"))
-    return stage.candidates.join(again, ["dsm_id", "algo"]).join(least, "dsm_id").select("algo", alike.alias("scored_alike"), (F.col("cost") >= F.col("least")).alias("cheapest_recommended"))
+    return stage.candidates.join(again, ["dsm_id", "algo"]).join(least, "dsm_id").select(
+        "algo", alike.alias("scored_alike"), (F.col("cost") >= F.col("least")).alias("cheapest_recommended")
+    )
 
 
 @query(_with(_BUS, share=0.9) + "SELECT CAST(k AS INTEGER) AS k, k AS n_clusters FROM (SELECT count(*) AS n FROM n WHERE idx NOT IN (SELECT idx FROM bus)), range(2, 12) r(k) WHERE k < least(12, n)")
@@ -606,7 +732,12 @@ def stability_bounds(spark, sf_dir):
     """Consistency lies in 0..1, its mean is that of the elements, and there are as many different partitions as runs at most."""
     _, agree, figures = cluster.stability(_dsm(spark, sf_dir, 0.9), "louvain")
     each = agree.agg(F.count_distinct("idx").alias("elements"), F.min("c").alias("low"), F.max("c").alias("high"), F.avg("c").alias("mean"))
-    fine = (F.col("low") >= 0) & (F.col("high") <= 1) & (F.abs(F.col("mean") - F.col("mean_consistency")) < 1e-9) & F.col("distinct_partitions").between(1, F.col("runs"))
+    fine = (
+        (F.col("low") >= 0)
+        & (F.col("high") <= 1)
+        & (F.abs(F.col("mean") - F.col("mean_consistency")) < 1e-9)
+        & F.col("distinct_partitions").between(1, F.col("runs"))
+    )
     return each.crossJoin(figures).select("elements", "runs", fine.alias("within_bounds"))
 
 
@@ -628,7 +759,11 @@ def _chain_sql(kind: str, *parts: str) -> str:
     key, ident, name = ("l_suppkey", "s_suppkey", "supplier") if kind == "supp" else ("l_partkey", "p_partkey", "part")
     edges = _CUT.format(share=0.99) if kind == "supp" else "e AS (SELECT * FROM t WHERE w >= 2)"
     elements = f"n AS (SELECT CAST(row_number() OVER (ORDER BY {ident}) - 1 AS INTEGER) AS idx FROM {name})"
-    return "WITH RECURSIVE " + ", ".join([f"t AS ({_CHAIN.format(key=key, id=ident, table=name)})", elements, edges, _REACH, _SCC, *parts]) + " "
+    return (
+        "WITH RECURSIVE "
+        + ", ".join([f"t AS ({_CHAIN.format(key=key, id=ident, table=name)})", elements, edges, _REACH, _SCC, *parts])
+        + " "
+    )
 
 
 @query(_with(_REACH, _SCC, _DEP, _LV, *_SHAPE, share=0.5, recursive=True) + _SHAPE_SQL)
@@ -651,7 +786,10 @@ def level_bands_supp_chain(spark, sf_dir):
     return process.banded(process.by_levels(_chain(spark, sf_dir, "supp"))).drop("dsm_id")
 
 
-@query(_with(_REACH, _SCC, _DEP, _LV, *_SHAPE, share=0.5, recursive=True) + "SELECT n_loops, coupled_elements, n_elements, n_levels, feedback_before FROM f")
+@query(
+    _with(_REACH, _SCC, _DEP, _LV, *_SHAPE, share=0.5, recursive=True)
+    + "SELECT n_loops, coupled_elements, n_elements, n_levels, feedback_before FROM f"
+)
 def report_process(spark, sf_dir):
     """The summary, but for the feedback after annealing, which the seed decides."""
     d = _dsm(spark, sf_dir, 0.5)

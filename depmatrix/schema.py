@@ -28,13 +28,27 @@ def violations(dsm: Dsm) -> DataFrame:
     """(dsm_id, problem, n): edges without an element, self-edges, weights that aren't positive, gaps or repeats in idx, matrices of fewer than two elements (none, if
     only edges name them)."""
     e, x = dsm.elements.select("dsm_id", "idx"), dsm.edges
-    lost = x.select("dsm_id", F.explode(F.array("i", "j")).alias("idx")).join(e, ["dsm_id", "idx"], "left_anti").groupBy("dsm_id").agg(F.lit("edge without element").alias("problem"), F.count("*").alias("n"))
+    lost = (
+        x.select("dsm_id", F.explode(F.array("i", "j")).alias("idx"))
+        .join(e, ["dsm_id", "idx"], "left_anti")
+        .groupBy("dsm_id")
+        .agg(F.lit("edge without element").alias("problem"), F.count("*").alias("n"))
+    )
     selfs = x.filter("i = j").groupBy("dsm_id").agg(F.lit("self-edge").alias("problem"), F.count("*").alias("n"))
-    weak = x.filter("not coalesce(w > 0, false)").groupBy("dsm_id").agg(F.lit("weight not positive").alias("problem"), F.count("*").alias("n"))
-    gaps = e.groupBy("dsm_id").agg(F.count("*").alias("n"), F.count_distinct("idx").alias("d"), F.min("idx").alias("a"), F.max("idx").alias("b")).filter("n <> d or a <> 0 or b <> n - 1").select("dsm_id", F.lit("idx not 0..n-1").alias("problem"), "n")
+    weak = x.filter("not coalesce(w > 0, false)").groupBy("dsm_id").agg(
+        F.lit("weight not positive").alias("problem"), F.count("*").alias("n")
+    )
+    gaps = (
+        e.groupBy("dsm_id")
+        .agg(F.count("*").alias("n"), F.count_distinct("idx").alias("d"), F.min("idx").alias("a"), F.max("idx").alias("b"))
+        .filter("n <> d or a <> 0 or b <> n - 1")
+        .select("dsm_id", F.lit("idx not 0..n-1").alias("problem"), "n")
+    )
     counts = e.groupBy("dsm_id").agg(F.count("*").alias("n"))
     named = e.select("dsm_id").union(x.select("dsm_id")).distinct().join(counts, "dsm_id", "left")
-    small = named.select("dsm_id", F.lit("fewer than two elements").alias("problem"), F.coalesce("n", F.lit(0)).cast("long").alias("n")).filter("n < 2")
+    small = named.select(
+        "dsm_id", F.lit("fewer than two elements").alias("problem"), F.coalesce("n", F.lit(0)).cast("long").alias("n")
+    ).filter("n < 2")
     return lost.unionByName(selfs).unionByName(weak).unionByName(gaps).unionByName(small)
 
 

@@ -41,7 +41,10 @@ def read_projects(spark: SparkSession, path: str) -> Dsm:
         for frame in frames:
             for dsm_id, text in zip(frame["dsm_id"], frame["value"], strict=True):
                 p = parse(text)
-                rows = [(dsm_id, i, None, x, None) for i, x in enumerate(p["labels"])] + [(dsm_id, i, j, None, float(w)) for i, r in enumerate(p["matrix"]) for j, w in enumerate(r) if i != j and w and w > 0]
+                rows = (
+                    [(dsm_id, i, None, x, None) for i, x in enumerate(p["labels"])]
+                    + [(dsm_id, i, j, None, float(w)) for i, r in enumerate(p["matrix"]) for j, w in enumerate(r) if i != j and w and w > 0]
+                )
                 yield pd.DataFrame(rows, columns=["dsm_id", "i", "j", "label", "w"]).astype({"i": "Int32", "j": "Int32"})
 
     return as_dsm(files.mapInPandas(run, _CELLS))
@@ -76,23 +79,40 @@ def restore(spark: SparkSession, path: str) -> Restored:
                 kept = p.get("server_state") or {}
                 defaults = {"dsm_type": "component", "convention": "IR", "source_name": "project"}
                 out = [(dsm_id, "state", k, str(p.get(k) or kept.get(k) or v), None, None) for k, v in defaults.items()]
-                out += [(dsm_id, "param", k, None if v is None else str(v), None, None) for k, v in (p["params"] or kept.get("params") or {}).items()]
+                out += [
+                    (dsm_id, "param", k, None if v is None else str(v), None, None)
+                    for k, v in (p["params"] or kept.get("params") or {}).items()
+                ]
                 for algo, found in (kept.get("stage1") or {}).items():
                     if isinstance(found, dict):
                         out += [(dsm_id, "raw", algo, None, i, int(c)) for i, c in enumerate(found.get("raw_clusters") or [])]
                 last = kept.get("last_result") or {}
                 said = f"{last.get('source', 'final')}/{last.get('title', 'Optimized DSM')}"
-                out += [(dsm_id, "result", label, said, i, int(c)) for i, (label, c) in enumerate(zip(last.get("labels") or [], last.get("clusters") or [], strict=True))]
+                out += [
+                    (dsm_id, "result", label, said, i, int(c))
+                    for i, (label, c) in enumerate(zip(last.get("labels") or [], last.get("clusters") or [], strict=True))
+                ]
                 out.append((dsm_id, "client", None, json.dumps(p.get("client_state")), None, None))
-                yield pd.DataFrame(out, columns=["dsm_id", "kind", "name", "value", "i", "cluster"]).astype({"i": "Int32", "cluster": "Int32"})
+                yield pd.DataFrame(
+                    out, columns=["dsm_id", "kind", "name", "value", "i", "cluster"]
+                ).astype({"i": "Int32", "cluster": "Int32"})
 
     found = files.mapInPandas(run, _STATE)
     of = lambda kind: found.filter(F.col("kind") == kind)
     state = of("state").groupBy("dsm_id").pivot("name", ["dsm_type", "convention", "source_name"]).agg(F.first("value"))
     source = F.split("value", "/", 2)
-    result = of("result").select("dsm_id", F.col("i").alias("pos"), F.col("name").alias("label"), "cluster", source[0].alias("source"), source[1].alias("title"))
+    result = of("result").select(
+        "dsm_id", F.col("i").alias("pos"), F.col("name").alias("label"), "cluster", source[0].alias("source"), source[1].alias("title")
+    )
     raw = of("raw").select("dsm_id", F.col("name").alias("algo"), F.col("i").alias("idx"), "cluster")
-    return Restored(read_projects(spark, path), state, of("param").select("dsm_id", "name", "value"), raw, result, of("client").select("dsm_id", F.col("value").alias("client_state")))
+    return Restored(
+        read_projects(spark, path),
+        state,
+        of("param").select("dsm_id", "name", "value"),
+        raw,
+        result,
+        of("client").select("dsm_id", F.col("value").alias("client_state")),
+    )
 
 
 def save(dsm: Dsm, path: str, **results: DataFrame) -> None:

@@ -66,15 +66,27 @@ def edges_from_lines(lines: DataFrame, dsm_id: Column | None = None) -> Dsm:
     rows = lines.filter(F.trim("value") != "").select(name.alias("dsm_id"), "line", cells.alias("c"))
     top = rows.groupBy("dsm_id").agg(F.min("line").alias("top"))
     third = F.coalesce(F.get("c", F.lit(2)), F.lit(""))
-    head = (F.col("line") == F.col("top")) & (F.lower(F.get("c", F.lit(0))).isin("from", "source") | ((F.size("c") > 2) & (third != "") & third.try_cast("double").isNull()))
+    head = (
+        (F.col("line") == F.col("top"))
+        & (F.lower(F.get("c", F.lit(0))).isin("from", "source") | ((F.size("c") > 2) & (third != "") & third.try_cast("double").isNull()))
+    )
     body = rows.join(top, "dsm_id").filter(~head).filter("size(c) >= 2 and c[0] <> '' and c[1] <> ''")
     number = third.try_cast("double")
-    weight = F.when(third == "", 1.0).when(number.isNull() | F.isnan(number), F.raise_error(F.concat(F.lit("not a weight: "), third)).cast("double")).otherwise(number)
+    weight = F.when(third == "", 1.0).when(
+        number.isNull() | F.isnan(number), F.raise_error(F.concat(F.lit("not a weight: "), third)).cast("double")
+    ).otherwise(number)
     pairs = body.select("dsm_id", "line", F.get("c", F.lit(0)).alias("src"), F.get("c", F.lit(1)).alias("dst"), weight.alias("w"))
-    seen = pairs.select("dsm_id", "line", F.posexplode(F.array("src", "dst")).alias("side", "label")).groupBy("dsm_id", "label").agg(F.min(2 * F.col("line") + F.col("side")).alias("first"))
+    seen = (
+        pairs.select("dsm_id", "line", F.posexplode(F.array("src", "dst")).alias("side", "label"))
+        .groupBy("dsm_id", "label")
+        .agg(F.min(2 * F.col("line") + F.col("side")).alias("first"))
+    )
     elements = numbered(seen, ["first", "label"], "idx").select("dsm_id", "idx", "label")
     last = pairs.filter("src <> dst").groupBy("dsm_id", "src", "dst").agg(F.max_by("w", "line").alias("w")).filter("w > 0")
-    a, b = elements.select("dsm_id", F.col("idx").alias("i"), F.col("label").alias("src")), elements.select("dsm_id", F.col("idx").alias("j"), F.col("label").alias("dst"))
+    a, b = (
+        elements.select("dsm_id", F.col("idx").alias("i"), F.col("label").alias("src")),
+        elements.select("dsm_id", F.col("idx").alias("j"), F.col("label").alias("dst")),
+    )
     return Dsm(elements, last.join(a, ["dsm_id", "src"]).join(b, ["dsm_id", "dst"]).select("dsm_id", "i", "j", "w"))
 
 
@@ -89,7 +101,9 @@ def write_matrix_csv(dsm: Dsm, path: str, convention: str = "IR") -> None:
     """One CSV for each matrix, as rows of text in order: for matrices that a kernel holds."""
     from depmatrix.plans.fanout import dense, packed
 
-    labels = dsm.elements.groupBy("dsm_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", "label"))), lambda x: x["label"]).alias("labels"))
+    labels = dsm.elements.groupBy("dsm_id").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("idx", "label"))), lambda x: x["label"]).alias("labels")
+    )
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -27,7 +27,10 @@ def sheets(content: bytes) -> list[tuple[str, str, bool]]:
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
         book = ElementTree.fromstring(z.read("xl/workbook.xml"))
-        return [(s.get("name"), "xl/" + targets[s.get(_REL)].lstrip("/").removeprefix("xl/"), s.get("state", "visible") == "visible") for s in book.find("m:sheets", _NS)]
+        return [
+            (s.get("name"), "xl/" + targets[s.get(_REL)].lstrip("/").removeprefix("xl/"), s.get("state", "visible") == "visible")
+            for s in book.find("m:sheets", _NS)
+        ]
 
 
 def rows(content: bytes, sheet: int | str = 0) -> list[list[str]]:
@@ -39,7 +42,11 @@ def rows(content: bytes, sheet: int | str = 0) -> list[list[str]]:
     if part is None:
         raise ValueError(f"no sheet {sheet!r}")
     with zipfile.ZipFile(io.BytesIO(content)) as z:
-        shared = ["".join(t.text or "" for t in x.iter(f"{{{_NS['m']}}}t")) for x in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in z.namelist() else []
+        shared = (
+            ["".join(t.text or "" for t in x.iter(f"{{{_NS['m']}}}t")) for x in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))]
+            if "xl/sharedStrings.xml" in z.namelist()
+            else []
+        )
         out: dict[int, dict[int, str]] = {}
         for c in ElementTree.fromstring(z.read(part)).iter(f"{{{_NS['m']}}}c"):
             letters, digits = re.match(r"([A-Z]+)(\d+)", c.get("r")).groups()
@@ -47,7 +54,11 @@ def rows(content: bytes, sheet: int | str = 0) -> list[list[str]]:
             for x in letters:
                 column = column * 26 + ord(x) - 64
             kind, value = c.get("t"), c.find("m:v", _NS)
-            text = "".join(t.text or "" for t in c.iter(f"{{{_NS['m']}}}t")) if kind == "inlineStr" else (value.text or "" if value is not None else "")
+            text = (
+                "".join(t.text or "" for t in c.iter(f"{{{_NS['m']}}}t"))
+                if kind == "inlineStr"
+                else (value.text or "" if value is not None else "")
+            )
             out.setdefault(int(digits) - 1, {})[column - 1] = shared[int(text)] if kind == "s" and text else text
     width = max((max(r) + 1 for r in out.values()), default=0)
     return [[out.get(i, {}).get(j, "") for j in range(width)] for i in range(max(out, default=-1) + 1)]
@@ -117,7 +128,8 @@ def _styles(main: str) -> str:
     none = '<fill><patternFill patternType="none"/></fill><fill><patternFill patternType="gray125"/></fill>'
     plain = '<xf numFmtId="0" fontId="0" fillId="0" borderId="0"'
     return (
-        f'<styleSheet xmlns="{main}"><fonts count="1"><font/></fonts><fills count="{len(fills) + 2}">{none}{solid}</fills><borders count="1"><border/></borders>'
+        f'<styleSheet xmlns="{main}"><fonts count="1"><font/></fonts><fills count="{len(fills) + 2}">{none}{solid}</fills><borders '
+        'count="1"><border/></borders>'
         f'<cellStyleXfs count="1">{plain}/></cellStyleXfs><cellXfs count="{len(fills) + 1}">{plain} xfId="0"/>{used}</cellXfs></styleSheet>'
     )
 
@@ -154,10 +166,24 @@ def workbook(matrix, labels: list[str], title: str = "DSM", clusters: list[int]
     plain = '<Default Extension="xml" ContentType="application/xml"/>'
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr("[Content_Types].xml", f'<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/>{plain}{named}</Types>')
-        z.writestr("_rels/.rels", f'<Relationships xmlns="{package}/relationships"><Relationship Id="r1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
-        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="DSM" sheetId="1" r:id="r1"/></sheets></workbook>')
-        links = f'<Relationship Id="r1" Type="{rel}/worksheet" Target="worksheets/sheet1.xml"/><Relationship Id="r2" Type="{rel}/styles" Target="styles.xml"/>'
+        z.writestr(
+            "[Content_Types].xml",
+            f'<Types xmlns="{package}/content-types"><Default Extension="rels" '
+            f'ContentType="application/vnd.openxmlformats-package.relationships+xml"/>{plain}{named}</Types>',
+        )
+        z.writestr(
+            "_rels/.rels",
+            f'<Relationships xmlns="{package}/relationships"><Relationship Id="r1" Type="{rel}/officeDocument" '
+            'Target="xl/workbook.xml"/></Relationships>',
+        )
+        z.writestr(
+            "xl/workbook.xml",
+            f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="DSM" sheetId="1" r:id="r1"/></sheets></workbook>',
+        )
+        links = (
+            f'<Relationship Id="r1" Type="{rel}/worksheet" Target="worksheets/sheet1.xml"/><Relationship Id="r2" Type="{rel}/styles" '
+            'Target="styles.xml"/>'
+        )
         z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{package}/relationships">{links}</Relationships>')
         z.writestr("xl/styles.xml", _styles(main))
         z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{main}"><sheetData>{sheet}</sheetData></worksheet>')
@@ -176,7 +202,9 @@ def workbooks(dsm: Dsm, ordering: DataFrame, title: str = "Optimized DSM", conve
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         row = frame.to_dict("records")[0]
         a = dense(row)
-        content = workbook(a.T if convention == "IC" else a, [x["label"] for x in row["said"]], title, [int(x["cluster"]) for x in row["said"]])
+        content = workbook(
+            a.T if convention == "IC" else a, [x["label"] for x in row["said"]], title, [int(x["cluster"]) for x in row["said"]]
+        )
         return pd.DataFrame({"dsm_id": [row["dsm_id"]], "content": [content]})
 
     return packed(final).join(listed, "dsm_id").groupBy("dsm_id").applyInPandas(run, "dsm_id string, content binary")

@@ -23,7 +23,9 @@ def _steps(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Ite
 
 def transitions(events: DataFrame) -> DataFrame:
     """(src, dst, ts): each user's steps, one event of state a user. Events of one batch are put in order; later batches count as later."""
-    return events.select("user_id", "event_id", "ts", "event_type").groupBy("user_id").applyInPandasWithState(_steps, "src string, dst string, ts timestamp", "last string", "append", GroupStateTimeout.NoTimeout)
+    return events.select("user_id", "event_id", "ts", "event_type").groupBy("user_id").applyInPandasWithState(
+        _steps, "src string, dst string, ts timestamp", "last string", "append", GroupStateTimeout.NoTimeout
+    )
 
 
 def edge_stream(events: DataFrame) -> DataFrame:
@@ -33,4 +35,9 @@ def edge_stream(events: DataFrame) -> DataFrame:
 
 def windowed_types(events: DataFrame, window: str = "1 day", late: str = "2 days") -> DataFrame:
     """Counts of each event type in windows of time; what comes later than `late` is left out."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
+    return (
+        events.withWatermark("ts", late)
+        .groupBy(F.window("ts", window).alias("w"), "event_type")
+        .agg(F.count("*").alias("n"))
+        .select(F.col("w.start").alias("start"), "event_type", "n")
+    )

@@ -18,7 +18,10 @@ def recovered(labels, size=5) -> int:
     return sum(np.bincount(labels[b : b + size]).max() >= size - 1 for b in range(0, len(labels), size))
 
 
-@pytest.mark.parametrize("run", [lambda a: spectral_cluster(a, k=4)[0], lambda a: louvain(a, seed=5), lambda a: thebeau(a, seed=5), lambda a: mcl(a, inflation=2.2)])
+@pytest.mark.parametrize(
+    "run",
+    [lambda a: spectral_cluster(a, k=4)[0], lambda a: louvain(a, seed=5), lambda a: thebeau(a, seed=5), lambda a: mcl(a, inflation=2.2)],
+)
 def test_planted_blocks_are_recovered(run):
     assert recovered(run(planted_blocks())) >= 3
 

@@ -38,7 +38,12 @@ def test_bus_and_isolated_elements(spark):
     d = dsm_of(spark, star=a)
     assert rows(scoring.bus_elements(d, 0.99), "idx") == [(0,)]
     stage = cluster.cluster_stage(d, Constraints(bus_threshold=0.99, min_clusters=3, max_clusters=6, seed=1))
-    ordering, figures = cluster.sequence_stage(d, stage, stage.candidates.filter("algo = 'louvain'").select("dsm_id", "algo"), Constraints(bus_threshold=0.99, min_clusters=3, max_clusters=6, seed=1))
+    ordering, figures = cluster.sequence_stage(
+        d,
+        stage,
+        stage.candidates.filter("algo = 'louvain'").select("dsm_id", "algo"),
+        Constraints(bus_threshold=0.99, min_clusters=3, max_clusters=6, seed=1),
+    )
     assert ordering.count() == 12 and figures.first()["n_clusters"] >= 3
     with pytest.raises(ValueError):
         cluster.sequence_stage(d, stage, stage.candidates.selectExpr("dsm_id", "'none' AS algo"))
@@ -63,8 +68,13 @@ def test_process_agrees_with_tables(spark):
     assert (m["n_loops"], m["largest_loop"], m["n_blocks"], m["coupled_elements"]) == (1, 3, 5, 3)
     sccs = graph.strong_components(d.elements, d.edges)
     level = {r["scc"]: r["level"] for r in graph.levels(d.edges, sccs).collect()}
-    assert {(r["idx"]): r["level"] for r in p.ordering.collect()} == {i: level[s] for i, s in ((r["idx"], r["scc"]) for r in sccs.collect())}
-    kernel, plan = rows(p.tears, "i", "j", "impact", "largest_loop_after"), rows(graph.tearing(d.edges, sccs), "i", "j", "impact", "largest_loop_after")
+    assert {(r["idx"]): r["level"] for r in p.ordering.collect()} == {
+        i: level[s] for i, s in ((r["idx"], r["scc"]) for r in sccs.collect())
+    }
+    kernel, plan = (
+        rows(p.tears, "i", "j", "impact", "largest_loop_after"),
+        rows(graph.tearing(d.edges, sccs), "i", "j", "impact", "largest_loop_after"),
+    )
     assert kernel == plan
     symmetric = dsm_of(spark, s=np.ones((5, 5)) - np.eye(5))
     assert process.partition(symmetric, seed=1).metrics.first()["guidance"] == "symmetric"
@@ -73,7 +83,9 @@ def test_process_agrees_with_tables(spark):
 def test_editing(spark):
     d = dsm_of(spark, a=loop_process())
     assert transforms.remove_element(d, "a", 0).elements.count() == 6
-    assert rows(transforms.toggle_edge(transforms.toggle_edge(d, "a", 4, 5), "a", 0, 1).edges, "i", "j") == [(1, 2), (2, 0), (3, 2), (4, 5), (5, 6)]
+    assert rows(
+        transforms.toggle_edge(transforms.toggle_edge(d, "a", 4, 5), "a", 0, 1).edges, "i", "j"
+    ) == [(1, 2), (2, 0), (3, 2), (4, 5), (5, 6)]
     assert transforms.add_element(d, "a", "new").elements.count() == 8
     assert transforms.blank(spark).elements.count() == 5
     moved = whatif.move(d.elements.select("dsm_id", "idx", F.lit(0).alias("cluster")), 3)
@@ -101,7 +113,9 @@ def test_files(spark, tmp_path):
     assert not text.looks_like_edge_list(["a,b,c,d", "e,f,g,h"])
     (tmp_path / "w.xlsx").write_bytes(workbook.workbook([[0, 1, 0], [0, 0, 2.5], [0, 0, 0]], ["X", "Y", "Z"], "Title"))
     got = workbook.rows((tmp_path / "w.xlsx").read_bytes())
-    assert got[0] == ["Title", "X", "Y", "Z"] and got[1][:3] == ["X", "", "1"]  # header beside the title, where readers of such files look for it
+    assert (  # header beside the title, where readers of such files look for it
+        got[0] == ["Title", "X", "Y", "Z"] and got[1][:3] == ["X", "", "1"]
+    )
     w = dispatch.read_dsm(spark, str(tmp_path / "w.xlsx"))
     assert rows(workbook.list_sheets(spark, str(tmp_path / "w.xlsx")), "sheet") == [("DSM",)]
     assert w.elements.count() == 3
@@ -120,18 +134,25 @@ def test_files(spark, tmp_path):
 
 def test_components_equal_closure_on_random_graphs(spark):
     rng = np.random.default_rng(3)
-    made = {f"m{k}": (rng.random((n, n)) < p).astype(float) for k, (n, p) in enumerate(((30, 0.03), (30, 0.06), (12, 0.4), (25, 0.02), (40, 0.05)))}
+    made = {
+        f"m{k}": (rng.random((n, n)) < p).astype(float)
+        for k, (n, p) in enumerate(((30, 0.03), (30, 0.06), (12, 0.4), (25, 0.02), (40, 0.05)))
+    }
     chain = np.zeros((40, 40))
     chain[np.arange(1, 40), np.arange(39)] = 1
     ring = chain.copy()
     ring[0, 39] = 1
     d = dsm_of(spark, chain=chain, ring=ring, none=np.zeros((3, 3)), **made)
     reach = graph.closure(d.edges)
-    mutual = reach.join(reach.select("dsm_id", F.col("j").alias("i"), F.col("i").alias("j")), ["dsm_id", "i", "j"]).groupBy("dsm_id", F.col("i").alias("idx")).agg(F.min("j").alias("m"))
+    mutual = reach.join(
+        reach.select("dsm_id", F.col("j").alias("i"), F.col("i").alias("j")), ["dsm_id", "i", "j"]
+    ).groupBy("dsm_id", F.col("i").alias("idx")).agg(F.min("j").alias("m"))
     want = d.elements.join(mutual, ["dsm_id", "idx"], "left").select("dsm_id", "idx", F.least("idx", F.coalesce("m", "idx")).alias("scc"))
     got = graph.strong_components(d.elements, d.edges)
     assert rows(got, "dsm_id", "idx", "scc") == rows(want, "dsm_id", "idx", "scc")
-    assert {r["level"] for r in graph.levels(d.edges.filter("dsm_id = 'chain'"), got.filter("dsm_id = 'chain'")).collect()} == set(range(40))
+    assert {
+        r["level"] for r in graph.levels(d.edges.filter("dsm_id = 'chain'"), got.filter("dsm_id = 'chain'")).collect()
+    } == set(range(40))
 
 
 def test_numbering_and_levels(spark):
@@ -187,7 +208,9 @@ def test_what_if_leaves_bus_elements_out(spark):
     assert (got["base_cost"], got["cost"], got["verdict"], got["external_verdict"]) == (8.0, 10.0, "worse", "worse")
     order = base.withColumn("pos", F.col("idx"))
     assert whatif.finalise(d, order, "final")[1] == "Optimized DSM - Final (sequenced)"
-    for bad in (order.filter("idx > 0"), order.union(order.limit(1)), order.withColumn("cluster", F.when(F.col("idx") > 1, F.col("cluster")))):
+    for bad in (
+        order.filter("idx > 0"), order.union(order.limit(1)), order.withColumn("cluster", F.when(F.col("idx") > 1, F.col("cluster")))
+    ):
         with pytest.raises(ValueError, match="element"):
             whatif.finalise(d, bad, "final")
     with pytest.raises(ValueError, match="unknown source"):
@@ -215,9 +238,16 @@ def test_reports_and_restored_projects(spark, tmp_path):
     other = dsm_of(spark, planted=planted_blocks())
     assert report.diff_report(d, other).first()["added"] > 0
     # saved and restored: the same candidates without clustering again
-    raw = {a: [r["cluster"] for r in sorted(stage.assign.filter(F.col("algo") == a).collect(), key=lambda r: r["idx"])] for a in scoring.RANK}
+    raw = {
+        a: [r["cluster"] for r in sorted(stage.assign.filter(F.col("algo") == a).collect(), key=lambda r: r["idx"])] for a in scoring.RANK
+    }
     m = planted_blocks(noise=2).tolist()
-    saved = {"stage1": {a: {"raw_clusters": c} for a, c in raw.items() if c} | {"recommended": "louvain"}, "params": {"min_clusters": 3}, "convention": "IC", "last_result": {"matrix": m, "labels": [f"e{k}" for k in range(20)], "clusters": [0] * 20, "source": "mcl", "title": "T"}}
+    saved = {
+        "stage1": {a: {"raw_clusters": c} for a, c in raw.items() if c} | {"recommended": "louvain"},
+        "params": {"min_clusters": 3},
+        "convention": "IC",
+        "last_result": {"matrix": m, "labels": [f"e{k}" for k in range(20)], "clusters": [0] * 20, "source": "mcl", "title": "T"},
+    }
     (tmp_path / "p.json").write_text(project.serialize(m, [f"e{k}" for k in range(20)], server_state=saved, client_state={"tab": 1}))
     back = project.restore(spark, str(tmp_path / "p.json"))
     assert back.state.first()["convention"] == "IC" and rows(back.params, "name", "value") == [("min_clusters", "3")]
