@@ -592,7 +592,7 @@ _FIXED_SQL = _SHAPE_SQL.replace("feedback_before, feedback_after,", "feedback_be
 )
 
 
-def _fixed(metrics: DataFrame) -> DataFrame:
+def _without_seed(metrics: DataFrame) -> DataFrame:
     return metrics.drop("dsm_id", "feedback_after", "marks_resolved").withColumn("symmetry_ratio", F.round("symmetry_ratio", 6))
 
 
@@ -618,7 +618,7 @@ def process_levels(spark, sf_dir):
 @query(_with(_REACH, _SCC, _DEP, _LV, *_SHAPE, share=0.5, recursive=True) + _FIXED_SQL)
 def process_metrics_fixed(spark, sf_dir):
     """Of the metrics what the seed doesn't decide."""
-    return _fixed(process.partition(_dsm(spark, sf_dir, 0.5), seed=1).metrics)
+    return _without_seed(process.partition(_dsm(spark, sf_dir, 0.5), seed=1).metrics)
 
 
 @query()
@@ -870,7 +870,7 @@ def process_levels_supp_chain(spark, sf_dir):
 
 @query(_chain_sql("supp", _DEP, _LV, *_SHAPE) + _FIXED_SQL)
 def process_metrics_fixed_supp_chain(spark, sf_dir):
-    return _fixed(process.partition(_chain(spark, sf_dir, "supp"), seed=1).metrics)
+    return _without_seed(process.partition(_chain(spark, sf_dir, "supp"), seed=1).metrics)
 
 
 @query(f"SELECT * EXCLUDE (scc) FROM ({_torn(_chain_sql('supp'))})")
