@@ -9,6 +9,9 @@ and all its lines are kept, short ones too.
 An <article>, <main> or role=main gives a bonus, no more: where one has a content region, its other containers are regions too if their mean
 smoothed ratio is half the threshold, or if they are prose by their own ratio, or if they are an <article>'s own lines (its title); so is its h1. One without a
 content region (a teaser) gets nothing.
+
+Menus, footers, scripts and the like are left out by element. What only a name (class, id, role) or a form speaks against is left out too, unless nothing else on the
+page is text: where the lines outside such parts have hardly any text in the upper cluster, the part with most of it is taken for a wrapper and judged by its own lines.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ BLOCKS = frozenset("address article aside blockquote body center dd details dial
 #: Elements without content of their own.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose text is never main text.
-NEVER = frozenset("script style noscript template svg math iframe object nav footer aside form menu button select option textarea head title dialog audio video canvas".split())
+NEVER = frozenset("script style noscript template svg math iframe object nav footer aside menu button select option textarea head title dialog audio video canvas".split())
 #: Words of class, id or role that mark such parts wherever they stand in a name.
 SIGNS = frozenset("advert adverts advertisement advertising breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies disqus foot footer imprint menu modal nav navbar navigation newsletter pager pagination popup promo promoted respond sidebar sponsor sponsored subscribe toolbar".split())
 #: Words that do so alone or beside words of place only (ad-slot, site-header, related-posts, but not article-header, related-work).
@@ -41,6 +44,8 @@ _HOLDERS = frozenset("article main section div td body html".split())
 _IN_HEAD = frozenset("base link meta noscript script style template title".split())
 #: In a named element with a content region: part of the threshold's ratio that a container's mean must reach, or characters a tag.
 _BONUS, _PROSE = 0.5, 40.0
+#: Characters of text outside the named parts that speak for leaving these out, and how many times as many a named part must have to be a wrapper.
+_SPARE, _WRAPS = 140, 4
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -59,29 +64,37 @@ class _Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, int, int, bool]] = []  # text, tags, container, outermost article or main (0: none), in an h1
-        self._stack: list[tuple[str, bool, int, int]] = []  # tag, never, container, main
+        self._stack: list[tuple[str, int, int, int]] = []  # tag, part (below zero: never content), container, main
         self._places: dict[str, list[int]] = {}  # tag: where it stands in the stack
         self._blocks: list[int] = []  # where blocks stand
         self._text: list[str] = []
         self._tags = self._made = 0
         self._heading = False
         self.articles: set[int] = set()  # containers that are an outermost article
+        self._parts: list[tuple[int, str]] = [(0, "")]  # parts that a name or a form speaks against: the part around, tag and names; 0 is the page
+        self._part_of: list[int] = []  # of each line
 
     def _flush(self) -> None:
         text = " ".join("".join(self._text).split())
         self._text.clear()
         if text:
-            _, _, holder, main = self._stack[-1] if self._stack else ("", False, 0, 0)
+            _, part, holder, main = self._stack[-1] if self._stack else ("", 0, 0, 0)
             self.lines.append((text, self._tags, holder, main, bool(self._places.get("h1"))))
+            self._part_of.append(part)
             self._tags = 0
 
     def _never(self, tag: str, a: dict[str, str], main: int) -> bool:
+        """Whether an element is never content."""
         if tag in NEVER or tag == "header" and not main:
             return True
-        if "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", ""):
-            return True
+        return "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "")
+
+    def _named(self, tag: str, a: dict[str, str], main: int) -> bool:
+        """Whether a name, or being a form, speaks against an element."""
         if tag in ("body", "html"):
             return False
+        if tag == "form":
+            return True
         names = " ".join(a.get(k, "") for k in ("class", "id", "role"))
         if tag in _MAIN:  # an article with a telling name is one inside another; a comment is one in any case
             return signed(names, SIGNS if main else _COMMENT, WEAK if main else frozenset())
@@ -99,9 +112,16 @@ class _Lines(HTMLParser):
             if tag == "br":
                 self._text.append("\n")
             return
-        _, never, holder, main = self._stack[-1] if self._stack else ("", False, 0, 0)
+        _, part, holder, main = self._stack[-1] if self._stack else ("", 0, 0, 0)
         a = {k: v or "" for k, v in attrs}
-        never = never or self._never(tag, a, main)
+        if part >= 0 and self._never(tag, a, main):
+            part = -1
+        elif part >= 0 and self._named(tag, a, main):
+            if tag in BLOCKS:
+                self._parts.append((part, f"{tag} {a.get('class', '')} {a.get('role', '')}"))
+                part = len(self._parts) - 1
+            else:
+                part = -1  # no wrapper
         if tag in _HOLDERS or a.get("role") == "main":
             self._made += 1
             holder = self._made
@@ -112,7 +132,7 @@ class _Lines(HTMLParser):
         self._places.setdefault(tag, []).append(len(self._stack))
         if tag in BLOCKS:
             self._blocks.append(len(self._stack))
-        self._stack.append((tag, never, holder, main))
+        self._stack.append((tag, part, holder, main))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -136,15 +156,53 @@ class _Lines(HTMLParser):
         self._close(tag)
 
     def handle_data(self, data: str) -> None:
-        if not (self._stack and self._stack[-1][1]):
+        if not (self._stack and self._stack[-1][1] < 0):
             self._text.append(data)
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """What starts with <![ is a comment up to the next >, whatever it is."""
+        end = self.rawdata.find(">", i + 3)
+        return -1 if end < 0 else end + 1
+
     def unknown_decl(self, data: str) -> None:
         pass
 
     def close(self) -> None:
         super().close()
         self._flush()
+        self._without_parts()
+
+    def _without_parts(self) -> None:
+        """Leaves out the lines of parts that a name speaks against, but for wrappers; their tags go to the next line that stays."""
+        if len(self._parts) == 1 or not self.lines:
+            return
+        own = [math.log1p(len(x[0]) / max(1, x[1])) for x in self.lines]
+        least = threshold(own)
+        direct, named = [0] * len(self._parts), set()  # text in the upper cluster; parts with a sentence in an article or main
+        for x, o, part in zip(self.lines, own, self._part_of, strict=True):
+            if o >= least:
+                direct[part] += len(x[0])
+            if x[3] and not x[4] and x[0][-1] in ".!?\u2026\u3002":
+                named.add(part)
+        whole, inside = direct.copy(), [[] for _ in self._parts]
+        for part in range(len(self._parts) - 1, 0, -1):  # a part stands behind the one around it
+            whole[self._parts[part][0]] += whole[part]
+            inside[self._parts[part][0]].append(part)
+        stay, todo = {0}, [0]
+        while todo:
+            part = todo.pop()
+            largest = max(inside[part], key=lambda p: (whole[p], -p), default=0)
+            if largest and direct[part] < _SPARE and part not in named and whole[largest] > _WRAPS * direct[part]:
+                alike = [p for p in inside[part] if self._parts[p][1] == self._parts[largest][1]]
+                stay.update(alike)
+                todo.extend(alike)
+        lines, tags = [], 0
+        for x, part in zip(self.lines, self._part_of, strict=True):
+            tags += x[1]
+            if part in stay:
+                lines.append((x[0], tags, *x[2:]))
+                tags = 0
+        self.lines = lines
 
 
 def smoothed(values: list[float], sigma: float = 1.0) -> list[float]:
