@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depmatrix.llm import chat, decontamination, html_extract, license_scan, lm_score, mixing, quality_classifier, quality_rules, simhash, warc
+from depmatrix.llm import (
+    chat,
+    decontamination,
+    html_extract,
+    importance,
+    license_scan,
+    lm_score,
+    mixing,
+    periodic_runs,
+    quality_classifier,
+    quality_rules,
+    simhash,
+    token_output,
+    warc,
+)
 from depmatrix.llm.shared import lowered
 
 
@@ -58,6 +72,23 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.lm_scores(_table(spark, sf_dir, "documents"))
 
 
+def op11_token_output(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """tokenizer: path of a tokenizer's file; that of the public byte-level vocabulary where none is given."""
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    return token_output.read_documents(token_output.token_files(_table(spark, sf_dir, "documents"), tokenizer))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.periodic_runs(_table(spark, sf_dir, "documents"), plant=True).drop("runs")
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def base_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op5's columns that don't depend on the method."""
     return op5_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
@@ -123,6 +154,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_mixing,
         op9_html_extraction,
         op10_lm_scoring,
+        op11_token_output,
+        op12_periodic_runs,
+        op13_importance_resampling,
     )
     return {
         f.__name__: f
@@ -232,6 +266,29 @@ FROM t JOIN d ON d.r = t.r LEFT JOIN c ON c.token = t.token, n GROUP BY d.r
 """
 
 
+#: CRC-32 of each distinct feature, a byte at a time by a table of 256 values that SQL works out first; a feature's bytes are read from its hexadecimal form.
+IMPORTANCE_SQL = f"""
+WITH tab AS (SELECT list(list_reduce(list_concat([b], range(8)), lambda x, i: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END)) ORDER BY b) AS tab FROM range(256) r(b)),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+b AS (SELECT regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+k AS (SELECT unnest([1, 2, 3]) AS k),
+df AS (SELECT r, unnest(list_transform(range(len(w) - k + 1), lambda i: array_to_string(list_slice(w, i + 1, i + k), ' '))) AS f FROM d, k WHERE len(w) >= k),
+bf AS (SELECT unnest(list_transform(range(len(w) - k + 1), lambda i: array_to_string(list_slice(w, i + 1, i + k), ' '))) AS f FROM b, k WHERE len(w) >= k),
+u AS (SELECT f, hex(encode(f)) AS h FROM (SELECT f FROM df UNION SELECT f FROM bf)),
+c AS (SELECT f, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)),
+  lambda s, x: xor(s >> 8, tab[(xor(s, x) & 255) + 1])), 4294967295) % 10000 AS bucket FROM u, tab),
+dc AS (SELECT df.r, c.bucket, count(*) AS n FROM df JOIN c ON c.f = df.f GROUP BY ALL),
+bc AS (SELECT c.bucket, count(*) AS n FROM bf JOIN c ON c.f = bf.f GROUP BY ALL),
+g AS (SELECT x.bucket, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM dc) + 10000) / ((coalesce(s.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM bc) + 10000)))) AS BIGINT) AS gain
+  FROM range(10000) x(bucket) LEFT JOIN (SELECT bucket, sum(n) AS n FROM dc GROUP BY bucket) s ON s.bucket = x.bucket LEFT JOIN bc t ON t.bucket = x.bucket),
+v AS (SELECT dc.r, sum(dc.n) AS n_features, sum(dc.n * g.gain) AS weight FROM dc JOIN g ON g.bucket = dc.bucket GROUP BY dc.r),
+o AS (SELECT d.doc_id, len(d.w) AS words, CAST(coalesce(v.n_features, 0) AS BIGINT) AS n_features, CAST(coalesce(v.weight, 0) AS BIGINT) AS weight,
+  CAST(coalesce(v.weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM d LEFT JOIN v ON v.r = d.r),
+p AS (SELECT *, row_number() OVER (ORDER BY words < 20, score DESC, doc_id NULLS LAST, n_features) AS place, count(*) FILTER (words >= 20) OVER () AS open FROM o)
+SELECT doc_id, n_features, weight, score, CASE WHEN words >= 20 AND place <= 5 * open // 100 THEN place END AS rank FROM p
+"""
+
+
 _SPACED = r"trim(regexp_replace({}, '[\x20\x09-\x0D]+', ' ', 'g'))"
 
 COPIES_SQL = f"""
@@ -256,4 +313,5 @@ def oracle_sql() -> dict[str, str]:
         "base_lm_scoring": BASE_LM_SQL,
         "copies_in_components": COPIES_SQL,
         "items_contained": CONTAINED_SQL,
+        "op13_importance_resampling": IMPORTANCE_SQL,
     }
