@@ -18,7 +18,7 @@ BLOCK = 4096
 MAGIC = b"IDS8BW01"
 _U = np.uint64
 _RARE = 0.6
-_LONGEST_RUN = (1 << 28) - 1
+_LONGEST_RUN = 240
 
 
 @dataclass(frozen=True)
@@ -66,15 +66,15 @@ def pack(ids: np.ndarray, block: int = BLOCK) -> Packed:
     n = len(ids)
     if not n:
         return Packed(0, np.zeros(0, _U), np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64))
-    ends = np.minimum((np.arange(n) // block + 1) * block, n)
+    ends = np.minimum(np.repeat(np.arange(block, n + block, block), block)[:n], n)
     chosen, took = _choices(ids, ends)
-    jump, starts, i = (np.arange(n) + took).tolist(), [], 0
+    step, starts, i = took.astype(np.uint8).tobytes(), [], 0
     while i < n:
         starts.append(i)
-        i = jump[i]
-    starts = np.array(starts)
+        i += step[i]
+    starts = np.array(starts, np.int64)
     selectors, words = chosen[starts], np.zeros(len(starts), _U)
-    escaped = np.zeros(n, bool)
+    escaped, top = np.zeros(n, bool), _U(ids.max())
     padded = np.append(ids.astype(_U), np.zeros(60, _U))
     for selector in np.unique(selectors).tolist():
         which = np.flatnonzero(selectors == selector)
@@ -83,16 +83,18 @@ def pack(ids: np.ndarray, block: int = BLOCK) -> Packed:
             words[which] = ids[at].astype(_U) | (took[at].astype(_U) << _U(32))
             continue
         count, bits = DIVISIONS[selector]
-        places = at[:, None] + np.arange(count)
-        inside = places < ends[at][:, None]
-        values = np.where(inside, padded[places], _U(0))
-        if count > 1:
-            marker = _U((1 << bits) - 1)
-            out = values >= marker
-            escaped[places[out]] = True
-            values = np.where(out, marker, values)
-        shifts = (np.arange(count) * bits).astype(_U)
-        words[which] = np.bitwise_or.reduce(values << shifts, axis=1) | (_U(selector) << _U(60))
+        code, marker = np.full(len(at), _U(selector) << _U(60)), _U((1 << bits) - 1)
+        room = ends[at] - at
+        for k in range(count):  # the k-th id of all words of the selector
+            values = padded[at + k]
+            if room.min(initial=count) <= k:
+                values[room <= k] = 0
+            if count > 1 and top >= marker:
+                out = values >= marker
+                escaped[at[out] + k] = True
+                values[out] = marker
+            code |= values << _U(k * bits)
+        words[which] = code
     edges = np.append(np.arange(0, n, block), n)
     before = np.append(0, np.cumsum(escaped))
     return Packed(n, words, ids[escaped], np.searchsorted(starts, edges), before[edges])
@@ -108,7 +110,7 @@ def unpack(packed: Packed, first: int = 0, last: int | None = None, block: int =
     selectors = (words >> _U(60)).astype(np.int64)
     counts = np.array([c for c, _ in DIVISIONS])[selectors]
     runs = selectors == 0
-    counts[runs] = ((words[runs] >> _U(32)) & _U(_LONGEST_RUN)).astype(np.int64)
+    counts[runs] = ((words[runs] >> _U(32)) & _U(255)).astype(np.int64)
     begin = np.append(0, np.cumsum(counts))
     out, marked = np.zeros(begin[-1], np.uint32), np.zeros(begin[-1], bool)
     for selector in np.unique(selectors).tolist():

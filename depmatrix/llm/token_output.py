@@ -7,6 +7,7 @@ cluster shares; to_files() and from_files() are for a mounted folder. A file kno
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import zlib
@@ -26,25 +27,17 @@ from depmatrix.llm.shared import written
 END = 2
 FILE_IDS = 1 << 18
 _FILES = "part int, seq int, first long, n_ids long, image binary"
-#: A space after anything that isn't white space, by any table of it: the tokenizer's pattern always begins a piece there, so what stands between is tokenised alike by itself.
-_CUT = re.compile("(?<![\\s\\x1c-\\x1f\\x85\\u180e\\u200b-\\u200f\\u2028-\\u202f\\u2060-\\u2064\\ufeff]) ")
+#: White space by any table of it, and marks without width.
+_WHITE = frozenset(c for c in map(chr, [*range(0x3001), 0xFEFF]) if c.isspace() or c in "\u180e\ufeff" or "\u200b" <= c <= "\u200f" or "\u2028" <= c <= "\u202f" or "\u2060" <= c <= "\u2064")
+#: A space after anything else: the tokenizer's pattern always begins a piece there, so what stands between is tokenised alike by itself.
+_CUT = re.compile(f"(?<![{re.escape(''.join(sorted(_WHITE)))}]) ")
 #: So it does before these marks after an ASCII letter or digit; for long stretches without a space.
 _LONG_CUT = re.compile("(?<=[A-Za-z0-9])(?=[\\n!-/:-@\\[-`{-~\\u3001\\u3002\\uff01\\uff0c\\uff1b\\uff1f])")
 _LONG, _WINDOW, _REMEMBERED = 1 << 14, 1 << 18, 1_000_000
 
 
-class _Met(dict):
-    """Ids, as bytes, of a stretch that follows a space; of one not met before by the tokenizer."""
-
-    def __init__(self, encode):
-        super().__init__()
-        self._encode = encode
-
-    def __missing__(self, stretch: str) -> bytes:
-        got = self._encode(" " + stretch)
-        if len(stretch) <= 256:
-            self[stretch] = got
-        return got
+#: Marks that are a token's piece of their own behind an ASCII letter or digit, where nothing follows them.
+_MARKS = frozenset(",.;:!?)")
 
 
 class Tokens:
@@ -57,31 +50,68 @@ class Tokens:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = special_as_text
-        self._met = _Met(self._encode)
-
-    def _encode(self, stretch: str) -> bytes:
-        parts = [stretch] if len(stretch) <= _LONG else _LONG_CUT.split(stretch)
-        return b"".join(array("I", self._tokenizer.encode(x, add_special_tokens=False).ids).tobytes() for x in parts)
+        self._met: dict[str, bytes] = {}  # ids of what follows a space
+        self._mark = {x: self._encode([x])[0] for x in _MARKS}
+
+    def _encode(self, parts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self._tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def _whole(self, stretch: str) -> bytes:
+        return b"".join(self._encode([stretch] if len(stretch) <= _LONG else _LONG_CUT.split(stretch)))
+
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of stretches not met before. A mark at the end is a piece by itself, so that a word with one and without is asked for once."""
+        marked = {x for x in new if len(x) > 1 and x[-1] in _MARKS and x[-2].isascii() and x[-2].isalnum()}
+        plain = [x for x in {x[:-1] if x in marked else x for x in new} if x not in self._met]
+        short = [x for x in plain if len(x) <= _LONG]
+        got = dict(zip(short, self._encode([" " + x for x in short]), strict=True))
+        got.update((x, self._whole(" " + x)) for x in plain if len(x) > _LONG)
+        self._met.update((x, ids) for x, ids in got.items() if 0 < len(x) <= 256 and x[-1] not in _WHITE)
+        for x in marked:
+            ids = (got[x[:-1]] if x[:-1] in got else self._met[x[:-1]]) + self._mark[x[-1]]
+            got[x] = ids
+            if len(x) <= 256:
+                self._met[x] = ids
+        return got
 
     def ids(self, text: str, end: int | None = END) -> np.ndarray:
         out, at, n = [], 0, len(text)
         while at < n:
             found = _CUT.search(text, at + _WINDOW)
             stop = found.start() if found else n
-            stretches = _CUT.split(text[at:stop])
-            if not at:
-                out.append(self._encode(stretches.pop(0)))
             if len(self._met) > _REMEMBERED:
                 self._met.clear()
-            out.append(b"".join(map(self._met.__getitem__, stretches)))
+            part, first = text[at:stop], not at
             at = stop + 1  # the space belongs to what follows it
-            if at == n and found:
-                out.append(self._met[""])
+            last = [""] if at == n and found else []
+            # what is remembered ends with no white space, so that a space behind it is a cut; what isn't is looked at
+            stretches = part.split(" ")
+            known = list(map(self._met.get, stretches))
+            new = [x for x, ids in zip(stretches, known, strict=True) if ids is None]
+            if any(not x or x[-1] in _WHITE for x in new):
+                stretches = _CUT.split(part) + last
+                known = list(map(self._met.get, stretches))
+                new = [x for x, ids in zip(stretches, known, strict=True) if ids is None]
+            elif last:
+                stretches, known, new = stretches + last, [*known, None], [*new, ""]
+            if first:
+                known[0] = self._whole(stretches[0])
+                new = [x for x, ids in zip(stretches, known, strict=True) if ids is None]
+            if new:
+                learnt = self._learn(new)
+                known = [learnt[x] if ids is None else ids for x, ids in zip(stretches, known, strict=True)]
+            out.append(b"".join(known))
         if end is not None:
             out.append(array("I", [end]).tobytes())
         return np.frombuffer(b"".join(out), np.uint32)
 
 
+@functools.cache
+def _tokens(path: str, special_as_text: bool) -> Tokens:
+    """One for each worker process, which goes through many tasks."""
+    return Tokens(path, special_as_text)
+
+
 def token_files(docs: DataFrame, tokenizer: str, end: int | None = END, special_as_text: bool = True, file_ids: int = FILE_IDS) -> DataFrame:
     """(part, seq, first, n_ids, image): files of ids in ascending order of doc_id, by (part, seq). Null ids come first; a null text is an empty one.
 
@@ -92,7 +122,7 @@ def token_files(docs: DataFrame, tokenizer: str, end: int | None = END, special_
     ranged = own.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, part, seq, first = Tokens(tokenizer, special_as_text), TaskContext.get().partitionId(), 0, 0
+        tokens, part, seq, first = _tokens(tokenizer, special_as_text), TaskContext.get().partitionId(), 0, 0
         names: list[int | None] = []
         parts: list[np.ndarray] = []
         held = 0
