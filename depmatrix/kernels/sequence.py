@@ -7,6 +7,8 @@ import random
 
 import numpy as np
 
+from depmatrix.kernels.bridges import largest_after
+
 
 def feedback(a: np.ndarray, order=None) -> float:
     """Weight above the diagonal in the given order."""
@@ -94,69 +96,13 @@ def block_levels(a: np.ndarray, blocks: list[list[int]]) -> list[int]:
     return out
 
 
-def spanning(n: int, cells: list[tuple[int, int]]) -> set[tuple[int, int]] | None:
-    """Dependencies of a tree from element 0 and of a tree to it, which hold 0..n-1 together by themselves; None if the cells don't."""
-    kept: set[tuple[int, int]] = set()
-    if not cells:
-        return None
-    for turned in (False, True):
-        after: list[list[int]] = [[] for _ in range(n)]
-        for x, y in cells:
-            after[y if turned else x].append(x if turned else y)
-        seen, todo = [True] + [False] * (n - 1), [0]
-        for x in todo:
-            for y in after[x]:
-                if not seen[y]:
-                    seen[y] = True
-                    todo.append(y)
-                    kept.add((y, x) if turned else (x, y))
-        if len(todo) < n:
-            return None
-    return kept
-
-
-def _leads(after: list[list[int]], begin: int, end: int) -> bool:
-    seen, todo = {begin}, [begin]
-    for x in todo:
-        for y in after[x]:
-            if y == end:
-                return True
-            if y not in seen:
-                seen.add(y)
-                todo.append(y)
-    return False
-
-
-def largest_without(cells: list[tuple[int, int]], first: int, last: int) -> list[int]:
-    """For each of the dependencies first..last-1 of a loop: the size of its largest strong component when that one is taken out.
-
-    The loop stays whole without a dependency outside both spanning trees, and without one whose ends another way joins; components are looked for in what is left."""
-    names, at = np.unique(np.array(cells, int).ravel(), return_inverse=True)
-    numbered = list(map(tuple, at.reshape(-1, 2).tolist()))
-    after: list[list[int]] = [[] for _ in names]
-    for x, y in numbered:
-        after[x].append(y)
-    kept = spanning(len(names), numbered)
-    out = []
-    for x, y in numbered[first:last]:
-        if kept is not None and (x, y) not in kept:
-            out.append(len(names))
-            continue
-        whole = after[x]
-        after[x] = [z for z in whole if z != y]
-        out.append(len(names) if kept is not None and _leads(after, x, y) else max(map(len, components_of(after))))
-        after[x] = whole
-    return out
-
-
 def tears(a: np.ndarray, members: list[int], top: int = 5) -> list[dict]:
-    """Single dependencies whose removal shrinks the loop most: impact first, then the lighter."""
+    """members: a strong component. Single dependencies whose removal shrinks the loop most: impact first, then the lighter."""
     m, n = np.asarray(a, float)[np.ix_(members, members)], len(members)
-    cells = [(int(i), int(j)) for i, j in np.argwhere((m > 0) & ~np.eye(n, dtype=bool))]
-    left = largest_without(cells, 0, len(cells)) if cells else []
-    # elements of no dependency are components of their own
+    cells = np.argwhere((m > 0) & ~np.eye(n, dtype=bool))
+    left = largest_after(n, *cells.T).tolist() if len(cells) else []
     found = [
         {"i": members[i], "j": members[j], "w": float(m[i, j]), "impact": n - x, "largest_loop_after": x, "fully_resolves": x == 1}
-        for (i, j), x in zip(cells, left, strict=True)
+        for (i, j), x in zip(cells.tolist(), left, strict=True)
     ]
     return sorted(found, key=lambda t: (-t["impact"], t["w"]))[:top]

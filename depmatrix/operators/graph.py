@@ -1,50 +1,67 @@
-"""Loops to a fix-point over edges: components, strong components, levels, tearing, change propagation.
+"""Loops to a fix-point over edges: components, strong components, levels, change propagation.
 
-Each round is a join and an aggregate over edges, never over pairs of elements (closure() apart); the state is checkpointed every
-round into the shared folder, never kept on one executor.
+Each round is a join and an aggregate over edges, never over pairs of elements (closure() apart); the state is written every
+round to the shared folder, never kept on one executor.
 """
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from depmatrix.kernels.sequence import largest_without
+from depmatrix.kernels.sequence import components_of
 from depmatrix.schema import Dsm
 
-#: Dependencies inside one loop that tearing() takes; each of them asks for a pass over all.
-MAX_LOOP = 1 << 18
+#: Edges of a graph, or of a block of one, that go to one task.
+IN_TASK = 1 << 18
 _own_folder: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the one that the cluster names; where it names none, the warehouse, or in local mode (tests) a temporary one."""
-    if not _own_folder:
-        local = spark.sparkContext.master.startswith("local")
-        _own_folder.append(
-            spark.conf.get("spark.checkpoint.dir", None)
-            or (tempfile.mkdtemp(prefix="depmatrix-") if local else spark.conf.get("spark.sql.warehouse.dir"))
-        )
-    return _own_folder[0]
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, the warehouse if it isn't a local path, or in local mode (tests) a temporary folder."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    master = spark.sparkContext.master
+    if master == "local" or master.startswith("local["):
+        if not _own_folder:
+            _own_folder.append(tempfile.mkdtemp(prefix="depmatrix-"))
+        return _own_folder[0]
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    if warehouse.startswith(("file:", "/")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return warehouse
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        to = spark._jvm.org.apache.hadoop.fs.Path(path)
+        to.getFileSystem(spark._jsc.hadoopConfiguration()).delete(to, True)
+    except Exception:  # the session is gone; the cluster's folder has its own clean-up
+        pass
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, by a checkpoint in the shared folder."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    """df with its lineage cut, as a Parquet table in the shared folder, removed at exit. A checkpoint would keep the plan's estimate of its size, which a loop with joins multiplies
+    each round until working it out takes longer than the round."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/depmatrix-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_delete, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def components(dsm: Dsm, max_rounds: int = 10_000) -> DataFrame:
+def components(dsm: Dsm) -> DataFrame:
     """(dsm_id, idx, component): undirected; component is the smallest member."""
     e = dsm.edges.filter("w > 0 and i <> j")
     links = cut(e.select("dsm_id", "i", "j").union(e.select("dsm_id", "j", "i")).distinct())
     now = cut(dsm.elements.select("dsm_id", "idx", F.col("idx").alias("c")))
-    for _ in range(max_rounds):
+    while True:
         # the neighbours' smallest label, then that label's own label: halves the distance to the root
         near = (
             links.join(now.select("dsm_id", F.col("idx").alias("j"), "c"), ["dsm_id", "j"])
@@ -116,18 +133,14 @@ def _coloured(edges: DataFrame, key: list[str]) -> DataFrame:
             return now
 
 
-def strong_components(elements: DataFrame, edges: DataFrame, key: tuple[str, ...] = ("dsm_id",)) -> DataFrame:
-    """(key, idx, scc): scc is the smallest element that it reaches and is reached from.
-
-    Forward colours, then backward from each colour's root (Orzan, 2004), on edges that trimming leaves; what reaches its root within its colour is a component, the rest
-    goes round again. Work is in proportion to the edges of each round; rounds grow with the length of the shortest ways inside the loops."""
-    key = list(key)
-    left = cut(edges.filter("w > 0 and i <> j").select(*key, "i", "j").distinct())
+def _colours(left: DataFrame, key: list[str]) -> DataFrame | None:
+    """(key, idx, scc) of what lies in loops, or None: forward colours, then backward from each colour's root (Orzan, 2004); what reaches its root within its colour is a component, the
+    rest goes round again. Rounds grow with the length of the shortest ways inside the loops, so this is for what contraction leaves."""
     found = None
     while True:
         left = _trimmed(left, key)
         if left.isEmpty():
-            break
+            return found
         colour = _coloured(left, key)
         a = colour.select(*key, F.col("idx").alias("i"), F.col("c"))
         b = colour.select(*key, F.col("idx").alias("j"), F.col("c").alias("cj"))
@@ -147,8 +160,159 @@ def strong_components(elements: DataFrame, edges: DataFrame, key: tuple[str, ...
         for end in ("i", "j"):
             inner = inner.join(settled.withColumnRenamed("idx", end), [*key, end], "left_anti")
         left = cut(inner.select(*key, "i", "j"))
+
+
+def _schema(df: DataFrame, key: list[str], rest: str) -> str:
+    kinds = dict(df.dtypes)
+    return ", ".join([*(f"{k} {kinds[k]}" for k in key), rest])
+
+
+def _in_tasks(edges: DataFrame, by: list[str]) -> DataFrame:
+    """(by, idx, scc) of each group of edges, one task a group: for groups of a bounded number of edges."""
+
+    def run(frame):
+        import numpy as np
+        import pandas as pd
+
+        names, at = np.unique(frame[["i", "j"]].to_numpy().ravel(), return_inverse=True)
+        after: list[list[int]] = [[] for _ in names]
+        for x, y in at.reshape(-1, 2).tolist():
+            after[x].append(y)
+        scc = np.empty(len(names), np.int64)
+        for group in components_of(after):
+            scc[group] = names[group[0]]
+        return pd.DataFrame({**{k: frame[k].iloc[0] for k in by}, "idx": names, "scc": scc})
+
+    return edges.groupBy(*by).applyInPandas(run, _schema(edges, by, "idx int, scc int"))
+
+
+def _blocked(left: DataFrame, key: list[str], in_task: int, ends: tuple[str, str] = ("i", "j")) -> DataFrame:
+    """left with block: ranges of elements, some in_task / 2 edges each on average; null where the ends lie in different ones, or where a block has more than in_task edges inside."""
+    a, b = ends
+    spans = left.groupBy(*key).agg(
+        F.least(F.min(a), F.min(b)).alias("_low"), F.greatest(F.max(a), F.max(b)).alias("_high"), F.ceil(F.count("*") * 2 / F.lit(in_task)).alias("_blocks")
+    )
+    placed = left.join(spans, key)
+    place = lambda c: F.floor((F.col(c) - F.col("_low")).cast("double") * F.col("_blocks") / (F.col("_high") - F.col("_low") + 1))
+    placed = placed.withColumn("block", F.when(place(a) == place(b), place(a))).drop("_low", "_high", "_blocks")
+    full = placed.filter("block is not null").groupBy(*key, "block").agg(F.count("*").alias("_m")).filter(F.col("_m") > in_task)
+    placed = placed.join(full, [*key, "block"], "left")
+    return placed.withColumn("block", F.when(F.col("_m").isNull(), F.col("block"))).drop("_m")
+
+
+def _renamed(left: DataFrame, key: list[str], names: DataFrame) -> DataFrame:
+    """left between other elements: names has (key, idx, to)."""
+    for end in ("i", "j"):
+        left = left.join(names.select(*key, F.col("idx").alias(end), F.col("to").alias("_to")), [*key, end], "left")
+        left = left.withColumn(end, F.coalesce("_to", end)).drop("_to")
+    return cut(left.filter("i <> j").select(*key, "i", "j").distinct())
+
+
+def _hung(left: DataFrame, key: list[str], in_task: int) -> DataFrame:
+    """(key, block, idx, on, to): elements that only one other of their block leads to (on), and the first of the row of such ones that they hang on (to)."""
+    only = left.groupBy(*key, "j").agg(F.count("*").alias("d"), F.min("i").alias("i")).filter("d = 1").drop("d")
+    near = _blocked(only, key, in_task).filter("block is not null")
+
+    def run(frame):
+        import pandas as pd
+
+        on = dict(zip(frame["j"].tolist(), frame["i"].tolist(), strict=True))
+        to: dict[int, int] = {}
+        for v in list(on):
+            way = []
+            while v in on and v not in to and v not in way[-1:]:
+                way.append(v)
+                to[v] = -1
+                v = on[v]
+                if to.get(v) == -1:  # a ring: it is opened at v
+                    del to[v], on[v]
+                    way.remove(v)
+                    break
+            first = to.get(v, v)
+            for x in way:
+                to[x] = first
+        rows = [(v, on[v], to[v]) for v in on]
+        out = pd.DataFrame(rows, columns=["idx", "on", "to"])
+        for k in (*key, "block"):
+            out[k] = frame[k].iloc[0]
+        return out[[*key, "block", "idx", "on", "to"]]
+
+    kind = dict(near.dtypes)["block"]
+    return cut(near.groupBy(*key, "block").applyInPandas(run, _schema(near, key, f"block {kind}, idx int, on int, to int")))
+
+
+def _unhung(hung: DataFrame, before: DataFrame, key: list[str], found: DataFrame) -> DataFrame:
+    """(key, idx, to, scc) of what hung: with the component of what it hung on if it, or what hangs on it, leads back to that; a component by itself (no row) if not."""
+    of = found.select(*key, "idx", "scc")
+    exits = before.join(hung.select(*key, F.col("idx").alias("j")), [*key, "j"], "left_anti")
+    exits = exits.join(hung.select(*key, F.col("idx").alias("i"), "to"), [*key, "i"])
+    back = exits.join(of.select(*key, F.col("idx").alias("to"), F.col("scc").alias("a")), [*key, "to"], "left").join(
+        of.select(*key, F.col("idx").alias("j"), F.col("scc").alias("b")), [*key, "j"], "left"
+    )
+    back = back.filter(F.coalesce("a", "to") == F.coalesce("b", "j")).select(*key, F.col("i").alias("idx")).distinct()
+    marked = hung.join(back.withColumn("back", F.lit(True)), [*key, "idx"], "left")
+
+    def run(frame):
+        on = dict(zip(frame["idx"].tolist(), frame["on"].tolist(), strict=True))
+        stay: set[int] = set()
+        for v in frame.loc[frame["back"].notna(), "idx"].tolist():
+            while v in on and v not in stay:
+                stay.add(v)
+                v = on[v]
+        return frame.loc[frame["idx"].isin(stay), [*key, "idx", "to"]]
+
+    alive = marked.groupBy(*key, "block").applyInPandas(run, _schema(marked, key, "idx int, to int"))
+    alive = alive.join(of.withColumnRenamed("idx", "to"), [*key, "to"], "left")
+    return alive.select(*key, "idx", "to", F.coalesce("scc", "to").alias("scc"))
+
+
+def _contracted(left: DataFrame, key: list[str], in_task: int) -> DataFrame | None:
+    """(key, idx, scc) of graphs too large for a task: blocks of elements contract the components inside them and the rows that hang together, and the smaller graph goes round again
+    until it fits or no longer shrinks. Then the contractions are undone, last ones first."""
+    steps: list[tuple[DataFrame, DataFrame | None]] = []
+    while True:
+        left = _trimmed(left, key)
+        n = left.count()
+        largest = left.groupBy(*key).agg(F.count("*").alias("m")).agg(F.max("m")).first()[0]
+        if not n or largest <= in_task:
+            found = _in_tasks(left, key)
+            break
+        inner = _blocked(left, key, in_task).filter("block is not null")
+        own = cut(_in_tasks(inner, [*key, "block"]).filter("idx <> scc").select(*key, "idx", F.col("scc").alias("to")))
+        left = _renamed(left, key, own)
+        steps.append((own, None))
+        hung = _hung(left, key, in_task)
+        steps.append((hung, left))
+        left = _renamed(left, key, hung)
+        if left.count() > 0.8 * n:
+            found = _colours(left, key)
+            break
     if found is None:
-        return elements.select(*key, "idx", F.col("idx").alias("scc"))
+        found = left.select(*key, F.col("i").alias("idx"), F.col("j").alias("scc")).limit(0)
+    found = cut(found)
+    for moved, before in reversed(steps):
+        if before is None:  # a component's members are in the component of the one that stood for them
+            of = found.withColumnRenamed("idx", "to")
+            more = moved.join(of, [*key, "to"], "left").select(*key, "idx", "to", F.coalesce("scc", "to").alias("scc"))
+        else:
+            more = _unhung(moved, before, key, found)
+        more = cut(more)
+        stood = more.select(*key, F.col("to").alias("idx"), F.col("to").alias("scc")).distinct().join(found, [*key, "idx"], "left_anti")
+        found = cut(found.unionByName(more.drop("to")).unionByName(stood))
+    least = found.groupBy(*key, "scc").agg(F.min("idx").alias("least"))
+    return found.join(least, [*key, "scc"]).select(*key, "idx", F.least("least", "scc").alias("scc"))
+
+
+def strong_components(elements: DataFrame, edges: DataFrame, key: tuple[str, ...] = ("dsm_id",), in_task: int = IN_TASK) -> DataFrame:
+    """(key, idx, scc): scc is the smallest element that it reaches and is reached from.
+
+    Graphs of at most in_task edges are one row of work each, in time in proportion to their edges, all at once; larger ones are contracted in blocks of their elements."""
+    key = list(key)
+    left = cut(edges.filter("w > 0 and i <> j").select(*key, "i", "j").distinct())
+    large = cut(left.groupBy(*key).agg(F.count("*").alias("m")).filter(F.col("m") > in_task).select(*key))
+    found = _in_tasks(left.join(large, key, "left_anti"), key)
+    if not large.isEmpty():
+        found = found.unionByName(_contracted(cut(left.join(large, key, "left_semi")), key, in_task))
     return elements.select(*key, "idx").join(found, [*key, "idx"], "left").select(*key, "idx", F.coalesce("scc", "idx").alias("scc"))
 
 
@@ -157,77 +321,57 @@ def loops(sccs: DataFrame, key: tuple[str, ...] = ("dsm_id",)) -> DataFrame:
     return sccs.groupBy(*key, "scc").agg(F.count("*").alias("size")).filter("size > 1")
 
 
-def levels(edges: DataFrame, sccs: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """(dsm_id, scc, level): longest chain of components that it depends on."""
+def _raised(nodes: DataFrame, inner: DataFrame, by: list[str]) -> DataFrame:
+    """(by, a, old, level): the longest chain to each node inside its block, from the levels that it has already. nodes: by, a, level; inner: by, a, b."""
+
+    def run(_, own, links):
+        level = dict(zip(own["a"].tolist(), own["level"].tolist(), strict=True))
+        after: dict[int, list[int]] = {}
+        waits: dict[int, int] = {}
+        for a, b in zip(links["a"].tolist(), links["b"].tolist(), strict=True):
+            after.setdefault(b, []).append(a)
+            waits[a] = waits.get(a, 0) + 1
+        todo = [b for b in after if b not in waits]
+        for b in todo:
+            for a in after.get(b, ()):
+                level[a] = max(level[a], level[b] + 1)
+                waits[a] -= 1
+                if not waits[a]:
+                    todo.append(a)
+        return own.assign(level=own["a"].map(level))
+
+    out = _schema(nodes, by, "a int, level int")
+    return nodes.select(*by, "a", "level").groupBy(*by).cogroup(inner.select(*by, "a", "b").groupBy(*by)).applyInPandas(run, out)
+
+
+def levels(edges: DataFrame, sccs: DataFrame, in_task: int = IN_TASK) -> DataFrame:
+    """(dsm_id, scc, level): longest chain of components that it depends on. Each round follows all chains inside each block of components, some in_task / 2 dependencies each, then one
+    dependency between blocks; a matrix of at most in_task / 2 dependencies is one block."""
+    key = ["dsm_id"]
     sccs = cut(sccs.select("dsm_id", "idx", "scc"))
     a, b = (
         sccs.select("dsm_id", F.col("idx").alias("i"), F.col("scc").alias("a")),
         sccs.select("dsm_id", F.col("idx").alias("j"), F.col("scc").alias("b")),
     )
-    deps = cut(
-        edges.filter("w > 0").join(a, ["dsm_id", "i"]).join(b, ["dsm_id", "j"]).filter("a <> b").select("dsm_id", "a", "b").distinct()
-    )
-    now = cut(sccs.select("dsm_id", F.col("scc").alias("a")).distinct().withColumn("level", F.lit(0)))
-    for _ in range(max_rounds):
-        up = (
-            deps.join(now.select("dsm_id", F.col("a").alias("b"), "level"), ["dsm_id", "b"])
-            .groupBy("dsm_id", "a")
-            .agg((F.max("level") + 1).alias("m"))
-        )
-        new = cut(
-            now.join(up, ["dsm_id", "a"], "left").select(
-                "dsm_id", "a", F.col("level").alias("old"), F.coalesce("m", F.lit(0)).alias("level")
-            )
-        )
-        settled = new.filter("level <> old").isEmpty()
-        now = new.drop("old")
-        if settled:
+    deps = edges.filter("w > 0").join(a, ["dsm_id", "i"]).join(b, ["dsm_id", "j"]).filter("a <> b").select("dsm_id", "a", "b").distinct()
+    deps = cut(_blocked(cut(deps), key, in_task, ("a", "b")))
+    inner, across = deps.filter("block is not null"), cut(deps.filter("block is null").select("dsm_id", "a", "b"))
+    zero = F.lit(0).alias("level")
+    inside = cut(inner.select("dsm_id", "block", F.explode(F.array("a", "b")).alias("a")).distinct().select("dsm_id", "block", "a", zero))
+    others = across.select("dsm_id", F.explode(F.array("a", "b")).alias("a")).distinct()
+    outside = cut(others.join(inside, ["dsm_id", "a"], "left_anti").select("dsm_id", "a", zero))
+    while True:
+        inside = cut(_raised(inside, inner, ["dsm_id", "block"]))
+        now = inside.select("dsm_id", "a", "level").unionByName(outside)
+        up = across.join(now.withColumnRenamed("a", "b"), ["dsm_id", "b"]).groupBy("dsm_id", "a").agg((F.max("level") + 1).alias("m"))
+        up = cut(up.join(now, ["dsm_id", "a"]).filter("m > level").select("dsm_id", "a", "m"))
+        if up.isEmpty():
             break
-    return now.select("dsm_id", F.col("a").alias("scc"), "level")
-
-
-def tearing(edges: DataFrame, sccs: DataFrame, top: int = 5, chunk: int = 512) -> DataFrame:
-    """(dsm_id, scc, rank, i, j, w, impact, largest_loop_after, fully_resolves): each edge inside a loop is taken out, in a scenario of its own, and loops are found again.
-
-    A loop's edges go to tasks that try `chunk` edges each. Only the edges of two spanning trees (twice the loop's elements at most) can break it;
-    these take time linear in the loop each, the others none. A loop of more than MAX_LOOP edges is an error."""
-    sccs = cut(sccs.select("dsm_id", "idx", "scc"))
-    a, b = sccs.select("dsm_id", F.col("idx").alias("i"), "scc"), sccs.select("dsm_id", F.col("idx").alias("j"), F.col("scc").alias("s2"))
-    inner = (
-        edges.filter("w > 0 and i <> j")
-        .join(a, ["dsm_id", "i"])
-        .join(b, ["dsm_id", "j"])
-        .filter("scc = s2")
-        .select("dsm_id", "scc", "i", "j", "w")
-    )
-    counts = cut(inner.groupBy("dsm_id", "scc").agg(F.count("*").alias("m")))
-    large = counts.filter(F.col("m") > MAX_LOOP).first()
-    if large:
-        raise ValueError(f"a loop of {large['dsm_id']} has {large['m']} dependencies, more than {MAX_LOOP}")
-    pack = inner.groupBy("dsm_id", "scc").agg(F.sort_array(F.collect_list(F.struct("i", "j", "w"))).alias("cells"))
-    size = loops(sccs).withColumnRenamed("size", "n")
-    tasks = counts.select(
-        "dsm_id",
-        "scc",
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1, F.lit(chunk).cast("long")).cast("array<int>")).alias("at"),
-    ).repartition("dsm_id", "scc", "at")
-
-    def run(frame):
-        import pandas as pd
-
-        out = []
-        for row in frame.to_dict("records"):
-            cells = [(c["i"], c["j"]) for c in row["cells"]]
-            left = largest_without(cells, row["at"], row["at"] + chunk)
-            for c, x in zip(row["cells"][row["at"] :], left, strict=False):
-                out.append((row["dsm_id"], row["scc"], c["i"], c["j"], c["w"], row["n"] - x, x, x == 1))
-        return pd.DataFrame(out, columns=["dsm_id", "scc", "i", "j", "w", "impact", "largest_loop_after", "fully_resolves"])
-
-    found = tasks.join(pack, ["dsm_id", "scc"]).join(size, ["dsm_id", "scc"]).groupBy("dsm_id", "scc", "at").applyInPandas(
-        run, "dsm_id string, scc int, i int, j int, w double, impact long, largest_loop_after long, fully_resolves boolean"
-    )
-    order = W.partitionBy("dsm_id", "scc").orderBy(F.desc("impact"), "w", "i", "j")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+        higher = F.coalesce("m", "level").alias("level")
+        inside = inside.join(up, ["dsm_id", "a"], "left").select("dsm_id", "block", "a", higher)
+        outside = cut(outside.join(up, ["dsm_id", "a"], "left").select("dsm_id", "a", higher))
+    every = sccs.select("dsm_id", F.col("scc").alias("a")).distinct().join(now, ["dsm_id", "a"], "left")
+    return every.select("dsm_id", F.col("a").alias("scc"), F.coalesce("level", F.lit(0)).alias("level"))
 
 
 def propagation(edges: DataFrame, depth: int = 4, attenuation: float = 0.6) -> DataFrame:

@@ -12,6 +12,7 @@ from depmatrix.operators import diff as D
 from depmatrix.operators import graph as G
 from depmatrix.operators import scoring as S
 from depmatrix.operators import transforms as T
+from depmatrix.operators import tearing
 from depmatrix.operators import whatif as Q
 from depmatrix.params import Constraints
 from depmatrix.plans import cluster, derive, process, report
@@ -525,7 +526,7 @@ def _torn(before: str) -> str:
 @query(_torn(_with(_REACH, _SCC, share=0.9, recursive=True)))
 def tearing_q90(spark, sf_dir):
     d = _dsm(spark, sf_dir, 0.9)
-    return G.tearing(d.edges, G.strong_components(d.elements, d.edges)).drop("dsm_id")
+    return tearing.tearing(d.edges, G.strong_components(d.elements, d.edges)).drop("dsm_id")
 
 
 _RISK = (
@@ -741,11 +742,11 @@ def stability_bounds(spark, sf_dir):
     return each.crossJoin(figures).select("elements", "runs", fine.alias("within_bounds"))
 
 
-def _chain(spark: SparkSession, sf_dir: str, kind: str) -> Dsm:
-    """supp: the heaviest hundredth of the suppliers' chain. part: edges of the parts' chain that occur twice at least."""
+def _chain(spark: SparkSession, sf_dir: str, kind: str, share: float = 0.99) -> Dsm:
+    """supp: the suppliers' chain from its edge at that share of the weights on, the heaviest hundredth. part: edges of the parts' chain that occur twice at least."""
     d = derive.chain(spark, sf_dir, "l_suppkey" if kind == "supp" else "l_partkey", f"{kind}_chain")
     edges = G.cut(d.edges)
-    d = derive.strongest(Dsm(d.elements, edges), 0.99) if kind == "supp" else Dsm(d.elements, edges.filter("w >= 2"))
+    d = derive.strongest(Dsm(d.elements, edges), share) if kind == "supp" else Dsm(d.elements, edges.filter("w >= 2"))
     return Dsm(d.elements, G.cut(d.edges))
 
 
@@ -755,9 +756,9 @@ def _shape(d: Dsm) -> DataFrame:
     return out.withColumn("symmetry_ratio", F.round("symmetry_ratio", 6))
 
 
-def _chain_sql(kind: str, *parts: str) -> str:
+def _chain_sql(kind: str, *parts: str, share: float = 0.99) -> str:
     key, ident, name = ("l_suppkey", "s_suppkey", "supplier") if kind == "supp" else ("l_partkey", "p_partkey", "part")
-    edges = _CUT.format(share=0.99) if kind == "supp" else "e AS (SELECT * FROM t WHERE w >= 2)"
+    edges = _CUT.format(share=share) if kind == "supp" else "e AS (SELECT * FROM t WHERE w >= 2)"
     elements = f"n AS (SELECT CAST(row_number() OVER (ORDER BY {ident}) - 1 AS INTEGER) AS idx FROM {name})"
     return (
         "WITH RECURSIVE "
@@ -860,7 +861,24 @@ def process_tears_supp_chain(spark, sf_dir):
 @query(_torn(_chain_sql("supp")))
 def tearing_supp_chain(spark, sf_dir):
     d = _chain(spark, sf_dir, "supp")
-    return G.tearing(d.edges, G.strong_components(d.elements, d.edges)).drop("dsm_id")
+    return tearing.tearing(d.edges, G.strong_components(d.elements, d.edges)).drop("dsm_id")
+
+
+_DENSER = 0.97
+
+
+@query(_torn(_chain_sql("supp", share=_DENSER)))
+def tearing_supp_loop(spark, sf_dir):
+    """Of a denser chain, where nearly all suppliers are one loop."""
+    d = _chain(spark, sf_dir, "supp", _DENSER)
+    return tearing.tearing(d.edges, G.strong_components(d.elements, d.edges)).drop("dsm_id")
+
+
+@query(_torn(_chain_sql("supp", share=_DENSER)))
+def tearing_supp_loop_tables(spark, sf_dir):
+    """The same as for loops that no task holds: in tables alone."""
+    d = _chain(spark, sf_dir, "supp", _DENSER)
+    return tearing.tearing(d.edges, G.strong_components(d.elements, d.edges), in_task=0).drop("dsm_id")
 
 
 @query(_chain_sql("supp", _DEP, _LV) + _LEVEL_OF)

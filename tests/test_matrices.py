@@ -5,7 +5,7 @@ import pytest
 from fixtures import dsm_of, loop_process, planted_blocks, two_cliques
 from pyspark.sql import functions as F
 
-from depmatrix.operators import graph, scoring, transforms, whatif
+from depmatrix.operators import graph, scoring, tearing, transforms, whatif
 from depmatrix.params import Constraints
 from depmatrix.plans import cluster, process
 from depmatrix.schema import Dsm, validate
@@ -73,7 +73,7 @@ def test_process_agrees_with_tables(spark):
     }
     kernel, plan = (
         rows(p.tears, "i", "j", "impact", "largest_loop_after"),
-        rows(graph.tearing(d.edges, sccs), "i", "j", "impact", "largest_loop_after"),
+        rows(tearing.tearing(d.edges, sccs), "i", "j", "impact", "largest_loop_after"),
     )
     assert kernel == plan
     symmetric = dsm_of(spark, s=np.ones((5, 5)) - np.eye(5))
