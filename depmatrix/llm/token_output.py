@@ -33,7 +33,7 @@ _WHITE = frozenset(c for c in map(chr, [*range(0x3001), 0xFEFF]) if c.isspace()
 _CUT = re.compile(f"(?<![{re.escape(''.join(sorted(_WHITE)))}]) ")
 #: So it does before these marks after an ASCII letter or digit; for long stretches without a space.
 _LONG_CUT = re.compile("(?<=[A-Za-z0-9])(?=[\\n!-/:-@\\[-`{-~\\u3001\\u3002\\uff01\\uff0c\\uff1b\\uff1f])")
-_LONG, _WINDOW, _REMEMBERED = 1 << 14, 1 << 18, 1_000_000
+_LONG, _WINDOW, _REMEMBERED = 1 << 14, 1 << 18, 1_800_000
 
 
 #: Marks that are a token's piece of their own behind an ASCII letter or digit, where nothing follows them.
@@ -41,7 +41,7 @@ _MARKS = frozenset(",.;:!?)")
 
 
 class Tokens:
-    """Ids of texts, by a tokenizer. Texts are cut at spaces between which no token runs; what stands between two is remembered (_REMEMBERED and a window's at most, some 200 MB,
+    """Ids of texts, by a tokenizer. Texts are cut at spaces between which no token runs; what stands between two is remembered (_REMEMBERED and a window's at most, some 400 MB,
     then it begins anew). Some _WINDOW characters are worked on at a time; only a stretch of letters alone, or of marks alone, is tokenised in one piece whatever its length."""
 
     def __init__(self, path: str, special_as_text: bool = True):
@@ -51,6 +51,7 @@ class Tokens:
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = special_as_text
         self._met: dict[str, bytes] = {}  # ids of what follows a space
+        self._after_line: dict[str, bytes] = {}  # and a newline, that included
         self._mark = {x: self._encode([x])[0] for x in _MARKS}
 
     def _encode(self, parts: list[str]) -> list[bytes]:
@@ -60,18 +61,22 @@ class Tokens:
         return b"".join(self._encode([stretch] if len(stretch) <= _LONG else _LONG_CUT.split(stretch)))
 
     def _learn(self, new: list[str]) -> dict[str, bytes]:
-        """Ids of stretches not met before. A mark at the end is a piece by itself, so that a word with one and without is asked for once."""
-        marked = {x for x in new if len(x) > 1 and x[-1] in _MARKS and x[-2].isascii() and x[-2].isalnum()}
-        plain = [x for x in {x[:-1] if x in marked else x for x in new} if x not in self._met]
+        """Ids of stretches not met before. A newline between two words, and a mark at the end, begin pieces, so that words are asked for once, whatever stands beside them."""
+        lined = {x: x.split("\n") for x in new if "\n" in x}
+        lined = {x: y for x, y in lined.items() if all(w and w[0] not in _WHITE and w[-1] not in _WHITE for w in y)}
+        after = [w for w in {w for y in lined.values() for w in y[1:]} if w not in self._after_line]
+        self._after_line.update(zip(after, map(self._whole, map("\n".__add__, after)), strict=True))
+        asked = {x for x in new if x not in lined} | {y[0] for y in lined.values() if y[0] not in self._met}
+        marked = {x for x in asked if len(x) > 1 and x[-1] in _MARKS and x[-2].isascii() and x[-2].isalnum()}
+        plain = [x for x in {x[:-1] if x in marked else x for x in asked} if x not in self._met]
         short = [x for x in plain if len(x) <= _LONG]
         got = dict(zip(short, self._encode([" " + x for x in short]), strict=True))
         got.update((x, self._whole(" " + x)) for x in plain if len(x) > _LONG)
-        self._met.update((x, ids) for x, ids in got.items() if 0 < len(x) <= 256 and x[-1] not in _WHITE)
         for x in marked:
-            ids = (got[x[:-1]] if x[:-1] in got else self._met[x[:-1]]) + self._mark[x[-1]]
-            got[x] = ids
-            if len(x) <= 256:
-                self._met[x] = ids
+            got[x] = (got[x[:-1]] if x[:-1] in got else self._met[x[:-1]]) + self._mark[x[-1]]
+        for x, y in lined.items():
+            got[x] = (got[y[0]] if y[0] in got else self._met[y[0]]) + b"".join([self._after_line[w] for w in y[1:]])
+        self._met.update((x, ids) for x, ids in got.items() if 0 < len(x) <= 256 and x[-1] not in _WHITE)
         return got
 
     def ids(self, text: str, end: int | None = END) -> np.ndarray:
@@ -81,6 +86,7 @@ class Tokens:
             stop = found.start() if found else n
             if len(self._met) > _REMEMBERED:
                 self._met.clear()
+                self._after_line.clear()
             part, first = text[at:stop], not at
             at = stop + 1  # the space belongs to what follows it
             last = [""] if at == n and found else []
