@@ -12,6 +12,7 @@ from depmatrix.operators import diff as D
 from depmatrix.operators import graph as G
 from depmatrix.operators import scoring as S
 from depmatrix.operators import transforms as T
+from depmatrix.operators import communities as C
 from depmatrix.operators import tearing
 from depmatrix.operators import whatif as Q
 from depmatrix.params import Constraints
@@ -895,3 +896,24 @@ def process_metrics_fixed_supp_chain(spark, sf_dir):
 def process_tears_fixed_supp_chain(spark, sf_dir):
     """The tears but for the block's number."""
     return process.partition(_chain(spark, sf_dir, "supp"), seed=1).tears.drop("dsm_id", "block")
+
+
+_MOVES = """s AS (SELECT i, j, sum(w) / 2 AS w FROM (SELECT i, j, w FROM e UNION ALL SELECT j, i, w FROM e) GROUP BY ALL),
+k AS (SELECT i AS v, sum(w) AS k FROM s GROUP BY i), kc AS (SELECT n.cluster AS c, sum(k.k) AS kc FROM k JOIN n ON n.idx = k.v GROUP BY ALL),
+l AS (SELECT s.i AS v, n.cluster AS c, sum(s.w) AS l FROM s JOIN n ON n.idx = s.j GROUP BY ALL), a AS (SELECT sum(w) AS a FROM s),
+g AS (SELECT k.v, n.cluster AS c, l.c AS dest, 2 * (l.l - coalesce(h.l, 0)) / a.a - 2 * k.k * (t.kc - o.kc + k.k) / (a.a * a.a) AS gain FROM k JOIN n ON n.idx = k.v JOIN l ON l.v = k.v AND l.c <> n.cluster
+  JOIN kc o ON o.c = n.cluster JOIN kc t ON t.c = l.c LEFT JOIN l h ON h.v = k.v AND h.c = n.cluster, a)"""
+
+
+@query(_with(_MOVES, share=0.5) + "SELECT v AS idx, c AS cluster, dest, round(gain, 9) AS gain FROM g WHERE gain > 1e-12 QUALIFY row_number() OVER (PARTITION BY v ORDER BY gain DESC, dest) = 1")
+def modularity_moves(spark, sf_dir):
+    """From the regions, where each nation would move alone."""
+    d = _dsm(spark, sf_dir, 0.5)
+    member = _regions(spark, sf_dir).select("dsm_id", F.col("idx").alias("v"), F.col("cluster").alias("c"))
+    moves = C.best_moves(G.cut(T.symmetrise(d.edges)), member)
+    return moves.select(F.col("v").alias("idx"), F.col("c").alias("cluster"), F.col("to").alias("dest"), F.round("gain", 9).alias("gain"))
+
+
+@query()
+def communities_supp_chain(spark, sf_dir):
+    return C.communities(_chain(spark, sf_dir, "supp"))[0].drop("dsm_id")
