@@ -13,7 +13,7 @@ from depmatrix.operators import graph as G
 from depmatrix.operators import scoring as S
 from depmatrix.operators import transforms as T
 from depmatrix.operators import communities as C
-from depmatrix.operators import tearing
+from depmatrix.operators import staleness, tearing
 from depmatrix.operators import whatif as Q
 from depmatrix.params import Constraints
 from depmatrix.plans import cluster, derive, process, report
@@ -917,3 +917,39 @@ def modularity_moves(spark, sf_dir):
 @query()
 def communities_supp_chain(spark, sf_dir):
     return C.communities(_chain(spark, sf_dir, "supp"))[0].drop("dsm_id")
+
+
+_HASH = "('0x' || substr(md5({}), 1, 12))::BIGINT::DECIMAL(38,0)"
+_CONTENT = (
+    "SELECT (SELECT count(*) FROM n) AS n, (SELECT count(*) FROM {e}) AS m, CAST((SELECT sum("
+    + _HASH.format("'e|' || idx || '|' || label")
+    + ") FROM n) + (SELECT sum("
+    + _HASH.format("'w|' || i || '|' || j || '|' || w")
+    + ") FROM {e}) AS VARCHAR) AS content"
+)
+_EDITS = (
+    "same AS (SELECT * FROM e)",
+    "edited AS (SELECT i, j, w FROM e WHERE NOT (i = 1 AND j = 2) UNION ALL SELECT 1, 2, CAST(7 AS DOUBLE))",
+    "turned AS (SELECT j AS i, i AS j, w FROM e)",
+)
+
+
+@query(
+    _with(*_EDITS, "c AS (" + " UNION ALL ".join(f"SELECT '{k}' AS edit, * FROM ({_CONTENT.format(e=k)})" for k in ("same", "edited", "turned")) + ")", share=0.9)
+    + "SELECT edit, n, m, content, content <> (SELECT content FROM c WHERE edit = 'same') AS stale FROM c"
+)
+def staleness_of_edits(spark, sf_dir):
+    """The strongest trade in another order of rows, with a cell set, and transposed: the content, and whether the scores of the matrix are stale then."""
+    d = _dsm(spark, sf_dir, 0.9)
+    scored = G.cut(staleness.stamped(S.symmetry_ratio(d.edges).select("dsm_id"), d))
+    edits = {
+        "same": Dsm(d.elements.orderBy(F.desc("idx")), d.edges.repartition(5, "w")),
+        "edited": T.with_edge(d, "nation_trade", 1, 2, 7.0),
+        "turned": Dsm(d.elements, T.transpose(d.edges)),
+    }
+    out = None
+    for name, other in edits.items():
+        row = staleness.content(other).join(staleness.checked(scored, other).select("dsm_id", "stale"), "dsm_id")
+        row = row.select(F.lit(name).alias("edit"), "n", "m", "content", "stale")
+        out = row if out is None else out.unionByName(row)
+    return out
