@@ -17,7 +17,7 @@ DIVISIONS = ((0, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7
 BLOCK = 4096
 MAGIC = b"IDS8BW01"
 _U = np.uint64
-_RARE = 0.6
+_RARE = 0.4
 _LONGEST_RUN = 240
 
 
