@@ -13,7 +13,7 @@ from depmatrix.operators import graph as G
 from depmatrix.operators import scoring as S
 from depmatrix.operators import transforms as T
 from depmatrix.operators import communities as C
-from depmatrix.operators import staleness, tearing
+from depmatrix.operators import history, staleness, tearing
 from depmatrix.operators import whatif as Q
 from depmatrix.params import Constraints
 from depmatrix.plans import cluster, derive, process, report
@@ -953,3 +953,43 @@ def staleness_of_edits(spark, sf_dir):
         row = row.select(F.lit(name).alias("edit"), "n", "m", "content", "stale")
         out = row if out is None else out.unionByName(row)
     return out
+
+
+#: An edit log out of the events: who edits which cell, renames, undoes or redoes follows from the event's number. SQL goes through each matrix's steps with both stacks in hand.
+_VERSIONS = """WITH RECURSIVE ev AS (SELECT 'group ' || (user_id % 25) AS dsm_id, event_id AS seq, CASE WHEN event_id % 11 < 6 THEN 'set' WHEN event_id % 11 = 6 THEN 'rename' WHEN event_id % 11 = 9 THEN 'redo' ELSE 'undo' END AS kind,
+  event_id // 11 % 5 AS a, event_id // 55 % 5 AS b, event_id % 4 AS w, event_type AS label FROM events),
+lg AS (SELECT *, row_number() OVER (PARTITION BY dsm_id ORDER BY seq) AS k FROM ev WHERE NOT (kind = 'set' AND a = b)),
+st(dsm_id, k, seq, u, r, edit, holds) AS (SELECT DISTINCT dsm_id, 0::BIGINT, (-1)::BIGINT, []::BIGINT[], []::BIGINT[], NULL::BIGINT, false FROM lg
+  UNION ALL SELECT l.dsm_id, l.k, l.seq,
+    CASE WHEN kind = 'undo' THEN u[1:len(u) - 1] WHEN kind = 'redo' THEN CASE WHEN len(r) > 0 THEN list_append(u, r[len(r)]) ELSE u END WHEN len(u) >= 50 THEN list_append(u[2:], l.seq) ELSE list_append(u, l.seq) END,
+    CASE WHEN kind = 'undo' THEN CASE WHEN len(u) > 0 THEN list_append(r, u[len(u)]) ELSE r END WHEN kind = 'redo' THEN r[1:len(r) - 1] ELSE []::BIGINT[] END,
+    CASE WHEN kind = 'undo' THEN u[len(u)] WHEN kind = 'redo' THEN r[len(r)] ELSE l.seq END, kind <> 'undo' FROM st JOIN lg l ON l.dsm_id = st.dsm_id AND l.k = st.k + 1),
+v AS (SELECT unnest([2500, 5000, 10000000]) AS version),
+f AS (SELECT v.version, s.dsm_id, s.edit FROM st s, v WHERE s.edit IS NOT NULL AND s.seq <= v.version GROUP BY ALL HAVING arg_max(s.holds, s.seq)),
+c AS (SELECT f.version, f.dsm_id, a, b, arg_max(w, seq) AS w FROM f JOIN lg ON lg.dsm_id = f.dsm_id AND lg.seq = f.edit WHERE kind = 'set' GROUP BY ALL),
+t AS (SELECT f.version, f.dsm_id, a, arg_max(label, seq) AS label FROM f JOIN lg ON lg.dsm_id = f.dsm_id AND lg.seq = f.edit WHERE kind = 'rename' GROUP BY ALL)
+SELECT CAST(c.version AS INTEGER) AS version, c.dsm_id, CAST(c.a AS INTEGER) AS i, CAST(c.b AS INTEGER) AS j, CAST(w AS DOUBLE) AS w, coalesce(t.label, 'Element ' || (c.a + 1)) AS label
+FROM c LEFT JOIN t ON t.version = c.version AND t.dsm_id = c.dsm_id AND t.a = c.a WHERE w > 0"""
+
+
+@query(_VERSIONS)
+def matrix_versions(spark, sf_dir):
+    """Three versions of 25 matrices that begin blank and are edited by the events: cells, and the name of each cell's row."""
+    e = F.col("event_id")
+    kind = F.when(e % 11 < 6, "set").when(e % 11 == 6, "rename").when(e % 11 == 9, "redo").otherwise("undo")
+    at = lambda k: (F.floor(e / k) % 5).cast("int")
+    log = derive.table(spark, sf_dir, "events").select(
+        F.concat(F.lit("group "), F.col("user_id") % 25).alias("dsm_id"), e.alias("seq"), kind.alias("kind"), at(11).alias("a"), at(55).alias("b"),
+        (e % 4).cast("double").alias("w"), F.col("event_type").alias("label"),
+    )
+    log = G.cut(log)
+    every = log.select("dsm_id").distinct()
+    blank = every.select("dsm_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("idx")).withColumn("label", F.concat(F.lit("Element "), F.col("idx") + 1))
+    base = Dsm(blank, spark.createDataFrame([], "dsm_id string, i int, j int, w double"))
+    done, out = G.cut(history.effects(log)), None
+    for version in (2500, 5000, 10_000_000):
+        d, _ = history.as_of(base, log, done, version)
+        rows = d.edges.join(d.elements.select("dsm_id", F.col("idx").alias("i"), "label"), ["dsm_id", "i"])
+        rows = rows.select(F.lit(version).alias("version"), "dsm_id", "i", "j", "w", "label")
+        out = rows if out is None else out.unionByName(rows)
+    return out
