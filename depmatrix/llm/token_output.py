@@ -33,7 +33,7 @@ _WHITE = frozenset(c for c in map(chr, [*range(0x3001), 0xFEFF]) if c.isspace()
 _CUT = re.compile(f"(?<![{re.escape(''.join(sorted(_WHITE)))}]) ")
 #: So it does before these marks after an ASCII letter or digit; for long stretches without a space.
 _LONG_CUT = re.compile("(?<=[A-Za-z0-9])(?=[\\n!-/:-@\\[-`{-~\\u3001\\u3002\\uff01\\uff0c\\uff1b\\uff1f])")
-_LONG, _WINDOW, _REMEMBERED = 1 << 14, 1 << 18, 1_800_000
+_LONG, _WINDOW, _REMEMBERED = 1 << 14, 1 << 18, 1_000_000
 
 
 #: Marks that are a token's piece of their own behind an ASCII letter or digit, where nothing follows them.
@@ -41,7 +41,7 @@ _MARKS = frozenset(",.;:!?)")
 
 
 class Tokens:
-    """Ids of texts, by a tokenizer. Texts are cut at spaces between which no token runs; what stands between two is remembered (_REMEMBERED and a window's at most, some 400 MB,
+    """Ids of texts, by a tokenizer. Texts are cut at spaces between which no token runs; what stands between two is remembered (_REMEMBERED and a window's at most, some 250 MB,
     then it begins anew). Some _WINDOW characters are worked on at a time; only a stretch of letters alone, or of marks alone, is tokenised in one piece whatever its length."""
 
     def __init__(self, path: str, special_as_text: bool = True):
@@ -84,7 +84,7 @@ class Tokens:
         while at < n:
             found = _CUT.search(text, at + _WINDOW)
             stop = found.start() if found else n
-            if len(self._met) > _REMEMBERED:
+            if len(self._met) + len(self._after_line) > _REMEMBERED:
                 self._met.clear()
                 self._after_line.clear()
             part, first = text[at:stop], not at
