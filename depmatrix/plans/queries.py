@@ -412,12 +412,21 @@ def report_comparison(spark, sf_dir):
     return report.comparison(cluster.cluster_stage(derive.nation_trade(spark, sf_dir), Constraints(seed=1)))
 
 
-@query("SELECT * FROM (VALUES (0, 1, 'Pump', 'Valve', 3.0::DOUBLE), (2, 0, 'Motor', 'Pump', 1.0::DOUBLE)) AS v(i, j, src, dst, w)")
+_LINES = """r AS (SELECT event_id AS line, event_type AS src, CASE WHEN event_id % 13 = 0 THEN event_type ELSE 'group ' || (user_id % 10) END AS dst, (event_id + 1) % 7 AS w FROM events),
+s AS (SELECT label, min(first) AS first FROM (SELECT src AS label, 2 * line AS first FROM r UNION ALL SELECT dst, 2 * line + 1 FROM r) GROUP BY label),
+x AS (SELECT label, CAST(row_number() OVER (ORDER BY first, label) - 1 AS INTEGER) AS idx FROM s),
+p AS (SELECT src, dst, CAST(arg_max(CASE WHEN w = 0 THEN 1 ELSE w END, line) AS DOUBLE) AS w FROM r WHERE src <> dst GROUP BY src, dst)"""
+
+
+@query(f"WITH {_LINES} SELECT a.idx AS i, b.idx AS j, src, dst, w FROM p JOIN x a ON a.label = p.src JOIN x b ON b.label = p.dst")
 def edge_list_ingest(spark, sf_dir):
+    """The events as lines of an edge list: blank weights, repeated pairs, edges of a type to itself, names with white space around them."""
     from depmatrix.sources.text import edges_from_lines
 
-    text = "from,to,weight\nPump,Valve,2\nMotor,Pump,\n\nPump,Valve,3\nFan,Fan,1\nlonely\n"
-    lines = spark.range(1).select(F.posexplode(F.split(F.lit(text), "\n")).alias("line", "value"))
+    e = F.col("event_id")
+    dst = F.when(e % 13 == 0, F.col("event_type")).otherwise(F.concat(F.lit("group "), F.col("user_id") % 10))
+    weight = F.when((e + 1) % 7 == 0, "").otherwise(((e + 1) % 7).cast("string"))
+    lines = derive.table(spark, sf_dir, "events").select(e.alias("line"), F.concat("event_type", F.lit(" , "), dst, F.lit(","), weight).alias("value"))
     d = edges_from_lines(lines)
     a, b = (
         d.elements.select("dsm_id", F.col("idx").alias("i"), F.col("label").alias("src")),

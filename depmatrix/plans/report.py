@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from depmatrix.operators import diff as D
+from depmatrix.operators.numbering import numbered
 from depmatrix.operators import scoring
 from depmatrix.params import Constraints
 from depmatrix.plans.cluster import Stage1
@@ -75,12 +76,7 @@ def process_report(dsm: Dsm, found: Process) -> dict[str, DataFrame]:
     """summary (loops, coupled of all tasks, levels, feedback before and after) and tears, with labels: from is what depends, to what it depends on."""
     name = lambda i, label: dsm.elements.select("dsm_id", F.col("idx").alias(i), F.col("label").alias(label))
     loops = found.blocks.filter("is_loop").select("dsm_id", "block")
-    number = (
-        loops.join(loops.withColumnRenamed("block", "other"), "dsm_id")
-        .filter("other <= block")
-        .groupBy("dsm_id", "block")
-        .agg(F.count("*").alias("loop"))
-    )
+    number = numbered(loops, ["block"], "place").select("dsm_id", "block", (F.col("place") + 1).cast("long").alias("loop"))
     tears = (
         found.tears.join(number, ["dsm_id", "block"])
         .join(name("i", "from_label"), ["dsm_id", "i"])
