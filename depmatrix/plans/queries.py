@@ -329,12 +329,22 @@ def co_clustering(spark, sf_dir):
     return S.co_clustering(_runs(spark, sf_dir)).drop("dsm_id")
 
 
-@query("WITH " + _NATION + ", " + _RUNS + """, f AS (SELECT a.idx AS i, b.idx AS j, count(*) / 4 AS frac FROM r a JOIN r b ON a.run = b.run AND a.cluster = b.cluster GROUP BY ALL)
-SELECT a.idx, round(coalesce(avg(CASE WHEN b.idx IS NULL THEN NULL ELSE coalesce(f.frac, 0) END), 1), 6) AS c FROM n a LEFT JOIN n b ON a.cluster = b.cluster AND a.idx <> b.idx LEFT JOIN f ON f.i = a.idx AND f.j = b.idx GROUP BY a.idx""")
+_CONSISTENCY = "WITH " + _NATION + ", " + _RUNS + """, f AS (SELECT a.idx AS i, b.idx AS j, count(*) / 4 AS frac FROM r a JOIN r b ON a.run = b.run AND a.cluster = b.cluster GROUP BY ALL)
+SELECT a.idx, round(coalesce(avg(CASE WHEN b.idx IS NULL THEN NULL ELSE coalesce(f.frac, 0) END), 1), 6) AS c FROM n a LEFT JOIN n b ON a.cluster = b.cluster AND a.idx <> b.idx LEFT JOIN f ON f.i = a.idx AND f.j = b.idx GROUP BY a.idx"""
+
+
+@query(_CONSISTENCY)
 def consistency(spark, sf_dir):
     return S.consistency(_runs(spark, sf_dir), _regions(spark, sf_dir)).select("idx", F.round("c", 6).alias("c"))
 
 
+@query(f"SELECT * FROM ({_CONSISTENCY.replace('n b ON a.cluster = b.cluster', 'n b ON a.idx % 4 = b.idx % 4')}) WHERE c < 0.7")
+def unsettled_elements(spark, sf_dir):
+    """Against the second of the runs as the reference."""
+    reference = _mod(derive.nation_trade(spark, sf_dir), 4)
+    return S.unsettled(S.consistency(_runs(spark, sf_dir), reference)).select("idx", F.round("c", 6).alias("c"))
+
+
 @query("WITH " + _NATION + ", " + _RUNS + """, f AS (SELECT r.run, r.idx, r.cluster, min(r.idx) OVER (PARTITION BY r.run, r.cluster) AS first FROM r),
 x AS (SELECT run, string_agg(cluster, ',' ORDER BY idx) AS a, string_agg(first, ',' ORDER BY idx) AS b FROM f GROUP BY run) SELECT count(DISTINCT a) AS distinct_partitions, count(DISTINCT b) AS distinct_canonical FROM x""")
 def distinct_partitions(spark, sf_dir):
