@@ -69,7 +69,7 @@ def _apart(moves: DataFrame) -> DataFrame:
     return moves.join(won, _NODE, "left_semi")
 
 
-def local_moves(links: DataFrame, member: DataFrame, classes: int = 2, resolution: float = 1.0, enough: float = 1e-6) -> tuple[DataFrame, list[float]]:
+def local_moves(links: DataFrame, member: DataFrame, classes: int = 2, resolution: float = 1.0, enough: float = 1e-4) -> tuple[DataFrame, list[float]]:
     """member after moves until a round of all classes raises the modularity of no matrix by more than `enough`; and the sum of modularities over the matrices, round by round."""
     now = cut(modularity(links, member, resolution))
     sums = [now.agg(F.sum("q")).first()[0] or 0.0]
