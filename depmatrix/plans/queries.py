@@ -933,11 +933,6 @@ def modularity_moves(spark, sf_dir):
     return moves.select(F.col("v").alias("idx"), F.col("c").alias("cluster"), F.col("to").alias("dest"), F.round("gain", 9).alias("gain"))
 
 
-@query()
-def communities_supp_chain(spark, sf_dir):
-    return C.communities(_chain(spark, sf_dir, "supp"))[0].drop("dsm_id")
-
-
 _HASH = "('0x' || substr(md5({}), 1, 12))::BIGINT::DECIMAL(38,0)"
 _CONTENT = (
     "SELECT (SELECT count(*) FROM n) AS n, (SELECT count(*) FROM {e}) AS m, CAST((SELECT sum("
