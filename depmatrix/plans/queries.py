@@ -13,7 +13,7 @@ from depmatrix.operators import graph as G
 from depmatrix.operators import scoring as S
 from depmatrix.operators import transforms as T
 from depmatrix.operators import communities as C
-from depmatrix.operators import history, staleness, tearing
+from depmatrix.operators import history, markov, staleness, tearing
 from depmatrix.operators import whatif as Q
 from depmatrix.params import Constraints
 from depmatrix.plans import cluster, derive, process, report
@@ -933,6 +933,34 @@ def modularity_moves(spark, sf_dir):
     return moves.select(F.col("v").alias("idx"), F.col("c").alias("cluster"), F.col("to").alias("dest"), F.round("gain", 9).alias("gain"))
 
 
+def _markov_sql(rounds: int, top: int, inflation: int = 2) -> str:
+    """Pruned Markov rounds over e and n (idx), and the clusters then."""
+    narrow = "SELECT i, j, w / sum(w) OVER (PARTITION BY j) AS w FROM k{k}"
+    out = [f"k0 AS (SELECT i, j, w FROM (SELECT i, j, w / sum(w) OVER (PARTITION BY j) AS w FROM (SELECT i, j, w FROM e UNION ALL SELECT idx, idx, 1.0 FROM n)) QUALIFY row_number() OVER (PARTITION BY j ORDER BY round(w, 12) DESC, i) <= {top})"]
+    for k in range(rounds):
+        out.append(f"m{k} AS MATERIALIZED (" + narrow.format(k=k) + ")")
+        out.append(f"s{k} AS MATERIALIZED (SELECT a.i, b.j, pow(sum(a.w * b.w), {inflation}) AS w FROM m{k} a JOIN m{k} b ON a.j = b.i GROUP BY a.i, b.j)")
+        out.append(f"k{k + 1} AS (SELECT i, j, w FROM (SELECT i, j, w / sum(w) OVER (PARTITION BY j) AS w FROM s{k} WHERE w > 0) QUALIFY row_number() OVER (PARTITION BY j ORDER BY round(w, 12) DESC, i) <= {top})")
+    out.append(f"g AS (SELECT i FROM k{rounds} WHERE i = j)")
+    return ", ".join(out) + (
+        f" SELECT CAST(n.idx AS INTEGER) AS idx, CAST(coalesce((SELECT min(k.i) FROM k{rounds} k WHERE k.j = n.idx AND k.i IN (SELECT i FROM g)), (SELECT min(i) FROM g)) AS INTEGER) AS cluster FROM n"
+    )
+
+
+@query(_with(share=0.5).rstrip() + ", " + _markov_sql(5, 6))
+def markov_clusters(spark, sf_dir):
+    """Clusters after five pruned rounds, six entries a column."""
+    state = markov.markov(_dsm(spark, sf_dir, 0.5), (2.0,), top=6, rounds=5, tolerance=0.0)
+    return markov.attracted(state).select("idx", "cluster")
+
+
+@query(_chain_sql("supp", share=0.99).rstrip() + ", " + _markov_sql(6, 4))
+def markov_clusters_supp_chain(spark, sf_dir):
+    """Clusters of the suppliers' chain after six pruned rounds, four entries a column."""
+    state = markov.markov(_chain(spark, sf_dir, "supp"), (2.0,), top=4, rounds=6, tolerance=0.0)
+    return markov.attracted(state).select("idx", "cluster")
+
+
 _HASH = "('0x' || substr(md5({}), 1, 12))::BIGINT::DECIMAL(38,0)"
 _CONTENT = (
     "SELECT (SELECT count(*) FROM n) AS n, (SELECT count(*) FROM {e}) AS m, CAST((SELECT sum("

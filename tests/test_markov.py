@@ -86,7 +86,7 @@ def test_hub_columns_are_thinned_in_parts_and_empty_batches_give_no_rows(spark):
 
 def test_sweep_prefers_the_allowed_range_then_cost(spark):
     given = {"planted": planted_blocks(), "cliques": two_cliques()}
-    assign, best = markov.markov_sweep(dsm_of(spark, **given))
+    assign, best = markov.markov_sweep(dsm_of(spark, **given), inflations=(2.2, 4.0))
     chosen = {r["dsm_id"]: r for r in best.collect()}
     assert chosen["cliques"]["n_clusters"] == 2 and chosen["cliques"]["external_ratio"] == pytest.approx(0)
     assert all(r["k_in_range"] for r in chosen.values()) and assign.filter("dsm_id = 'cliques'").count() == 10
