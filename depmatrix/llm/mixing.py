@@ -1,11 +1,12 @@
 """Mixing sources to target weights, in DataFrame functions: a multivariate-hypergeometric splitting tree over block quotas.
 
 A source's documents, in an order drawn by hash, form a line of words that is cut into equal blocks. Its target is met by an
-exact quota of block draws: whole passes over its blocks, and a disjoint subset for the rest. The tree halves the output
-shards: each node holds the draws left to its sources, its left child gets a multivariate-hypergeometric draw of half of
+exact quota of block draws: whole passes over its blocks, and a disjoint subset for the rest. Sources, targets and quotas are a table of any length: targets by sums
+over ranges of it. For the tree each source with a 1,024th of all draws stands alone; the others' draws are laid end to end in 1,024 lines, by hash of the source, so it has at most 2,048
+leaves to a shard whatever the sources. The tree halves the output shards: each node holds the draws left to its lines, its left child gets a multivariate-hypergeometric draw of half of
 them, its right child what remains, so quotas add up exactly at every level. A leaf (shard) knows how many draws it gets from each
-source; a source's draws, in permuted order, are dealt to the shards in that proportion, and each shard orders its draws by hash.
-The tree works on one number for each source and shard, for MAX_SOURCES sources at most (an error above); rows stay in the executors.
+line; a line's draws, in permuted order, are dealt to the shards in that proportion (so those of one of its sources are a multivariate-hypergeometric draw as well), and each shard orders
+its draws by hash. Rows stay in the executors.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ import itertools
 import json
 import math
 import random
-from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,62 +24,30 @@ from pyspark.sql import functions as F
 from depmatrix.llm.shared import WORD, written
 
 WEIGHTS = (5, 2, 1)
-#: Sources whose totals are brought to the driver, and sent back as one row each.
-MAX_SOURCES = 10_000
+#: Lines of sources too small to stand alone; as many stand alone at most.
+LINES = 1024
+#: Blocks of a source at most: rounding to blocks stays far below a thousandth of it.
+MOST_BLOCKS = 1 << 14
+#: Primes above MOST_BLOCKS, so that they have no factor in common with a number of blocks.
+PRIMES = (1000003, 15485863, 32452843, 49979687, 67867967, 86028121)
 DRAW = "array<struct<shard:int,rank:bigint,first:bigint,words:bigint>>"
 
 
-@dataclass(frozen=True)
-class SourcePlan:
-    source: str | None
-    size: int
-    target: float
-    block: int  # words in a block, the last may be shorter
-    blocks: int
-    passes: int  # each block is drawn so often
-    extra: int  # and these many once more
-    step: int  # block b stands at (b * step + shift) mod blocks in permuted order
-    shift: int
-
-
-def targets(sizes: list[int], weights: list[float], share: float = 1.5, most: float = 2.0) -> list[float]:
-    """Shares of share * sum(sizes) by weight; none above most * its size, what is above goes to the others by weight, until none is."""
-    want, fixed = share * sum(sizes), [False] * len(sizes)
-    out = [0.0] * len(sizes)
-    while True:
-        free = [i for i in range(len(sizes)) if not fixed[i]]
-        left = want - sum(out[i] for i in range(len(sizes)) if fixed[i])
-        total = sum(weights[i] for i in free)
-        for i in free:
-            out[i] = left * weights[i] / total if total else 0.0
-        over = [i for i in free if out[i] > most * sizes[i]]
-        if not over:
-            return out
-        for i in over:
-            out[i], fixed[i] = most * sizes[i], True
-
-
 def hypergeometric(rng: random.Random, good: int, total: int, draws: int) -> int:
     """How many of `draws` taken from `total`, without replacement, are among the `good`. Inverse distribution around its mode."""
     low, high = max(0, draws - (total - good)), min(good, draws)
     if low == high:
         return low
     mode = min(high, max(low, (draws + 1) * (good + 1) // (total + 2)))
-    spread = 12 * math.sqrt(max(1.0, draws * good / total * (1 - good / total))) + 12
-    weight, at = {mode: 1.0}, 1.0
-    for k in range(mode, min(high, int(mode + spread))):
-        at *= (good - k) * (draws - k) / ((k + 1) * (total - good - draws + k + 1))
-        weight[k + 1] = at
-    at = 1.0
-    for k in range(mode, max(low, int(mode - spread)), -1):
-        at *= k * (total - good - draws + k) / ((good - k + 1) * (draws - k + 1))
-        weight[k - 1] = at
-    aim = rng.random() * math.fsum(weight.values())
-    for k in sorted(weight):
-        aim -= weight[k]
-        if aim <= 0:
-            return k
-    return max(weight)
+    spread = int(12 * math.sqrt(max(1.0, draws * good / total * (1 - good / total))) + 12)
+    up = np.arange(mode, min(high, mode + spread), dtype=float)
+    down = np.arange(mode, max(low, mode - spread), -1, dtype=float)
+    rest = float(total - good - draws)
+    above = np.cumprod((good - up) * (draws - up) / ((up + 1) * (rest + up + 1)))
+    below = np.cumprod(down * (rest + down) / ((good - down + 1) * (draws - down + 1)))
+    weight = np.concatenate([below[::-1], [1.0], above])
+    reached = np.cumsum(weight)
+    return mode - len(below) + min(len(weight) - 1, int(np.searchsorted(reached, rng.random() * reached[-1])))
 
 
 def split_tree(quotas: list[int], shards: int, seed: int = 7) -> list[list[int]]:
@@ -99,26 +68,68 @@ def split_tree(quotas: list[int], shards: int, seed: int = 7) -> list[list[int]]
     return node(list(quotas), 0, shards)
 
 
-def plan_sources(totals: list[tuple[str | None, int]], seed: int = 7, most_blocks: int = 1 << 16) -> list[SourcePlan]:
-    """totals: (source, words) by code point, null last. A block has at most 1/most_blocks of the source, so rounding to blocks stays far below a thousandth."""
-    goals = targets([n for _, n in totals], [WEIGHTS[i % len(WEIGHTS)] for i in range(len(totals))])
-    out = []
-    for k, ((source, n), goal) in enumerate(zip(totals, goals, strict=True)):
-        block = max(1, -(-n // most_blocks))
-        blocks = -(-n // block)
-        passes = min(2, int(goal // n)) if n else 0
-        extra = 0 if passes == 2 or not n else min(blocks, round((goal - passes * n) / block))
-        rng = random.Random(f"{seed}/{k}")
-        step = next(s for s in iter(lambda: rng.randrange(1, max(2, blocks)), None) if math.gcd(s, max(1, blocks)) == 1)
-        out.append(SourcePlan(source, n, goal, block, blocks, passes, extra, step, rng.randrange(max(1, blocks))))
-    return out
-
-
-def _by_code_point(totals: list[tuple[str | None, int]]) -> list[tuple[str | None, int]]:
-    return sorted(totals, key=lambda x: (x[0] is None, x[0] or ""))
-
-
-def _draws(span_first: Column, size: Column, p: dict[str, Column], bounds: Column, seed: int) -> Column:
+def _before(df: DataFrame, order: list[Column | str], **values: Column | str) -> DataFrame:
+    """df with a column of each name: the sum of the values in all rows before, in a total order. Ranges are sorted in their tasks; only a row a task is summed in one place."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = written(ranged.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
+    sums = {k: F.sum(F.lit(v) if isinstance(v, int) else v) for k, v in values.items()}
+    earlier = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    totals = placed.groupBy("_part").agg(*(v.alias(f"_{k}") for k, v in sums.items()))
+    starts = totals.select("_part", *(F.coalesce(F.sum(f"_{k}").over(earlier), F.lit(0)).alias(f"_{k}") for k in sums))
+    inside = W.partitionBy("_part").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
+    out = placed.select("*", *(F.coalesce(v.over(inside), F.lit(0)).alias(k) for k, v in sums.items())).join(F.broadcast(starts), "_part")
+    return out.select(*df.columns, *((F.col(k) + F.col(f"_{k}")).alias(k) for k in sums))
+
+
+def source_targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """sizes (source, n; one row a source) with place (by code point, null last), weight and target: shares of share * sum(n) by weight; none above most * n, what is above
+    goes to the others by weight, until none is. Sources are filled up in the order of n to weight: before one of them all are full, from it on none is."""
+    place = F.col("place")
+    weight = F.element_at(F.array(*(F.lit(w) for w in WEIGHTS)), (place % len(WEIGHTS) + 1).cast("int"))
+    named = _before(sizes, [F.asc_nulls_last("source")], place=1).withColumn("weight", weight)
+    named = named.withColumn("ratio", F.lit(most) * F.col("n") / F.col("weight"))
+    filled = written(_before(named, ["ratio", "place"], n_before="n", w_before="weight"))
+    n, w = filled.agg(F.sum("n"), F.sum("weight")).first()
+    level = (F.lit(share * (n or 0)) - most * F.col("n_before")) / (F.lit(w or 0) - F.col("w_before"))
+    open_ = filled.withColumn("level", level).filter("level <= ratio")
+    found = open_.agg(F.min_by("level", F.struct("ratio", "place"))).first()[0]
+    target = F.least(most * F.col("n"), F.lit(float(found or 0.0)) * F.col("weight"))
+    return filled.select("source", "n", "place", "weight", target.alias("target"))
+
+
+def source_plans(sizes: DataFrame, seed: int = 7, most_blocks: int = MOST_BLOCKS) -> DataFrame:
+    """One row a source, as a written table: s, place, source_size, target, block (its words, the last may have fewer), blocks, passes (each block is drawn so often), extra (and so many once
+    more), step and shift (block b stands at (b * step + shift) mod blocks in permuted order), quota (draws), line."""
+    n, block, blocks, passes = F.col("source_size"), F.col("block"), F.col("blocks"), F.col("passes")
+    drawn = lambda salt: F.xxhash64("s", F.lit(seed), F.lit(salt))
+    plans = source_targets(sizes).select(F.col("source").alias("s"), "place", F.col("n").alias("source_size"), "target")
+    plans = plans.withColumn("block", F.greatest(F.lit(1), F.ceil(n / most_blocks)).cast("long"))
+    plans = plans.withColumn("blocks", F.greatest(F.lit(1), F.ceil(n / block)).cast("long"))
+    plans = plans.withColumn("passes", F.when(n > 0, F.least(F.lit(2), F.floor(F.col("target") / n))).otherwise(0).cast("int"))
+    more = F.rint((F.col("target") - passes * n) / block).cast("long")
+    plans = plans.withColumn("extra", F.when((n > 0) & (passes < 2), F.least(blocks, more)).otherwise(0).cast("long"))
+    step = F.element_at(F.array(*(F.lit(p) for p in PRIMES)), (F.pmod(drawn("step"), F.lit(len(PRIMES))) + 1).cast("int")).cast("long")
+    plans = plans.withColumn("step", step).withColumn("shift", F.pmod(drawn("shift"), blocks)).withColumn("quota", passes * blocks + F.col("extra"))
+    plans = written(plans)
+    whole = plans.agg(F.sum("quota")).first()[0] or 0
+    line = F.when(F.col("quota") * LINES >= whole, LINES + F.col("place")).otherwise(F.pmod(drawn("line"), F.lit(LINES)))
+    return written(plans.withColumn("line", line.cast("long")))
+
+
+def _lines(plans: DataFrame, shards: int, seed: int) -> DataFrame:
+    """One row a line (at most twice LINES), as a written table: its draws, how they are permuted, and where each shard's end among them."""
+    totals = plans.groupBy("line").agg(F.sum("quota").alias("q")).orderBy("line").collect()
+    tree, rows = split_tree([r["q"] for r in totals], shards, seed), []
+    for k, (line, q) in enumerate(totals):
+        rng, many = random.Random(f"{seed}/{line}"), max(1, q)
+        step = next(x for x in iter(lambda: rng.randrange(1, min(many, 1 << 20) + 1), None) if math.gcd(x, many) == 1)
+        ends = list(itertools.accumulate(row[k] for row in tree[:-1]))
+        rows.append({"l": line, "line_draws": many, "line_step": step, "line_shift": rng.randrange(many), "bounds": ends})
+    kind = "array<struct<l:bigint,line_draws:bigint,line_step:bigint,line_shift:bigint,bounds:array<bigint>>>"
+    return written(plans.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), kind))))
+
+
+def _draws(span_first: Column, size: Column, p: dict[str, Column], seed: int) -> Column:
     """The document's part of every draw of the blocks that it lies in."""
     last = span_first + size - 1
     block = p["block"]
@@ -127,31 +138,15 @@ def _draws(span_first: Column, size: Column, p: dict[str, Column], bounds: Colum
         begin, end = F.greatest(span_first, b * block), F.least(last, (b + 1) * block - 1)
         place = F.pmod(b * p["step"] + p["shift"], p["blocks"])
         times = p["passes"] + F.when(place < p["extra"], 1).otherwise(0)
-        one = lambda t: F.struct(  # noqa: E731  the shard is found from where the draw stands among the source's draws
-            F.size(F.filter(bounds, lambda x: x <= t * p["blocks"] + place)).alias("shard"), F.xxhash64(p["source"], b, t, F.lit(seed)).alias("rank"), (begin - span_first).alias("first"), (end - begin + 1).alias("words"))
+        stands = lambda t: F.pmod((p["offset"] + t * p["blocks"] + place) * p["line_step"] + p["line_shift"], p["line_draws"])
+        one = lambda t: F.struct(  # noqa: E731  the shard is found from where the draw stands among the line's draws
+            F.size(F.filter(p["bounds"], lambda x: x <= stands(t))).alias("shard"), F.xxhash64(p["source"], b, t, F.lit(seed)).alias("rank"), (begin - span_first).alias("first"), (end - begin + 1).alias("words"))
         return F.when(times > 0, F.transform(F.sequence(F.lit(0), times - 1), one)).otherwise(F.array().cast(DRAW))
 
     div = lambda a: F.floor(a / block).cast("long")
     return F.when(size > 0, F.flatten(F.transform(F.sequence(div(span_first), div(last)), of_block))).otherwise(F.array().cast(DRAW))
 
 
-def _source_rows(spark, plans: list[SourcePlan], quotas: list[list[int]]) -> DataFrame:
-    """One row for each source, as a written table: its plan, and where each shard's draws end among the source's."""
-    schema = (
-        "s string, source_size bigint, target double, block bigint, blocks bigint, passes int, extra bigint, step bigint, shift bigint, "
-        "bounds array<bigint>"
-    )
-    names = [x.split()[0] for x in schema.split(", ")]
-    rows = []
-    for k, p in enumerate(plans):
-        ends = list(itertools.accumulate(row[k] for row in quotas[:-1]))
-        rows.append(
-            dict(zip(names, (p.source, p.size, p.target, p.block, p.blocks, p.passes, p.extra, p.step, p.shift, ends), strict=True))
-        )
-    fields = schema.replace(", ", ",").replace(" ", ":")
-    return written(spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{fields}>>"))))
-
-
 def mix(docs: DataFrame, shards: int = 16, bucket_rows: int = 1 << 20, seed: int = 7) -> DataFrame:
     """One row per row of docs: doc_id, source, size, source_size, target, draws (shard, rank within the shard, first word, words).
 
@@ -171,11 +166,10 @@ def mix(docs: DataFrame, shards: int = 16, bucket_rows: int = 1 << 20, seed: int
     buckets = max(256, -(-sized.count() // bucket_rows))
     bucket = F.pmod(F.xxhash64("doc_id", "tie", F.lit(seed)), F.lit(buckets)).cast("int")
     parts = written(sized.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("words")))
-    totals = parts.groupBy("source").agg(F.sum("words").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    plans = plan_sources(_by_code_point([(r["source"], r["n"]) for r in totals]), seed)
-    table = _source_rows(spark, plans, split_tree([p.passes * p.blocks + p.extra for p in plans], shards, seed))
+    plans = source_plans(parts.groupBy("source").agg(F.sum("words").alias("n")), seed)
+    offset = F.coalesce(F.sum("quota").over(W.partitionBy("line").orderBy("place").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    lines = F.broadcast(_lines(plans, shards, seed))  # at most twice LINES rows
+    table = plans.withColumn("offset", offset).join(lines, F.col("line") == F.col("l")).drop("l", "line", "place", "quota")
     before = F.coalesce(F.sum("words").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = (
         parts.select("source", "bucket", before.alias("base"))
@@ -189,9 +183,10 @@ def mix(docs: DataFrame, shards: int = 16, bucket_rows: int = 1 << 20, seed: int
     )
     placed = sized.withColumn("bucket", bucket).withColumn("inside", F.coalesce(inside, F.lit(0)))
     joined = placed.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("k")))
-    p = {c: F.col(c) for c in ("block", "blocks", "passes", "extra", "step", "shift", "source")}
+    names = "block blocks passes extra step shift source offset line_draws line_step line_shift bounds".split()
+    p = {c: F.col(c) for c in names}
     return joined.withColumn("at", F.col("base") + F.col("inside")).select(
-        "doc_id", "source", "size", "source_size", "target", _draws(F.col("at"), F.col("size"), p, F.col("bounds"), seed).alias("draws")
+        "doc_id", "source", "size", "source_size", "target", _draws(F.col("at"), F.col("size"), p, seed).alias("draws")
     )
 
 

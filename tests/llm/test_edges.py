@@ -383,14 +383,16 @@ def test_shards_come_from_the_tree(spark):
     for d, t, s in rows:
         size[s] += len(WORD.findall(t or ""))
     names = sorted(size, key=lambda s: (s is None, s or ""))
-    plans = mixing.plan_sources([(n, size[n]) for n in names])
+    sizes = spark.createDataFrame([(n, size[n]) for n in names], "source string, n long")
+    plans = sorted(mixing.source_plans(sizes).collect(), key=lambda p: p.place)  # each stands alone
+    assert [p.s for p in plans] == names and [p.line - mixing.LINES for p in plans] == list(range(len(names)))
     tree = mixing.split_tree([p.passes * p.blocks + p.extra for p in plans], 8)
     words = Counter((r["shard"], source[r["doc_id"]]) for r in pieces for _ in range(r["words"]))
     for k, p in enumerate(plans):
-        assert p.block == max(1, -(-p.size // (1 << 16)))
+        assert p.block == max(1, -(-p.source_size // mixing.MOST_BLOCKS))
         for shard in range(8):
             # blocks are whole but for the last one of a source
-            assert 0 <= tree[shard][k] * p.block - words[shard, p.source] <= 2 * p.block
+            assert 0 <= tree[shard][k] * p.block - words[shard, p.s] <= 2 * p.block
     out = {r["doc_id"]: r for r in mixing.by_document(mixed).collect()}
     taken = Counter()
     for r in pieces:
@@ -410,12 +412,6 @@ def test_shards_come_from_the_tree(spark):
     assert all(out[d]["target"] == pytest.approx(min(2 * size[s], weight[s] * c), rel=1e-6) for d, _, s in rows)
 
 
-def test_too_many_sources_are_an_error(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "MAX_SOURCES", 3)
-    with pytest.raises(ValueError, match="more than 3 sources"):
-        mixing.mix(docs(spark, [(k, "a b", f"s{k}") for k in range(4)]))
-
-
 # -- 7 quality rules
 
 

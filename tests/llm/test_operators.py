@@ -12,6 +12,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from depmatrix.llm import chat, components, decontamination, html_extract, license_scan, lm_score, mixing, quality_classifier, quality_rules, shared, simhash, warc
 
@@ -189,10 +190,34 @@ def test_decision_list_covers_more_than_eight_kinds(spark):
 # -- 8 mixing
 
 
-def test_targets():
-    assert mixing.targets([100, 100, 100], [5, 2, 1]) == pytest.approx([200, 500 / 3, 250 / 3])
+def targets(sizes, weights, share=1.5, most=2.0):
+    """The contract's words: shares by weight, what is above twice a size goes to the others by weight, until none is."""
+    out, full = [0.0] * len(sizes), set()
+    while True:
+        left = share * sum(sizes) - sum(out[i] for i in full)
+        total = sum(w for i, w in enumerate(weights) if i not in full)
+        for i, w in enumerate(weights):
+            if i not in full:
+                out[i] = left * w / total
+        over = [i for i in range(len(sizes)) if i not in full and out[i] > most * sizes[i]]
+        if not over:
+            return out
+        for i in over:
+            out[i] = most * sizes[i]
+            full.add(i)
+
+
+def test_targets(spark):
+    def of(sizes):
+        rows = mixing.source_targets(spark.createDataFrame([(f"s{k}", n) for k, n in enumerate(sizes)], "source string, n long")).collect()
+        return [r["target"] for r in sorted(rows, key=lambda r: r["source"])]
+
+    assert of([100, 100, 100]) == pytest.approx([200, 500 / 3, 250 / 3])
+    assert of([0, 0]) == [0, 0]
+    for sizes in ([3, 9, 1, 7, 7, 7, 2, 90], [1000, 1, 1, 1], [5]):
+        assert of(sizes) == pytest.approx(targets(sizes, [mixing.WEIGHTS[k % 3] for k in range(len(sizes))]))
     sizes, weights = [10, 1000, 1, 0, 50], [5, 2, 1, 5, 2]
-    got = mixing.targets(sizes, weights)
+    got = of(sizes)
     assert sum(got) == pytest.approx(1.5 * sum(sizes)) and all(g <= 2 * s + 1e-9 for g, s in zip(got, sizes, strict=True))
     free = [i for i in range(5) if got[i] < 2 * sizes[i] - 1e-9]
     assert len({round(got[i] / weights[i], 6) for i in free}) <= 1
@@ -221,7 +246,7 @@ def test_mix(spark):
     for _, t, s in rows:
         size[s] += len(WORD.findall(t or ""))
     names = sorted(size, key=lambda s: (s is None, s or ""))
-    goal = dict(zip(names, mixing.targets([size[n] for n in names], [mixing.WEIGHTS[i % 3] for i in range(len(names))]), strict=True))
+    goal = dict(zip(names, targets([size[n] for n in names], [mixing.WEIGHTS[i % 3] for i in range(len(names))]), strict=True))
     taken = Counter()
     for r in out:
         n = sum(d["words"] for d in r["draws"])
@@ -236,6 +261,28 @@ def test_mix(spark):
     assert shards.agg({"words": "sum"}).first()[0] == sum(taken.values())
 
 
+def test_twenty_thousand_sources(spark):
+    """Each source's targets and quotas, the lines' shares of the shards, and that no word is drawn more often than a target of twice its source allows."""
+    sources = 20_000
+    many = spark.range(3 * sources).select(
+        F.col("id").alias("doc_id"),
+        F.when(F.col("id") % 9 == 0, "hot").otherwise(F.concat(F.lit("host "), F.col("id") % sources)).alias("source"),
+        F.array_join(F.array_repeat(F.lit("w"), (F.pmod(F.xxhash64("id"), F.lit(12)) + 1).cast("int")), " ").alias("text"),
+    )
+    mixed = shared.written(mixing.mix(many))
+    rows = mixing.by_document(mixed).toPandas()
+    assert len(rows) == 3 * sources
+    by = rows.groupby("source").agg(size=("size", "sum"), known=("source_size", "first"), target=("target", "first"), taken=("taken", "sum"))
+    assert len(by) == sources + 1
+    assert (by["size"] == by["known"]).all()
+    names = sorted(by.index)
+    goal = targets(by.loc[names, "size"].tolist(), [mixing.WEIGHTS[k % 3] for k in range(len(names))])
+    assert np.allclose(by.loc[names, "target"], goal)
+    assert (abs(by["taken"] - by["target"]) <= 1 + 0.001 * by["target"]).all() and (rows["taken"] <= 2 * rows["size"]).all()
+    drawn = mixing.shard_rows(mixed).groupBy("shard").agg(F.count("*").alias("n")).toPandas()
+    assert len(drawn) == 16 and drawn["n"].max() < 1.1 * drawn["n"].min()
+
+
 # -- 2 chat
 
 
