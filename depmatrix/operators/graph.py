@@ -20,8 +20,6 @@ from depmatrix.schema import Dsm
 #: Edges of a graph, or of a block of one, that go to one task.
 IN_TASK = 1 << 18
 _own_folder: list[str] = []
-#: Tables of cut(), by the identity of the DataFrame that reads them.
-_written: dict[int, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -56,13 +54,13 @@ def cut(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     atexit.register(_delete, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
-    _written[id(out)] = path
+    out._table = path
     return out
 
 
 def drop(state: DataFrame) -> None:
     """Removes the table of an earlier state, a result of cut() that nothing reads any more."""
-    path = _written.pop(id(state), None)
+    path = vars(state).pop("_table", None)
     if path:
         _delete(state.sparkSession, path)
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from depmatrix.operators import diff as D
@@ -15,6 +17,7 @@ from depmatrix.operators import transforms as T
 from depmatrix.operators import communities as C
 from depmatrix.operators import history, markov, staleness, tearing
 from depmatrix.operators import whatif as Q
+from depmatrix.operators.numbering import numbered
 from depmatrix.params import Constraints
 from depmatrix.plans import cluster, derive, process, report
 from depmatrix.schema import Dsm
@@ -823,10 +826,34 @@ def matrix_files(spark, sf_dir):
     from depmatrix.sources import text
 
     path = f"{G.shared_folder(spark)}/depmatrix-{uuid.uuid4().hex}"
+    atexit.register(G._delete, spark, path)
     text.write_matrix_csv(_dsm(spark, sf_dir, 0.9), path)
     return text.read_matrices(spark, f"{path}/dsm_id=*").edges.drop("dsm_id")
 
 
+@query(
+    """WITH k AS (SELECT DISTINCT event_type FROM events), x AS (SELECT event_type, CAST(row_number() OVER (ORDER BY event_type) - 1 AS INTEGER) AS idx FROM k),
+s AS (SELECT user_id % 25 AS g, event_type AS a, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events)
+SELECT 'group ' || g || '.csv' AS dsm_id, x.idx AS i, y.idx AS j, CAST(count(*) AS DOUBLE) AS w FROM s JOIN x ON s.a = x.event_type JOIN x y ON s.b = y.event_type WHERE s.a <> s.b GROUP BY ALL"""
+)
+def matrix_files_by_group(spark, sf_dir):
+    """What events follow which, a matrix for each of 25 groups of users, written as files by the data source and read again."""
+    from depmatrix.sources import dsm_format
+
+    dsm_format.register(spark)
+    events = derive.table(spark, sf_dir, "events").withColumn("g", F.concat(F.lit("group "), F.col("user_id") % 25))
+    w = W.partitionBy("user_id").orderBy("ts", "event_id")
+    steps = events.select("g", F.col("event_type").alias("a"), F.lag("event_type").over(w).alias("b")).filter("a <> b")
+    kinds = numbered(events.select("event_type").distinct(), ["event_type"], "idx", by=None)
+    elements = G.cut(events.select(F.col("g").alias("dsm_id")).distinct().crossJoin(kinds).select("dsm_id", "idx", F.col("event_type").alias("label")))
+    a, b = (kinds.select(F.col("event_type").alias(x), F.col("idx").alias(y)) for x, y in (("a", "i"), ("b", "j")))
+    edges = steps.groupBy(F.col("g").alias("dsm_id"), "a", "b").agg(F.count("*").cast("double").alias("w")).join(a, "a").join(b, "b")
+    path = f"{G.shared_folder(spark)}/depmatrix-{uuid.uuid4().hex}"
+    atexit.register(G._delete, spark, path)
+    dsm_format.laid_out(Dsm(elements, edges.select("dsm_id", "i", "j", "w"))).write.format("dsm").mode("append").save(path)
+    return dsm_format.as_dsm(spark.read.format("dsm").load(path)).edges
+
+
 @query(_chain_sql("supp") + "SELECT idx, scc FROM scc")
 def scc_supp_chain(spark, sf_dir):
     d = _chain(spark, sf_dir, "supp")

@@ -33,6 +33,12 @@ def sheets(content: bytes) -> list[tuple[str, str, bool]]:
         ]
 
 
+def _text(x: ElementTree.Element) -> str:
+    """All runs of a text, but not how it is pronounced."""
+    spoken = {t for p in x.iter(f"{{{_NS['m']}}}rPh") for t in p}
+    return "".join(t.text or "" for t in x.iter(f"{{{_NS['m']}}}t") if t not in spoken)
+
+
 def rows(content: bytes, sheet: int | str = 0) -> list[list[str]]:
     """Cells of a sheet, by index or name, as texts; gaps are empty."""
     listed = sheets(content)
@@ -43,23 +49,30 @@ def rows(content: bytes, sheet: int | str = 0) -> list[list[str]]:
         raise ValueError(f"no sheet {sheet!r}")
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         shared = (
-            ["".join(t.text or "" for t in x.iter(f"{{{_NS['m']}}}t")) for x in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))]
+            [_text(x) for x in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))]
             if "xl/sharedStrings.xml" in z.namelist()
             else []
         )
         out: dict[int, dict[int, str]] = {}
-        for c in ElementTree.fromstring(z.read(part)).iter(f"{{{_NS['m']}}}c"):
-            letters, digits = re.match(r"([A-Z]+)(\d+)", c.get("r")).groups()
-            column = 0
-            for x in letters:
-                column = column * 26 + ord(x) - 64
+        row = column = 0
+        for c in ElementTree.fromstring(z.read(part)).iter():
+            if c.tag == f"{{{_NS['m']}}}row":  # rows and cells without a reference follow the one before
+                row, column = int(c.get("r") or row + 1), 0
+            if c.tag != f"{{{_NS['m']}}}c":
+                continue
+            column += 1
+            if c.get("r"):
+                letters, digits = re.match(r"([A-Z]+)(\d+)", c.get("r")).groups()
+                row, column = int(digits), 0
+                for x in letters:
+                    column = column * 26 + ord(x) - 64
             kind, value = c.get("t"), c.find("m:v", _NS)
             text = (
-                "".join(t.text or "" for t in c.iter(f"{{{_NS['m']}}}t"))
+                _text(c)
                 if kind == "inlineStr"
                 else (value.text or "" if value is not None else "")
             )
-            out.setdefault(int(digits) - 1, {})[column - 1] = shared[int(text)] if kind == "s" and text else text
+            out.setdefault(row - 1, {})[column - 1] = shared[int(text)] if kind == "s" and text else text
     width = max((max(r) + 1 for r in out.values()), default=0)
     return [[out.get(i, {}).get(j, "") for j in range(width)] for i in range(max(out, default=-1) + 1)]
 
