@@ -12,6 +12,7 @@ those, so the rows stay in proportion to the list.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -27,26 +28,36 @@ from depmatrix.llm.shared import byte_table, split_join, string_parts, written
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _SPACED = byte_table().spaced()
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
-def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> int:
-    """SimHash of the lower-cased text's word shingles, repeats included; a bit is 1 if set in over half of the hashes. No words: 0."""
-    parts = text.translate(_SPACED).split()
-    if not parts:
-        return 0
-    joined = b" ".join(parts)
-    ends = np.cumsum([len(x) + 1 for x in parts]).tolist()
-    k = min(words, len(parts))
-    starts = [0, *ends]
+def fingerprint(text: bytes, words: int = 4, seed: int = 42, piece: int = 1 << 20) -> int:
+    """SimHash of the lower-cased text's word shingles, repeats included; a bit is 1 if set in over half of the hashes. No words: 0.
+
+    Works on about piece bytes at a time, up to the next white space, and keeps the last words - 1 words for the piece that follows, so a long text takes little more than itself."""
+    ones, total, held, at = np.zeros(64, np.int64), 0, [], 0
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[s : e - 1], seed) for s, e in zip(starts, ends[k - 1 :], strict=False)], np.uint64)
-    octets = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)
-    ones = np.concatenate([np.bincount(octets[:, i], minlength=256) @ _BITS for i in range(8)])
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+    while True:
+        found = _SPACE.search(text, at + piece)
+        end = found.start() if found else len(text)
+        parts = held + text[at:end].translate(_SPACED).split()
+        k = words if found or total else min(words, len(parts))  # fewer words than a shingle has: the whole sequence
+        if k and len(parts) >= k:
+            joined = b" ".join(parts)
+            ends = np.cumsum([len(x) + 1 for x in parts]).tolist()
+            starts = [0, *ends]
+            hashes = np.array([digest(joined[s : e - 1], seed) for s, e in zip(starts, ends[k - 1 :], strict=False)], np.uint64)
+            octets = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)
+            ones += np.concatenate([np.bincount(octets[:, i], minlength=256) @ _BITS for i in range(8)])
+            total += len(hashes)
+            parts = parts[len(parts) - words + 1 :]
+        if not found:
+            return int(np.packbits(2 * ones > total, bitorder="little").view("<u8")[0])
+        held, at = parts, end
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
-    """(doc_id, fp): one row per row of docs. Null text counts as empty; other columns of docs are not looked at."""
+    """(doc_id, fp): one row per row of docs. Null text counts as empty, a very long one is hashed a megabyte at a time; other columns of docs are not looked at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
