@@ -19,6 +19,7 @@ MAGIC = b"IDS8BW01"
 _U = np.uint64
 _RARE = 0.4
 _LONGEST_RUN = 240
+_SOME = 1 << 15
 
 
 @dataclass(frozen=True)
@@ -32,32 +33,48 @@ class Packed:
     escape_at: np.ndarray
 
 
-def _choices(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each place the selector of a word that begins there, and how many ids it takes, up to ends. Widths that more than _RARE of all ids don't fit aren't tried."""
+def _tried(ids: np.ndarray) -> list[tuple[int, bool]]:
+    """Selectors, the widest first, and whether ids don't fit them. Widths that more than _RARE of all ids don't fit aren't tried."""
+    out, top = [], int(ids.max())
+    for selector in range(len(DIVISIONS) - 1, 0, -1):
+        limit = (1 << DIVISIONS[selector][1]) - 1
+        escapes = selector < len(DIVISIONS) - 1 and top >= limit
+        if escapes and np.count_nonzero(ids >= limit) > _RARE * len(ids):
+            break  # fewer bits fit even fewer
+        out.append((selector, escapes))
+    return out
+
+
+def _choices(ids: np.ndarray, ends: np.ndarray, tried: list[tuple[int, bool]]) -> tuple[np.ndarray, np.ndarray]:
+    """For each place the selector of a word that begins there, and how many ids it takes, up to ends."""
     n, at = len(ids), np.arange(len(ids), dtype=np.int32)
-    ends = ends.astype(np.int32)
     changes = np.flatnonzero(np.append(ids[1:] != ids[:-1], True)) + 1
-    run = np.minimum(np.repeat(changes, np.diff(changes, prepend=0)), ends) - at
-    took = np.minimum(run, _LONGEST_RUN).astype(np.int32)
-    cost, chosen = np.float32(64) / took.astype(np.float32), np.zeros(n, np.int8)
-    over = np.zeros(n + 1, np.int32)
-    top = int(ids.max())
-    for selector in range(len(DIVISIONS) - 1, 0, -1):
+    room = ends.astype(np.int32) - at
+    run = np.minimum(np.repeat(changes.astype(np.int32), np.diff(changes, prepend=0)) - at, room)
+    run = np.minimum(run, _LONGEST_RUN)
+    cost, choice = np.float32(64) / run.astype(np.float32), np.zeros(n, np.int8)  # 0: a run, else the k-th that is tried
+    over, price = np.zeros(n + 1, np.float32), np.empty(n, np.float32)  # counts below 2^24 are exact
+    near = np.flatnonzero(room < DIVISIONS[1][0])  # places where a word may have room to spare
+    for k, (selector, escapes) in enumerate(tried, 1):
         count, bits = DIVISIONS[selector]
-        price = np.float32(64)
-        until = np.minimum(at + np.int32(count), ends)
-        if selector < len(DIVISIONS) - 1 and top >= (1 << bits) - 1:
-            np.cumsum(ids >= (1 << bits) - 1, out=over[1:])
-            if over[-1] > _RARE * n:
-                break  # fewer bits fit even fewer
-            price = (over[until] - over[:-1]).astype(np.float32) * np.float32(32) + np.float32(64)
-        fits = until - at
-        price = price / fits.astype(np.float32)
-        better = price < cost
-        cost = np.where(better, price, cost)
-        chosen[better] = selector
-        took = np.where(better, fits, took)
-    return chosen, took
+        short = near[room[near] < count]
+        if escapes:
+            np.cumsum(ids >= (1 << bits) - 1, dtype=np.float32, out=over[1:])
+            if n >= count:  # the last places are short
+                np.subtract(over[count:], over[: n + 1 - count], out=price[: n + 1 - count])
+            price[short] = over[short + room[short]] - over[short]
+            price *= np.float32(32)
+            price += np.float32(64)
+        else:
+            price[:] = 64
+        least = price[short] / room[short].astype(np.float32)
+        price /= np.float32(count)
+        price[short] = least
+        np.maximum(choice, (price < cost).view(np.int8) * np.int8(k), out=choice)
+        np.minimum(cost, price, out=cost)
+    counts = np.array([_LONGEST_RUN, *(DIVISIONS[s][0] for s, _ in tried)], np.int32)
+    took = np.minimum(counts[choice], np.where(choice == 0, run, room))
+    return np.array([0, *(s for s, _ in tried)], np.int8)[choice], took
 
 
 def pack(ids: np.ndarray, block: int = BLOCK) -> Packed:
@@ -67,7 +84,8 @@ def pack(ids: np.ndarray, block: int = BLOCK) -> Packed:
     if not n:
         return Packed(0, np.zeros(0, _U), np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64))
     ends = np.minimum(np.repeat(np.arange(block, n + block, block), block)[:n], n)
-    chosen, took = _choices(ids, ends)
+    tried, some = _tried(ids), max(block, _SOME // block * block)  # blocks don't depend on one another; some of them stay in a core's cache
+    chosen, took = map(np.concatenate, zip(*(_choices(ids[a : a + some], ends[a : a + some] - a, tried) for a in range(0, n, some)), strict=True))
     step, starts, i = took.astype(np.uint8).tobytes(), [], 0
     while i < n:
         starts.append(i)

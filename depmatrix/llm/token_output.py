@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -34,6 +35,8 @@ _CUT = re.compile(f"(?<![{re.escape(''.join(sorted(_WHITE)))}]) ")
 #: So it does before these marks after an ASCII letter or digit; for long stretches without a space.
 _LONG_CUT = re.compile("(?<=[A-Za-z0-9])(?=[\\n!-/:-@\\[-`{-~\\u3001\\u3002\\uff01\\uff0c\\uff1b\\uff1f])")
 _LONG, _WINDOW, _REMEMBERED = 1 << 14, 1 << 18, 1_000_000
+#: Bytes of texts whose stretches are looked up together, and stretches that the tokenizer gets as one text.
+_TOGETHER, _JOINED = 1 << 23, 256
 
 
 #: Marks that are a token's piece of their own behind an ASCII letter or digit, where nothing follows them.
@@ -41,22 +44,57 @@ _MARKS = frozenset(",.;:!?)")
 
 
 class Tokens:
-    """Ids of texts, by a tokenizer. Texts are cut at spaces between which no token runs; what stands between two is remembered (_REMEMBERED and a window's at most, some 250 MB,
-    then it begins anew). Some _WINDOW characters are worked on at a time; only a stretch of letters alone, or of marks alone, is tokenised in one piece whatever its length."""
+    """Ids of texts, by a tokenizer. Texts are cut at spaces between which no token runs; what stands between two is remembered (_REMEMBERED and what _TOGETHER bytes hold twice at
+    most, some 250 MB; of two halves the older goes, but for what was met again). Some _WINDOW characters of a text are worked on at a time; only a stretch of letters alone, or of marks
+    alone, is tokenised in one piece whatever its length."""
 
     def __init__(self, path: str, special_as_text: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = special_as_text
+        self._letters = None  # the same model for ASCII letters behind a space, which are a piece each: no pattern, and their bytes are their own letters
+        cut, added = self._tokenizer.pre_tokenizer, [x.content for x in self._tokenizer.get_added_tokens_decoder().values()]
+        if isinstance(cut, pre_tokenizers.ByteLevel) and cut.use_regex and not cut.add_prefix_space and self._tokenizer.normalizer is None:
+            if not any(re.fullmatch("[A-Za-z ]*", x) for x in added):
+                self._letters = Tokenizer(self._tokenizer.model)
+                self._letters.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
         self._met: dict[str, bytes] = {}  # ids of what follows a space
+        self._older: dict[str, bytes] = {}
         self._after_line: dict[str, bytes] = {}  # and a newline, that included
         self._mark = {x: self._encode([x])[0] for x in _MARKS}
+        vocabulary = self._tokenizer.get_vocab(with_added_tokens=True)
+        self._begun = {}  # by what stands in front, a space or a newline: which ids begin with it
+        for lead, letter in ((" ", "\u0120"), ("\n", "\u010a")):  # as the alphabet of bytes has them
+            self._begun[lead] = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+            self._begun[lead][[i for x, i in vocabulary.items() if x[:1] == letter]] = True
 
     def _encode(self, parts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self._tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
+    def _behind(self, lead: str, stretches: list[str]) -> dict[str, bytes]:
+        """Ids of different stretches of at most _LONG characters, each with lead in front. Those without lead inside or white space at the end go to the tokenizer many at a time,
+        as a text: there each lead is a cut, so an id that begins with one begins a stretch. Where the count of these isn't that of the stretches, they are asked for singly."""
+        plain = [x for x in stretches if x and lead not in x and x[-1] not in _WHITE]
+        got: dict[str, bytes] = {}
+        kinds = [(self._tokenizer, "", lead, plain)]
+        if self._letters and lead == " ":
+            letters = [x for x in plain if x.isascii() and x.isalpha()]
+            kinds = [(self._letters, " ", "\u0120", letters), (self._tokenizer, "", lead, [x for x in plain if not (x.isascii() and x.isalpha())])]
+        for tokenizer, between, front, asked in kinds:
+            groups = [asked[i : i + _JOINED] for i in range(0, len(asked), _JOINED)]
+            for group, e in zip(groups, tokenizer.encode_batch_fast([front + (between + front).join(g) for g in groups], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, np.uint32)
+                at = (np.flatnonzero(self._begun[lead][ids]) * 4).tolist()
+                if len(at) == len(group) and at[0] == 0:
+                    raw = ids.tobytes()
+                    got.update(zip(group, [raw[a:b] for a, b in zip(at, [*at[1:], len(raw)], strict=True)], strict=True))
+        if len(got) < len(stretches):
+            left = [x for x in stretches if x not in got]
+            got.update(zip(left, self._encode([lead + x for x in left]), strict=True))
+        return got
+
     def _whole(self, stretch: str) -> bytes:
         return b"".join(self._encode([stretch] if len(stretch) <= _LONG else _LONG_CUT.split(stretch)))
 
@@ -65,38 +103,108 @@ class Tokens:
         lined = {x: x.split("\n") for x in new if "\n" in x}
         lined = {x: y for x, y in lined.items() if all(w and w[0] not in _WHITE and w[-1] not in _WHITE for w in y)}
         after = [w for w in {w for y in lined.values() for w in y[1:]} if w not in self._after_line]
-        self._after_line.update(zip(after, map(self._whole, map("\n".__add__, after)), strict=True))
-        asked = {x for x in new if x not in lined} | {y[0] for y in lined.values() if y[0] not in self._met}
-        marked = {x for x in asked if len(x) > 1 and x[-1] in _MARKS and x[-2].isascii() and x[-2].isalnum()}
-        plain = [x for x in {x[:-1] if x in marked else x for x in asked} if x not in self._met]
-        short = [x for x in plain if len(x) <= _LONG]
-        got = dict(zip(short, self._encode([" " + x for x in short]), strict=True))
-        got.update((x, self._whole(" " + x)) for x in plain if len(x) > _LONG)
-        for x in marked:
-            got[x] = (got[x[:-1]] if x[:-1] in got else self._met[x[:-1]]) + self._mark[x[-1]]
+        self._after_line.update(self._behind("\n", [x for x in after if len(x) < _LONG]))
+        self._after_line.update((x, self._whole("\n" + x)) for x in after if len(x) >= _LONG)
+        asked = dict.fromkeys(x for x in new if x not in lined)  # dicts for sets, in the order of the texts, which is that of memory
+        asked.update((y[0], None) for y in lined.values() if self._recall(y[0]) is None)
+        marked = {x: x[:-1] for x in asked if len(x) > 1 and x[-1] in _MARKS and x[-2].isascii() and x[-2].isalnum()}
+        plain = dict.fromkeys(x for x in asked if x not in marked) if marked else asked
+        plain.update((x, None) for x in marked.values() if x not in plain and self._recall(x) is None)
+        long = [x for x in plain if len(x) > _LONG]
+        got = self._behind(" ", [x for x in plain if len(x) <= _LONG])
+        got.update((x, self._whole(" " + x)) for x in long)
+        for x, word in marked.items():
+            got[x] = (got[word] if word in got else self._met[word]) + self._mark[x[-1]]
         for x, y in lined.items():
             got[x] = (got[y[0]] if y[0] in got else self._met[y[0]]) + b"".join([self._after_line[w] for w in y[1:]])
-        self._met.update((x, ids) for x, ids in got.items() if 0 < len(x) <= 256 and x[-1] not in _WHITE)
+        passing = {x for x in got if not x or x[-1] in _WHITE or len(x) > 256}
+        self._met.update({x: ids for x, ids in got.items() if x not in passing} if passing else got)
         return got
 
+    def _recall(self, stretch: str) -> bytes | None:
+        ids = self._met.get(stretch)
+        if ids is None and (ids := self._older.get(stretch)) is not None:
+            self._met[stretch] = ids
+        return ids
+
+    def _recall_all(self, stretches: list[str]) -> list[bytes | None]:
+        known = list(map(self._met.get, stretches))
+        if self._older:
+            unknown = [k for k, ids in enumerate(known) if ids is None]
+            again = {k: ids for k, ids in zip(unknown, map(self._older.get, [stretches[k] for k in unknown]), strict=True) if ids is not None}
+            self._met.update((stretches[k], ids) for k, ids in again.items())
+            for k, ids in again.items():
+                known[k] = ids
+        return known
+
+    def _forget(self) -> None:
+        if 2 * (len(self._met) + len(self._after_line)) > _REMEMBERED:
+            self._older, self._met = self._met, {}
+            self._after_line.clear()
+
+    def many(self, texts: pa.Array, end: int | None = END) -> Iterator[np.ndarray]:
+        """ids() of each text, null as empty, in order. Each stretch of some _TOGETHER bytes of texts is looked up once; texts with white space in front of a space or
+        at an end, and those above _WINDOW bytes, go through ids() by themselves."""
+        texts = texts.fill_null("")
+        size = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+        before = np.append(0, np.cumsum(np.where(size > _WINDOW, 0, size)))
+        at = 0
+        while at < len(texts):
+            stop = max(at + 1, int(np.searchsorted(before, before[at] + _TOGETHER, side="right")) - 1)
+            yield from self._together(texts[at:stop], size[at:stop] > _WINDOW, end)
+            at = stop
+
+    def _together(self, texts: pa.Array, alone: np.ndarray, end: int | None) -> Iterator[np.ndarray]:
+        self._forget()
+        parts = pc.split_pattern(pc.if_else(pa.array(alone), "", texts), " ")
+        edges, found = parts.offsets.to_numpy(), parts.values.dictionary_encode()
+        codes, stretches = found.indices.to_numpy().copy(), found.dictionary.to_numpy(zero_copy_only=False).tolist()
+        n = len(stretches)
+        first, which = np.unique(codes[edges[:-1]], return_inverse=True)  # what begins a text has no space before it
+        codes[edges[:-1]] = n + which
+        used = np.zeros(n + len(first), bool)
+        used[codes] = True
+        used = used.tolist()
+        known = self._recall_all(stretches)
+        unknown = [k for k, ids in enumerate(known) if ids is None]
+        odd = {k for k in unknown if not stretches[k] or stretches[k][-1] in _WHITE}
+        new = [stretches[k] for k in unknown if k not in odd and used[k]]
+        learnt = self._learn(new) if new else {}
+        for k in unknown:
+            known[k] = learnt[stretches[k]] if used[k] and k not in odd else b""
+        begin = ["" if k in odd else stretches[k] for k in first.tolist()]
+        known += [self._whole(x) if len(x) > _LONG else ids for x, ids in zip(begin, self._encode([x if len(x) <= _LONG else "" for x in begin]), strict=True)]
+        apart = np.zeros(len(known), bool)
+        apart[list(odd)] = True
+        apart[n:] = apart[first]
+        flat = np.frombuffer(b"".join(known), np.uint32)
+        length = np.fromiter(map(len, known), np.int32, len(known)) // 4
+        place = np.cumsum(length, dtype=np.int32) - length
+        took = length[codes]
+        until = np.cumsum(took, dtype=np.int32)
+        out = flat[np.repeat(place[codes] - (until - took), took) + np.arange(until[-1], dtype=np.int32)]
+        stops = until[edges[1:] - 1].tolist()
+        alone = alone | np.logical_or.reduceat(apart[codes], edges[:-1])
+        last = np.array([] if end is None else [end], np.uint32)
+        for k, (a, b) in enumerate(zip([0, *stops[:-1]], stops, strict=True)):
+            yield self.ids(texts[k].as_py(), end) if alone[k] else np.concatenate([out[a:b], last])
+
     def ids(self, text: str, end: int | None = END) -> np.ndarray:
         out, at, n = [], 0, len(text)
         while at < n:
             found = _CUT.search(text, at + _WINDOW)
             stop = found.start() if found else n
-            if len(self._met) + len(self._after_line) > _REMEMBERED:
-                self._met.clear()
-                self._after_line.clear()
+            self._forget()
             part, first = text[at:stop], not at
             at = stop + 1  # the space belongs to what follows it
             last = [""] if at == n and found else []
             # what is remembered ends with no white space, so that a space behind it is a cut; what isn't is looked at
             stretches = part.split(" ")
-            known = list(map(self._met.get, stretches))
+            known = self._recall_all(stretches)
             new = [x for x, ids in zip(stretches, known, strict=True) if ids is None]
             if any(not x or x[-1] in _WHITE for x in new):
                 stretches = _CUT.split(part) + last
-                known = list(map(self._met.get, stretches))
+                known = self._recall_all(stretches)
                 new = [x for x, ids in zip(stretches, known, strict=True) if ids is None]
             elif last:
                 stretches, known, new = stretches + last, [*known, None], [*new, ""]
@@ -144,9 +252,8 @@ def token_files(docs: DataFrame, tokenizer: str, end: int | None = END, special_
             return pa.RecordBatch.from_arrays([*row, pa.array([raw], pa.binary())], ["part", "seq", "first", "n_ids", "image"])
 
         for batch in batches:
-            for name, text in zip(batch.column(0), batch.column(1), strict=True):
-                got = tokens.ids(text.as_py(), end)
-                names.append(name.as_py())
+            for name, got in zip(batch.column(0).to_pylist(), tokens.many(batch.column(1), end), strict=True):
+                names.append(name)
                 parts.append(got)
                 held += len(got)
                 if held >= file_ids:

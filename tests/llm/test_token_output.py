@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,6 +75,56 @@ def test_stretches_are_tokenised_as_the_whole(plain, monkeypatch):
         assert tokens.ids(text, None).tolist() == plain(text), text
 
 
+@pytest.mark.parametrize("special_as_text", [True, False])
+def test_texts_together_are_tokenised_as_the_whole(plain, monkeypatch, special_as_text):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_output, "_WINDOW", 120)
+    monkeypatch.setattr(token_output, "_LONG", 20 if special_as_text else 1 << 14)
+    monkeypatch.setattr(token_output, "_REMEMBERED", 60)
+    monkeypatch.setattr(token_output, "_TOGETHER", 700)
+    monkeypatch.setattr(token_output, "_JOINED", 5)
+    tokens, rng, whole = token_output.Tokens(PATH, special_as_text), random.Random(11), Tokenizer.from_file(PATH)
+    whole.encode_special_tokens = special_as_text
+    bits = [" "] * 12 + ["\n", "\t", "a", "b'", "s", "I'll", "9", "é", "中", "。", " ", "　", "​", "\x1c", "\x85", "!", ".", ",", "--", "\u0120", "Ġx", "ñandú"]
+    bits += ["word", "\U0001f600", "<|endoftext|>", "abcdefghijklmnopqrstuvwxyz", "\x00", "x\ny"]
+    texts = [None, "", " ", "a", " a", "a "] + ["".join(rng.choice(bits) for _ in range(rng.randint(0, 60))) for _ in range(3000)] + [None]
+    for column in (pa.array(texts, pa.string()), pa.array(texts, pa.large_string()).slice(3, 100), pa.array([], pa.string())):
+        got = [x.tolist() for x in tokens.many(column)]
+        assert got == [whole.encode(x or "", add_special_tokens=False).ids + [2] for x in column.to_pylist()]
+        assert [x.tolist() for x in tokens.many(column, None)] == [x[:-1] for x in got]
+
+
+def test_new_words_go_to_the_tokenizer_many_at_a_time(plain):
+    tokens, asked = token_output.Tokens(PATH), []
+
+    class Counted:
+        def __init__(self, under):
+            self.under = under
+
+        def encode_batch_fast(self, parts, **options):
+            asked.extend(parts)
+            return self.under.encode_batch_fast(parts, **options)
+
+    tokens._tokenizer, tokens._letters = Counted(tokens._tokenizer), Counted(tokens._letters)
+    text = " ".join(f"{a}{b}q" for a in "abcdefghijklmnopqrst" for b in "uvwxyzabcdefghijklmn")  # 400 words
+    texts = [text, text[4:], text + "."]
+    assert [x.tolist() for x in tokens.many(pa.array(texts), None)] == [plain(x) for x in texts]
+    assert len(asked) < 10
+    asked.clear()
+    assert tokens.ids(text, None).tolist() == plain(text) and len(asked) == 1
+
+
+def test_words_met_again_are_kept_when_others_are_forgotten(monkeypatch):
+    monkeypatch.setattr(token_output, "_REMEMBERED", 200)
+    monkeypatch.setattr(token_output, "_TOGETHER", 500)
+    tokens = token_output.Tokens(PATH)
+    rare = [" ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}{chr(97 + j)}" for j in range(26)) for k in range(60)]
+    list(tokens.many(pa.array([f"z often {x}" for x in rare])))
+    assert tokens._recall("often") is not None and tokens._recall(rare[0].split()[3]) is None
+    assert len(tokens._met) + len(tokens._older) < 400
+
+
 def brute(rows, plain):
     out, start = [], 0
     for doc_id, text, *_ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
