@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+from fixtures import dsm_of
 from pyspark.sql import functions as F
 
-from depmatrix.operators import graph
+from depmatrix.operators import graph, tearing
 from depmatrix.plans import derive
 from depmatrix.schema import Dsm
 
@@ -20,3 +22,16 @@ def test_the_strongest_edges_are_not_shuffled_by_matrix(spark):
     assert "BroadcastHashJoin" in told and "SortMergeJoin" not in told
     weights = sorted(k % 700 for k in range(3000))
     assert sorted(r["w"] for r in d.edges.collect()) == [w for w in weights if w >= weights[2700]]
+
+
+def test_ways_are_compared_before_they_are_exploded(spark):
+    n = 12
+    every, ring = np.ones((n, n)) - np.eye(n), np.roll(np.eye(n), 1, axis=1)
+    d = dsm_of(spark, every=every, ring=ring)
+    sccs = graph.cut(graph.strong_components(d.elements, d.edges))
+    links = graph.cut(tearing.inside_loops(d.edges, sccs).select("dsm_id", "scc", F.col("i").alias("a"), F.col("j").alias("b")))
+    array = F.expr("CASE WHEN x = 0 THEN array() WHEN dsm_id = 'every' THEN array(x) ELSE sequence(1, x) END").cast("array<int>")
+    at = F.expr("CASE WHEN x = 0 THEN -1 WHEN dsm_id = 'every' THEN 0 ELSE x - 1 END")
+    tree = sccs.select("dsm_id", "scc", F.col("idx").alias("x")).withColumn("way", array).withColumn("at", at)
+    left = tearing._shared(links, tree).groupBy("dsm_id").agg(F.sum(F.size("way")), F.count("*")).collect()
+    assert sorted(map(tuple, left)) == [("every", 0, n), ("ring", n * (n - 1) // 2, n)]
