@@ -6,7 +6,7 @@ import numpy as np
 from fixtures import dsm_of
 from pyspark.sql import functions as F
 
-from depmatrix.operators import graph, tearing
+from depmatrix.operators import graph, markov, tearing
 from depmatrix.plans import derive
 from depmatrix.schema import Dsm
 
@@ -35,3 +35,10 @@ def test_ways_are_compared_before_they_are_exploded(spark):
     tree = sccs.select("dsm_id", "scc", F.col("idx").alias("x")).withColumn("way", array).withColumn("at", at)
     left = tearing._shared(links, tree).groupBy("dsm_id").agg(F.sum(F.size("way")), F.count("*")).collect()
     assert sorted(map(tuple, left)) == [("every", 0, n), ("ring", n * (n - 1) // 2, n)]
+
+
+def test_entries_of_a_column_are_sorted_once(spark):
+    row = spark.sql("SELECT array(named_struct('i', 2, 'w', 1D), named_struct('i', 5, 'w', 3D), named_struct('i', 7, 'w', 1D)) AS entries FROM range(2)")
+    found = row.select(markov._normalised(markov._largest(F.col("entries"), 2)).alias("entries"))
+    assert plan(found).count("sort_array") == 1
+    assert [tuple(e) for e in found.first()["entries"]] == [(5, 0.75), (2, 0.25)]
